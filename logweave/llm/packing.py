@@ -42,7 +42,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
         for whole in batches:
             for batch in slices(whole):
                 doc, piece, start, length, ids = [], [], [], [], []
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bodies = batch.column(1).to_pylist()
+                encode.prepare(bodies)
+                for d, t in zip(batch.column(0).to_pylist(), bodies, strict=True):
                     own = encode(t) + end
                     for k in range(0, len(own), wide):
                         part = own[k : k + wide]

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Distinct words that a task remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 400_000
 
 
+#: Latin-1 letters with punctuation after them. The tokenizer cuts between the two and lower-cases the letters, which in
+#: this range are already composed, so a word's ids are those of its lower-case letters and then those of its punctuation.
+LETTERS_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+#: Stands between words that are encoded in one call; words that hold it are encoded alone.
+BETWEEN = "<|endoftext|>"
+TOGETHER = 1024
+
+
 class WordEncoder:
-    """ids of a text, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
+    """ids of a text, equal to Tokenizer.encode(text, add_special_tokens=False).ids with special strings as plain text.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. Words are
     cut at spaces and line ends alone; rarer white space stays inside a word and is the tokenizer's own business.
@@ -18,25 +28,60 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.marked = Tokenizer.from_file(path)
+        self.between = self.marked.token_to_id(BETWEEN)
         self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def encode_parts(self, fresh: list[str]) -> None:
+        """Ids of words without the separator, TOGETHER at a time."""
+        for k in range(0, len(fresh), TOGETHER):
+            some = fresh[k : k + TOGETHER]
+            ids = np.asarray(self.marked.encode(BETWEEN.join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between)
+            for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                self.parts[w] = ids[a:b].tobytes()
+
+    def learn(self, fresh: set[str]) -> None:
+        cut, wanted, parts = {}, set(), self.parts
+        if len(parts) > REMEMBERED:
+            parts.clear()
+            parts[""] = b""
+        for w in fresh:
+            if m := LETTERS_AND_MARKS.fullmatch(w):
+                cut[w] = pair = (m[1].lower(), m[2])
+                wanted.update(pair)
+            elif "<|" in w:
+                self.seen[w] = np.asarray(self.plain.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+            else:
+                cut[w] = (w, "")
+                wanted.add(w)
+        self.encode_parts([w for w in wanted if w not in parts])
+        for w, (letters, marks) in cut.items():
+            self.seen[w] = parts[letters] + parts[marks]
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
-        seen = self.seen
         try:
-            return b"".join([seen[w] for w in words])
+            return b"".join([self.seen[w] for w in words])
         except KeyError:
             pass
-        fresh = list({w for w in words if w not in seen})
-        if len(seen) + len(fresh) > REMEMBERED:
-            seen.clear()
-            fresh = list(set(words))
-        encode = self.tokenizer.encode_batch
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                seen[w] = np.asarray(e.ids, np.uint32).tobytes()
+        fresh = {w for w in words if w not in self.seen}
+        if len(self.seen) + len(fresh) > REMEMBERED:
+            self.seen.clear()
+            fresh = set(words)
+        self.learn(fresh)
+        seen = self.seen
         return b"".join([seen[w] for w in words])
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the words of many texts in few calls of the tokenizer."""
+        fresh: set[str] = set()
+        for t in texts:
+            fresh.update(t.replace("\n", " ").split(" "))
+        fresh.difference_update(self.seen)
+        if len(self.seen) + len(fresh) <= REMEMBERED:
+            self.learn(fresh)
