@@ -22,6 +22,8 @@ from logweave.llm.common import cut, slices, texts
 SEED = 42
 #: Different fingerprints of one variant bucket that are still joined pair by pair.
 BUCKET = 64
+#: Keys of buckets (8 bytes each) that are broadcast at the most; with more of them the join shuffles.
+BROADCAST_KEYS = 500_000
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -92,9 +94,11 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     buckets = cut(buckets)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     twos = buckets.where("n = 2").select("a", "b").where(near)
-    several = variants.join(buckets.where((F.col("n") > 2) & (F.col("n") <= BUCKET)).select("key"), "key")
+    size = buckets.agg(F.count_if((F.col("n") > 2) & (F.col("n") <= BUCKET)).alias("few"), F.count_if(F.col("n") > BUCKET).alias("full")).first()
+    pick = lambda rows, n: F.broadcast(rows) if n <= BROADCAST_KEYS else rows
+    several = variants.join(pick(buckets.where((F.col("n") > 2) & (F.col("n") <= BUCKET)).select("key"), size["few"]), "key")
     joined = several.select("key", F.col("fp").alias("a")).join(several.select("key", F.col("fp").alias("b")), "key").where(F.col("a") < F.col("b")).where(near).select("a", "b")
-    full = variants.join(buckets.where(F.col("n") > BUCKET).select("key"), "key").select("fp").distinct()
+    full = variants.join(pick(buckets.where(F.col("n") > BUCKET).select("key"), size["full"]), "key").select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
     flipped = full.select("fp", F.explode(flips).alias("near"))
     stars = flipped.join(flipped.groupBy("near").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near").where("a < fp").select("a", F.col("fp").alias("b"))
