@@ -16,7 +16,7 @@ from logweave.llm.common import texts
 BUCKETS = 10_000
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio from which on a document is kept.
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 WINDOW = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -37,7 +37,8 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def counts(df: DataFrame, name: str) -> DataFrame:
-    return features(df).select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+    # explode() would bring a filter on the size of grams, and with it a second evaluation; null buckets find no partner
+    return features(df).select(F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
