@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: Distinct words that a task remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 400_000
@@ -13,9 +12,10 @@ REMEMBERED = 400_000
 #: Latin-1 letters with punctuation after them. The tokenizer cuts between the two and lower-cases the letters, which in
 #: this range are already composed, so a word's ids are those of its lower-case letters and then those of its punctuation.
 LETTERS_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
-#: Stands between words that are encoded in one call; words that hold it are encoded alone.
-BETWEEN = "<|endoftext|>"
-TOGETHER = 1024
+#: The characters that stand for the bytes of such letters in the vocabulary: printable ones for themselves, the others
+#: numbered from 256 on.
+BYTE_CHARS = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+BYTE_CHARS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
 
 
 class WordEncoder:
@@ -30,37 +30,27 @@ class WordEncoder:
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)
-        self.between = self.marked.token_to_id(BETWEEN)
+        self.model = self.plain.model
         self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def encode_parts(self, fresh: list[str]) -> None:
-        """Ids of words without the separator, TOGETHER at a time."""
-        for k in range(0, len(fresh), TOGETHER):
-            some = fresh[k : k + TOGETHER]
-            ids = np.asarray(self.marked.encode(BETWEEN.join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between)
-            for w, a, b in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.parts[w] = ids[a:b].tobytes()
+    def part(self, p: str) -> bytes:
+        """Ids of lower-case letters or of punctuation, straight from the merge table."""
+        found = self.parts.get(p)
+        if found is None:
+            spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
+            found = self.parts[p] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
 
     def learn(self, fresh: set[str]) -> None:
-        cut, wanted, parts = {}, set(), self.parts
-        if len(parts) > REMEMBERED:
-            parts.clear()
-            parts[""] = b""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+            self.parts[""] = b""
         for w in fresh:
             if m := LETTERS_AND_MARKS.fullmatch(w):
-                cut[w] = pair = (m[1].lower(), m[2])
-                wanted.update(pair)
-            elif "<|" in w:
-                self.seen[w] = np.asarray(self.plain.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+                self.seen[w] = self.part(m[1].lower()) + self.part(m[2])
             else:
-                cut[w] = (w, "")
-                wanted.add(w)
-        self.encode_parts([w for w in wanted if w not in parts])
-        for w, (letters, marks) in cut.items():
-            self.seen[w] = parts[letters] + parts[marks]
+                self.seen[w] = array("I", self.plain.encode(w, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -76,12 +66,3 @@ class WordEncoder:
         self.learn(fresh)
         seen = self.seen
         return b"".join([seen[w] for w in words])
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the words of many texts in few calls of the tokenizer."""
-        fresh: set[str] = set()
-        for t in texts:
-            fresh.update(t.replace("\n", " ").split(" "))
-        fresh.difference_update(self.seen)
-        if len(self.seen) + len(fresh) <= REMEMBERED:
-            self.learn(fresh)
