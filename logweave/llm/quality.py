@@ -187,6 +187,22 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text (null: empty) scores at least the threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            batch = pa.RecordBatch.from_arrays([whole.column(at).fill_null("")], ["text"])
+            good, done = [], 0
+            for part in slices(batch):
+                good.append(scores(net, *byte_view(part.column(0))) >= threshold)
+                done += part.num_rows
+            yield whole.filter(pa.array(np.concatenate(good))) if done else whole
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels (doc_id, quality) and score all docs.
 

@@ -137,3 +137,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
     owner = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     owner = owner.join(owner.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, bits: int = 2) -> DataFrame:
+    """docs, all columns, with one document of each component of linked fingerprints: the one of least (id, text) hash.
+
+    Rows that repeat an id with its text are one document. Nulls and empty texts are as in near_duplicates.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), k, bits)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return held.join(stay, "key").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
