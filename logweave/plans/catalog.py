@@ -2,5 +2,263 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.functions.text import clean_number, no_null_tokens, slug
+from logweave.operators import cleaning, linking, merging, profile, search, stats
+from logweave.sources.tables import read
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events")
+
+
+@query("SELECT o_custkey, count(*) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, max(o_totalprice) AS largest, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_custkey")
+def stats_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.totals(orders(spark, d), ["o_custkey"], "o_totalprice")
+
+
+@query("""
+WITH g AS (SELECT year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1),
+     y AS (SELECT unnest(generate_series((SELECT min(year) FROM g), (SELECT max(year) FROM g))) AS year)
+SELECT y.year AS year, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM y LEFT JOIN g ON y.year = g.year""")
+def stats_overview_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return stats.by_period(orders(spark, d), F.year("o_orderdate"), "o_totalprice", "year")
+
+
+@query("""
+WITH g AS (SELECT month(ts) AS month, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1),
+     m AS (SELECT unnest(generate_series(1, 12)) AS month)
+SELECT m.month AS month, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM m LEFT JOIN g ON m.month = g.month""")
+def stats_month_of_year(spark: SparkSession, d: str) -> DataFrame:
+    return stats.by_period(events(spark, d), F.month("ts"), "value", "month", (1, 12))
+
+
+@query("""
+WITH g AS (SELECT floor(value / 50)::BIGINT AS bucket, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1),
+     b AS (SELECT unnest(generate_series(0, (SELECT max(bucket) FROM g))) AS bucket)
+SELECT b.bucket AS bucket, b.bucket * 50.0::DOUBLE AS from_value, coalesce(n, 0) AS n FROM b LEFT JOIN g ON b.bucket = g.bucket""")
+def stats_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(events(spark, d), "value", 50.0)
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders")
+def window_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return stats.numbering(orders(spark, d), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "number")
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id, ts, value, epoch_us(ts) / 1e6 AS s, CAST(ts AS DATE) AS day FROM events),
+     b AS (SELECT *, round(s - (lag(s) OVER w + lag(value) OVER w)) AS gap, CASE WHEN day = lag(day) OVER w THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+     c AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b)
+SELECT event_id, user_id, CASE WHEN gap >= 0 THEN gap::BIGINT END AS interval_s, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS repetition FROM c""")
+def window_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.intervals(events(spark, d), "user_id", "ts", "event_id", "value").select("event_id", "user_id", "interval_s", "repetition")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+     b AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM a),
+     c AS (SELECT user_id, min(day) AS first_day, max(day) AS last_day, count(*) AS days FROM b GROUP BY user_id, island),
+     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days DESC, first_day) AS k FROM c)
+SELECT user_id, first_day, last_day, days FROM r WHERE k = 1""")
+def window_streaks(spark: SparkSession, d: str) -> DataFrame:
+    return stats.streaks(events(spark, d), "user_id", "ts")
+
+
+@query("""
+WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+     b AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 3 THEN 0 ELSE 1 END AS split FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+     c AS (SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY day) AS trip FROM b)
+SELECT user_id, min(day) AS first_day, max(day) AS last_day, sum(n)::BIGINT AS n FROM c GROUP BY user_id, trip HAVING sum(n) >= 3""")
+def window_trips(spark: SparkSession, d: str) -> DataFrame:
+    return stats.trips(events(spark, d).where("event_type = 'purchase'"), "user_id", "ts")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> '' GROUP BY 1, 2),
+     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c)
+SELECT user_id, event_type AS common, n FROM r WHERE k = 1""")
+def stats_mode(spark: SparkSession, d: str) -> DataFrame:
+    return stats.mode(events(spark, d), "user_id", "event_type")
+
+
+@query("SELECT o_custkey, o_orderkey % 10 AS number, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def stats_repeated_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return stats.repeated_numbers(orders(spark, d), "o_custkey", F.col("o_orderkey") % 10)
+
+
+@query("SELECT user_id FROM events WHERE event_type IN ('click', 'purchase', 'error') GROUP BY user_id HAVING count(DISTINCT event_type) = 3")
+def search_all_tags(spark: SparkSession, d: str) -> DataFrame:
+    return search.having_all(events(spark, d), "user_id", "event_type", ["click", "purchase", "error"])
+
+
+@query("SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+def search_facets(spark: SparkSession, d: str) -> DataFrame:
+    return search.facets(events(spark, d), "event_type", "ts", "value")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def search_first_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.page(orders(spark, d).select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 100) OR o_totalprice IS NULL ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def search_next_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.page(orders(spark, d).select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", after=(200000.0, 100))
+
+
+CLEAN = """c AS (SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"""
+
+
+@query(f"WITH {CLEAN} SELECT event_id, CASE WHEN k BETWEEN 10 AND 90 THEN k END AS k, CASE WHEN k NOT BETWEEN 10 AND 90 THEN 1 ELSE 0 END AS n_issues FROM c")
+def clean_range(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).select("event_id", "k", F.size("issues").alias("n_issues"))
+
+
+@query(f"WITH {CLEAN} SELECT 'out_of_range' AS code, 'k' AS field, count(*) AS n, count(DISTINCT event_type) AS kinds, min(event_id) AS first_key FROM c WHERE k NOT BETWEEN 10 AND 90")
+def clean_issue_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.issue_rollup(_cleaned(spark, d), "event_type", "event_id")
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    k = clean_number(no_null_tokens(F.get_json_object("props", "$.k")))
+    return cleaning.in_range(events(spark, d).select("event_id", "event_type", k.alias("k")), "k", 10, 90)
+
+
+@query("""
+WITH a AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)
+SELECT event_id, user_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM a""")
+def clean_fill(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return cleaning.fill(rows, "user_id", "event_id", "v").drop("v")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def text_slug(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", slug(F.col("p_name")).alias("slug"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score
+FROM n x JOIN n y ON x.name < y.name AND substr(x.name, 1, 3) = substr(y.name, 1, 3)
+WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
+def link_similar_names(spark: SparkSession, d: str) -> DataFrame:
+    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6)
+
+
+PAIRS = """
+p AS (SELECT o.user_id AS owner, o.event_id AS obs_id, r.event_id AS rec_id, abs(epoch_us(o.ts) - epoch_us(r.ts)) / 1e6 AS apart, CAST(o.ts AS DATE) = CAST(r.ts AS DATE) AS same_day,
+             o.value AS ov, r.value AS rv FROM events o JOIN events r ON o.user_id = r.user_id AND o.event_type = 'purchase' AND r.event_type = 'view' AND abs(epoch_us(o.ts) - epoch_us(r.ts)) <= 21600000000),
+s AS (SELECT owner, obs_id, rec_id, apart, CASE WHEN apart <= 300 THEN 0.45::DOUBLE WHEN apart <= 5400 AND same_day THEN 0.25::DOUBLE WHEN same_day THEN 0.1::DOUBLE ELSE 0::DOUBLE END
+             + CASE WHEN abs(ov - rv) <= greatest(1.0::DOUBLE, 0.05::DOUBLE * rv) THEN 0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN abs(ov - rv) <= greatest(180.0::DOUBLE, 0.1::DOUBLE * rv) THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS score FROM p)"""
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = lambda kind: events(spark, d).where(F.col("event_type") == kind).select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("value").alias("depth"), F.col("value").alias("seconds"))
+    return linking.scored(linking.candidates(rows("purchase"), rows("view")))
+
+
+@query(f"WITH {PAIRS} SELECT owner, obs_id, rec_id, round(score, 4) AS score FROM s")
+def link_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH {PAIRS},
+b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM s WHERE score >= 0.45::DOUBLE WINDOW w AS (PARTITION BY owner, obs_id ORDER BY score DESC, rec_id)),
+c AS (SELECT *, score >= 0.8::DOUBLE AND (next IS NULL OR score - next >= 0.1::DOUBLE - 1e-9) AS sure FROM b WHERE place = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY owner, rec_id, sure ORDER BY score DESC, obs_id) AS claim FROM c)
+SELECT owner, obs_id, rec_id, round(score, 4) AS score, CASE WHEN sure AND claim = 1 THEN 'merge' ELSE 'ambiguous' END AS decision FROM f""")
+def link_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return linking.decide(_pairs(spark, d))
+
+
+PLACE = "(({k} * 37) % 1000) / 100.0::DOUBLE + 40 AS lat, (({k} * 91) % 1000) / 100.0::DOUBLE + 5 AS lon"
+
+
+@query(f"""
+WITH a AS (SELECT c_custkey AS point_id, {PLACE.format(k="c_custkey")} FROM customer), b AS (SELECT s_suppkey AS place_id, {PLACE.format(k="s_suppkey")} FROM supplier),
+m AS (SELECT point_id, place_id, round(2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS m FROM a, b),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) AS k FROM m WHERE m <= 50000)
+SELECT point_id, place_id, m AS distance_m FROM r WHERE k = 1""")
+def link_nearest(spark: SparkSession, d: str) -> DataFrame:
+    place = lambda t, key, name: read(spark, d, t).select(F.col(key).alias(name), ((F.col(key) * 37 % 1000) / 100.0 + 40).alias("lat"), ((F.col(key) * 91 % 1000) / 100.0 + 5).alias("lon"))
+    return linking.nearest(place("customer", "c_custkey", "point_id"), place("supplier", "s_suppkey", "place_id"), 50_000, 0.75)
+
+
+ASSERTED = """
+a AS (SELECT o_orderkey AS record, 'amount' AS field, o_totalprice AS value, 1 AS rank, o_orderdate AS recorded_at, 'order' AS source FROM orders
+  UNION ALL SELECT l_orderkey, 'amount', l_extendedprice, CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END, l_shipdate, 'line' || l_linenumber::VARCHAR FROM lineitem)"""
+RESOLVED = """
+v AS (SELECT *, row_number() OVER (PARTITION BY record, field ORDER BY rank, recorded_at DESC, source, value) AS k, count(*) OVER (PARTITION BY record, field) AS n_sources FROM {a} WHERE value IS NOT NULL),
+x AS (SELECT record, field, rank, min(value) AS low, max(value) AS high FROM v GROUP BY 1, 2, 3)
+SELECT v.record AS record, v.field AS field, v.value AS value, v.source AS source, n_sources, greatest(high - v.value, v.value - low) > 1e-9 AS contested
+FROM v JOIN x ON v.record = x.record AND v.field = x.field AND v.rank = x.rank WHERE k = 1"""
+
+
+def _asserted(spark: SparkSession, d: str) -> DataFrame:
+    o = orders(spark, d).select(F.col("o_orderkey").alias("record"), F.lit("amount").alias("field"), F.col("o_totalprice").alias("value"), F.lit(1).alias("rank"), F.col("o_orderdate").alias("recorded_at"), F.lit("order").alias("source"))
+    rank = F.when(F.col("l_linenumber") % 2 == 0, 0).otherwise(1)
+    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("record"), F.lit("amount").alias("field"), F.col("l_extendedprice").alias("value"), rank.alias("rank"), F.col("l_shipdate").alias("recorded_at"), F.concat(F.lit("line"), F.col("l_linenumber")).alias("source"))
+    return o.unionByName(line)
+
+
+@query(f"WITH {ASSERTED}, {RESOLVED.format(a='a')}")
+def merge_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return merging.resolve(_asserted(spark, d))
+
+
+@query(f"WITH {ASSERTED}, w AS (SELECT * FROM a WHERE source NOT IN ('line2', 'order')), {RESOLVED.format(a='w')}")
+def merge_revert(spark: SparkSession, d: str) -> DataFrame:
+    return merging.revert(_asserted(spark, d), spark.createDataFrame([("line2",), ("order",)], "source string"))
+
+
+@query("""
+WITH f AS (SELECT conv_id, lower(trim(role)) AS form, min(turn) AS o FROM conversations WHERE trim(role) <> '' GROUP BY 1, 2),
+     s AS (SELECT f.conv_id, f.o, min(trim(c.role)) AS v FROM f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.o AND lower(trim(c.role)) = f.form GROUP BY f.conv_id, f.o, f.form)
+SELECT conv_id, string_agg(v, ',' ORDER BY o, v) AS merged, count(*) AS n FROM s GROUP BY conv_id""")
+def merge_union(spark: SparkSession, d: str) -> DataFrame:
+    return merging.union_values(read(spark, d, "conversations"), "conv_id", "turn", "role")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderkey % 10 AS w, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 10 ORDER BY o_orderdate, o_orderkey) AS c FROM orders),
+     b AS (SELECT *, CASE WHEN w >= 1 AND c = 1 THEN w END AS kept FROM a)
+SELECT o_orderkey, o_custkey, coalesce(kept, coalesce(max(kept) OVER (PARTITION BY o_custkey), 0) + row_number() OVER (PARTITION BY o_custkey, kept IS NULL ORDER BY o_orderdate, o_orderkey)) AS number FROM b""")
+def merge_claim_numbers(spark: SparkSession, d: str) -> DataFrame:
+    rows = orders(spark, d).withColumn("wanted", F.col("o_orderkey") % 10)
+    return merging.claim_numbers(rows, "o_custkey", "o_orderdate", "o_orderkey", "wanted").select("o_orderkey", "o_custkey", "number")
+
+
+@query("""
+WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+     r AS (SELECT *, (lag(v) OVER (PARTITION BY vec_id ORDER BY i) - v) / 15 * 60 AS rise FROM e)
+SELECT vec_id, count(*) AS n, ((count(*) - 1) * 15)::BIGINT AS seconds, round(max(v), 5) AS most, round(min(v), 5) AS least, round(avg(v), 5) AS mean, round(greatest(max(rise), 0), 4) AS fastest_rise FROM r GROUP BY vec_id""")
+def profile_summary(spark: SparkSession, d: str) -> DataFrame:
+    return profile.summary(read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query("""
+WITH e AS (SELECT vec_id, len(embedding) AS n, list_position(embedding, list_max(embedding)) - 1 AS top, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings)
+SELECT vec_id, i, round(v::DOUBLE, 5) + 0.0::DOUBLE AS v FROM e WHERE i % greatest(1, n // 12) = 0 OR i = n - 1 OR i = top""")
+def profile_thin(spark: SparkSession, d: str) -> DataFrame:
+    return profile.thin(read(spark, d, "embeddings"), "vec_id", "embedding")
