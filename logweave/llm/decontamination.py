@@ -25,6 +25,8 @@ from logweave.llm.common import cut, slices, texts
 WINDOW, LEAST_WORDS, COVERAGE = 5, 2, 0.8
 #: Benchmark windows (8 bytes each) that are broadcast at the most; with more of them the windows of documents shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Text bytes whose tokens are held at a time.
+SLICE = 1 << 20
 #: Distinct words that a task remembers.
 REMEMBERED = 400_000
 UNITS = frozenset(
@@ -38,43 +40,47 @@ NUMBER, UNIT, NAME = 1, 2, 3  # the placeholders' token numbers; words have hash
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Canonical:
-    """Turns texts into token numbers, as templates and by value."""
+class Canonical(dict):
+    """Codes of tokens, and for each code its number by value and its kind."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.start_anew()
 
-    def look(self, token: str) -> tuple[int, int]:
-        """(number of the token by value, kind): kind 0 word, 1 number, 2 unit word, 3 capitalised word, 4 sentence end."""
+    def start_anew(self) -> None:
+        self.clear()
+        self.values, self.kinds = [], []
+
+    def __missing__(self, token: str) -> int:
+        """Kinds: 0 word, 1 number, 2 unit word, 3 capitalised word, 4 sentence end."""
         from xxhash import xxh64_intdigest
 
-        if token[0] in ".!?\n":
-            return 0, 4
         lower = token.lower()
-        kind = 1 if token[0].isdecimal() else 2 if lower in UNITS else 3 if token[0].isupper() else 0
-        return xxh64_intdigest(lower.encode()) | 1 << 32, kind
-
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens without sentence ends, their numbers by value, and their placeholders (0: a plain word)."""
-        found = TOKEN.findall(text)
-        known = self.known
-        fresh = set(found).difference(known)
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = set(found)
-            for w in fresh:
-                known[w] = self.look(w)
-        if not found:
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        pairs = [known[w] for w in found]
-        value = np.array([p[0] for p in pairs], np.uint64)
-        kind = np.array([p[1] for p in pairs], np.int8)
+        if token[0] in ".!?\n":
+            kind = 4
+        else:
+            kind = 1 if token[0].isdecimal() else 2 if lower in UNITS else 3 if token[0].isupper() else 0
+        self.values.append(xxh64_intdigest(lower.encode()) | 1 << 32)
+        self.kinds.append(kind)
+        self[token] = len(self.kinds) - 1
+        return self[token]
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens; then for those that end no sentence: their place among all, their text, their number by value and
+        their placeholder (0: a plain word)."""
+        if len(self) > REMEMBERED:
+            self.start_anew()
+        found: list[str] = []
+        ends = []
+        for t in texts:
+            found.append(".")  # a text begins a sentence
+            found += TOKEN.findall(t)
+            ends.append(len(found))
+        code = np.array(list(map(self.__getitem__, found)), np.int64)
+        value, kind = np.array(self.values, np.uint64)[code], np.array(self.kinds, np.int8)[code]
         before = np.concatenate([[4], kind[:-1]])
-        slot = np.where(kind == 1, NUMBER, np.where((kind == 2) & (before == 1), UNIT, np.where((kind == 3) & (before != 4), NAME, 0)))
-        keep = kind != 4
-        tokens = found if keep.all() else [w for w, k in zip(found, keep.tolist(), strict=True) if k]
-        return tokens, value[keep], slot[keep].astype(np.int8)
+        slot = np.where(kind == 1, NUMBER, np.where((kind == 2) & (before == 1), UNIT, np.where((kind == 3) & (before != 4), NAME, 0))).astype(np.int8)
+        at = np.flatnonzero(kind != 4)
+        return found, at, np.searchsorted(ends, at, "right"), value[at], slot[at]
 
 
 def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -86,58 +92,66 @@ def window_hashes(numbers: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def windows(value: np.ndarray, slot: np.ndarray, window: int = WINDOW) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Width, hashes as templates, hashes by value, and whether the template says enough, at each place.
+class Known:
+    """A sorted array of hashes with a bitmap in front of it."""
 
-    A text of fewer tokens than a window is one window of its own width, so it only equals another whole short text.
-    """
-    width = min(window, len(value))
-    if not width:
-        return 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    plain = np.lib.stride_tricks.sliding_window_view(slot == 0, width).sum(axis=1)
-    exact = window_hashes(value, width)
-    template = window_hashes(np.where(slot == 0, value, slot.astype(np.uint64)), width)
-    return width, template, exact, (plain >= LEAST_WORDS) & (width == window)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        bits = max(16, int(8 * max(1, len(hashes))).bit_length())
+        self.low = np.uint64((1 << bits) - 1)
+        self.there = np.zeros(1 << bits, bool)
+        self.there[hashes & self.low] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The places of h whose hashes are known."""
+        near = np.flatnonzero(self.there[h & self.low])
+        if not len(near):
+            return near
+        mine = h[near]
+        return near[self.hashes[np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)] == mine]
 
 
 HITS = "key long, hash long, place long, by_value boolean, slots array<string>"
 
 
-def _rows(key: int, text: str, canonical: Canonical, wanted, out: list[list], window: int) -> None:
-    """Appends the windows of a text that are wanted(hashes)."""
-    tokens, value, slot = canonical(text)
-    width, template, exact, enough = windows(value, slot, window)
-    if not width:
-        return
-    differs = template != exact
-    hit = wanted(template) & enough & differs
-    for i in np.flatnonzero(hit).tolist():
-        mine = [f"{int(s)}:{w.lower()}" for w, s in zip(tokens[i : i + width], slot[i : i + width], strict=True) if s]
-        out[0].append(key), out[1].append(int(template[i].view(np.int64))), out[2].append(i), out[3].append(False), out[4].append(mine)
-    for i in np.flatnonzero(wanted(exact)).tolist():
-        out[0].append(key), out[1].append(int(exact[i].view(np.int64))), out[2].append(i), out[3].append(True), out[4].append([])
+def _windows_of(keys: list[int], texts: list[str], canonical: Canonical, known: Known | None, window: int, out: list[list]) -> None:
+    """Appends the windows of texts that are known (None: all of them).
+
+    A text of fewer tokens than a window is one window of its own width, so it only equals another whole short text.
+    """
+    found, at, row, value, slot = canonical(texts)
+    count = np.bincount(row, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(count)])
+
+    def add(hashes: np.ndarray, starts: np.ndarray, width: int, by_value: bool) -> None:
+        which = np.arange(len(hashes)) if known is None else known.places(hashes)
+        for h, i in zip(hashes[which].view(np.int64).tolist(), starts[which].tolist(), strict=True):
+            slots = [] if by_value else [f"{int(slot[j])}:{found[at[j]].lower()}" for j in range(i, i + width) if slot[j]]
+            for column, x in zip(out, (keys[row[i]], h, i - int(first[row[i]]), by_value, slots), strict=True):
+                column.append(x)
+
+    if len(value) >= window:
+        whole = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
+        add(window_hashes(value, window)[whole], whole, window, True)
+        filled = np.concatenate([[0], np.cumsum(slot > 0)])
+        slots = filled[window:] - filled[:-window]
+        some = whole[(slots[whole] > 0) & (slots[whole] <= window - LEAST_WORDS)]
+        if len(some):
+            add(window_hashes(np.where(slot == 0, value, slot.astype(np.uint64)), window)[some], some, window, False)
+    for r in np.flatnonzero((count > 0) & (count < window)).tolist():
+        add(window_hashes(value[first[r] : first[r + 1]], int(count[r])), first[r : r + 1], int(count[r]), True)
 
 
 def template_windows(rows: DataFrame, known=None, window: int = WINDOW) -> DataFrame:
-    """Windows (HITS columns) of rows (key, text); `known`, a broadcast sorted array of hashes, keeps those in it."""
+    """Windows (HITS columns) of rows (key, text); `known`, a broadcast Known, keeps those in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         these = None if known is None else known.value
-
-        def wanted(h: np.ndarray) -> np.ndarray:
-            if these is None:
-                return np.ones(len(h), bool)
-            return these[np.minimum(np.searchsorted(these, h), len(these) - 1)] == h if len(these) else np.zeros(len(h), bool)
-
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 out: list[list] = [[], [], [], [], []]
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    _rows(key, text, canonical, wanted, out, window)
-                    if len(out[0]) > 50_000:
-                        yield _batch(out)
-                        out = [[], [], [], [], []]
+                _windows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), canonical, these, window, out)
                 yield _batch(out)
 
     return rows.mapInArrow(run, HITS)
@@ -171,8 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     small = hashes.count() <= broadcast_windows
     known = None
     if small:
-        column = hashes.toArrow().column(0).to_numpy()
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(column.view(np.uint64)))
+        column = np.array(hashes.toArrow().column(0).to_numpy(), np.int64)
+        known = docs.sparkSession.sparkContext.broadcast(Known(column.view(np.uint64)))
     hits = template_windows(rows.select("key", "text"), known, window)
     side = F.broadcast(items) if small else items
     met = hits.join(side, ["hash", "by_value"]).select("key", "item", "at", "place", "by_value", "slots", "item_slots").distinct()
