@@ -38,19 +38,20 @@ class WordEncoder:
         """Ids of lower-case letters or of punctuation, straight from the merge table."""
         found = self.parts.get(p)
         if found is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts = {"": b""}
             spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
             found = self.parts[p] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return found
 
+    def encode_word(self, w: str) -> bytes:
+        if m := LETTERS_AND_MARKS.fullmatch(w):
+            return self.part(m[1].lower()) + self.part(m[2])
+        return array("I", self.plain.encode(w, add_special_tokens=False).ids).tobytes()
+
     def learn(self, fresh: set[str]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-            self.parts[""] = b""
         for w in fresh:
-            if m := LETTERS_AND_MARKS.fullmatch(w):
-                self.seen[w] = self.part(m[1].lower()) + self.part(m[2])
-            else:
-                self.seen[w] = array("I", self.plain.encode(w, add_special_tokens=False).ids).tobytes()
+            self.seen[w] = self.encode_word(w)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
