@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_M = 6_371_000.0
+#: Mean radius of the Earth.
+EARTH_M = 6_371_008.8
 
 
 def valid(lat: Column, lon: Column) -> Column:

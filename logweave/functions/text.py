@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,12 +22,40 @@ def clean_number(c: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the ASCII letters that compatibility decomposition leaves of them."""
+    pairs = []
+    for code in range(0xC0, 0x250):
+        left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(left) == 1 and left.isascii():
+            pairs.append((chr(code), left))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _plain_letters()
+#: Combining marks that text in decomposed form carries.
+MARKS = "[\\u0300-\\u036F]+"
+
+
 def slug(c: Column) -> Column:
-    """Lower-case ASCII letters and digits with single dashes between words."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case ASCII letters and digits with single dashes between words; Latin letters lose their marks."""
+    plain = F.translate(F.regexp_replace(c, MARKS, ""), MARKED, PLAIN)
+    return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def similarity(a: Column, b: Column) -> Column:
     """One less the edit distance as a share of the longer text; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """Similarity of the names' slugs: 0 if one is empty, 1 if equal; one within the other from 0.8 to 0.95 by the lengths."""
+    x, y = slug(a), slug(b)
+    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.8 + 0.15 * ratio).otherwise(similarity(x, y))
+
+
+def edit_budget(s: Column) -> Column:
+    """Edits that a slug of this length may have: none up to 3 letters, 1 up to 6, else 2."""
+    return F.when(F.length(s) <= 3, 0).when(F.length(s) <= 6, 1).otherwise(2)

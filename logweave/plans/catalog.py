@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.text import clean_number, no_null_tokens, slug
-from logweave.operators import cleaning, linking, merging, profile, search, stats
+from logweave.functions import offsets, series, units
+from logweave.functions.text import clean_number, name_similarity, no_null_tokens, slug
+from logweave.operators import cleaning, linking, merging, profile, search, stats, taxonomy
 from logweave.sources.tables import read
 
 QUERIES: dict = {}
@@ -197,7 +198,7 @@ PLACE = "(({k} * 37) % 1000) / 100.0::DOUBLE + 40 AS lat, (({k} * 91) % 1000) /
 
 @query(f"""
 WITH a AS (SELECT c_custkey AS point_id, {PLACE.format(k="c_custkey")} FROM customer), b AS (SELECT s_suppkey AS place_id, {PLACE.format(k="s_suppkey")} FROM supplier),
-m AS (SELECT point_id, place_id, round(2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS m FROM a, b),
+m AS (SELECT point_id, place_id, round(2 * 6371008.8::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS m FROM a, b),
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) AS k FROM m WHERE m <= 50000)
 SELECT point_id, place_id, m AS distance_m FROM r WHERE k = 1""")
 def link_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -262,3 +263,77 @@ WITH e AS (SELECT vec_id, len(embedding) AS n, list_position(embedding, list_max
 SELECT vec_id, i, round(v::DOUBLE, 5) + 0.0::DOUBLE AS v FROM e WHERE i % greatest(1, n // 12) = 0 OR i = n - 1 OR i = top""")
 def profile_thin(spark: SparkSession, d: str) -> DataFrame:
     return profile.thin(read(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query("""
+SELECT event_id, round(value * 0.3048::DOUBLE, 6) AS metres, round((value - 32) * 5 / 9, 6) AS celsius, round(value * 0.45359237::DOUBLE, 6) AS kilograms, round(value * 6894.757293168361::DOUBLE / 100000, 6) AS bar,
+       round(value * 28.316846592::DOUBLE, 6) AS litres, DATE '1899-12-30' + (event_id % 99998 + 2)::INTEGER AS day, floor((event_id % 1000) / 1000.0::DOUBLE * 86400 + 0.5)::BIGINT AS seconds FROM events""")
+def units_converted(spark: SparkSession, d: str) -> DataFrame:
+    v, key = F.col("value"), F.col("event_id")
+    return events(spark, d).select(
+        "event_id",
+        F.round(units.feet_to_metres(v), 6).alias("metres"),
+        F.round(units.fahrenheit_to_celsius(v), 6).alias("celsius"),
+        F.round(units.pounds_to_kilograms(v), 6).alias("kilograms"),
+        F.round(units.psi_to_bar(v), 6).alias("bar"),
+        F.round(units.cubic_feet_to_litres(v), 6).alias("litres"),
+        units.serial_to_date(key % 99_998 + 2 + F.lit(0.25)).alias("day"),
+        units.fraction_to_seconds(key % 1000 / 1000.0).alias("seconds"),
+    )
+
+
+@query("SELECT o_custkey, count(*) AS n, (floor(count(*) / 25) + 1)::BIGINT * 25 AS milestone FROM orders GROUP BY o_custkey HAVING count(*) < 100")
+def stats_milestones(spark: SparkSession, d: str) -> DataFrame:
+    counted = orders(spark, d).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n < 100")
+    return counted.withColumn("milestone", units.next_milestone(F.col("n")))
+
+
+@query("""
+WITH a AS (SELECT event_id, (event_id % 1441 - 720)::INTEGER AS m, CASE WHEN event_id % 3 = 0 THEN (event_id % 1441 - 720) * 60 WHEN event_id % 3 = 1 THEN 0 END AS place FROM events),
+     b AS (SELECT *, abs(m) < 60 AND m % 60 <> 0 AS wrong, coalesce(place = m * 60, false) AS fits FROM a)
+SELECT event_id, CASE WHEN wrong AND fits THEN m * 60 ELSE m END AS offset_minutes, wrong AND NOT fits AS suspect, CASE WHEN wrong AND fits THEN 'high' WHEN wrong THEN 'low' END AS confidence,
+       (CASE WHEN m < 0 THEN '-' ELSE '+' END) || lpad((abs(m) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(m) % 60)::VARCHAR, 2, '0') AS written FROM b""")
+def clean_offsets(spark: SparkSession, d: str) -> DataFrame:
+    m = (F.col("event_id") % 1441 - 720).cast("int")
+    place = F.when(F.col("event_id") % 3 == 0, m * 60).when(F.col("event_id") % 3 == 1, 0)
+    return events(spark, d).select("event_id", offsets.repaired(m, place).alias("r"), offsets.formatted(m).alias("written")).select("event_id", F.col("r.offset").alias("offset_minutes"), "r.suspect", "r.confidence", "written")
+
+
+@query("""
+WITH a AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS x, trim(regexp_replace(lower(CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_brand ELSE p_type END), '[^a-z0-9]+', '-', 'g'), '-') AS y FROM part)
+SELECT p_partkey, round(CASE WHEN x = '' OR y = '' THEN 0::DOUBLE WHEN x = y THEN 1::DOUBLE WHEN contains(x, y) OR contains(y, x) THEN 0.8::DOUBLE + 0.15::DOUBLE * (least(length(x), length(y)) / greatest(length(x), length(y))::DOUBLE)
+  ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE END, 6) AS score FROM a""")
+def text_name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.col("p_type"))
+    return read(spark, d, "part").select("p_partkey", F.round(name_similarity(F.col("p_name"), other), 6).alias("score"))
+
+
+KINDS = [("click", "Click", ["tap", "press"]), ("purchase", "Purchase", ["buy"]), ("view", "View", []), ("error", "Error", ["Fault!"])]
+
+
+@query("""
+WITH t(place, entry, label) AS (VALUES (0, 'click', 'Click'), (1, 'purchase', 'Purchase'), (2, 'view', 'View'), (3, 'error', 'Error')),
+     al(place, form) AS (VALUES (0, 'tap'), (0, 'press'), (1, 'buy'), (3, 'fault')),
+     i AS (SELECT DISTINCT CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || 's' WHEN 2 THEN 'Fault' ELSE event_type || ' other' END AS input FROM events),
+     s AS (SELECT input, trim(regexp_replace(lower(input), '[^a-z0-9]+', '-', 'g'), '-') AS own FROM i),
+     m AS (SELECT input, 0 AS o, NULL::INTEGER AS distance, place, 'exact' AS kind FROM s JOIN t ON own = entry
+           UNION ALL SELECT input, 1, NULL, place, 'alias' FROM s JOIN al ON own = form
+           UNION ALL SELECT input, 2, levenshtein(own, entry)::INTEGER, place, 'fuzzy' FROM s JOIN t ON own <> entry AND levenshtein(own, entry) <= CASE WHEN length(own) <= 3 THEN 0 WHEN length(own) <= 6 THEN 1 ELSE 2 END),
+     r AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY o, distance, place) AS k FROM m)
+SELECT s.input AS input, coalesce(r.kind, 'new') AS kind, coalesce(t.entry, s.own) AS slug, coalesce(t.label, trim(s.input)) AS label, r.distance AS distance
+FROM s LEFT JOIN r ON s.input = r.input AND r.k = 1 LEFT JOIN t ON r.place = t.place""")
+def link_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    kind, key = F.col("event_type"), F.col("event_id") % 4
+    tag = F.when(key == 0, kind).when(key == 1, F.concat(kind, F.lit("s"))).when(key == 2, "Fault").otherwise(F.concat(kind, F.lit(" other")))
+    return taxonomy.match(events(spark, d).select(tag.alias("tag")), "tag", KINDS)
+
+
+@query("""
+WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, floor(unnest(embedding)::DOUBLE * 1000 + 0.5)::BIGINT AS w FROM embeddings),
+     g AS (SELECT vec_id, w, w - coalesce(lag(w) OVER (PARTITION BY vec_id ORDER BY i), 0) AS dif FROM e),
+     z AS (SELECT vec_id, w, CASE WHEN dif < 0 THEN -2 * dif - 1 ELSE 2 * dif END AS v FROM g)
+SELECT vec_id, (6 + 1 + sum(1 + (v >= 128)::INTEGER + (v >= 16384)::INTEGER + (v >= 2097152)::INTEGER))::BIGINT AS n_bytes, round(sum(w) / 1000.0::DOUBLE, 3) AS total, round(max(w) / 1000.0::DOUBLE, 3) AS most FROM z GROUP BY vec_id""")
+def profile_codec(spark: SparkSession, d: str) -> DataFrame:
+    blobs = read(spark, d, "embeddings").select("vec_id", series.encode({"depthM": F.col("embedding")}).alias("blob"))
+    back = blobs.select("vec_id", F.length("blob").cast("long").alias("n_bytes"), series.decode(F.col("blob"), "depthM").alias("back"))
+    return back.select("vec_id", "n_bytes", F.round(F.aggregate("back", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.round(F.array_max("back"), 3).alias("most"))
