@@ -6,6 +6,9 @@ key. Buckets of two are verified on the spot, larger ones by an equality join. A
 fingerprints is never joined with itself: its members are indexed under their 65 whole-word variants with at most one
 bit flipped. Members of such a bucket differ pairwise in at most two bits, so a star to its least member loses no
 reachability; that way is exact for two bits and linear in the number of fingerprints.
+
+Edited copies lie farther apart than fingerprints at few bits can tell, so one_of_each, the pipeline's stage, takes its
+candidates from bands of least shingle hashes, joined by equality, and verifies them by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -26,6 +29,11 @@ BUCKET = 64
 BROADCAST_KEYS = 500_000
 #: Shingle hashes whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Bands and least hashes in each: of pairs of similarity 0.8, all but 5 in 100 million share a band.
+BANDS, ROWS = 32, 4
+#: Members of an over-full band bucket that all its members are compared with first.
+LEADERS = 3
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -139,13 +147,106 @@ def near_duplicates(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
     return rows.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, bits: int = 2) -> DataFrame:
-    """docs, all columns, with one document of each component of linked fingerprints: the one of least (id, text) hash.
+# --- near copies by their shingles --------------------------------------------------------------------------------------
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS bands of ROWS least hashes; sets of similarity s share a key with 1 - (1 - s^ROWS)^BANDS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[k : k + 4096, None] * _MULTIPLIERS).min(axis=0), out=least)
+    least = least.reshape(BANDS, ROWS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        h = (h ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(key, id, n, bands) of rows (key, text): id stands for the set of the text's shingles, n is its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [np.unique(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()]
+                ids = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                bands = np.array([band_keys(x) for x in sets]).view(np.int64).ravel()
+                ends = np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)
+                columns = [batch.column(0), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "bands"])
 
-    Rows that repeat an id with its text are one document. Nulls and empty texts are as in near_duplicates.
+    return docs.mapInArrow(run, "key long, id long, n long, bands array<long>")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have at least the Jaccard similarity `least`, counted exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                found = [np.unique(shingle_hashes(t, k)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut(classes.join(ids, "id").select("id", "key"))
+    texts_of = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key").select("id", "text")
+    found = cut(texts_of.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
+    one, two = found.select(F.col("id").alias("a"), F.col("hashes").alias("x")), found.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, root) of rows (key, text): root is the least key of the component over pairs of that Jaccard similarity.
+
+    Candidates share one of the band keys and fit in size. Buckets of more than BUCKET sets are compared with LEADERS of
+    their members first; then all members outside a bucket's most common component are compared with all members of other
+    components, so only pairs that are connected already go without comparison.
+    """
+    rows = cut(sketches(docs, k))
+    classes = cut(rows.groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    every = classes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
+    buckets = cut(every.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *[F.min_by(F.struct("id", "n"), F.xxhash64(F.col("id"), F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]).where("c > 1"))
+    side = F.broadcast(buckets) if buckets.count() <= BROADCAST_KEYS // 10 else buckets
+    members = cut(every.join(side, "band"))
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    ordered = lambda p: p.where("id != other").where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    few, full = members.where(F.col("c") <= BUCKET), cut(members.where(F.col("c") > BUCKET))
+    pairs = few.select("band", "id", "n").join(few.select("band", F.col("id").alias("other"), F.col("n").alias("m")), "band").where("id < other")
+    led = full.select("id", "n", F.explode(F.array(*[F.col(f"l{j}") for j in range(LEADERS)])).alias("l")).select("id", "n", F.col("l.id").alias("other"), F.col("l.n").alias("m"))
+    found = verified(ordered(pairs.select("id", "n", "other", "m").unionByName(led)), classes, docs, k, least)
+    roots = cut(components(found))
+    if full.limit(1).count():
+        inside = cut(full.select("band", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")))
+        main = inside.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        outside = cut(inside.join(F.broadcast(main), "band").where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")))
+        more = verified(ordered(inside.join(outside, "band").where("root != other_root").select("id", "n", "other", "m")), classes, docs, k, least)
+        roots = cut(components(found.unionByName(more)))
+    owner = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("top"))
+    owner = owner.join(owner.groupBy("top").agg(F.min("key").alias("root")), "top").select("id", "root")
+    return rows.select("key", "id").join(owner, "id").select("key", "root")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """docs, all columns, with one document of each component of near copies: the one of least (id, text) hash.
+
+    Near copies are texts whose sets of k-word shingles have a Jaccard similarity of at least `least`. Rows that repeat an
+    id with its text are one document. A null text counts as empty, and texts without words are copies of each other.
     """
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), k, bits)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    found = near_copies(docs.select(key.alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), k, least)
+    stay = found.where("key = root").select("key").distinct()
     return held.join(stay, "key").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
