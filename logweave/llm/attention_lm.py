@@ -5,9 +5,9 @@ predicted in two steps: attention gives the class of the next id, counts over al
 class. Context windows are two strides wide and overlap by one; only the later stride's tokens are scored in each, so
 each token is scored once, with one to two strides of context, under a causal mask. Windows are batched.
 
-What is learned follows the input: word and id counts cover every training text. The network is fitted to one window
-out of each SPACING strides of every training text: PILOT windows of least hash give a common start on the driver, then
-every task goes on with the windows of its own partition and the results are averaged by the windows behind them.
+What is learned follows the input: word and id counts cover every training text, and the network is fitted to every
+stride of every training text. PILOT windows of least hash give a common start on the driver; then, in each of ROUNDS
+rounds, every task goes on with all strides of its own partition and the results are averaged by the windows behind them.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from logweave.llm.subwords import REMEMBERED, WordEncoder
 
 STRIDE, WIDTH = 16, 16  # tokens scored in a window; numbers in a state
 SYMBOLS, HASHED = 1024, 32
-CLASSES, SINGLE = 64, 48
-SPACING, PILOT = 64, 20_000
+CLASSES, SINGLE = 256, 192
+#: Windows of the common start come from one stride out of SPACING; the rounds after it read all strides.
+SPACING, PILOT, ROUNDS = 64, 20_000, 2
 EPOCHS, BATCH, RATE, RATE_ON = 3, 64, 0.01, 0.002
 #: Partitions in which fitted weights are averaged before the driver averages those.
 AVERAGES = 16
@@ -311,7 +312,7 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def training_windows(encoded: DataFrame, s: Symbols) -> DataFrame:
-    """(x, y, first): one window out of each SPACING strides of each text, its place drawn from the text's own hash."""
+    """(x, y, first) for the common start: one of each SPACING strides of each text, its place drawn from the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,8 +334,15 @@ def unpacked(x: pa.Array, y: pa.Array, first: pa.Array) -> tuple[np.ndarray, np.
     return read(x, 2 * STRIDE), first.to_numpy(zero_copy_only=False), read(y, STRIDE)
 
 
-def fit(found: DataFrame) -> dict[str, np.ndarray]:
-    """Weights for the windows of a table (x, y, first); without windows they are the initial ones."""
+def all_strides(ids: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (n, 2 * STRIDE), whether they have no earlier stride, and targets (n, STRIDE) of all strides of a text."""
+    x, y = windows(ids, s)
+    before = np.concatenate([np.full((1, STRIDE), s.start), x[:-1]])
+    return np.concatenate([before, x], 1), np.arange(len(x)) == 0, y
+
+
+def fit(found: DataFrame, train: DataFrame, s: Symbols) -> dict[str, np.ndarray]:
+    """Weights for all strides of train (ids), begun with a table (x, y, first); without windows they are the initial ones."""
     some = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(PILOT).toArrow()
     p = initial()
     if not some.num_rows:
@@ -347,14 +355,41 @@ def fit(found: DataFrame) -> dict[str, np.ndarray]:
             mine = order[k : k + BATCH]
             adam.step(gradients(p, x[mine], first[mine], y[mine])[1], RATE * (1 - epoch / EPOCHS))
 
+    for _ in range(ROUNDS):
+        p = averaged(train, p, s)
+    return p
+
+
+def averaged(train: DataFrame, p: dict[str, np.ndarray], s: Symbols) -> dict[str, np.ndarray]:
+    """The mean of the weights that the tasks come to from p, each with all strides of its texts, weighed by windows."""
+    begun = train.sparkSession.sparkContext.broadcast((p, s))
+
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: v.copy() for k, v in p.items()}
+        start, symbols = begun.value
+        own = {k: v.copy() for k, v in start.items()}
         step, seen = Adam(own), 0
-        for batch in batches:
-            x, first, y = unpacked(batch.column(0), batch.column(1), batch.column(2))
-            for k in range(0, len(x), BATCH):
+        held: list[tuple] = []
+        n = 0
+
+        def learn(least: int) -> None:
+            """Steps over the held windows while at least `least` are left."""
+            nonlocal held, n, seen
+            x, first, y = (np.concatenate(part) for part in zip(*held, strict=True))
+            k = 0
+            while n - k >= least and k < n:
                 step.step(gradients(own, x[k : k + BATCH], first[k : k + BATCH], y[k : k + BATCH])[1], RATE_ON)
-            seen += len(x)
+                seen += len(x[k : k + BATCH])
+                k += BATCH
+            held, n = [(x[k:], first[k:], y[k:])], max(0, n - k)
+
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                held.append(all_strides(ids_of(packed), symbols))
+                n += len(held[-1][0])
+                if n >= 16 * BATCH:
+                    learn(BATCH)
+        if n:
+            learn(1)
         if seen:
             yield weights_row(seen, own)
 
@@ -367,7 +402,7 @@ def fit(found: DataFrame) -> dict[str, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], ["n", "w"])
 
-    fitted = found.mapInArrow(go_on, "n long, w binary").repartition(AVERAGES).mapInArrow(average, "n long, w binary").collect()
+    fitted = train.select("ids").mapInArrow(go_on, "n long, w binary").repartition(AVERAGES).mapInArrow(average, "n long, w binary").collect()
     n = sum(r["n"] for r in fitted)
     mean = sum(r["n"] / n * np.frombuffer(bytes(r["w"]), np.float64) for r in sorted(fitted, key=lambda r: (r["n"], bytes(r["w"]))))
     out, at = {}, 0
@@ -406,7 +441,7 @@ def score_texts(docs: DataFrame, tokenizer: str, head_words: int = HEAD) -> Data
     encoded = cut(encode(rows, tokenizer, head, total, distinct).withColumn("key", F.monotonically_increasing_id()))
     train = encoded.where("not held_out")
     symbols = Symbols(id_counts(train, vocabulary))
-    scorer = spark.sparkContext.broadcast(Scorer(fit(cut(training_windows(train, symbols))), symbols))
+    scorer = spark.sparkContext.broadcast(Scorer(fit(cut(training_windows(train, symbols)), train, symbols), symbols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = scorer.value
