@@ -63,10 +63,22 @@ def nearest(points: DataFrame, places: DataFrame, radius_m: float, cell_deg: flo
     return near.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.place_id", F.col("b.m").alias("distance_m"))
 
 
-def similar(names: DataFrame, name: Column, least: float = 0.85, block: int = 3) -> DataFrame:
-    """Pairs of different names that begin alike for `block` letters and are at least as similar as `least`."""
-    n = names.select(name.alias("name")).distinct().withColumn("block", F.substring("name", 1, block)).withColumn("len", F.length("name"))
-    a, b = n.alias("a"), n.alias("b")
-    band = F.least(F.col("a.len"), F.col("b.len")) >= least * F.greatest(F.col("a.len"), F.col("b.len"))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.name") < F.col("b.name")) & band)
-    return pairs.select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), F.round(similarity(F.col("a.name"), F.col("b.name")), 6).alias("score")).where(F.col("score") >= least)
+def similar(names: DataFrame, name: Column, least: float = 0.85) -> DataFrame:
+    """All pairs of different names that are at least as similar as `least`, which is above zero and at most one.
+
+    Of two names the longer one, of L letters, may be d = (1 - least) * L edits away. It is cut into d + 1 segments, one of
+    which no edit touches, so the other name holds it, shifted by the edits before it at the most: an equality join.
+    """
+    n = names.select(name.alias("name")).where("name <> ''").distinct().withColumn("len", F.length("name"))
+    edits = lambda c: F.floor((1 - least) * F.col(c) + 1e-9).cast("int")
+    begin = lambda i: F.floor(i * F.col("long") / (F.col("d") + 1)).cast("int")
+    cut = lambda df: df.withColumn("d", edits("long")).withColumn("i", F.explode(F.sequence(F.lit(0), "d"))).withColumn("start", begin(F.col("i"))).withColumn("size", begin(F.col("i") + 1) - F.col("start"))
+    whole = cut(n.withColumn("long", F.col("len"))).select(F.col("name").alias("other"), "long", "i", F.substring("name", F.col("start") + 1, F.col("size")).alias("part"))
+    held = cut(n.withColumn("long", F.explode(F.sequence("len", F.floor(F.col("len") / least + 1e-9).cast("int")))))
+    short = F.col("len") - F.col("long")
+    first = F.greatest(F.lit(0), F.col("start") - F.col("i"), F.col("start") + short - (F.col("d") - F.col("i")))
+    last = F.least(F.col("len") - F.col("size"), F.col("start") + F.col("i"), F.col("start") + short + (F.col("d") - F.col("i")))
+    held = held.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
+    held = held.select("name", "long", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("part"))
+    pairs = held.join(whole, ["long", "i", "part"]).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).where(similarity(F.col("a"), F.col("b")) >= least)

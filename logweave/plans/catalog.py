@@ -164,6 +164,16 @@ SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greates
 FROM n x JOIN n y ON x.name < y.name AND substr(x.name, 1, 3) = substr(y.name, 1, 3)
 WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
 def link_similar_names(spark: SparkSession, d: str) -> DataFrame:
+    begins_alike = F.substring("a", 1, 3) == F.substring("b", 1, 3)
+    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6).where(begins_alike)
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score
+FROM n x JOIN n y ON x.name < y.name
+WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
+def link_all_similar_names(spark: SparkSession, d: str) -> DataFrame:
     return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6)
 
 
