@@ -6,7 +6,8 @@ and hexadecimal secrets of 32 to 64 digits. Each is permuted within its format u
 pseudonym in every document and different values have different ones:
 
 - strings are halved, and in each round every digit or letter of one half moves within its own class (digits, small
-  letters, capitals, hexadecimal digits) by an amount drawn from the key, the round and the other half;
+  letters, capitals, hexadecimal digits; beyond ASCII: Han characters, Hangul syllables, other small letters, capitals and
+  the rest) by an amount drawn from the key, the round and the other half;
 - a card keeps its first digit and its spacing, and gets a fresh check digit;
 - addresses and dates are numbers (l, r) in a product of two ranges; each round adds to one what is drawn from the other.
 
@@ -15,6 +16,8 @@ What fails its validation stays as it is. Text without a digit or an @ is not se
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ ANY = "|".join([EMAIL, ADDRESS, PHONE, DATE, SECRET, CARD])
 DAY_ZERO, DAY_RANGES = "1900-01-01", (270, 271)
 
 
+def _beyond_ascii() -> list[str]:
+    """Small letters, capitals, and other letters and numbers of the basic plane, without those moved by their codes."""
+    found = {"Ll": [], "Lu": [], "": []}
+    for code in range(0x80, 0x10000):
+        kind = unicodedata.category(chr(code))
+        if kind[0] in "LN" and not any(a <= code < a + n for a, n in CODES):
+            found[kind if kind in found else ""].append(chr(code))
+    return ["".join(x) for x in found.values()]
+
+
+#: First code and number of the characters that are moved by their codes: Han, its extensions A and B, Hangul.
+CODES = [(0x4E00, 20_976), (0x3400, 6_582), (0x20000, 42_711), (0xAC00, 11_172)]
+CLASSES = _beyond_ascii()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -50,7 +68,15 @@ def rotate(c: Column, by: Column, hexadecimal: bool) -> Column:
     def within(first: str, size: int) -> Column:
         return F.char(F.pmod(code - ord(first) + by, F.lit(size)) + ord(first))
 
-    return F.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26)).when(c.rlike("^[A-Z]$"), within("A", 26)).otherwise(c)
+    moved = F.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26)).when(c.rlike("^[A-Z]$"), within("A", 26)).when(code < 128, c)
+    for first, size in CODES:
+        new = F.pmod(code - first + by, F.lit(size)) + first
+        moved = moved.when(code.between(first, first + size - 1), F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32"))
+    for these in CLASSES:
+        place = F.instr(F.lit(these), c)
+        moved = moved.when(place > 0, F.substring(F.lit(these), F.pmod(place - 1 + by, F.lit(len(these))) + 1, F.lit(1)))
+    # letters outside these classes, all beyond the basic plane, become small letters, where two of them may meet
+    return moved.otherwise(F.char(F.pmod(code + by, F.lit(26)) + ord("a")))
 
 
 def permute_string(s: Column, key: str, tweak: str, hexadecimal: bool = False, rounds: int = ROUNDS) -> Column:
