@@ -6,46 +6,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions.geo import haversine_m
-from logweave.functions.text import similarity
+from logweave.functions.text import name_similarity, similarity
 
 WINDOW_S = 6 * 3600
 MERGE_AT, FLOOR, LEAD = 0.80, 0.45, 0.10
+#: One point of oxygen with room for binary fractions.
+GAS_TOLERANCE = 0.0100001
+SITE_M, SITE_NAME = 500, 0.8
+#: Columns that observations and records may have besides: place, site name, first gas's oxygen; the source's own id (an
+#: observation has one, a record an array of them); and whether an observation's offset is suspect.
+OBSERVED, RECORDED = ("lat", "lon", "site", "gas", "source_ref", "suspect"), ("lat", "lon", "site", "gas", "source_refs")
 
 
 def candidates(observed: DataFrame, records: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
-    """Pairs of one owner at most window_s apart. Both tables: (owner, id, at, depth, seconds).
+    """Pairs of one owner at most window_s apart. Both tables: (owner, id, at, depth, seconds), and OBSERVED or RECORDED.
 
     Records are put under their time bucket, observations under it and both neighbours, so the join is an equi-join.
     """
     bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / window_s)
-    o = observed.select("owner", F.col("id").alias("obs_id"), F.col("at").alias("obs_at"), F.col("depth").alias("obs_depth"), F.col("seconds").alias("obs_seconds"))
+    o = observed.select("owner", F.col("id").alias("obs_id"), F.col("at").alias("obs_at"), F.col("depth").alias("obs_depth"), F.col("seconds").alias("obs_seconds"), *[F.col(c).alias(f"obs_{c}") for c in OBSERVED if c in observed.columns])
     o = o.withColumn("bucket", F.explode(F.sequence(bucket("obs_at") - 1, bucket("obs_at") + 1)))
-    r = records.select("owner", F.col("id").alias("rec_id"), F.col("at").alias("rec_at"), F.col("depth").alias("rec_depth"), F.col("seconds").alias("rec_seconds")).withColumn("bucket", bucket("rec_at"))
+    r = records.select("owner", F.col("id").alias("rec_id"), F.col("at").alias("rec_at"), F.col("depth").alias("rec_depth"), F.col("seconds").alias("rec_seconds"), *[F.col(c).alias(f"rec_{c}") for c in RECORDED if c in records.columns]).withColumn("bucket", bucket("rec_at"))
     apart = F.abs(F.unix_micros(F.col("obs_at").cast("timestamp")) - F.unix_micros(F.col("rec_at").cast("timestamp"))) / 1e6
     return o.join(r, ["owner", "bucket"]).withColumn("apart_s", apart).where(F.col("apart_s") <= window_s).drop("bucket")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds the score, a sum of weights for time, depth and duration, and the reasons for it."""
+    """Adds the score, a sum of weights for time, depth, duration, site and gas, and the reasons for it.
+
+    A record that has the observation's source id scores 1 for that alone. What either side lacks adds nothing; two places
+    are compared by their distance, and by the sites' names only where a place is absent or no valid one.
+    """
     same_day = F.to_date("obs_at") == F.to_date("rec_at")
     time = F.when(F.col("apart_s") <= 300, 0.45).when((F.col("apart_s") <= 5400) & same_day, 0.25).when(same_day, 0.10).otherwise(0.0)
     depth = F.when(F.abs(F.col("obs_depth") - F.col("rec_depth")) <= F.greatest(F.lit(1.0), 0.05 * F.col("rec_depth")), 0.20).otherwise(0.0)
     length = F.when(F.abs(F.col("obs_seconds") - F.col("rec_seconds")) <= F.greatest(F.lit(180.0), 0.10 * F.col("rec_seconds")), 0.15).otherwise(0.0)
     reason = lambda c, name: F.when(c > 0, F.lit(name))
-    return pairs.withColumn("score", F.least(F.lit(1.0), time + depth + length)).withColumn("reasons", F.array_compact(F.array(reason(time, "time"), reason(depth, "depth"), reason(length, "duration"))))
+    signals = [(time, "time"), (depth, "depth"), (length, "duration"), (_site(pairs), "site")]
+    if {"obs_gas", "rec_gas"} <= set(pairs.columns):
+        signals.append((F.when(F.abs(F.col("obs_gas") - F.col("rec_gas")) <= GAS_TOLERANCE, 0.05).otherwise(0.0), "gas"))
+    total = signals[0][0]
+    for weight, _ in signals[1:]:
+        total = total + weight
+    total, reasons = F.least(F.lit(1.0), total), F.array_compact(F.array(*[reason(*x) for x in signals]))
+    known = _known(pairs)
+    return pairs.withColumn("score", F.when(known, 1.0).otherwise(total)).withColumn("reasons", F.when(known, F.array(F.lit("source_ref"))).otherwise(reasons))
+
+
+def _known(pairs: DataFrame) -> Column:
+    """Whether the record carries the observation's source id."""
+    if not {"obs_source_ref", "rec_source_refs"} <= set(pairs.columns):
+        return F.lit(False)
+    return F.coalesce(F.array_contains("rec_source_refs", F.col("obs_source_ref")), F.lit(False))
+
+
+def _site(pairs: DataFrame) -> Column:
+    has = lambda *names: {f"{side}_{n}" for side in ("obs", "rec") for n in names} <= set(pairs.columns)
+    near, named, both = F.lit(False), F.lit(False), F.lit(False)
+    if has("lat", "lon"):
+        at = [(F.col(f"{side}_lat"), F.col(f"{side}_lon")) for side in ("obs", "rec")]
+        valid = lambda lat, lon: F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
+        both = valid(*at[0]) & valid(*at[1])
+        near = haversine_m(*at[0], *at[1]) <= SITE_M
+    if has("site"):
+        named = name_similarity(F.col("obs_site"), F.col("rec_site")) > SITE_NAME
+    return F.when(both, F.when(near, 0.15).otherwise(0.0)).otherwise(F.when(named, 0.15).otherwise(0.0))
 
 
 def decide(pairs: DataFrame, merge_at: float = MERGE_AT, floor: float = FLOOR, lead: float = LEAD) -> DataFrame:
     """The best candidate of each observation at or above the floor, and whether to merge into it.
 
-    merge: at least merge_at and `lead` above the runner-up, and no better observation claims the same record.
+    merge: the record has the observation's source id; or the observation's offset is not suspect, the score is at least
+    merge_at and `lead` above the runner-up, and no better observation claims the same record.
     """
-    w = Window.partitionBy("owner", "obs_id").orderBy(F.desc("score"), "rec_id")
+    known = _known(pairs)
+    suspect = F.coalesce(F.col("obs_suspect"), F.lit(False)) if "obs_suspect" in pairs.columns else F.lit(False)
+    pairs = pairs.withColumn("known", known).withColumn("suspect", suspect)
+    w = Window.partitionBy("owner", "obs_id").orderBy(F.desc("score"), F.desc("known"), "rec_id")
     best = pairs.where(F.col("score") >= floor).withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("place = 1")
-    sure = (F.col("score") >= merge_at) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-9))
-    claims = Window.partitionBy("owner", "rec_id", "sure").orderBy(F.desc("score"), "obs_id")
+    sure = F.col("known") | ~F.col("suspect") & (F.col("score") >= merge_at) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-9))
+    claims = Window.partitionBy("owner", "rec_id", "sure").orderBy(F.desc("known"), F.desc("score"), "obs_id")
     first = best.withColumn("sure", sure).withColumn("claim", F.row_number().over(claims))
-    return first.select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"), F.when(F.col("sure") & (F.col("claim") == 1), "merge").otherwise("ambiguous").alias("decision"))
+    return first.select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"), F.when(F.col("known") | F.col("sure") & (F.col("claim") == 1), "merge").otherwise("ambiguous").alias("decision"))
 
 
 def nearest(points: DataFrame, places: DataFrame, radius_m: float, cell_deg: float) -> DataFrame:
