@@ -21,10 +21,13 @@ WINDOW = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+#: Bitmaps of good ids (4 KB each, 64 MB in all) that are broadcast at the most; with more of them documents are joined.
+BITMAPS = 16_384
 
 
-def with_words(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("words", F.array_remove(F.split("text", SPACE), "")).withColumn("n", F.size("words"))
+def with_words(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, *more, words, n) of rows (doc_id, text, *more) without null texts."""
+    return docs.select("doc_id", "text", *more).withColumn("words", F.array_remove(F.split("text", SPACE), "")).withColumn("n", F.size("words"))
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -36,18 +39,30 @@ def features(df: DataFrame) -> DataFrame:
     return hashed.withColumn("grams", F.concat(one, two))
 
 
-def counts(df: DataFrame, name: str) -> DataFrame:
-    # explode() would bring a filter on the size of grams, and with it a second evaluation; null buckets find no partner
-    return features(df).select(F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
-
+def good_documents(docs: DataFrame, labels: DataFrame, most: int = BITMAPS) -> DataFrame:
+    """docs with a column good: whether a label of quality 1 names the document (a null id: no).
 
-def ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, one column: the array of log-likelihood ratios by bucket."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    raw = counts(with_words(docs), "r")
-    target = counts(with_words(docs.join(good, "doc_id", "left_semi")), "t")
+    The good ids are sent as bitmaps of 32,768 ids each, 4 KB a bitmap, so that texts stay where they are. Their number is
+    counted first; above `most` of them documents are joined with the ids instead, and then texts move once.
+    """
+    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    part, place = F.bitmap_bucket_number(F.col("id")), F.bitmap_bit_position(F.col("id"))
+    if ids.select(part.alias("part")).distinct().limit(most + 1).count() > most:
+        return docs.join(ids.select(F.col("id").alias("doc_id"), F.lit(True).alias("good")).distinct(), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    maps = ids.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(place).alias("map"))
+    own = docs.withColumn("part", F.bitmap_bucket_number("doc_id")).withColumn("bit", F.bitmap_bit_position("doc_id"))
+    octet = F.conv(F.hex(F.substring(F.col("map"), F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = own.join(F.broadcast(maps), "part", "left")
+    return marked.withColumn("good", F.coalesce(F.expr("(1 << cast(bit % 8 as int))").bitwiseAND(octet) != 0, F.lit(False))).drop("part", "bit", "map")
+
+
+def ratios(docs: DataFrame, labels: DataFrame, most: int = BITMAPS) -> DataFrame:
+    """One row, one column: the array of log-likelihood ratios by bucket. Both multinomials are counted in one reading."""
+    grams = features(with_words(good_documents(texts(docs), labels, most), "good"))
+    # explode() would bring a filter on the size of grams, and with it a second evaluation; null buckets find no partner
+    seen = grams.select("good", F.explode_outer("grams").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.count_if("good").alias("t"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    both = every.join(raw, "bucket", "left").join(target, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
+    both = every.join(seen, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     packed = both.agg(F.sort_array(F.collect_list(F.struct("bucket", "r", "t"))).alias("c"), F.sum("r").alias("nr"), F.sum("t").alias("nt"))
     a = SMOOTHING
     level = F.log((F.col("nt") + a * BUCKETS) / (F.col("nr") + a * BUCKETS))
@@ -61,7 +76,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     and the verdict rests on them; labels' repeated rows count once, labels without a document not at all.
     """
     table = ratios(docs, labels).scalar()
-    df = features(with_words(docs))
+    df = features(with_words(texts(docs)))
     starts = F.when(F.col("n") >= WINDOW, F.sequence(F.lit(1), F.col("n") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
     df = df.withColumn("again", F.size("windows") > F.size(F.array_distinct("windows")))

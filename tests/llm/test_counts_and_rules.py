@@ -116,6 +116,17 @@ def test_rules(spark, docs):
     assert [g[:8] for g in got] == [w[:8] for w in want]
     assert all(abs(g[8] - w[8]) < 1e-9 for g, w in zip(got, want, strict=True))
     assert {w[7] for w in want} == {True, False}
+    joined = rules.ratios(docs, labels, most=0).first().ratios
+    assert joined == rules.ratios(docs, labels).first().ratios and len(joined) == rules.BUCKETS
+
+
+def test_good_ids_of_any_size_and_sign(spark):
+    ids = [-70_000, -1, 0, 1, 8, 32_768, 32_769, 2**40, None]
+    docs = spark.createDataFrame([(i, "x") for i in [*ids, -2, 2, 7, 9, 2**40 + 1]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(2, 0), (7, None)], "doc_id long, quality int")
+    for most in (rules.BITMAPS, 0):
+        got = {r.doc_id for r in rules.good_documents(docs, labels, most).collect() if r.good}
+        assert got == set(ids) - {None}
 
 
 def test_empty_tables(spark):
