@@ -2,8 +2,8 @@
 
 Learned filters of WIDTH bytes slide over the text with a step of STEP bytes. Their rectified responses are max-pooled
 over chunks of 2 * BLOCK bytes that overlap by BLOCK and cover the whole document; the mean over a document's chunks goes
-through one logistic unit. Training reads a bounded sample: at most TRAIN_DOCS labelled documents of each class, those
-with the least hash of their id, and at most TRAIN_BLOCKS blocks of each, evenly spread. Scoring reads everything.
+through one logistic unit. Training reads whole texts of a bounded sample of labelled rows: at most TRAIN_DOCS ids of each
+class, those with the least hash, and of them the ones of at most TRAIN_BYTES bytes. Scoring reads everything.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from logweave.llm.common import byte_view, fold, slices, texts
 
 WIDTH, STEP, BLOCK = 6, 2, 256
 FILTERS, EMBEDDING = 16, 8
-TRAIN_DOCS, TRAIN_BLOCKS = 3000, 12
+#: Bounds of the training sample: labelled ids of each class, and bytes of a text in it (192 MB in all at the very most).
+TRAIN_DOCS, TRAIN_BYTES = 1500, 1 << 16
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 THRESHOLD = 0.3
 SEED = 7
-#: Bytes whose responses are held at a time.
-WORK = 1 << 20
+#: Text bytes that are cut into blocks at a time, and those of them whose responses are held at a time.
+SLICE, WORK = 1 << 20, 1 << 17
 
 
 @dataclass
@@ -57,8 +58,9 @@ def blocks_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     count = np.maximum(1, -(-size // BLOCK))
     first = np.concatenate([[0], np.cumsum(count)])
     flat = np.zeros(int(first[-1]) * BLOCK + BLOCK, np.uint8)
-    target = np.repeat(first[:-1] * BLOCK - at[:-1], size) + np.arange(int(at[-1]) - int(at[0])) + int(at[0])
-    flat[target] = data[: int(at[-1] - at[0])]
+    begin = at[0]
+    for to, a, b in zip((first[:-1] * BLOCK).tolist(), (at[:-1] - begin).tolist(), (at[1:] - begin).tolist(), strict=True):
+        flat[to : to + b - a] = data[a:b]
     blocks = flat[:-BLOCK].reshape(-1, BLOCK)
     following = flat[BLOCK:].reshape(-1, BLOCK)[:, : WIDTH - 1].copy()
     following[first[1:] - 1] = 0
@@ -156,22 +158,11 @@ def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
     for label in (0, 1):
         own = known.where(F.col("label") == label).groupBy("doc_id", "label").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("doc_id", "label")
         picked = own if picked is None else picked.unionByName(own)
-    # at most 2 * train_docs ids
-    chosen = texts(docs).join(F.broadcast(picked), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                b = t.encode()
-                n = -(-len(b) // BLOCK)
-                keep = range(n) if n <= TRAIN_BLOCKS else np.unique(np.linspace(0, n - 1, TRAIN_BLOCKS).astype(int)).tolist()
-                out.append(b"".join(b[k * BLOCK : (k + 1) * BLOCK] for k in keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "data", "label"])
-
-    got = chosen.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, data binary, label int").collect()
-    rows = sorted({(r["doc_id"], bytes(r["data"]), r["label"]) for r in got})
-    return [(b, label) for _, b, label in rows], (count.get(1, 0) / max(1, sum(count.values())) if count else 0.5)
+    # at most 2 * train_docs ids, one text of each: the least
+    chosen = texts(docs).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= TRAIN_BYTES)
+    rows = chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    found = sorted((r["doc_id"], r["label"], r["text"].encode()) for r in rows)
+    return [(b, label) for _, label, b in found], (count.get(1, 0) / max(1, sum(count.values())) if count else 0.5)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -179,7 +170,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 got = scores(net, *byte_view(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "score"])
 
@@ -195,7 +186,7 @@ def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFra
         for whole in batches:
             batch = pa.RecordBatch.from_arrays([whole.column(at).fill_null("")], ["text"])
             good, done = [], 0
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 good.append(scores(net, *byte_view(part.column(0))) >= threshold)
                 done += part.num_rows
             yield whole.filter(pa.array(np.concatenate(good))) if done else whole
@@ -206,8 +197,10 @@ def keep(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFra
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on labels (doc_id, quality) and score all docs.
 
-    Without labels of both classes every document gets the share of label 1 (one half for no labels at all). Several
-    rows of one id in either table are each used; labels without a document are not.
+    Without labels of both classes every document gets the share of label 1 (one half for no labels at all). An id is
+    learned from once for each different label it has, by the least of its texts; labels without a document, with a null
+    id or with another label than 0 or 1 are not used. Every row of docs is scored, repeated ones alike, a null text as an
+    empty one; only doc_id and text are read.
     """
     net = train(*sample(docs, labels))
     return score(docs, net)
