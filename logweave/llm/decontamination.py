@@ -31,7 +31,7 @@ BROADCAST_WINDOWS = 2_000_000
 #: Text bytes whose tokens are held at a time.
 SLICE = 1 << 20
 #: Distinct words that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
     "kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes "

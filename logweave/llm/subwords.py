@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Distinct words that a task remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+#: Distinct words that a task remembers, none of them longer than LONGEST letters (so some tens of MB); beyond that the
+#: memory is emptied and filled anew, and longer words are encoded each time.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 #: Latin-1 letters with punctuation after them. The tokenizer cuts between the two and lower-cases the letters, which in
@@ -19,7 +20,7 @@ BYTE_CHARS |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 
 
 class WordEncoder:
-    """ids of a text, equal to Tokenizer.encode(text, add_special_tokens=False).ids with special strings as plain text.
+    """ids of a text, equal to Tokenizer.encode(text, add_special_tokens=False).ids, special strings in it included.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. Words are
     cut at spaces and line ends alone; rarer white space stays inside a word and is the tokenizer's own business.
@@ -29,7 +30,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         self.model = self.plain.model
         self.seen: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
@@ -38,10 +38,12 @@ class WordEncoder:
         """Ids of lower-case letters or of punctuation, straight from the merge table."""
         found = self.parts.get(p)
         if found is None:
+            spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
+            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
             if len(self.parts) > REMEMBERED:
                 self.parts = {"": b""}
-            spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
-            found = self.parts[p] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            if len(p) <= LONGEST:
+                self.parts[p] = found
         return found
 
     def encode_word(self, w: str) -> bytes:
@@ -49,10 +51,6 @@ class WordEncoder:
             return self.part(m[1].lower()) + self.part(m[2])
         return array("I", self.plain.encode(w, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, fresh: set[str]) -> None:
-        for w in fresh:
-            self.seen[w] = self.encode_word(w)
-
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
@@ -60,10 +58,11 @@ class WordEncoder:
             return b"".join([self.seen[w] for w in words])
         except KeyError:
             pass
-        fresh = {w for w in words if w not in self.seen}
+        fresh = {w for w in words if len(w) <= LONGEST and w not in self.seen}
         if len(self.seen) + len(fresh) > REMEMBERED:
             self.seen.clear()
-            fresh = set(words)
-        self.learn(fresh)
+            fresh = set()
         seen = self.seen
-        return b"".join([seen[w] for w in words])
+        for w in fresh:
+            seen[w] = self.encode_word(w)
+        return b"".join([seen[w] if w in seen else self.encode_word(w) for w in words])

@@ -23,7 +23,7 @@ from logweave.llm.common import slices, texts
 MARK = "▁"
 #: What the installed tokenizer takes off the least score for an unknown character.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def vocabulary(model_file: str) -> tuple[list[tuple[str, float]], int]:
