@@ -1,17 +1,23 @@
 """A causal self-attention language model in numpy on subword ids, with the word unigram model it is held against.
 
-A text is its subword ids and an end. Ids are read as symbols (the frequent ones as themselves, the others by hash) and
-predicted in two steps: attention gives the class of the next id, counts over all training texts give the id within its
-class. Context windows are two strides wide and overlap by one; only the later stride's tokens are scored in each, so
-each token is scored once, with one to two strides of context, under a causal mask. Windows are batched.
-
-What is learned follows the input: word and id counts cover every training text, and the network is fitted to every
-stride of every training text. PILOT windows of least hash give a common start on the driver; then, in each of ROUNDS
-rounds, every task goes on with all strides of its own partition and the results are averaged by the windows behind them.
+A text is its subword ids and an end. An id is read as a symbol (the frequent ones as themselves, the others by hash) and
+predicted as a group (likewise, the others in bands of like frequency) and by its own share of the group. Counts over all
+training texts give how groups follow symbols; groups that follow the same symbols form a class. Attention over the
+context moves the probabilities of the classes away from what the last symbol alone says: their logits are its counted
+log-probabilities and what the state adds. Within a class the last symbol's counts decide again.
+
+Context windows are two strides wide and overlap by one; only the later stride's tokens are scored in each, so each token
+is scored once, with one to two strides of context, under a causal mask. Windows are batched.
+
+What is learned follows the input: word, id and pair counts cover every training text, and the network is fitted to every
+stride of every training text. About PILOT windows, those of least hash, give a common start on the driver; then every
+task goes on with all strides of its own partition, and the results are averaged by the windows behind them. Weights, and
+with them scores, depend a little on how rows fall into partitions.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,88 +26,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import byte_view, cut, fold, slices, texts
+from logweave.llm.common import binary_column, byte_view, cut, fold, slices, texts
 from logweave.llm.simhash import words_of
-from logweave.llm.subwords import REMEMBERED, WordEncoder
+from logweave.llm.subwords import LONGEST, REMEMBERED, WordEncoder
 
 STRIDE, WIDTH = 16, 16  # tokens scored in a window; numbers in a state
 SYMBOLS, HASHED = 1024, 32
-CLASSES, SINGLE = 256, 192
-#: Windows of the common start come from one stride out of SPACING; the rounds after it read all strides.
-SPACING, PILOT, ROUNDS = 64, 20_000, 2
-EPOCHS, BATCH, RATE, RATE_ON = 3, 64, 0.01, 0.002
+GROUPS, BANDS = 2048, 32
+CLASSES, SINGLE = 32, 8
+#: What is taken off each counted pair and given to groups by their own frequency.
+DISCOUNT = 0.5
+PILOT, EPOCHS = 20_000, 3
+BATCH, RATE, RATE_ON = 256, 0.01, 0.003
 #: Partitions in which fitted weights are averaged before the driver averages those.
 AVERAGES = 16
 #: The most frequent words, whose counts every task holds; counts of all others are joined.
-HEAD = 200_000
+HEAD = 100_000
 #: Different words that a task counts before it hands them on.
-COUNTED = 300_000
-#: Windows that are scored at a time.
-STEP = 128
+COUNTED = 200_000
+#: Windows that are scored at a time, and bytes of ids (two for each) that a task holds as windows.
+STEP, HELD = 128, 1 << 19
 SEED = 11
 TEXT_END = b" "  # no word has a space, so it stands for the end of a text among the words
-NAMES = ("embedding", "query", "key", "value", "distance", "out", "bias")
+NAMES = ("embedding", "query", "key", "value", "distance", "out")
 
 
-def ids_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint16)
+def keep_freed_pages() -> None:
+    """Lets this process use freed work arrays of up to 16 MB again; else each one is a new mapping, which doubles the time."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-1, 1 << 24)  # M_TRIM_THRESHOLD
+        c.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 # --- the network ------------------------------------------------------------------------------------------------------
 
 
-def initial(symbols: int = SYMBOLS, classes: int = CLASSES, seed: int = SEED) -> dict[str, np.ndarray]:
+def initial(seed: int = SEED) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     d = WIDTH
-    return {
-        "embedding": rng.normal(0, 0.3, (symbols, d)),
-        "query": rng.normal(0, d**-0.5, (d, d)),
-        "key": rng.normal(0, d**-0.5, (d, d)),
-        "value": rng.normal(0, 0.3 * d**-0.5, (d, d)),
-        "distance": np.zeros(2 * STRIDE),
-        "out": rng.normal(0, 0.1, (d, classes)),
-        "bias": np.zeros(classes),
-    }
+    shapes = {"embedding": (0.3, (SYMBOLS, d)), "query": (d**-0.5, (d, d)), "key": (d**-0.5, (d, d)), "value": (0.3 * d**-0.5, (d, d)), "distance": (0, 2 * STRIDE), "out": (0.1, (d, CLASSES))}
+    return {k: rng.normal(0, scale, shape).astype(np.float32) for k, (scale, shape) in shapes.items()}
 
 
 _BACK = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]  # how far back each key is of each query
 _ALLOWED = _BACK >= 0
+_NEVER, _MOST, _ONES = np.float32(-1e9), np.float32(60), np.ones(max(CLASSES, 2 * STRIDE), np.float32)
 
 
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the targets y (-1: none) of windows x (n, 2 * STRIDE) and its gradients; first: no earlier stride."""
-    s, root = STRIDE, WIDTH**0.5
+def gradients(p: dict[str, np.ndarray], prior: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the target classes y (-1: none) of windows x (n, 2 * STRIDE) and its gradients.
+
+    prior: log-probabilities of the classes by symbol; first: whether a window has no earlier stride.
+    """
+    s, d, root = STRIDE, WIDTH, np.float32(WIDTH**-0.5)
+    n, flat = len(x), lambda m: m.reshape(-1, m.shape[-1])
     e = p["embedding"][x]
-    q, k, v = e[:, s:] @ p["query"], e @ p["key"], e @ p["value"]
-    z = q @ k.transpose(0, 2, 1) / root + p["distance"][np.maximum(_BACK, 0)]
-    z = np.where(_ALLOWED, z, -1e9)
-    z[first, :, :s] = -1e9
-    a = np.exp(z - z.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    h = e[:, s:] + a @ v
-    logits = h @ p["out"] + p["bias"]
-    prob = np.exp(logits - logits.max(axis=2, keepdims=True))
-    prob /= prob.sum(axis=2, keepdims=True)
-    there = y >= 0
-    n = max(1, int(there.sum()))
-    hit = np.take_along_axis(prob, np.maximum(y, 0)[:, :, None], 2)[:, :, 0]
-    loss = -np.log(hit[there] + 1e-30).sum() / n
-    dl = prob
-    np.put_along_axis(dl, np.maximum(y, 0)[:, :, None], (hit - 1)[:, :, None], 2)
-    dl *= there[:, :, None] / n
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(h).T @ flat(dl), "bias": flat(dl).sum(axis=0)}
-    dh = dl @ p["out"].T
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    dz = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["distance"] = np.bincount(np.maximum(_BACK, 0).ravel(), (dz.sum(axis=0) * _ALLOWED).ravel(), 2 * s)
-    dq, dk = dz @ k / root, dz.transpose(0, 2, 1) @ q / root
-    g["query"], g["key"], g["value"] = flat(e[:, s:]).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ p["key"].T + dv @ p["value"].T
-    de[:, s:] += dh + dq @ p["query"].T
-    g["embedding"] = np.zeros_like(p["embedding"])
-    np.add.at(g["embedding"], x.ravel(), flat(de))
+    late = np.ascontiguousarray(e[:, s:])
+    q, k, v = flat(late) @ (p["query"] * root), flat(e) @ p["key"], flat(e) @ p["value"]
+    q, k, v = q.reshape(n, s, d), k.reshape(n, 2 * s, d), v.reshape(n, 2 * s, d)
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(_ALLOWED, p["distance"][np.maximum(_BACK, 0)], _NEVER)
+    a[first, :, :s] = _NEVER
+    np.minimum(a, _MOST, out=a)
+    np.exp(a, out=a)
+    a /= (a @ _ONES[: 2 * s])[:, :, None]
+    h = a @ v
+    h += late
+    h = flat(h)
+    prob = h @ p["out"]
+    prob += np.take(prior, x[:, s:].ravel(), axis=0)
+    np.minimum(prob, _MOST, out=prob)
+    np.exp(prob, out=prob)
+    prob /= (prob @ _ONES[:CLASSES])[:, None]
+    target = y.ravel()
+    there = np.flatnonzero(target >= 0)
+    count = max(1, len(there))
+    hit = prob[there, target[there]]
+    loss = -np.log(hit + 1e-30).sum() / count
+    prob[there, target[there]] -= 1
+    prob[target < 0] = 0
+    prob *= np.float32(1 / count)
+    g = {"out": h.T @ prob}
+    dh = (prob @ p["out"].T).reshape(n, s, d)
+    dz = dh @ v.transpose(0, 2, 1)
+    turned = a.transpose(0, 2, 1)
+    dv = turned @ dh
+    dz -= ((dz * a) @ _ONES[: 2 * s])[:, :, None]
+    dz *= a
+    g["distance"] = np.bincount(np.maximum(_BACK, 0).ravel(), (dz.sum(axis=0) * _ALLOWED).ravel(), 2 * s).astype(dz.dtype)
+    dq, dk = flat(dz @ k), flat(dz.transpose(0, 2, 1) @ q)
+    dq *= root
+    dv = flat(dv)
+    g["query"], g["key"], g["value"] = flat(late).T @ dq, flat(e).T @ dk, flat(e).T @ dv
+    de = dk @ p["key"].T
+    de += dv @ p["value"].T
+    de = de.reshape(n, 2 * s, d)
+    de[:, s:] += dh
+    de[:, s:] += (dq @ p["query"].T).reshape(n, s, d)
+    columns, rows = flat(de).T.astype(np.float64), np.ascontiguousarray(x).ravel()
+    g["embedding"] = np.stack([np.bincount(rows, c, SYMBOLS) for c in columns], axis=1).astype(de.dtype)
     return float(loss), g
 
 
@@ -113,7 +139,7 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        rate *= np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate *= (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, d in g.items():
             self.m[k] += 0.1 * (d - self.m[k])
             self.v[k] += 0.001 * (d * d - self.v[k])
@@ -121,75 +147,125 @@ class Adam:
 
 
 class Symbols:
-    """How ids are read and predicted, from their counts (index: id); the last id is the end of a text."""
+    """How ids are read (symbol) and predicted (group, and inside it by frequency), from their counts (index: id).
+
+    The last id is the end of a text; the last symbol stands before a text.
+    """
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
         order = np.argsort(-counts, kind="stable")
-        self.end = n - 1
-        self.start = SYMBOLS - 1
+        self.end, self.start = n - 1, SYMBOLS - 1
         own = SYMBOLS - 1 - HASHED
-        self.symbol = (own + np.arange(n) % HASHED).astype(np.int64)
+        self.symbol = (own + np.arange(n) % HASHED).astype(np.int32)
         self.symbol[order[:own]] = np.arange(min(n, own))
-        # the frequent ids are classes of their own; the others share classes of about equal weight, by falling count
-        weight = counts[order] + 0.5
-        rest = np.cumsum(weight[SINGLE:])
-        band = np.minimum(rest / rest[-1] * (CLASSES - SINGLE), CLASSES - SINGLE - 1).astype(np.int64)
-        self.klass = np.empty(n, np.int64)
-        self.klass[order[:SINGLE]] = np.arange(SINGLE)
-        self.klass[order[SINGLE:]] = SINGLE + band
-        total = np.bincount(self.klass, counts + 0.5, CLASSES)
-        self.within = np.log((counts + 0.5) / total[self.klass])
-
-
-def windows(ids: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, STRIDE) and targets (n, STRIDE; -1 beyond the end) of a text's strides."""
-    n = -(-(len(ids) + 1) // STRIDE)
-    x = np.full(n * STRIDE, s.start, np.int64)
-    y = np.full(n * STRIDE, -1, np.int64)
-    x[1 : len(ids) + 1] = s.symbol[ids]
-    y[: len(ids)] = s.klass[ids]
-    y[len(ids)] = s.klass[s.end]
-    return x.reshape(n, STRIDE), y.reshape(n, STRIDE)
+        alone = GROUPS - BANDS
+        self.group = np.empty(n, np.int32)
+        self.group[order[:alone]] = np.arange(min(n, alone))
+        weight = np.cumsum(counts[order[alone:]] + 0.5)
+        if len(weight):
+            self.group[order[alone:]] = alone + np.minimum(weight / weight[-1] * BANDS, BANDS - 1).astype(np.int32)
+        total = np.bincount(self.group, counts + 0.5, GROUPS)
+        self.share = total / total.sum()
+        self.inside = np.log((counts + 0.5) / total[self.group])
+
+
+class Pairs:
+    """What the counts of groups after symbols (SYMBOLS, GROUPS) say: classes of groups, and log-probabilities."""
+
+    def __init__(self, s: Symbols, counts: np.ndarray):
+        seen = counts.sum(axis=1, keepdims=True)
+        kinds = (counts > 0).sum(axis=1, keepdims=True)
+        p = np.maximum(counts - DISCOUNT, 0) / np.maximum(seen, 1)
+        p += np.where(seen > 0, np.minimum(DISCOUNT * kinds, seen) / np.maximum(seen, 1), 1) * s.share
+        p /= p.sum(axis=1, keepdims=True)
+        self.klass = self.classes(s, counts)
+        prior = np.zeros((SYMBOLS, CLASSES))
+        np.add.at(prior.T, self.klass, p.T)
+        with np.errstate(divide="ignore"):
+            self.prior = np.log(np.maximum(prior, 1e-30)).astype(np.float32)
+            self.within = (np.log(p) - np.log(np.maximum(prior, 1e-30))[:, self.klass]).astype(np.float32)
+
+    @staticmethod
+    def classes(s: Symbols, counts: np.ndarray) -> np.ndarray:
+        """The SINGLE most frequent groups are classes; the others are put together by the symbols before them."""
+        klass = np.arange(GROUPS)
+        rest = np.arange(SINGLE, GROUPS)
+        before = np.sqrt(counts.T[rest] + 1e-3 * (counts.sum(axis=1) + 1) / (counts.sum() + SYMBOLS))
+        before /= np.linalg.norm(before, axis=1, keepdims=True)
+        weight = s.share[rest][:, None]
+        _, vectors = np.linalg.eigh((before * weight).T @ before)
+        points = before @ vectors[:, -WIDTH:]
+        # the heaviest groups are the first centres; then each group goes to the nearest one, a few times
+        centres = points[: CLASSES - SINGLE].copy()
+        for _ in range(10):
+            near = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+            mass = np.bincount(near, weight[:, 0], CLASSES - SINGLE)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, points * weight)
+            centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-30)[:, None], centres)
+        klass[rest] = SINGLE + near
+        return klass
+
+
+class Model:
+    """Symbols and pairs as tasks need them: how windows of ids are made."""
+
+    def __init__(self, s: Symbols, pairs: Pairs):
+        self.symbol, self.group, self.start, self.end = s.symbol, s.group, s.start, s.end
+        self.inside = s.inside.astype(np.float32)
+        self.klass, self.prior, self.within = pairs.klass, pairs.prior, pairs.within
+
+    def windows(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts with ids data[at[i]:at[i + 1]]: symbols of all strides and one in front (each one place later than its
+        id), whether a stride is its text's first, groups (-1 beyond the end) and each text's first stride (and the end)."""
+        size = np.diff(at)
+        begin = np.concatenate([[0], np.cumsum(-(-(size + 1) // STRIDE))])
+        n = int(begin[-1])
+        x, y = np.full((n + 1) * STRIDE, self.start, np.int64), np.full(n * STRIDE, -1, np.int64)
+        moved = np.repeat(begin[:-1] * STRIDE - at[:-1], size) + np.arange(at[0], at[-1])
+        own = data[at[0] : at[-1]]
+        group = self.group[own]
+        x[np.repeat(begin[:-1] * STRIDE - at[:-1] + STRIDE + 1, size) + np.arange(at[0], at[-1])] = self.symbol[own]
+        ends = begin[:-1] * STRIDE + size
+        x[begin[:-1] * STRIDE + STRIDE] = self.start
+        y[moved] = group
+        y[ends] = self.group[self.end]
+        first = np.zeros(n, bool)
+        first[begin[:-1]] = True
+        return x, first, y, begin
+
+
+def doubled(x: np.ndarray) -> np.ndarray:
+    """Windows of two strides, each beginning one stride after the one before."""
+    return np.lib.stride_tricks.sliding_window_view(x, 2 * STRIDE)[::STRIDE]
 
 
 class Scorer:
     """Natural-log probabilities of whole texts, with the projections of all symbols looked up."""
 
-    def __init__(self, p: dict[str, np.ndarray], s: Symbols):
-        e = p["embedding"]
-        f = np.float32
-        self.s, self.e = s, e.astype(f)
+    def __init__(self, p: dict[str, np.ndarray], model: Model):
+        e, f = p["embedding"], np.float32
+        self.model, self.e = model, e.astype(f)
         self.q = (e @ p["query"] / WIDTH**0.5).astype(f)
         self.k, self.v = (e @ p["key"]).astype(f), (e @ p["value"]).astype(f)
-        self.out, self.bias = p["out"].astype(f), p["bias"].astype(f)
+        self.out = p["out"].astype(f)
         self.mask = np.where(_ALLOWED, p["distance"][np.maximum(_BACK, 0)], -1e9).astype(f)
 
     def texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of texts with ids data[at[i]:at[i + 1]]: one number each."""
-        s, size = self.s, np.diff(at)
-        strides = -(-(size + 1) // STRIDE)
-        begin = np.concatenate([[0], np.cumsum(strides)])
-        x = np.full((int(begin[-1]) + 1) * STRIDE, s.start, np.int64)
-        y = np.full(int(begin[-1]) * STRIDE, -1, np.int64)
-        moved = np.repeat(begin[:-1] * STRIDE - at[:-1], size) + np.arange(at[-1] - at[0]) + at[0]
-        own = data[: at[-1] - at[0]]
-        x[moved + STRIDE + 1] = s.symbol[own]  # one stride of padding in front, and inputs are one place later
-        y[moved] = s.klass[own]
-        ends = begin[:-1] * STRIDE + size
-        x[begin[:-1] * STRIDE + STRIDE] = s.start
-        y[ends] = s.klass[s.end]
-        there = y >= 0
-        extra = np.zeros(len(y))
-        extra[moved] = s.within[own]
-        extra[ends] = s.within[s.end]
-        first = np.zeros(int(begin[-1]), bool)
-        first[begin[:-1]] = True
-        logp = np.empty(len(y), np.float32)
-        for k in range(0, int(begin[-1]), STEP):
-            m = min(STEP, int(begin[-1]) - k)
-            logp[k * STRIDE : (k + m) * STRIDE] = self.step(x[k * STRIDE : (k + m + 1) * STRIDE], first[k : k + m], y[k * STRIDE : (k + m) * STRIDE])
-        return np.add.reduceat(np.where(there, logp, 0).astype(np.float64) + extra, begin[:-1] * STRIDE)
+        m = self.model
+        x, first, y, begin = m.windows(data, at)
+        there = np.flatnonzero(y >= 0)
+        total = np.zeros(len(y))
+        total[there] = m.within.ravel()[x[STRIDE:][there] * GROUPS + y[there]]
+        goal = m.klass[np.maximum(y, 0)]
+        for k in range(0, len(first), STEP):
+            n = min(STEP, len(first) - k)
+            total[k * STRIDE : (k + n) * STRIDE] += self.step(x[k * STRIDE : (k + n + 1) * STRIDE], first[k : k + n], goal[k * STRIDE : (k + n) * STRIDE])
+        total[y < 0] = 0
+        inside = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), m.inside[data[at[0] : at[-1]]], len(at) - 1) + m.inside[m.end]
+        return np.add.reduceat(total, begin[:-1] * STRIDE) + inside
 
     def step(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, d, s = len(first), WIDTH, STRIDE
@@ -199,18 +275,18 @@ class Scorer:
         a = self.q[mine].reshape(n, s, d) @ pair(k).transpose(0, 2, 1)
         a += self.mask
         a[first, :, :s] = -1e9
-        np.minimum(a, 60, out=a)
+        np.minimum(a, _MOST, out=a)
         np.exp(a, out=a)
         h = a @ pair(v)
-        h /= a.sum(axis=2, keepdims=True)
+        h /= (a @ _ONES[: 2 * s])[:, :, None]
         h = h.reshape(-1, d)
         h += self.e[mine]
         logits = h @ self.out
-        logits += self.bias
-        hit = logits[np.arange(len(mine)), np.maximum(y, 0)]
-        np.minimum(logits, 60, out=logits)
+        logits += np.take(self.model.prior, mine, axis=0)
+        np.minimum(logits, _MOST, out=logits)
+        hit = logits[np.arange(len(mine)), y]
         np.exp(logits, out=logits)
-        return hit - np.log(logits.sum(axis=1))
+        return hit - np.log(logits @ _ONES[:CLASSES])
 
 
 # --- what is counted ---------------------------------------------------------------------------------------------------
@@ -238,19 +314,42 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class LowerWords(dict):
-    """Subword ids of words with A-Z in lower case, as bytes of unsigned 32-bit numbers; the tokenizer drops case itself."""
+class WordCodes(dict):
+    """A code for each word (A-Z in lower case): its subword ids and what the counts of the frequent words say of it.
 
-    def __init__(self, tokenizer: str):
-        self.encoder = WordEncoder(tokenizer)
+    The tokenizer drops case itself. Beyond REMEMBERED words, or with a very long one, the memory is emptied after a batch.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = self.encoder.encode_word(word.decode())
-        return found
+    def __init__(self, tokenizer: str, head: dict[bytes, int], low: float):
+        self.encoder, self.head, self.low = WordEncoder(tokenizer), head, low
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.clear()
+        self.words, self.ids, self.worth, self.long = [], [], [], False
+        self.flat, self.begin, self.value = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0)
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self.words)
+        c = self.head.get(word)
+        self.words.append(word)
+        self.worth.append(np.nan if c is None else np.log10(c + 0.5) - self.low)
+        self.ids.append(b"" if word == TEXT_END else self.encoder.encode_word(word.decode()))
+        self.long |= len(word) > LONGEST * 1024
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        got = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = self.ids[len(self.value) :]
+        if new:
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), np.uint32).astype(np.uint16)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(b) // 4 for b in new])])
+            self.value = np.array(self.worth)
+        return got
 
     def spare(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
+        if len(self.words) > REMEMBERED or self.long:
+            self.start_anew()
 
 
 ENCODED = "doc_id long, held_out boolean, ids binary, n_tokens long, n_head long, base_head double, rare array<struct<word:binary,m:long>>"
@@ -258,34 +357,45 @@ ENCODED = "doc_id long, held_out boolean, ids binary, n_tokens long, n_head long
 
 def encode(rows: DataFrame, tokenizer: str, head, total: int, distinct: int) -> DataFrame:
     """Rows (doc_id, text, held_out) with their subword ids and what the counts of the frequent words say (ENCODED)."""
-    low = np.log10(total + 0.5 * (distinct + 1)) if total else 0.0
+    low = float(np.log10(total + 0.5 * (distinct + 1))) if total else 0.0
+
+    def encoded(codes: WordCodes, batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, ends = [], []
+        for t in batch.column(1).to_pylist():
+            words += words_of(t)
+            words.append(TEXT_END)
+            ends.append(len(words))
+        code, ends = codes.of(words), np.array(ends)
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        n = np.bincount(row, minlength=len(ends))
+        begin, size = codes.begin[code], np.diff(codes.begin)[code]
+        after = np.cumsum(size)
+        ids = codes.flat[np.repeat(begin - after + size, size) + np.arange(after[-1])]
+        worth = codes.value[code]
+        out = np.isnan(worth)
+        missing, times = np.unique(row[out] * len(codes.words) + code[out], return_counts=True)
+        rare = pa.StructArray.from_arrays([pa.array([codes.words[c] for c in (missing % len(codes.words)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "m"])
+        borders = np.searchsorted(missing // len(codes.words), np.arange(len(ends) + 1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(2),
+                binary_column(ids.view(np.uint8), 2 * np.concatenate([[0], after[ends - 1]])).cast(pa.binary()),
+                pa.array(n, pa.int64()),
+                pa.array(n - np.bincount(row[out], minlength=len(ends)), pa.int64()),
+                pa.array(np.bincount(row, np.where(out, 0, worth), len(ends))),
+                pa.ListArray.from_arrays(pa.array(borders), rare),
+            ],
+            ["doc_id", "held_out", "ids", "n_tokens", "n_head", "base_head", "rare"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LowerWords(tokenizer)
-        worth = {w: float(np.log10(c + 0.5) - low) for w, c in head.value.items()}
-        get = worth.get
+        codes = None
         for whole in batches:
-            for batch in slices(whole):
-                ids, n, known, base, rare, times, ends = [], [], [], [], [], [], [0]
-                for t in batch.column(1).to_pylist():
-                    words = words_of(t)
-                    ids.append(np.frombuffer(b"".join(map(encoder.__getitem__, words)), np.uint32).astype(np.uint16).tobytes())
-                    words.append(TEXT_END)
-                    got = np.array(list(map(get, words)), np.float64)  # an unknown word's None becomes NaN
-                    out = np.isnan(got)
-                    missing = Counter([words[k] for k in np.flatnonzero(out).tolist()])
-                    n.append(len(words))
-                    known.append(len(words) - int(out.sum()))
-                    base.append(float(got[~out].sum()))
-                    rare += missing.keys()
-                    times += missing.values()
-                    ends.append(len(rare))
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "m"]))
-                encoder.spare()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare],
-                    ["doc_id", "held_out", "ids", "n_tokens", "n_head", "base_head", "rare"],
-                )
+            codes = codes or WordCodes(tokenizer, head.value, low)
+            for batch in slices(whole, 1 << 20):
+                yield encoded(codes, batch)
+                codes.spare()
 
     return rows.mapInArrow(run, ENCODED)
 
@@ -308,88 +418,95 @@ def id_counts(encoded: DataFrame, vocabulary: int) -> np.ndarray:
     return counts
 
 
-# --- fitting ------------------------------------------------------------------------------------------------------------
-
-
-def training_windows(encoded: DataFrame, s: Symbols) -> DataFrame:
-    """(x, y, first) for the common start: one of each SPACING strides of each text, its place drawn from the text's hash."""
+def pair_counts(encoded: DataFrame, s: Symbols) -> np.ndarray:
+    """How often each group follows each symbol in column ids, ends included; at most SYMBOLS * GROUPS sums go to the driver."""
+    known = encoded.sparkSession.sparkContext.broadcast((s.symbol, s.group, s.start, s.end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys, firsts = [], [], []
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = windows(ids_of(packed), s)
-                for k in range(key % min(SPACING, len(x)), len(x), SPACING):
-                    before = x[k - 1] if k else np.full(STRIDE, s.start)
-                    xs.append(np.concatenate([before, x[k]]).astype(np.int16).tobytes())
-                    ys.append(y[k].astype(np.int16).tobytes())
-                    firsts.append(k == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(firsts, pa.bool_())], ["x", "y", "first"])
+        symbol, group, start, end = known.value
+        n = np.zeros(SYMBOLS * GROUPS, np.int64)
+        for whole in batches:
+            for batch in slices(whole, 1 << 22, "ids"):
+                data, at = byte_view(batch.column(0))
+                ids, ends = np.frombuffer(data.tobytes(), np.uint16), at // 2
+                # each text's symbols behind a start, and its groups before an end
+                spread = np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                x, y = np.empty(len(ids) + batch.num_rows, np.int64), np.empty(len(ids) + batch.num_rows, np.int64)
+                x[spread + 1], y[spread] = symbol[ids], group[ids]
+                x[ends[:-1] + np.arange(batch.num_rows)] = start
+                y[ends[1:] + np.arange(batch.num_rows)] = group[end]
+                n += np.bincount(x * GROUPS + y, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
-    return encoded.select(F.xxhash64("ids").alias("key"), "ids").mapInArrow(run, "x binary, y binary, first boolean")
+    got = encoded.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SYMBOLS * GROUPS)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out.reshape(SYMBOLS, GROUPS)
 
 
-def unpacked(x: pa.Array, y: pa.Array, first: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    read = lambda column, width: np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, width).astype(np.int64)
-    return read(x, 2 * STRIDE), first.to_numpy(zero_copy_only=False), read(y, STRIDE)
+# --- fitting ------------------------------------------------------------------------------------------------------------
+
 
+def windows_of(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (n, 2 * STRIDE), whether they have no earlier stride, and target classes (n, STRIDE; -1: none) of packed ids."""
+    data, at = byte_view(column)
+    x, first, y, _ = model.windows(np.frombuffer(data.tobytes(), np.uint16), at // 2)
+    return doubled(x), first, np.where(y >= 0, model.klass[np.maximum(y, 0)], -1).reshape(-1, STRIDE)
 
-def all_strides(ids: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (n, 2 * STRIDE), whether they have no earlier stride, and targets (n, STRIDE) of all strides of a text."""
-    x, y = windows(ids, s)
-    before = np.concatenate([np.full((1, STRIDE), s.start), x[:-1]])
-    return np.concatenate([before, x], 1), np.arange(len(x)) == 0, y
 
+def pilot(train: DataFrame, model, strides: int, most: int = PILOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """About `most` windows of the training texts' strides: those whose hash is below the share that makes so many."""
+    below = min(1.0, most / max(1, strides))
 
-def fit(found: DataFrame, train: DataFrame, s: Symbols) -> dict[str, np.ndarray]:
-    """Weights for all strides of train (ids), begun with a table (x, y, first); without windows they are the initial ones."""
-    some = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(PILOT).toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, HELD, "ids"):
+                x, first, y = windows_of(batch.column(0), model.value)
+                h = np.zeros(len(x), np.uint64)
+                for k in range(2 * STRIDE):
+                    h = (h ^ x[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                mine = np.flatnonzero(h / 2.0**64 < below)
+                packed = [[row.tobytes() for row in part[mine].astype(np.int16)] for part in (x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary()), pa.array(first[mine])], ["x", "y", "first"])
+
+    # equal windows have equal hashes, so a window that fills a share of the corpus comes once, with its number
+    got = train.select("ids").mapInArrow(run, "x binary, y binary, first boolean").groupBy("x", "y", "first").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["x"], r["y"], r["first"]))
+    read = lambda name, width: np.frombuffer(b"".join(r[name] for r in got), np.int16).reshape(-1, width).astype(np.int64)
+    return read("x", 2 * STRIDE), np.array([r["first"] for r in got], bool), read("y", STRIDE)
+
+
+def fit(train: DataFrame, model: Model, strides: int) -> dict[str, np.ndarray]:
+    """Weights for all strides of train (ids); without any they are the initial ones."""
+    sent = train.sparkSession.sparkContext.broadcast(model)
     p = initial()
-    if not some.num_rows:
+    x, first, y = pilot(train, sent, strides)
+    if not len(x):
         return p
-    x, first, y = unpacked(*(some.column(k) for k in range(2)), some.column(2))
     adam, rng = Adam(p), np.random.default_rng(SEED)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(x))
         for k in range(0, len(order), BATCH):
             mine = order[k : k + BATCH]
-            adam.step(gradients(p, x[mine], first[mine], y[mine])[1], RATE * (1 - epoch / EPOCHS))
-
-    for _ in range(ROUNDS):
-        p = averaged(train, p, s)
-    return p
+            adam.step(gradients(p, model.prior, x[mine], first[mine], y[mine])[1], RATE * (1 - epoch / EPOCHS))
+    return averaged(train, p, sent)
 
 
-def averaged(train: DataFrame, p: dict[str, np.ndarray], s: Symbols) -> dict[str, np.ndarray]:
+def averaged(train: DataFrame, p: dict[str, np.ndarray], model) -> dict[str, np.ndarray]:
     """The mean of the weights that the tasks come to from p, each with all strides of its texts, weighed by windows."""
-    begun = train.sparkSession.sparkContext.broadcast((p, s))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, symbols = begun.value
-        own = {k: v.copy() for k, v in start.items()}
+        keep_freed_pages()
+        own = {k: v.copy() for k, v in p.items()}
         step, seen = Adam(own), 0
-        held: list[tuple] = []
-        n = 0
-
-        def learn(least: int) -> None:
-            """Steps over the held windows while at least `least` are left."""
-            nonlocal held, n, seen
-            x, first, y = (np.concatenate(part) for part in zip(*held, strict=True))
-            k = 0
-            while n - k >= least and k < n:
-                step.step(gradients(own, x[k : k + BATCH], first[k : k + BATCH], y[k : k + BATCH])[1], RATE_ON)
-                seen += len(x[k : k + BATCH])
-                k += BATCH
-            held, n = [(x[k:], first[k:], y[k:])], max(0, n - k)
-
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                held.append(all_strides(ids_of(packed), symbols))
-                n += len(held[-1][0])
-                if n >= 16 * BATCH:
-                    learn(BATCH)
-        if n:
-            learn(1)
+        for whole in batches:
+            for batch in slices(whole, HELD, "ids"):
+                x, first, y = windows_of(batch.column(0), model.value)
+                for k in range(0, len(x), BATCH):
+                    step.step(gradients(own, model.value.prior, x[k : k + BATCH], first[k : k + BATCH], y[k : k + BATCH])[1], RATE_ON)
+                seen += len(x)
         if seen:
             yield weights_row(seen, own)
 
@@ -407,13 +524,13 @@ def averaged(train: DataFrame, p: dict[str, np.ndarray], s: Symbols) -> dict[str
     mean = sum(r["n"] / n * np.frombuffer(bytes(r["w"]), np.float64) for r in sorted(fitted, key=lambda r: (r["n"], bytes(r["w"]))))
     out, at = {}, 0
     for name in NAMES:
-        out[name] = mean[at : at + p[name].size].reshape(p[name].shape)
+        out[name] = mean[at : at + p[name].size].reshape(p[name].shape).astype(np.float32)
         at += p[name].size
     return out
 
 
 def weights_row(n: int, p: dict[str, np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate([p[k].ravel() for k in NAMES])
+    flat = np.concatenate([p[k].ravel() for k in NAMES]).astype(np.float64)
     return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "w"])
 
 
@@ -441,12 +558,15 @@ def score_texts(docs: DataFrame, tokenizer: str, head_words: int = HEAD) -> Data
     encoded = cut(encode(rows, tokenizer, head, total, distinct).withColumn("key", F.monotonically_increasing_id()))
     train = encoded.where("not held_out")
     symbols = Symbols(id_counts(train, vocabulary))
-    scorer = spark.sparkContext.broadcast(Scorer(fit(cut(training_windows(train, symbols)), train, symbols), symbols))
+    model = Model(symbols, Pairs(symbols, pair_counts(train, symbols)))
+    strides = train.agg(F.coalesce(F.sum(F.floor(F.octet_length("ids") / (2 * STRIDE)) + 1), F.lit(0)).alias("n")).first()["n"]
+    scorer = spark.sparkContext.broadcast(Scorer(fit(train, model, int(strides)), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_pages()
         model = scorer.value
         for whole in batches:
-            for batch in slices(whole, 1 << 20, "ids"):
+            for batch in slices(whole, HELD, "ids"):
                 data, at = byte_view(batch.column(1))
                 got = model.texts(np.frombuffer(data.tobytes(), np.uint16), at // 2) / np.log(10)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["key", "score"])

@@ -27,6 +27,7 @@ def fixture() -> list[tuple]:
     docs += [(100, "a b c " + shared), (101, shared + " tail"), (102, "x" + shared), (103, shared + shared), (104, "\x0b" * 3)]
     docs += [(200, None), (201, ""), (202, " \n\t"), (None, "only words here"), (203, docs[2][1]), (204, docs[2][1])]
     docs += [(205, "ab" * 3000), (206, "z"), (206, "z"), (300, f"Before. {PASSAGE}. After"), (301, PASSAGE.lower().replace("\n", " "))]
+    docs += [(304, "special <|endoftext|> strings<|startoftext|>inside"), (305, "x" * 5000 + " y")]
     docs += [(302, PASSAGE.replace("1848", "1912").replace("Anna", "Berta").replace("12", "90")), (303, "the price of salt for good and the border")]
     return [(i, t, "k", "h", "r") for i, t in docs]
 
@@ -75,26 +76,40 @@ def test_language_model(docs, monkeypatch):
 
 def test_network_gradients_and_scores():
     rng = np.random.default_rng(1)
-    s = attention_lm.Symbols(rng.integers(0, 50, 301).astype(float))
-    p = attention_lm.initial()
+    symbols = attention_lm.Symbols(rng.integers(0, 50, 301).astype(float))
+    counts = rng.integers(0, 4, (attention_lm.SYMBOLS, attention_lm.GROUPS)) * (rng.random((attention_lm.SYMBOLS, attention_lm.GROUPS)) < 0.1)
+    pairs = attention_lm.Pairs(symbols, counts.astype(float))
+    model = attention_lm.Model(symbols, pairs)
+    # groups after each symbol, and ids inside each group, are distributions
+    p_group = np.exp(pairs.within + pairs.prior[:, pairs.klass])
+    assert abs(p_group.sum(axis=1) - 1).max() < 1e-4
+    assert abs(np.bincount(symbols.group, np.exp(symbols.inside), attention_lm.GROUPS) - 1)[np.bincount(symbols.group, minlength=attention_lm.GROUPS) > 0].max() < 1e-9
+    p = {k: v.astype(np.float64) for k, v in attention_lm.initial().items()}
     ids = rng.integers(0, 300, 70).astype(np.uint16)
-    x, y = attention_lm.windows(ids, s)
-    before = np.concatenate([np.full((1, attention_lm.STRIDE), s.start), x[:-1]])
-    first = np.arange(len(x)) == 0
-    loss, g = attention_lm.gradients(p, np.concatenate([before, x], 1), first, y)
+    x, first, y, _ = model.windows(ids, np.array([0, 70]))
+    goal = np.where(y >= 0, model.klass[np.maximum(y, 0)], -1).reshape(-1, attention_lm.STRIDE)
+    loss, g = attention_lm.gradients(p, pairs.prior.astype(float), attention_lm.doubled(x), first, goal)
     for name in attention_lm.NAMES:
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         moved = {k: w.copy() for k, w in p.items()}
-        moved[name][at] += 1e-5
-        assert abs((attention_lm.gradients(moved, np.concatenate([before, x], 1), first, y)[0] - loss) / 1e-5 - g[name][at]) < 1e-3
+        moved[name][at] += 1e-4
+        assert abs((attention_lm.gradients(moved, pairs.prior.astype(float), attention_lm.doubled(x), first, goal)[0] - loss) / 1e-4 - g[name][at]) < 1e-3, name
     # batched scoring of several texts equals the loss of each and what its ids add within their classes
     data = np.concatenate([ids, ids[:5], ids[:16]])
-    got = attention_lm.Scorer(p, s).texts(data, np.array([0, 70, 70, 75, 91]))
-    assert abs(got[0] - (-loss * 71 + s.within[ids].sum() + s.within[s.end])) < 1e-2
-    # the classes and the ids within each are distributions
-    assert abs(np.bincount(s.klass, np.exp(s.within)) - 1)[np.bincount(s.klass) > 0].max() < 1e-9
-    # causal: what comes later changes nothing earlier
-    assert abs(attention_lm.Scorer(p, s).texts(ids[:0], np.array([0, 0]))[0] - got[1]) < 1e-4
+    got = attention_lm.Scorer(p, model).texts(data, np.array([0, 70, 70, 75, 91]))
+    within = model.within[x[attention_lm.STRIDE :][y >= 0], y[y >= 0]].sum() + model.inside[ids].sum() + model.inside[model.end]
+    assert abs(got[0] - (-loss * 71 + within)) < 1e-2
+    # causal: what comes later changes nothing earlier, nor do other texts of the batch
+    alone = [attention_lm.Scorer(p, model).texts(part, np.array([0, len(part)]))[0] for part in (ids, ids[:0], ids[:5], ids[:16])]
+    assert np.abs(got - alone).max() < 1e-3
+
+
+def test_model_beats_word_counts_on_held_out_prose(spark):
+    rng = random.Random(7)
+    langs = [[f"{a}{b}" for a in x for b in y] for x, y in ((["th", "re", "wo"], ["and", "ing", "ter"]), (["sch", "ver", "ge"], ["ung", "lich", "keit"]))]
+    rows = [(i, " ".join(rng.choice(langs[i % 2]) for _ in range(60))) for i in range(400)]
+    got = [r for r in attention_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), BPE).collect() if r.held_out]
+    assert len(got) > 40 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 def test_fingerprints_and_components(docs):
@@ -149,7 +164,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(BPE)
-    plain.encode_special_tokens = True
     want = []
     for i, t, *_ in fixture():
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
