@@ -31,8 +31,6 @@ BROADCAST_KEYS = 500_000
 BLOCK = 1 << 16
 #: Bands and least hashes in each: of pairs of similarity 0.8, all but 5 in 100 million share a band.
 BANDS, ROWS = 32, 4
-#: Members of an over-full band bucket that all its members are compared with first.
-LEADERS = 3
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -211,29 +209,31 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, leas
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, root) of rows (key, text): root is the least key of the component over pairs of that Jaccard similarity.
 
-    Candidates share one of the band keys and fit in size. Buckets of more than BUCKET sets are compared with LEADERS of
-    their members first; then all members outside a bucket's most common component are compared with all members of other
-    components, so only pairs that are connected already go without comparison.
+    Candidates share one of the band keys and fit in size. The members of a bucket are compared with two of them, those of
+    least and greatest hash, which a group of near copies has in common in most of its buckets; so a group takes work in
+    proportion to its members. In buckets that then still hold several components, all members outside the most common one
+    are compared with all members of other components: only pairs that are connected already go without comparison.
     """
     rows = cut(sketches(docs, k))
     classes = cut(rows.groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     every = classes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
-    buckets = cut(every.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *[F.min_by(F.struct("id", "n"), F.xxhash64(F.col("id"), F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]).where("c > 1"))
+    member, place = F.struct("id", "n"), F.xxhash64("id")
+    buckets = cut(every.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min_by(member, place).alias("low"), F.max_by(member, place).alias("high")).where("c > 1"))
     side = F.broadcast(buckets) if buckets.count() <= BROADCAST_KEYS // 10 else buckets
     members = cut(every.join(side, "band"))
     fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     ordered = lambda p: p.where("id != other").where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    few, full = members.where(F.col("c") <= BUCKET), cut(members.where(F.col("c") > BUCKET))
-    pairs = few.select("band", "id", "n").join(few.select("band", F.col("id").alias("other"), F.col("n").alias("m")), "band").where("id < other")
-    led = full.select("id", "n", F.explode(F.array(*[F.col(f"l{j}") for j in range(LEADERS)])).alias("l")).select("id", "n", F.col("l.id").alias("other"), F.col("l.n").alias("m"))
-    found = verified(ordered(pairs.select("id", "n", "other", "m").unionByName(led)), classes, docs, k, least)
+    led = members.select("id", "n", F.explode(F.array("low", "high")).alias("l")).select("id", "n", F.col("l.id").alias("other"), F.col("l.n").alias("m"))
+    found = verified(ordered(led), classes, docs, k, least)
     roots = cut(components(found))
-    if full.limit(1).count():
-        inside = cut(full.select("band", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root")))
-        main = inside.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        outside = cut(inside.join(F.broadcast(main), "band").where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root")))
-        more = verified(ordered(inside.join(outside, "band").where("root != other_root").select("id", "n", "other", "m")), classes, docs, k, least)
-        roots = cut(components(found.unionByName(more)))
+    inside = members.where("c > 2").select("band", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
+    inside = cut(inside)
+    tops = inside.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("several"))
+    mixed = cut(inside.join(tops.where("several > 1"), "band"))
+    outside = mixed.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    rest = cut(ordered(mixed.join(outside, "band").where("root != other_root").select("id", "n", "other", "m")))
+    if rest.limit(1).count():
+        roots = cut(components(found.unionByName(verified(rest, classes, docs, k, least))))
     owner = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("top"))
     owner = owner.join(owner.groupBy("top").agg(F.min("key").alias("root")), "top").select("id", "root")
     return rows.select("key", "id").join(owner, "id").select("key", "root")
@@ -243,10 +243,12 @@ def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """docs, all columns, with one document of each component of near copies: the one of least (id, text) hash.
 
     Near copies are texts whose sets of k-word shingles have a Jaccard similarity of at least `least`. Rows that repeat an
-    id with its text are one document. A null text counts as empty, and texts without words are copies of each other.
+    id with its text are one document, of which the row whose JSON form is least stays. A null text counts as
+    empty, and texts without words are copies of each other; an empty table stays empty.
     """
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
-    found = near_copies(docs.select(key.alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), k, least)
+    keys = [F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keys[0].alias("key"), keys[1].alias("key2"))
+    found = near_copies(docs.select(keys[0].alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), k, least)
     stay = found.where("key = root").select("key").distinct()
-    return held.join(stay, "key").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    only = held.join(stay, "key").groupBy("key", "key2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return only.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

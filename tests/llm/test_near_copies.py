@@ -12,9 +12,9 @@ def shingles(t: str) -> frozenset:
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-@pytest.mark.parametrize("bucket", [64, 3])
-def test_edited_copies_are_one_document(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_edited_copies_are_one_document(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", broadcast)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     rows = []
@@ -40,3 +40,25 @@ def test_edited_copies_are_one_document(spark, monkeypatch, bucket):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
     assert sorted(find(k) for k in kept) == sorted({find(k) for k in range(len(rows))})
+
+
+def test_work_grows_with_a_group_not_its_square(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        copy = base[:]
+        copy[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    compared = []
+    real = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *more: compared.append(pairs.count()) or real(pairs, *more))
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+    assert sum(compared) < 40 * len(rows)
+
+
+def test_repeated_rows_and_columns_without_order(spark):
+    rows = [(1, "one two three", {"a": 1}), (1, "one two three", {"a": 2}), (2, "one two three", None), (3, None, None), (4, "", None), (None, "only here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    got = simhash.one_of_each(docs).collect()
+    assert len(got) == 3 and {r.text or "" for r in got} == {"one two three", "", "only here"}
