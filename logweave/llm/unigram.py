@@ -12,6 +12,7 @@ alone would cross words; with none in the vocabulary, words are scored one by on
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,12 +28,21 @@ REMEMBERED = 150_000
 
 
 def vocabulary(model_file: str) -> tuple[list[tuple[str, float]], int]:
-    """Pieces with scores, without control, unknown and byte pieces; and the id of the unknown piece."""
+    """Pieces with log-probabilities, without control, unknown and byte pieces; and the id of the unknown piece.
+
+    A unigram model's own scores are taken as they are. A merge model has whole numbers that only order its pieces; these get
+    the log-probabilities of Zipf's law, in which the piece of rank r has a share in proportion to 1 / r. Nothing is trained.
+    """
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=model_file)
-    ids = range(model.get_piece_size())
-    return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))], model.unk_id()
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    pieces, scores = [model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids]
+    if all(x == int(x) for x in scores):
+        whole = math.fsum(1 / r for r in range(1, len(ids) + 1))
+        rank = {k: r for r, k in enumerate(sorted(range(len(ids)), key=lambda k: -scores[k]), 1)}
+        scores = [-math.log(rank[k] * whole) for k in range(len(ids))]
+    return list(zip(pieces, scores, strict=True)), model.unk_id()
 
 
 class Counter:
