@@ -1,17 +1,21 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks, in built-in expressions only.
 
-What is found: e-mail addresses, IPv4 addresses with octets up to 255, phone numbers +c (aaa) nnn-nnnn, dates (ISO,
-dd.mm.yyyy, mm/dd/yyyy) that exist and lie in the permuted range, card numbers of 13 to 19 digits that pass Luhn's check,
-and hexadecimal secrets of 32 to 64 digits. Each is permuted within its format under a key, so a value has the same
-pseudonym in every document and different values have different ones:
+What is found: e-mail addresses, IPv4 addresses with octets up to 255, phone numbers (+ and 8 to 15 digits, or three, three
+and four digits), dates (ISO, dd.mm.yyyy, mm/dd/yyyy) that exist, card numbers of 13 to 19 digits that pass Luhn's check,
+national ids nnn-nn-nnnn of valid parts, bank accounts (IBAN) whose remainder by 97 is 1, keys with a known prefix, and
+hexadecimal secrets of 32 to 64 digits. Each is permuted within its format under a key, so a value has the same pseudonym
+in every document, however it is spaced, and different values have different ones:
 
 - strings are halved, and in each round every digit or letter of one half moves within its own class (digits, small
   letters, capitals, hexadecimal digits; beyond ASCII: Han characters, Hangul syllables, other small letters, capitals and
   the rest) by an amount drawn from the key, the round and the other half;
-- a card keeps its first digit and its spacing, and gets a fresh check digit;
-- addresses and dates are numbers (l, r) in a product of two ranges; each round adds to one what is drawn from the other.
+- a card or a phone number keeps its first digit and its separators, an account its country, an e-mail address its top-level
+  domain, a key its prefix; cards and accounts get fresh check digits;
+- addresses, national ids and dates are numbers (l, r) in a product of two ranges; each round adds to one what is drawn from
+  the other. Dates from 1900-01-01 to 2100-05-01 are permuted among themselves, as are those before and those after.
 
-What fails its validation stays as it is. Text without a digit or an @ is not searched.
+What fails its validation stays as it is. Text without a digit or an @ is not searched for anything but keys.
+The key is a parameter or the session's spark.logweave.pseudonymKey; the one in this file is for tests.
 """
 
 from __future__ import annotations
@@ -27,15 +31,24 @@ KEY = "logweave-pseudonyms-1"
 ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: How keys of well-known services begin.
+PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|sk-|sk_live_|pk_live_|xox[abprs]-|AIza|glpat-)"
+TOKEN = r"(?<![0-9A-Za-z_-])" + PREFIX + r"[0-9A-Za-z_-]{16,128}+"
+ACCOUNT = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])"
 DATE = r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
-ANY = "|".join([EMAIL, ADDRESS, PHONE, DATE, SECRET, CARD])
+NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
+LOCAL = r"(?<![0-9.,+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.,-][0-9]|[0-9])"
+ANY = "|".join([EMAIL, TOKEN, ACCOUNT, ADDRESS, PHONE, DATE, SECRET, NATIONAL, CARD, LOCAL])
 
-#: Days from DAY_ZERO on that are permuted: a product of two ranges, 1900-01-01 to 2100-05-01.
-DAY_ZERO, DAY_RANGES = "1900-01-01", (270, 271)
+#: First day and number of days of the ranges in which dates are permuted (to 1899-12-31, 2100-05-01, 9999-12-31), and two
+#: factors whose product is the number or little more.
+DAYS = [("0001-01-01", 693_595, (833, 833)), ("1900-01-01", 73_170, (270, 271)), ("2100-05-02", 2_885_294, (1699, 1699))]
+#: Parts of national ids: 001 to 899 but 666, with 01 to 99; and 0001 to 9999.
+NATIONAL_RANGES = (898 * 99, 9999)
 
 
 def _beyond_ascii() -> list[str]:
@@ -111,6 +124,25 @@ def permute_number(x: Column, ranges: tuple[int, int], key: str, tweak: str, rou
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda acc: acc["l"] * b + acc["r"])
 
 
+def permute_below(x: Column, most: int, ranges: tuple[int, int], key: str, tweak: str) -> Column:
+    """A keyed permutation of 0 .. most - 1: steps of a slightly larger one until the range is met again.
+
+    At most 12 steps; at one chance in 2,000 to leave the range, a thirteenth would be needed once in 10^39 values.
+    """
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-1).cast("long"), lambda acc, _: F.when(acc < 0, permute_number(x, ranges, key, tweak)).when(acc >= most, permute_number(acc, ranges, key, tweak)).otherwise(acc))
+    return permute_number(x, ranges, key, tweak) if ranges[0] * ranges[1] == most else again
+
+
+def digits_of(h: Column) -> Column:
+    return F.regexp_replace(h, "[^0-9]", "")
+
+
+def respelled(h: Column, new: Column) -> Column:
+    """h with its letters and digits in order replaced by those of `new`, its other characters in place."""
+    plain = lambda text: F.regexp_replace(text, "[^0-9A-Za-z]", "")
+    return let(new, lambda n: F.array_join(F.transform(F.split(h, ""), lambda c, i: F.when(c.rlike("^[0-9A-Za-z]$"), F.substring(n, F.length(plain(F.substring(h, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), ""))
+
+
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """Luhn's sum of a digit string; every second digit is doubled, the last one if doubled is 0, else the one before."""
     chars = F.split(F.reverse(digits), "")
@@ -122,18 +154,44 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def card(h: Column, key: str) -> Column:
-    digits = F.regexp_replace(h, "[^0-9]", "")
-    gap = F.regexp_extract(h, "[ -]", 0)
+    digits = digits_of(h)
 
     def fresh(body: Column) -> Column:
         return F.concat(body, F.pmod(-luhn_sum(body, 0), F.lit(10)).cast("string"))
 
-    permuted = let(
-        F.concat(F.substring(digits, 1, 1), permute_string(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")),
-        fresh,
-    )
-    spaced = let(permuted, lambda p: F.concat(F.substring(p, 1, 4), gap, F.substring(p, 5, 4), gap, F.substring(p, 9, 4), gap, F.substring(p, 13, 4)))
-    return F.when(luhn_sum(digits, 1) % 10 != 0, h).when(gap != "", spaced).otherwise(permuted)
+    permuted = let(F.concat(F.substring(digits, 1, 1), permute_string(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")), fresh)
+    return F.when(luhn_sum(digits, 1) % 10 != 0, h).otherwise(respelled(h, permuted))
+
+
+def remainder97(account: Column) -> Column:
+    """An account's remainder by 97, its first four characters put last and letters read as 10 to 35."""
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    value = lambda c: F.when(c == "", F.lit(None)).when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(F.split(moved, ""), value), F.lit(0), lambda acc, v: F.when(v.isNull(), acc).when(v < 10, (acc * 10 + v) % 97).otherwise((acc * 100 + v) % 97))
+
+
+def account(h: Column, key: str) -> Column:
+    """The country stays; the rest is permuted within digits and capitals, and the check digits follow from it."""
+    plain = F.regexp_replace(h, " ", "")
+    country = F.substring(plain, 1, 2)
+    fresh = lambda body: F.concat(country, F.lpad((98 - remainder97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
+    new = let(permute_string(F.substring(plain, F.lit(5), F.length(plain)), key, "account"), fresh)
+    return F.when(remainder97(plain) == 1, respelled(h, new)).otherwise(h)
+
+
+def national(h: Column, key: str) -> Column:
+    part = lambda a, n: F.substring(h, a, n).cast("int")
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    sound = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    packed = ((F.when(area > 666, area - 2).otherwise(area - 1)) * 99 + group - 1).cast("long") * NATIONAL_RANGES[1] + serial - 1
+
+    def written(n: Column) -> Column:
+        front = F.floor(n / NATIONAL_RANGES[1])
+        place = F.floor(front / 99)
+        three = F.when(place >= 665, place + 2).otherwise(place + 1)
+        return F.format_string("%03d-%02d-%04d", three.cast("int"), (front % 99 + 1).cast("int"), (n % NATIONAL_RANGES[1] + 1).cast("int"))
+
+    return F.when(sound, let(permute_number(packed, NATIONAL_RANGES, key, "national"), written)).otherwise(h)
 
 
 def address(h: Column, key: str) -> Column:
@@ -145,18 +203,34 @@ def address(h: Column, key: str) -> Column:
 
 def date(h: Column, key: str) -> Column:
     day = F.coalesce(F.try_to_date(h, "yyyy-MM-dd"), F.try_to_date(h, "dd.MM.yyyy"), F.try_to_date(h, "MM/dd/yyyy"))
-    at = F.datediff(day, F.lit(DAY_ZERO).cast("date")).cast("long")
-    new = F.date_add(F.lit(DAY_ZERO).cast("date"), permute_number(at, DAY_RANGES, key, "date").cast("int"))
+    new = F.lit(None).cast("date")
+    for begin, number, ranges in DAYS:
+        zero = F.lit(begin).cast("date")
+        at = F.datediff(day, zero).cast("long")
+        # the middle range has had this tweak from the start, so its pseudonyms stay what they were
+        tweak = "date" if ranges[0] * ranges[1] == number else f"date {begin}"
+        new = F.when(at.between(0, number - 1), F.date_add(zero, permute_below(at, number, ranges, key, tweak).cast("int"))).otherwise(new)
     form = F.when(h.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(h.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    return F.when(day.isNotNull() & at.between(0, DAY_RANGES[0] * DAY_RANGES[1] - 1), form).otherwise(h)
+    return F.coalesce(form, h)
 
 
 def email(h: Column, key: str) -> Column:
-    return F.concat(permute_string(F.substring_index(h, "@", 1), key, "email"), F.lit("@"), F.substring_index(h, "@", -1))
+    """Local part and domain are permuted by themselves, so the addresses of one domain stay together."""
+    domain = F.substring_index(h, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+    return F.concat(permute_string(F.substring_index(h, "@", 1), key, "email"), F.lit("@"), permute_string(name, key, "domain"), F.lit("."), top)
 
 
 def phone(h: Column, key: str) -> Column:
-    return F.concat(F.substring_index(h, " ", 1), F.lit(" "), permute_string(F.substring_index(h, " ", -2), key, "phone"))
+    digits = digits_of(h)
+    new = F.concat(F.substring(digits, 1, 1), permute_string(F.substring(digits, F.lit(2), F.length(digits)), key, "phone"))
+    return F.when(F.length(digits).between(8, 15), respelled(h, new)).otherwise(h)
+
+
+def token(h: Column, key: str) -> Column:
+    prefix = F.regexp_extract(h, "^" + PREFIX, 0)
+    return F.concat(prefix, permute_string(F.substring(h, F.length(prefix) + 1, F.length(h)), key, "token"))
 
 
 def secret(h: Column, key: str) -> Column:
@@ -169,34 +243,41 @@ def pseudonym(h: Column, key: str) -> Column:
     """The pseudonym of one found string, or the string itself where it is not valid."""
     return (
         F.when(h.contains("@"), email(h, key))
-        .when(h.startswith("+"), phone(h, key))
+        .when(h.rlike("^" + PREFIX), token(h, key))
+        .when(h.startswith("+") | h.rlike(r"^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), phone(h, key))
         .when(h.rlike(r"^([0-9]+\.){3}[0-9]+$"), address(h, key))
-        .when(F.length(h).between(32, 64), secret(h, key))
+        .when(h.rlike("^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), secret(h, key))
+        .when(h.rlike("^[A-Z]"), account(h, key))
+        .when(h.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), national(h, key))
         .when((F.length(h) == 10) & h.rlike("[-./]"), date(h, key))
         .otherwise(card(h, key))
     )
 
 
+def key_of(docs: DataFrame, key: str | None) -> str:
+    return key or docs.sparkSession.conf.get("spark.logweave.pseudonymKey", KEY)
+
+
 def replaced(text: Column, key: str = KEY) -> tuple[Column, Column]:
     """The found strings of a text, and the text with their pseudonyms given the found strings as column `found`."""
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@]|" + PREFIX), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     between = F.split(text, ANY, -1)
     woven = F.zip_with(between, F.transform(F.col("found"), lambda h: pseudonym(h, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return found, F.when(F.size("found") > 0, F.array_join(woven, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(doc_id, text, n_found) of every document, n_found being the strings that were looked at, valid or not.
 
-    A null text gives an empty one; rows map one to one, so repeated rows stay repeated.
+    A null text gives an empty one; rows map one to one, so repeated rows stay repeated. Only doc_id and text are read.
     """
-    found, text = replaced(F.col("text"), key)
+    found, text = replaced(F.col("text"), key_of(docs, key))
     return texts(docs).withColumn("found", found).select("doc_id", text.alias("text"), F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n_found"))
 
 
-def pseudonymise_column(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with one text column replaced and all other columns as they are; nulls stay null."""
-    found, text = replaced(F.col("text"), key)
+def pseudonymise_column(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
+    """docs with one text column replaced and all other columns as they are; nulls stay null, empty texts empty."""
+    found, text = replaced(F.col("text"), key_of(docs, key))
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{column}`").alias("text")).withColumn("found", found)
     return rows.select(*[text.alias(c) if c == column else k for c, k in zip(docs.columns, kept, strict=True)])
