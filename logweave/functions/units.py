@@ -54,3 +54,27 @@ def next_milestone(count: Column) -> Column:
     """The next count worth a mention: steps of 25 below 100, of 50 below 500, of 100 from there on."""
     step = F.when(count < 100, 25).when(count < 500, 50).otherwise(100)
     return F.when(count >= 0, (F.floor(count / step) + 1) * step).cast("long")
+
+
+def surface_air(start_bar: Column, end_bar: Column, litres: Column, minutes: Column, mean_depth_m: Column) -> Column:
+    """Litres a minute at the surface: (start - end) * tank volume / minutes / (1 + depth / 10).
+
+    Null unless the pressure falls, the volume and the time are above zero and the depth is not negative.
+    """
+    sound = (start_bar >= end_bar) & (end_bar >= 0) & (litres > 0) & (minutes > 0) & (mean_depth_m >= 0)
+    return F.when(sound, (start_bar - end_bar) * litres / minutes / (1 + mean_depth_m / 10.0))
+
+
+def shown(c: Column, unit: str, places: int = 1) -> Column:
+    """A number with its unit for a reader, and a dash for null."""
+    return F.when(c.isNull(), "—").otherwise(F.format_string(f"%.{places}f {unit}", c.cast("double")))
+
+
+def coordinates(lat: Column, lon: Column) -> Column:
+    """Latitude and longitude with five decimals; null if one is."""
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.5f, %.5f", lat.cast("double"), lon.cast("double")))
+
+
+def date_to_serial(day: Column, seconds: Column) -> Column:
+    """The spreadsheet serial of a day and the seconds since its midnight."""
+    return F.datediff(day, F.lit(SERIAL_ZERO).cast("date")) + seconds / 86_400

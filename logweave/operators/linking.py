@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.functions.geo import haversine_m
-from logweave.functions.text import name_similarity, similarity
+from logweave.functions.geo import EARTH_M, haversine_m, valid
+from logweave.functions.text import name_similarity, similarity, slug
 
 WINDOW_S = 6 * 3600
 MERGE_AT, FLOOR, LEAD = 0.80, 0.45, 0.10
 #: One point of oxygen with room for binary fractions.
 GAS_TOLERANCE = 0.0100001
 SITE_M, SITE_NAME = 500, 0.8
+#: Metres and name similarities at which an observation's place is a known site.
+SAME_M, NEARBY_M, NEARBY_NAME, NAME_ONLY = 50, 250, 0.6, 0.85
 #: Columns that observations and records may have besides: place, site name, first gas's oxygen; the source's own id (an
 #: observation has one, a record an array of them); and whether an observation's offset is suspect.
 OBSERVED, RECORDED = ("lat", "lon", "site", "gas", "source_ref", "suspect"), ("lat", "lon", "site", "gas", "source_refs")
@@ -90,37 +94,139 @@ def decide(pairs: DataFrame, merge_at: float = MERGE_AT, floor: float = FLOOR, l
     return first.select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"), F.when(F.col("known") | F.col("sure") & (F.col("claim") == 1), "merge").otherwise("ambiguous").alias("decision"))
 
 
-def nearest(points: DataFrame, places: DataFrame, radius_m: float, cell_deg: float) -> DataFrame:
+def outcomes(observed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(owner, obs_id, rec_id, score, decision, action) of every observation: one without a candidate is created.
+
+    Actions: merge and create are taken at once, an ambiguous one is pending and is skipped by a commit.
+    """
+    every = observed.select("owner", F.col("id").alias("obs_id")).join(decisions, ["owner", "obs_id"], "left")
+    decision = F.coalesce("decision", F.lit("create"))
+    return every.select("owner", "obs_id", "rec_id", "score", decision.alias("decision"), F.when(decision == "ambiguous", "pending").otherwise(decision).alias("action"))
+
+
+def time_basis(df: DataFrame, local: str = "start_local", utc: str = "start_utc") -> DataFrame:
+    """Adds at and basis for comparing times: the wall clock where it is known, else universal time, else nothing (null)."""
+    basis = F.when(F.col(local).isNotNull(), "local").when(F.col(utc).isNotNull(), "utc")
+    return df.withColumn("at", F.coalesce(local, utc)).withColumn("basis", basis)
+
+
+def reason_text(reasons: Column) -> Column:
+    """Reasons as one line, each with the weight it stands for at the most."""
+    said = {"time": "start times agree (up to 0.45)", "depth": "depths agree (0.20)", "duration": "durations agree (0.15)", "site": "sites agree (0.15)", "gas": "gases agree (0.05)", "source_ref": "same source id (1.00)"}
+    line = F.lit(None).cast("string")
+    return F.array_join(F.transform(reasons, lambda r: F.coalesce(*[F.when(r == k, v) for k, v in said.items()], r, line)), "; ")
+
+
+def nearest(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """The nearest place (place_id, lat, lon) of each point (point_id, lat, lon) within radius_m, ties by id.
 
-    Cells of cell_deg degrees must be at least as wide as the radius at the latitudes used; points look in nine of them.
+    Points without a valid coordinate have none. The join is over cells, see near.
     """
-    cell = lambda c: F.floor(F.col(c) / cell_deg)
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    p = points.withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    p = p.select("point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (cell("lat") + F.col("dy")).alias("y"), (cell("lon") + F.col("dx")).alias("x"))
-    near = p.join(places.select("place_id", "lat", "lon", cell("lat").alias("y"), cell("lon").alias("x")), ["y", "x"])
-    near = near.withColumn("m", haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where(F.col("m") <= radius_m)
     best = F.min(F.struct(F.round("m", 3).alias("m"), F.col("place_id")))
-    return near.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.place_id", F.col("b.m").alias("distance_m"))
+    return near(points, places, radius_m).groupBy("point_id").agg(best.alias("b")).select("point_id", "b.place_id", F.col("b.m").alias("distance_m"))
 
 
-def similar(names: DataFrame, name: Column, least: float = 0.85) -> DataFrame:
-    """All pairs of different names that are at least as similar as `least`, which is above zero and at most one.
+def near(points: DataFrame, places: DataFrame, radius_m: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs (by..., point_id, place_id, m) within radius_m of points and places with equal `by` columns.
+
+    Bands of latitude are as high as the radius is long, and cells of a band as wide as the radius is at its highest
+    latitude, so a point finds all places in three bands and three cells of each, across 180 degrees and at the poles too.
+    """
+    by, high = by or [], math.degrees(radius_m / EARTH_M)
+    band = lambda c: F.floor(F.col(c) / high)
+
+    def cells(y: Column) -> Column:
+        top = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * high)
+        share = math.sin(radius_m / 2 / EARTH_M) / F.cos(F.radians(top))
+        return F.when((top >= 90) | (share >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(180 / F.degrees(F.asin(F.least(share, F.lit(1.0)))))).cast("int"))
+
+    place = lambda lon, n: F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+    sound = lambda df: df.where(valid(F.col("lat"), F.col("lon")))
+    p = sound(points).select(*by, "point_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band("lat") + d)).alias("y"))
+    p = p.withColumn("n", cells(F.col("y"))).withColumn("x0", place(F.col("lon1"), F.col("n")))
+    p = p.withColumn("x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(F.col("x0") + d, F.col("n")))))).drop("n", "x0")
+    q = sound(places).select(*by, "place_id", "lat", "lon", band("lat").alias("y"))
+    q = q.withColumn("x", place(F.col("lon"), cells(F.col("y"))))
+    return p.join(q, [*by, "y", "x"]).withColumn("m", haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))).where(F.col("m") <= radius_m).select(*by, "point_id", "place_id", "m")
+
+
+def _edit_pairs(short: DataFrame, long: DataFrame, by: list[str], least: float) -> DataFrame:
+    """(by..., name, other) with name of `short` no longer than other of `long` and at least as similar as `least`.
 
     Of two names the longer one, of L letters, may be d = (1 - least) * L edits away. It is cut into d + 1 segments, one of
     which no edit touches, so the other name holds it, shifted by the edits before it at the most: an equality join.
     """
-    n = names.select(name.alias("name")).where("name <> ''").distinct().withColumn("len", F.length("name"))
     edits = lambda c: F.floor((1 - least) * F.col(c) + 1e-9).cast("int")
     begin = lambda i: F.floor(i * F.col("long") / (F.col("d") + 1)).cast("int")
     cut = lambda df: df.withColumn("d", edits("long")).withColumn("i", F.explode(F.sequence(F.lit(0), "d"))).withColumn("start", begin(F.col("i"))).withColumn("size", begin(F.col("i") + 1) - F.col("start"))
-    whole = cut(n.withColumn("long", F.col("len"))).select(F.col("name").alias("other"), "long", "i", F.substring("name", F.col("start") + 1, F.col("size")).alias("part"))
+    whole = cut(long.withColumn("long", F.length("name"))).select(*by, F.col("name").alias("other"), "long", "i", F.substring("name", F.col("start") + 1, F.col("size")).alias("part"))
+    n = short.withColumn("len", F.length("name"))
     held = cut(n.withColumn("long", F.explode(F.sequence("len", F.floor(F.col("len") / least + 1e-9).cast("int")))))
-    short = F.col("len") - F.col("long")
-    first = F.greatest(F.lit(0), F.col("start") - F.col("i"), F.col("start") + short - (F.col("d") - F.col("i")))
-    last = F.least(F.col("len") - F.col("size"), F.col("start") + F.col("i"), F.col("start") + short + (F.col("d") - F.col("i")))
+    less = F.col("len") - F.col("long")
+    first = F.greatest(F.lit(0), F.col("start") - F.col("i"), F.col("start") + less - (F.col("d") - F.col("i")))
+    last = F.least(F.col("len") - F.col("size"), F.col("start") + F.col("i"), F.col("start") + less + (F.col("d") - F.col("i")))
     held = held.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
-    held = held.select("name", "long", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("part"))
-    pairs = held.join(whole, ["long", "i", "part"]).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    held = held.select(*by, "name", "long", "i", F.substring("name", F.col("at") + 1, F.col("size")).alias("part"))
+    return held.join(whole, [*by, "long", "i", "part"]).select(*by, "name", "other").distinct()
+
+
+def similar(names: DataFrame, name: Column, least: float = 0.85) -> DataFrame:
+    """All pairs of different names that are at least as similar as `least`, which is above zero and at most one."""
+    n = names.select(name.alias("name")).where("name <> ''").distinct()
+    pairs = _edit_pairs(n, n, [], least).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
     return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).where(similarity(F.col("a"), F.col("b")) >= least)
+
+
+def named_alike(left: DataFrame, right: DataFrame, by: list[str], least: float = 0.85) -> DataFrame:
+    """(by..., a, b, score) of slugs (by..., name) of two tables whose name similarity is at least `least`, 0.8 or more.
+
+    Complete: pairs within the edit distance, by segments; and names that hold one another, by equality with all parts of
+    the longer one that are long enough for the score.
+    """
+    if not 0.8 <= least <= 1:
+        raise ValueError("a name similarity below 0.8 cannot be found by parts")
+    own = lambda df: df.select(*by, "name").where("name <> ''").distinct()
+    a, b = own(left), own(right)
+    share = (least - 0.8) / 0.15
+
+    def parts(df: DataFrame) -> DataFrame:
+        size = F.length("name")
+        sizes = F.sequence(F.greatest(F.lit(1), F.ceil(share * size - 1e-9).cast("int")), size)
+        return df.withColumn("k", F.explode(sizes)).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("k") + 1))).select(*by, F.col("name").alias("whole"), F.substring("name", F.col("at"), F.col("k")).alias("name")).distinct()
+
+    ab = lambda df, x, y: df.select(*by, F.col(x).alias("a"), F.col(y).alias("b"))
+    pairs = ab(a.join(parts(b), [*by, "name"]), "name", "whole").union(ab(b.join(parts(a), [*by, "name"]), "whole", "name"))
+    pairs = pairs.union(ab(_edit_pairs(a, b, by, least), "name", "other")).union(ab(_edit_pairs(b, a, by, least), "other", "name")).distinct()
+    x, y = F.col("a"), F.col("b")
+    ratio = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+    score = F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.8 + 0.15 * ratio).otherwise(similarity(x, y))
+    return pairs.withColumn("score", score).where(F.col("score") >= least)
+
+
+def site_matches(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """(owner, point_id, site_id, rule) of points (owner, point_id, lat, lon, name) and sites (owner, site_id, lat, lon, name,
+    aliases): the first rule that finds a site of the owner.
+
+    coordinates: the nearest within 50 m; coordinates-and-name: the nearest within 250 m whose name similarity is above 0.6;
+    name: the most similar name, 0.85 or more; alias: an alias with the name's slug. Ties go to the least site_id. Points
+    without a coordinate or a name skip the rules that need it; those that no rule finds are not returned.
+    """
+    p = points.select("owner", "point_id", "lat", "lon", slug(F.col("name")).alias("name"))
+    s = sites.select("owner", F.col("site_id").alias("place_id"), "lat", "lon", slug(F.col("name")).alias("name"), "aliases")
+    close = near(p, s, NEARBY_M, ["owner"])
+    first = lambda df, order: df.groupBy("owner", "point_id").agg(F.min_by("place_id", F.struct(*order)).alias("site_id"))
+    here = first(close.where(F.col("m") <= SAME_M), ["m", "place_id"])
+    named = close.join(p.select("owner", "point_id", "name"), ["owner", "point_id"]).join(s.select("owner", "place_id", F.col("name").alias("other")), ["owner", "place_id"])
+    around = first(named.where(name_similarity(F.col("name"), F.col("other")) > NEARBY_NAME), ["m", "place_id"])
+    alike = named_alike(p, s, ["owner"], NAME_ONLY).withColumnsRenamed({"a": "name", "b": "other"})
+    by_name = p.select("owner", "point_id", "name").join(alike, ["owner", "name"]).join(s.select("owner", "place_id", F.col("name").alias("other")), ["owner", "other"])
+    by_name = first(by_name.withColumn("less", -F.col("score")), ["less", "place_id"])
+    aliases = s.select("owner", "place_id", F.explode("aliases").alias("alias")).select("owner", "place_id", slug(F.col("alias")).alias("name"))
+    by_alias = first(p.where("name <> ''").select("owner", "point_id", "name").join(aliases, ["owner", "name"]), ["place_id"])
+    rules = [(here, "coordinates"), (around, "coordinates-and-name"), (by_name, "name"), (by_alias, "alias")]
+    found = None
+    for k, (rows, rule) in enumerate(rules):
+        one = rows.select("owner", "point_id", "site_id", F.lit(rule).alias("rule"), F.lit(k).alias("k"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("owner", "point_id").agg(F.min_by(F.struct("site_id", "rule"), "k").alias("b"))
+    return best.select("owner", "point_id", "b.site_id", "b.rule")

@@ -2,23 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Where a kind of source comes from; others are imports of files.
+ORIGINS = {"uddf": "instrument", "api:garmin": "instrument", "shearwater": "instrument", "manual": "manual", "spreadsheet": "file_import", "subsurface": "file_import", "csv": "file_import", "derived": "derived"}
+#: The class of each field path; others are measured.
+CLASSES = {
+    "measured": ["startTimeLocal", "startTimeUtc", "tzOffsetMinutes", "maxDepthM", "avgDepthM", "durationS", "waterTempMinC", "airTempC", "profile"],
+    "subjective": ["notes", "rating", "visibilityM", "buddies", "waterType"],
+    "identifying": ["site.name", "site.regionHint", "diveNumber", "tags"],
+    "configured": ["gases", "tanks", "weightKg", "gear"],
+    "geographic": ["site.lat", "site.lon", "site.altitudeM"],
+}
+#: Origins by preference, best first, for each class of field.
+PREFERENCES = {
+    "measured": ["instrument", "manual", "file_import", "derived"],
+    "geographic": ["instrument", "manual", "file_import", "derived"],
+    "subjective": ["manual", "file_import", "instrument", "derived"],
+    "identifying": ["manual", "file_import", "instrument", "derived"],
+    "configured": ["manual", "file_import", "instrument", "derived"],
+}
+#: Fields that an instrument's file measures itself, by kind of source.
+SENSED = {"uddf": ["gases", "profile", "waterTempMinC"]}
+
+
+def origin(kind: Column) -> Column:
+    found = F.lit("file_import")
+    for name, value in ORIGINS.items():
+        found = F.when(kind == name, value).otherwise(found)
+    return found
+
+
+def field_class(field: Column) -> Column:
+    found = F.lit("measured")
+    for name, fields in CLASSES.items():
+        found = F.when(field.isin(fields), name).otherwise(found)
+    return found
+
+
+def rank(field: Column, kind: Column, sensed: Column | None = None) -> Column:
+    """The place of a source's kind in the preference for a field, 0 the best; what an instrument sensed of a configured
+    field goes before all (-1). sensed: whether it did; without it, by the kind's own list."""
+    of, kinds = field_class(field), origin(kind)
+    if sensed is None:
+        sensed = F.lit(False)
+        for name, fields in SENSED.items():
+            sensed = sensed | ((kind == name) & field.isin(fields))
+    found = F.lit(None).cast("int")
+    for name, order in PREFERENCES.items():
+        for place, value in enumerate(order):
+            found = F.when((of == name) & (kinds == value), place).otherwise(found)
+    return F.when(F.coalesce(sensed, F.lit(False)) & (of == "configured") & (kinds == "instrument"), -1).otherwise(found)
+
+
+def _differs(df: DataFrame, tolerance: float) -> Column:
+    numeric = dict(df.dtypes)["value"] in ("double", "float", "int", "bigint", "smallint", "tinyint") or dict(df.dtypes)["value"].startswith("decimal")
+    low, high, value = F.col("w.low"), F.col("w.high"), F.col("w.value")
+    return F.greatest(high - value, value - low) > tolerance if numeric else (low != value) | (high != value)
+
 
 def resolve(assertions: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """The winner of each (record, field) among rows (record, field, value, rank, recorded_at, source).
 
-    Nulls do not take part. The best rank wins, then the latest; contested says that a row of the winner's rank differs.
+    Nulls do not take part. The best rank wins, then the latest, then the least source; contested says that a row of the
+    winner's rank differs, numbers by more than the tolerance. Values are of any type that has an order: texts, dates,
+    arrays and structs are compared whole. One exchange by (record, field) serves both aggregations.
     """
-    # least rank, then latest, then least source
-    best = F.min(F.struct("rank", (-F.unix_micros(F.col("recorded_at").cast("timestamp"))).alias("late"), "source", "value"))
-    there = assertions.where("value is not null")
-    won = there.groupBy("record", "field").agg(best.alias("w"), F.count(F.lit(1)).alias("n_sources"))
-    span = there.groupBy("record", "field", "rank").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    joined = won.select("record", "field", "w.rank", "w.source", "w.value", "n_sources").join(span, ["record", "field", "rank"])
-    far = F.greatest(F.col("high") - F.col("value"), F.col("value") - F.col("low")) > tolerance
-    return joined.select("record", "field", "value", "source", "n_sources", far.alias("contested"))
+    late = (-F.unix_micros(F.col("recorded_at").cast("timestamp"))).alias("late")
+    there = assertions.where("value is not null").select("record", "field", "rank", "value", "source", late).repartition("record", "field")
+    ranked = there.groupBy("record", "field", "rank").agg(F.min(F.struct("late", "source", "value")).alias("b"), F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+    won = ranked.groupBy("record", "field").agg(F.min(F.struct("rank", "b.late", "b.source", "b.value", "low", "high")).alias("w"), F.sum("n").alias("n_sources"))
+    return won.select("record", "field", F.col("w.value").alias("value"), F.col("w.source").alias("source"), "n_sources", _differs(assertions, tolerance).alias("contested"))
+
+
+def provenance(assertions: DataFrame) -> DataFrame:
+    """Each non-null assertion with is_selected: whether its source won its (record, field)."""
+    w = Window.partitionBy("record", "field").orderBy("rank", F.desc("recorded_at"), "source", "value")
+    there = assertions.where("value is not null").withColumn("first", F.first("source").over(w))
+    return there.withColumn("is_selected", F.col("source") == F.col("first")).drop("first")
+
+
+def conflicts(assertions: DataFrame) -> DataFrame:
+    """(record, field, n, distinct_values) of fields that several assertions give; several values: a displayed disagreement."""
+    there = assertions.where("value is not null").groupBy("record", "field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("value").cast("string")).alias("distinct_values"))
+    return there.where("n > 1")
+
+
+def contested_fields(resolved: DataFrame) -> DataFrame:
+    """(record, contested): the sorted paths of each record's contested fields, comma-separated, empty if there are none."""
+    paths = F.collect_set(F.when(F.col("contested"), F.col("field")))
+    return resolved.groupBy("record").agg(F.array_join(F.array_sort(paths), ",").alias("contested"))
 
 
 def union_values(rows: DataFrame, record: str, order: str, value: str) -> DataFrame:
@@ -28,17 +102,49 @@ def union_values(rows: DataFrame, record: str, order: str, value: str) -> DataFr
     return first.groupBy(record).agg(merged.alias("merged"), F.count(F.lit(1)).alias("n"))
 
 
-def claim_numbers(rows: DataFrame, owner: str, when: str, key: str, wanted: str) -> DataFrame:
-    """Numbers for rows: the first claimant of a wanted number (1 or more) keeps it, all others follow the owner's largest
-    kept number in order of time."""
+def append_notes(rows: DataFrame, record: str, order: str, kind: str, text: str) -> DataFrame:
+    """(record, notes, n): each record's different notes, trimmed, oldest first, apart by an empty line.
+
+    Where a record has several notes (equal ones counted), each is followed by a line that names its source's kind. Null
+    and empty notes do not take part; of equal notes the oldest stays.
+    """
+    own = rows.where(F.col(text).isNotNull()).select(record, F.col(order).alias("o"), F.col(kind).alias("k"), F.trim(text).alias("t"))
+    each = own.groupBy(record, "t").agg(F.min(F.struct("o", "k")).alias("s"), F.count(F.lit(1)).alias("times"))
+    told = each.groupBy(record).agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("s.o", "s.k", "t")))).alias("parts"), F.sum("times").alias("all"))
+    written = F.transform("parts", lambda p: F.when(F.col("all") > 1, F.concat(p["t"], F.lit("\n\n— "), p["k"])).otherwise(p["t"]))
+    return told.where(F.size("parts") > 0).select(record, F.array_join(written, "\n\n").alias("notes"), F.size("parts").cast("long").alias("n"))
+
+
+def claim_numbers(rows: DataFrame, owner: str, when: str, key: str, wanted: str, held: DataFrame | None = None) -> DataFrame:
+    """Numbers for rows: the first claimant of a wanted number (1 or more) that the logbook does not hold keeps it, all
+    others follow the owner's largest number, held or kept, in order of time. held: (owner, number) of the logbook."""
     order = [F.col(when), F.col(key)]
+    most_held = F.lit(0).cast("long")
+    free = F.lit(True)
+    if held is not None:
+        taken = held.select(F.col(held.columns[0]).alias(owner), F.col(held.columns[1]).cast("long").alias("_held")).where("_held is not null")
+        numbers = taken.groupBy(owner, F.col("_held").alias(wanted)).agg(F.lit(True).alias("_taken"))
+        rows = rows.withColumn(wanted, F.col(wanted).cast("long")).join(numbers, [owner, wanted], "left").join(taken.groupBy(owner).agg(F.max("_held").alias("_most")), owner, "left")
+        free, most_held = F.col("_taken").isNull(), F.coalesce(F.col("_most"), F.lit(0))
     claimed = F.row_number().over(Window.partitionBy(owner, wanted).orderBy(*order))
-    kept = rows.withColumn("number", F.when((F.col(wanted) >= 1) & (claimed == 1), F.col(wanted)))
-    most = F.coalesce(F.max("number").over(Window.partitionBy(owner)), F.lit(0))
+    kept = rows.withColumn("number", F.when((F.col(wanted) >= 1) & free & (claimed == 1), F.col(wanted)))
+    most = F.greatest(F.coalesce(F.max("number").over(Window.partitionBy(owner)), F.lit(0)), most_held)
     later = F.row_number().over(Window.partitionBy(owner, F.col("number").isNull()).orderBy(*order))
-    return kept.withColumn("number", F.coalesce("number", most + later))
+    return kept.withColumn("number", F.coalesce("number", most + later)).drop("_taken", "_most")
+
+
+#: Reverted sources that are broadcast at the most; with more of them the assertions are joined by source.
+BROADCAST_SOURCES = 100_000
 
 
 def revert(assertions: DataFrame, sources: DataFrame) -> DataFrame:
     """What the records are without some sources (column source): those left without any row are gone."""
-    return resolve(assertions.join(sources, "source", "left_anti"))
+    gone = sources.select("source").distinct()
+    side = F.broadcast(gone) if gone.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else gone
+    return resolve(assertions.join(side, "source", "left_anti"))
+
+
+def orphans(assertions: DataFrame, sources: DataFrame) -> DataFrame:
+    """(record, deleted): the records that a revert of these sources touches, and whether it leaves them without a source."""
+    marked = assertions.join(sources.select("source").distinct().withColumn("gone", F.lit(True)), "source", "left")
+    return marked.groupBy("record").agg(F.count_if(F.col("gone").isNotNull()).alias("n_gone"), F.count(F.lit(1)).alias("n")).where("n_gone > 0").select("record", (F.col("n_gone") == F.col("n")).alias("deleted"))

@@ -39,6 +39,11 @@ def numbering(df: DataFrame, owner: str, when: str, key: str, start: int = 1) ->
     return df.withColumn("number", F.row_number().over(w) + F.lit(start - 1))
 
 
+def changed(df: DataFrame, number: str, before: Column) -> DataFrame:
+    """The rows whose number is another one than before (null counts as another one)."""
+    return df.where(~F.col(number).eqNullSafe(before))
+
+
 def intervals(df: DataFrame, owner: str, when: str, key: str, seconds: str) -> DataFrame:
     """Adds interval_s, from the end of the row before to this one (null where unknown or negative), and the number in a
     run of one day: a day that comes back later starts again at 1."""
@@ -73,12 +78,19 @@ def trips(df: DataFrame, owner: str, when: str, gap_days: int = 3, least: int =
     )
 
 
+def named_trips(found: DataFrame, where: Column) -> DataFrame:
+    """Adds to trips() a name (where, month and year of the first day) and a key (first day and size)."""
+    name = F.concat(where, F.lit(", "), F.date_format("first_day", "MMMM yyyy"))
+    return found.withColumn("name", name).withColumn("key", F.concat(F.date_format("first_day", "yyyy-MM-dd"), F.lit("_"), F.col("n").cast("string")))
+
+
 def mode(df: DataFrame, owner: str, value: str) -> DataFrame:
     """The most frequent value, ties to the first in the alphabet; null and empty values are skipped."""
     counts = df.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(owner, value).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy(owner).agg(F.max("n").alias("n"))
-    return counts.join(top, [owner, "n"]).groupBy(owner).agg(F.min(value).alias("common"), F.first("n").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col(value).alias("common")))
+    return counts.groupBy(owner).agg(best.alias("b")).select(owner, "b.common", (-F.col("b.less")).alias("n"))
 
 
 def repeated_numbers(df: DataFrame, owner: str, number: Column) -> DataFrame:
+    """(owner, number, n) of numbers that an owner has more than once; rows without a number do not count."""
     return df.groupBy(owner, number.alias("number")).agg(F.count(F.lit(1)).alias("n")).where("number is not null and n > 1")

@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from logweave.functions import offsets, series, units
 from logweave.functions.text import clean_number, name_similarity, no_null_tokens, slug
 from logweave.operators import cleaning, linking, merging, profile, search, stats, taxonomy
+from logweave.plans.registry import ORACLE_SQL, QUERIES, query
 from logweave.sources.tables import read
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def orders(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders")
 
@@ -161,11 +149,10 @@ def text_slug(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH n AS (SELECT DISTINCT p_name AS name FROM part)
 SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score
-FROM n x JOIN n y ON x.name < y.name AND substr(x.name, 1, 3) = substr(y.name, 1, 3)
+FROM n x JOIN n y ON x.name < y.name
 WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
 def link_similar_names(spark: SparkSession, d: str) -> DataFrame:
-    begins_alike = F.substring("a", 1, 3) == F.substring("b", 1, 3)
-    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6).where(begins_alike)
+    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6)
 
 
 @query("""
@@ -213,7 +200,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) A
 SELECT point_id, place_id, m AS distance_m FROM r WHERE k = 1""")
 def link_nearest(spark: SparkSession, d: str) -> DataFrame:
     place = lambda t, key, name: read(spark, d, t).select(F.col(key).alias(name), ((F.col(key) * 37 % 1000) / 100.0 + 40).alias("lat"), ((F.col(key) * 91 % 1000) / 100.0 + 5).alias("lon"))
-    return linking.nearest(place("customer", "c_custkey", "point_id"), place("supplier", "s_suppkey", "place_id"), 50_000, 0.75)
+    return linking.nearest(place("customer", "c_custkey", "point_id"), place("supplier", "s_suppkey", "place_id"), 50_000)
 
 
 ASSERTED = """
@@ -292,12 +279,22 @@ def units_converted(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT o_custkey, count(*) AS n, (floor(count(*) / 25) + 1)::BIGINT * 25 AS milestone FROM orders GROUP BY o_custkey HAVING count(*) < 100")
+MILESTONE = "SELECT *, (floor(n / step) + 1)::BIGINT * step AS milestone FROM (SELECT *, CASE WHEN n < 100 THEN 25 WHEN n < 500 THEN 50 ELSE 100 END AS step FROM c)"
+
+
+@query(f"WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, n, milestone FROM ({MILESTONE})")
 def stats_milestones(spark: SparkSession, d: str) -> DataFrame:
     counted = orders(spark, d).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("milestone", units.next_milestone(F.col("n")))
 
 
+@query(f"WITH c AS (SELECT o_custkey % k AS club, k AS clubs, count(*) AS n FROM orders, (VALUES (200), (40), (8)) v(k) GROUP BY 1, 2) SELECT club, clubs, n, milestone FROM ({MILESTONE})")
+def stats_club_milestones(spark: SparkSession, d: str) -> DataFrame:
+    clubs = orders(spark, d).select("o_custkey", F.explode(F.array(F.lit(200), F.lit(40), F.lit(8))).alias("clubs"))
+    counted = clubs.groupBy((F.col("o_custkey") % F.col("clubs")).alias("club"), "clubs").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("milestone", units.next_milestone(F.col("n")))
+
+
 @query("""
 WITH a AS (SELECT event_id, (event_id % 1441 - 720)::INTEGER AS m, CASE WHEN event_id % 3 = 0 THEN (event_id % 1441 - 720) * 60 WHEN event_id % 3 = 1 THEN 0 END AS place FROM events),
      b AS (SELECT *, abs(m) < 60 AND m % 60 <> 0 AS wrong, coalesce(place = m * 60, false) AS fits FROM a)
@@ -347,3 +344,7 @@ def profile_codec(spark: SparkSession, d: str) -> DataFrame:
     blobs = read(spark, d, "embeddings").select("vec_id", series.encode({"depthM": F.col("embedding")}).alias("blob"))
     back = blobs.select("vec_id", F.length("blob").cast("long").alias("n_bytes"), series.decode(F.col("blob"), "depthM").alias("back"))
     return back.select("vec_id", "n_bytes", F.round(F.aggregate("back", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.round(F.array_max("back"), 3).alias("most"))
+
+
+# the modules below add their queries to the same registry
+from logweave.plans import imports, logbook  # noqa: E402, F401
