@@ -11,9 +11,6 @@ from logweave.plans.registry import query
 from logweave.sources import exports, files
 from logweave.sources.tables import read
 
-KEY = F.col("o_orderkey")
-
-
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders")
 
@@ -41,7 +38,7 @@ SELECT k AS o_orderkey, dive_number, strftime(start_local, '%Y-%m-%d %H:%M:%S')
 FROM o""")
 def import_sheet(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as the text cells of a sheet and read back as observations."""
-    k, c = KEY, F.col("o_custkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
     date = F.when(k % 20 == 1, " n/a ").when(k % 3 == 0, text(30_000 + k % 9000)).when(k % 3 == 1, "2024-02-29T00:00").otherwise("2023-02-29")
     clock = F.when(k % 4 == 0, text(k % 1000 / 1000.0)).when(k % 4 == 1, F.concat(text(F.when(k % 12 == 0, 12).otherwise(k % 12)), F.lit(":30 PM"))).when(k % 4 == 2, F.concat(text(k % 24), F.lit(":05:07"))).otherwise("noon")
     cells = {
@@ -76,10 +73,10 @@ def import_lists(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE strftime(o_orderdate::TIMESTAMP + to_seconds((o_orderkey % 86400)::DOUBLE), '%Y-%m-%d %H:%M:%S') END AS local_time,
   CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 0 ELSE -(o_orderkey % 12) * 60 - 30 END::INTEGER AS offset_minutes FROM orders""")
 def import_wall_clock(spark: SparkSession, d: str) -> DataFrame:
-    s = KEY % 86_400
+    s = F.col("o_orderkey") % 86_400
     two = lambda c: F.lpad(text(F.floor(c)), 2, "0")
-    zone = F.when(KEY % 3 == 0, "").when(KEY % 3 == 1, "Z").otherwise(F.concat(F.lit("-"), two(KEY % 12), F.lit(":30")))
-    day = F.when(KEY % 7 == 0, "2023-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    zone = F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, "Z").otherwise(F.concat(F.lit("-"), two(F.col("o_orderkey") % 12), F.lit(":30")))
+    day = F.when(F.col("o_orderkey") % 7 == 0, "2023-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     stamp = F.concat(day, F.lit("T"), two(s / 3600), F.lit(":"), two(s / 60 % 60), F.lit(":"), two(s % 60), zone)
     return _orders(spark, d).select("o_orderkey", parsing.wall_clock(stamp).alias("t")).select("o_orderkey", text(F.col("t.local")).alias("local_time"), F.col("t.offset_minutes").alias("offset_minutes"))
 
@@ -92,7 +89,7 @@ def import_xml(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("o_custkey")
     link = lambda prefix, n: F.concat(F.lit(f'<link ref="{prefix}-'), text(n), F.lit('"/>'))
     point = F.concat(F.lit("<waypoint><divetime>15</divetime><depth>"), text(c), F.lit("</depth></waypoint>"))
-    fields = exports.xml_dive({"id": text(KEY), "datetime": F.date_format("o_orderdate", "yyyy-MM-dd'T'09:30:00'Z'"), "greatestdepth": F.col("o_totalprice"), "diveduration": c * 10, "leadquantity": c % 4})
+    fields = exports.xml_dive({"id": text(F.col("o_orderkey")), "datetime": F.date_format("o_orderdate", "yyyy-MM-dd'T'09:30:00'Z'"), "greatestdepth": F.col("o_totalprice"), "diveduration": c * 10, "leadquantity": c % 4})
     dive = F.concat(F.regexp_replace(fields, "</dive>$", ""), link("gone", c), link("site", c % 10), link("mix", c % 3), F.repeat(point, (c % 3).cast("int")), F.lit("</dive>"))
     dive = F.replace(dive, F.lit("<link ref="), F.lit("<link _ref="))
     parsed = _orders(spark, d).select(F.from_xml(dive, files.XML_LOG, {"attributePrefix": "", "mode": "PERMISSIVE"}).alias("x")).select("x.*")
@@ -159,13 +156,13 @@ def import_sentinels(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, 'maxDepthM' AS field, o_totalprice::VARCHAR AS value FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, 'notes', o_orderpriority FROM orders""")
 def import_flatten(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).select("o_orderkey", F.when(KEY % 2 == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("double")).alias("depth"), "o_orderpriority")
+    rows = _orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice").cast("decimal(18,2)").cast("double")).alias("depth"), "o_orderpriority")
     return sheets.flattened(rows, ["o_orderkey"], {"depth": "maxDepthM", "o_orderpriority": "notes"})
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status, o_orderpriority AS priority FROM orders")
 def import_widen(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).select("o_orderkey", F.when(KEY % 2 == 0, F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"))
+    rows = _orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("s"), F.col("o_orderpriority").alias("p"))
     return sheets.widened(sheets.flattened(rows, ["o_orderkey"], {"s": "status", "p": "site.name"}), ["o_orderkey"], {"status": "status", "priority": "site.name"})
 
 
@@ -179,12 +176,12 @@ def export_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, '<dive><id>' || o_orderkey::VARCHAR || '</id>' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '<notes>' || o_orderpriority || ' &lt;&amp;&quot;&apos;&gt;</notes>' END || '</dive>' AS xml FROM orders""")
 def export_xml(spark: SparkSession, d: str) -> DataFrame:
-    return _orders(spark, d).select("o_orderkey", exports.xml_dive({"id": KEY, "notes": F.when(KEY % 3 != 0, F.concat("o_orderpriority", F.lit(" <&\"'>")))}).alias("xml"))
+    return _orders(spark, d).select("o_orderkey", exports.xml_dive({"id": F.col("o_orderkey"), "notes": F.when(F.col("o_orderkey") % 3 != 0, F.concat("o_orderpriority", F.lit(" <&\"'>")))}).alias("xml"))
 
 
 @query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',"status":"' || o_orderstatus || '"' END || ',"priority":"' || o_orderpriority || '"}' AS json FROM orders""")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).select("o_orderkey", F.when(KEY % 3 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
+    rows = _orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), F.col("o_orderpriority").alias("priority"))
     return rows.select("o_orderkey", exports.json_dive(["o_orderkey", "status", "priority"]).alias("json"))
 
 

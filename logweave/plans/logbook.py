@@ -12,9 +12,6 @@ from logweave.operators import audits, filters, linking, lists, merging, search,
 from logweave.plans.registry import query
 from logweave.sources.tables import read
 
-KEY, CUST = F.col("o_orderkey"), F.col("o_custkey")
-
-
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders")
 
@@ -42,7 +39,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     fields = ("rating", "gases", "maxDepthM")
     line = read(spark, d, "lineitem")
     n = F.col("l_linenumber")
-    a = _orders(spark, d).select(KEY.alias("record"), pick(KEY % 3, *fields).alias("field"), F.col("o_orderpriority").alias("value"), pick(KEY % 4, "uddf", "manual", "csv", "derived").alias("kind"), F.col("o_orderdate").alias("recorded_at"), F.lit("order").alias("source"))
+    a = _orders(spark, d).select(F.col("o_orderkey").alias("record"), pick(F.col("o_orderkey") % 3, *fields).alias("field"), F.col("o_orderpriority").alias("value"), pick(F.col("o_orderkey") % 4, "uddf", "manual", "csv", "derived").alias("kind"), F.col("o_orderdate").alias("recorded_at"), F.lit("order").alias("source"))
     b = line.select(F.col("l_orderkey").alias("record"), pick(F.col("l_orderkey") % 3, *fields).alias("field"), F.col("l_returnflag").alias("value"), pick(n % 4, "uddf", "spreadsheet", "shearwater", "manual").alias("kind"), F.col("l_shipdate").alias("recorded_at"), F.concat(F.lit("line"), n).alias("source"))
     return a.unionByName(b).withColumn("rank", merging.rank(F.col("field"), F.col("kind")))
 
@@ -82,8 +79,8 @@ WITH h AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 13 AS number FROM orders
      b AS (SELECT *, CASE WHEN w >= 1 AND free AND c = 1 THEN w END AS kept FROM a)
 SELECT o_orderkey, o_custkey, coalesce(kept, greatest(coalesce(max(kept) OVER (PARTITION BY o_custkey), 0), most) + row_number() OVER (PARTITION BY o_custkey, kept IS NULL ORDER BY o_orderdate, o_orderkey)) AS number FROM b""")
 def merge_claim_free_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).where("o_orderstatus <> 'F'").withColumn("wanted", KEY % 10)
-    held = _orders(spark, d).where("o_orderstatus = 'F'").select("o_custkey", (KEY % 13).alias("number"))
+    rows = _orders(spark, d).where("o_orderstatus <> 'F'").withColumn("wanted", F.col("o_orderkey") % 10)
+    held = _orders(spark, d).where("o_orderstatus = 'F'").select("o_custkey", (F.col("o_orderkey") % 13).alias("number"))
     return merging.claim_numbers(rows, "o_custkey", "o_orderdate", "o_orderkey", "wanted", held).select("o_orderkey", "o_custkey", "number")
 
 
@@ -196,7 +193,7 @@ ONE_ORDER = "SELECT '{0}' AS ordering, o_orderkey FROM (SELECT * FROM t ORDER BY
 {ONE_ORDER.format("newest", "o_orderdate DESC NULLS LAST, o_orderkey DESC")} UNION ALL {ONE_ORDER.format("oldest", "o_orderdate, o_orderkey")} UNION ALL {ONE_ORDER.format("deepest", "depth DESC NULLS LAST, o_orderkey")}
 UNION ALL {ONE_ORDER.format("longest", "length DESC NULLS LAST, o_orderkey")} UNION ALL {ONE_ORDER.format("number", "number DESC NULLS LAST, o_orderkey DESC")}""")
 def search_orders(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).select("o_orderkey", "o_orderdate", F.when(KEY % 3 != 0, F.col("o_totalprice")).alias("depth"), F.when(KEY % 4 != 0, CUST).alias("length"), (KEY % 1000).alias("number"))
+    rows = _orders(spark, d).select("o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("depth"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("length"), (F.col("o_orderkey") % 1000).alias("number"))
     columns = {"when": "o_orderdate", "depth": "depth", "length": "length", "number": "number"}
     found = None
     for order in search.ORDERS:
@@ -220,7 +217,7 @@ def list_related(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, max(o_orderkey % 50) AS largest, max(o_orderkey % 50) + 1 AS next FROM orders GROUP BY o_custkey")
 def list_next_number(spark: SparkSession, d: str) -> DataFrame:
-    return lists.next_number(_orders(spark, d).withColumn("number", KEY % 50), "o_custkey", "number")
+    return lists.next_number(_orders(spark, d).withColumn("number", F.col("o_orderkey") % 50), "o_custkey", "number")
 
 
 @query("SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_custkey")
@@ -230,7 +227,7 @@ def list_import_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS kind, count(*) AS batches, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus = 'O') AS committed, sum(o_orderkey % 100)::BIGINT AS rows, floor(100 * count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE + 0.5)::BIGINT AS failure_pct FROM orders GROUP BY 1")
 def list_health(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).select(F.col("o_orderpriority").alias("kind"), "o_orderstatus", (KEY % 100).alias("n"))
+    rows = _orders(spark, d).select(F.col("o_orderpriority").alias("kind"), "o_orderstatus", (F.col("o_orderkey") % 100).alias("n"))
     return lists.health(rows, "kind", "o_orderstatus", "n", "F", "O")
 
 
@@ -308,8 +305,8 @@ def state_patched(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey, 'o_orderstatus' AS field, o_orderstatus AS old, 'X' AS new FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority, NULL FROM orders WHERE o_orderkey % 5 = 0 AND o_orderpriority IS NOT NULL""")
 def state_audit(spark: SparkSession, d: str) -> DataFrame:
-    before = _orders(spark, d).select("o_orderkey", "o_orderstatus", "o_orderpriority", CUST.alias("o_clerk"))
-    after = before.select("o_orderkey", F.when(KEY % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(KEY % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), (F.col("o_clerk") + 1).alias("o_clerk"))
+    before = _orders(spark, d).select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("o_clerk"))
+    after = before.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("o_orderpriority"), (F.col("o_clerk") + 1).alias("o_clerk"))
     return state.audit(before, after, "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_clerk"], ["o_clerk"])
 
 
@@ -319,7 +316,7 @@ SELECT batch, ref, CASE WHEN batch = 3 AND ref % 2 = 0 THEN 'skipped' WHEN actio
 def state_committed(spark: SparkSession, d: str) -> DataFrame:
     n, ref = F.col("l_linenumber"), F.col("l_orderkey")
     rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("batch"), ref.alias("ref"), F.when(n % 3 == 0, "create").when(n % 3 == 1, "merge").otherwise("pending").alias("action"), ref.alias("target"))
-    records = _orders(spark, d).where(KEY % 4 != 0).select(KEY.alias("record"))
+    records = _orders(spark, d).where(F.col("o_orderkey") % 4 != 0).select(F.col("o_orderkey").alias("record"))
     done = rows.where("batch = 3 and ref % 2 = 0").select("batch", "ref")
     return state.committed(rows, records, done)
 
@@ -350,8 +347,8 @@ WITH v AS (SELECT o_custkey, o_orderpriority AS view, min(o_orderkey) AS positio
      b AS (SELECT coalesce(v.o_custkey, s.o_custkey) AS o_custkey, coalesce(v.view, s.view) AS view, coalesce(s.name, 'old') AS name, position, seq FROM v FULL JOIN s ON v.o_custkey = s.o_custkey AND v.view = s.view)
 SELECT o_custkey, view, name, coalesce(position, coalesce(max(position) OVER (PARTITION BY o_custkey), 0) + row_number() OVER (PARTITION BY o_custkey, position IS NULL ORDER BY seq, view)) AS position FROM b""")
 def state_saved_views(spark: SparkSession, d: str) -> DataFrame:
-    views = _orders(spark, d).where(KEY % 2 == 0).groupBy("o_custkey", F.col("o_orderpriority").alias("view")).agg(F.lit("old").alias("name"), F.min(KEY).alias("position"))
-    saved = _orders(spark, d).where(KEY % 2 == 1).select("o_custkey", F.col("o_orderpriority").alias("view"), KEY.alias("seq"), F.col("o_orderstatus").alias("name"))
+    views = _orders(spark, d).where(F.col("o_orderkey") % 2 == 0).groupBy("o_custkey", F.col("o_orderpriority").alias("view")).agg(F.lit("old").alias("name"), F.min(F.col("o_orderkey")).alias("position"))
+    saved = _orders(spark, d).where(F.col("o_orderkey") % 2 == 1).select("o_custkey", F.col("o_orderpriority").alias("view"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("name"))
     return state.upserted(views, saved, ["o_custkey", "view"])
 
 
@@ -377,7 +374,7 @@ def audit_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def audit_out_of_order(spark: SparkSession, d: str) -> DataFrame:
-    return audits.out_of_order(_orders(spark, d).withColumn("number", KEY % 97), "o_custkey", "o_orderdate", "number", "o_orderkey")
+    return audits.out_of_order(_orders(spark, d).withColumn("number", F.col("o_orderkey") % 97), "o_custkey", "o_orderdate", "number", "o_orderkey")
 
 
 @query("""
@@ -396,7 +393,7 @@ WITH a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderd
 SELECT o_orderkey, o_custkey, number FROM a WHERE number <> o_orderkey % 30""")
 def window_renumbering(spark: SparkSession, d: str) -> DataFrame:
     rows = stats.numbering(_orders(spark, d), "o_custkey", "o_orderdate", "o_orderkey", 10)
-    return stats.changed(rows, "number", KEY % 30).select("o_orderkey", "o_custkey", "number")
+    return stats.changed(rows, "number", F.col("o_orderkey") % 30).select("o_orderkey", "o_custkey", "number")
 
 
 @query("""
