@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import cut, slices, texts
+from logweave.llm.common import byte_view, cut, slices, texts
 
 SEED = 42
 #: Different fingerprints of one variant bucket that are still joined pair by pair.
@@ -31,6 +31,10 @@ BROADCAST_KEYS = 500_000
 BLOCK = 1 << 16
 #: Bands and least hashes in each: of pairs of similarity 0.8, all but 5 in 100 million share a band.
 BANDS, ROWS = 32, 4
+#: Sets of undecided buckets that have a shingle in common for it to be a rare one, by which all of them are compared.
+RARE = 16
+#: Text bytes whose shingles a task holds at a time.
+SLICE = 1 << 20
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -72,7 +76,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 fps = np.array([fingerprint(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -168,7 +172,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 sets = [np.unique(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()]
                 ids = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 bands = np.array([band_keys(x) for x in sets]).view(np.int64).ravel()
@@ -179,15 +183,23 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, id long, n long, bands array<long>")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have at least the Jaccard similarity `least`, counted exactly."""
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes) of ids (id, key): the sorted set of each one's k-word shingles as packed unsigned 64-bit numbers."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, SLICE):
                 found = [np.unique(shingle_hashes(t, k)).tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "hashes"])
 
+    ids = cut(ids)
+    texts_of = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "key").select("id", "text")
+    return cut(texts_of.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets have at least the Jaccard similarity `least`, counted exactly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -199,20 +211,32 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, leas
 
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(classes.join(ids, "id").select("id", "key"))
-    texts_of = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key").select("id", "text")
-    found = cut(texts_of.mapInArrow(sets, "id long, hashes binary").dropDuplicates(["id"]))
+    found = sets_of(classes.join(ids, "id").select("id", "key"), docs, k)
     one, two = found.select(F.col("id").alias("a"), F.col("hashes").alias("x")), found.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
+def rare_shingles(sets: DataFrame, rare: int = RARE) -> DataFrame:
+    """(id, h) of sets (id, hashes): the shingles h that at most `rare` of the sets have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = byte_view(batch.column(1))
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(at) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.frombuffer(data.tobytes(), np.int64))], ["id", "h"])
+
+    every = cut(sets.mapInArrow(run, "id long, h long"))
+    return cut(every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= rare).select("h"), "h").select("id", "h"))
+
+
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, root) of rows (key, text): root is the least key of the component over pairs of that Jaccard similarity.
 
     Candidates share one of the band keys and fit in size. The members of a bucket are compared with two of them, those of
     least and greatest hash, which a group of near copies has in common in most of its buckets; so a group takes work in
-    proportion to its members. In buckets that then still hold several components, all members outside the most common one
-    are compared with all members of other components: only pairs that are connected already go without comparison.
+    proportion to its members. Buckets that then still hold several components are gone through in two exact ways: members
+    that share a shingle that few of them have are compared; all others share common shingles alone, and where those are
+    too few for the similarity, as in copies with many edits of their own, a pair is not even made.
     """
     rows = cut(sketches(docs, k))
     classes = cut(rows.groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -229,9 +253,19 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     inside = members.where("c > 2").select("band", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     inside = cut(inside)
     tops = inside.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("several"))
-    mixed = cut(inside.join(tops.where("several > 1"), "band"))
-    outside = mixed.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    rest = cut(ordered(mixed.join(outside, "band").where("root != other_root").select("id", "n", "other", "m")))
+    mixed = cut(inside.join(tops.where("several > 1").drop("several"), "band"))
+    nodes = cut(mixed.select("id", "n", "root").distinct())
+    rare = rare_shingles(sets_of(classes.join(nodes.select("id"), "id").select("id", "key"), docs, k))
+    common = cut(nodes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", "root", (F.col("n") - F.coalesce("r", F.lit(0))).alias("s")))
+    x = rare.join(common, "id")
+    y = x.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    shared = x.join(y, "h").where("id < other and root != other_root").select("id", "n", "other", "m")
+    inner = mixed.select("band", "id", "main").join(common, "id")
+    outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"))
+    most = F.least("s", "t")
+    enough = most >= least * (F.col("n") + F.col("m") - most) - 1e-9
+    without = inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(enough).select("id", "n", "other", "m")
+    rest = cut(ordered(shared.unionByName(without)))
     if rest.limit(1).count():
         roots = cut(components(found.unionByName(verified(rest, classes, docs, k, least))))
     owner = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("top"))
