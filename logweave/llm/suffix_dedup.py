@@ -7,7 +7,7 @@ the texts of whole anchors: only suffixes smaller than their successors are sort
 scanning the buckets of first bytes upwards, and windows whose common prefix with a neighbour reaches WIDTH are repeated.
 Their spans go back to the documents that hold the segments.
 
-Nothing is capped. An anchor with more than ANCHOR_SEGMENTS different segments is split into its single windows, each
+Nothing is capped. An anchor whose different segments have more than ANCHOR_BYTES is split into its single windows, each
 named by its own hash, before it reaches a task; a run longer than MOST_WINDOWS is cut into several segments.
 """
 
@@ -24,7 +24,8 @@ from logweave.llm.common import binary_column, byte_view, cut, slices, texts
 
 WIDTH, GRAM = 200, 32
 MOST_WINDOWS = 4096
-ANCHOR_SEGMENTS = 50_000
+#: Bytes of the different segments of one anchor that still go into one suffix array.
+ANCHOR_BYTES = 8 << 20
 #: Anchors (8 bytes each) that are broadcast at the most; with more of them documents are joined to their anchors.
 BROADCAST_ANCHORS = 4_000_000
 #: Bytes of segments in one suffix array, if no single anchor has more.
@@ -237,7 +238,7 @@ def _anchors_by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(anchor.view(np.int64))], ["key", "anchor"])
 
 
-SEGMENT = "key long, start long, anchor long, windows long, body binary"
+SEGMENT = "key binary, start long, anchor long, windows long, body binary"
 
 
 def _cut_segments(batch: pa.RecordBatch, wanted) -> pa.RecordBatch:
@@ -259,7 +260,7 @@ def shared_segments(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS)
     """Segments (SEGMENT columns) of the anchors that occur more than once in docs (key, text)."""
     anchors = cut(docs.mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     if anchors.count() <= broadcast_anchors:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r for b in anchors.toArrow().column(0).chunks for r in b.to_numpy()], np.int64).view(np.uint64)))
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(anchors.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             these = known.value
@@ -272,7 +273,7 @@ def shared_segments(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS)
                     yield _cut_segments(batch, wanted)
 
         return docs.mapInArrow(pick, SEGMENT)
-    own = docs.mapInArrow(_anchors_by_document, "key long, anchor long").join(anchors, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    own = docs.mapInArrow(_anchors_by_document, "key binary, anchor long").join(anchors, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
 
     def pick_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -357,17 +358,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(data[~gone], kept).cast(pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), found).cast(kind), pa.array(np.diff(at))], ["doc_id", "kept", "spans", "n_bytes"])
 
 
-def remove_repeats(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS, anchor_segments: int = ANCHOR_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, broadcast_anchors: int = BROADCAST_ANCHORS, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(doc_id, kept, spans, n_bytes): the bytes of each text without those under a string of WIDTH bytes that occurs twice.
 
     spans are the maximal removed runs as byte places of the input. A null text is empty. Repeated rows are documents of
     their own, so each repeats the other; texts shorter than WIDTH bytes are kept whole; a null doc_id is carried.
     """
-    rows = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    # 128 bits, since cutting another text's bytes must not happen however many texts there are
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
+    rows = texts(docs).withColumn("key", F.unhex(F.md5(name.cast("binary"))))
     parts = cut(shared_segments(rows.select("key", "text"), broadcast_anchors).withColumn("a", F.xxhash64("body")).withColumn("b", F.xxhash64(F.lit(1), "body")))
     different = parts.groupBy("anchor", "a", "b").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     different = cut(different)
-    crowded = different.groupBy("anchor").count().where(F.col("count") > anchor_segments).select("anchor")
+    crowded = different.groupBy("anchor").agg(F.sum(F.length("body")).alias("n")).where(F.col("n") > anchor_bytes).select("anchor")
     if crowded.limit(1).count():
         alone = different.join(crowded, "anchor", "left_semi").select("a", "b", F.lit(0).cast("long").alias("start"), "copies", "body").mapInArrow(_single_windows, "a long, b long, start long, copies long, body binary")
         hot = cut(alone)
