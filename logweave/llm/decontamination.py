@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from logweave.llm.common import cut, slices, texts
 
 WINDOW, LEAST_WORDS, COVERAGE = 5, 2, 0.8
-#: Benchmark windows (8 bytes each) that are broadcast at the most; with more of them the windows of documents shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Different benchmark windows (8 bytes each) that are broadcast to filter documents' windows at the most, and rows of windows
+#: with their slots (some 100 bytes each) that are broadcast to be joined; beyond that the joins shuffle.
+BROADCAST_WINDOWS, BROADCAST_ROWS = 2_000_000, 200_000
 #: Text bytes whose tokens are held at a time.
 SLICE = 1 << 20
 #: Distinct words that a task remembers.
@@ -208,7 +209,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     return places, size
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, doc_id, item_id, n_windows, n_found, coverage) of each document and item it contains.
 
     key is xxhash64(doc_id, text): repeated rows are one row here. Null texts count as empty and match nothing, as do items
@@ -225,7 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         known = docs.sparkSession.sparkContext.broadcast(Known(column.view(np.uint64)))
     hits = template_windows(rows.select("key", "text"), known, window)
     hits = cut(hits if small else hits.join(hashes, "hash", "left_semi"))
-    side = F.broadcast(items) if small else items
+    few = items.count() <= broadcast_rows
+    side = F.broadcast(items) if few else items
     by_value = F.col("reading") == VALUE
     # by values a window needs no alignment, so one of equal windows of a document is enough
     same = hits.where(by_value).select("key", "hash").distinct().join(side.where(by_value).select("hash", "item", "covers"), "hash").select("key", "item", "covers")
@@ -242,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     covered = templates.unionByName(same).distinct()
     counts = covered.groupBy("key", "item").agg(F.count(F.lit(1)).alias("n_found"))
     share = F.least(F.col("n_found") / F.col("n_windows"), F.lit(1.0))
-    flagged = counts.join(F.broadcast(size) if small else size, "item").withColumn("coverage", share).where(F.col("coverage") >= coverage)
+    flagged = counts.join(F.broadcast(size) if few else size, "item").withColumn("coverage", share).where(F.col("coverage") >= coverage)
     ids = rows.select("key", "doc_id").distinct()
     return ids.join(flagged, "key").select("key", "doc_id", F.col("item").alias("item_id"), "n_windows", "n_found", "coverage")
 

@@ -57,7 +57,7 @@ def test_repeats(docs):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want.append((i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-    for settings in ({}, {"broadcast_anchors": 0}, {"anchor_segments": 1}):
+    for settings in ({}, {"broadcast_anchors": 0}, {"anchor_bytes": 1}):
         got = suffix_dedup.remove_repeats(docs, **settings).collect()
         assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == sorted(want, key=repr)
 
@@ -143,10 +143,10 @@ def test_one_of_each_keeps_columns_and_singles(docs):
 @pytest.mark.parametrize("broadcast_windows", [2_000_000, 0])
 def test_contamination(spark, docs, broadcast_windows):
     bench = spark.createDataFrame([(1, PASSAGE, "x"), (2, PASSAGE, "x"), (3, None, "x"), (4, "", "x"), (5, "z", "x"), (None, "z", "x")], "item_id long, text string, hash string")
-    got = decontamination.contaminated(docs, bench, broadcast_windows=broadcast_windows).collect()
+    got = decontamination.contaminated(docs, bench, broadcast_windows=broadcast_windows, broadcast_rows=broadcast_windows).collect()
     # verbatim, in lower case, and with other numbers and another name; a reordered sentence is not the passage
     assert sorted((r.doc_id, r.item_id) for r in got) == [(206, 5), (300, 1), (301, 1), (302, 1)]
-    kept = decontamination.decontaminate(docs, bench, broadcast_windows=broadcast_windows)
+    kept = decontamination.decontaminate(docs, bench, broadcast_windows=broadcast_windows, broadcast_rows=broadcast_windows)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 5
 
 
