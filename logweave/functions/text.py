@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 NULL_TOKENS = ["", "-", "--", "?", "n/a", "na", "none", "null", "unknown"]
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def no_null_tokens(c: Column) -> Column:
     """The trimmed text, or null where it is a token for a missing value."""
-    return F.when(~F.lower(F.trim(c)).isin(NULL_TOKENS), F.trim(c))
+    return once(F.trim(c), lambda t: F.when(~F.lower(t).isin(NULL_TOKENS), t))
 
 
 def clean_number(c: Column) -> Column:
     """A finite number written with optional thousands commas, else null."""
-    plain = F.regexp_replace(F.trim(c), ",", "")
+    return once(F.regexp_replace(F.trim(c), ",", ""), _finite)
+
+
+def _finite(plain: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
