@@ -52,7 +52,15 @@ def place(docs: DataFrame, names: list[str] = SHARDS, slots: int = SLOTS, key: s
 
 
 def write(docs: DataFrame, path: str, names: list[str] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:
-    """Write documents in one folder for each shard; a shard's rows are spread over `files` tasks."""
-    placed = place(docs, names, slots).dropDuplicates(["doc_id"])
-    rows = docs.alias("d").join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", F.col("p.shard").alias("shard"))
-    rows.repartition(len(names) * files, "shard", F.pmod(F.xxhash64("doc_id"), F.lit(files))).write.partitionBy("shard").parquet(path)
+    """Write documents in one folder for each shard; a shard's rows are spread over `files` tasks. Texts move once.
+
+    The folders are named by column shard, or shard_ and so on where docs has that column itself. Nulls are kept as they are.
+    """
+    column = "shard"
+    while column in docs.columns:
+        column += "_"
+    shard = F.get(F.array(*[F.lit(n) for n in names]), F.col("_claim.owner"))
+    claimed = docs.sparkSession.createDataFrame([(slot, i) for slot, i in enumerate(fill(names, slots))], "slot int, owner int").select(F.struct("owner").alias("_claim"), F.col("slot").alias("_slot"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("_slot"), F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("file"))
+    placed = own.join(F.broadcast(claimed), "_slot").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], shard.alias(column), F.col("file").alias("_file"))
+    placed.repartition(len(names) * files, column, "_file").drop("_file").write.partitionBy(column).parquet(path)
