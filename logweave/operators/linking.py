@@ -230,3 +230,15 @@ def site_matches(points: DataFrame, sites: DataFrame) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("owner", "point_id").agg(F.min_by(F.struct("site_id", "rule"), "k").alias("b"))
     return best.select("owner", "point_id", "b.site_id", "b.rule")
+
+
+def filled_places(sites: DataFrame, matches: DataFrame, points: DataFrame) -> DataFrame:
+    """sites (owner, site_id, lat, lon, ...) whose coordinate is not valid get that of the least matched point that has one.
+
+    matches: (owner, point_id, site_id), points: (owner, point_id, lat, lon). A valid coordinate is never changed.
+    """
+    there = points.where(valid(F.col("lat"), F.col("lon"))).select("owner", "point_id", F.struct("lat", "lon").alias("at"))
+    first = matches.join(there, ["owner", "point_id"]).groupBy("owner", "site_id").agg(F.min_by("at", "point_id").alias("_at"))
+    keep = valid(F.col("lat"), F.col("lon")) | F.col("_at").isNull()
+    joined = sites.join(first, ["owner", "site_id"], "left")
+    return joined.withColumns({c: F.when(keep, F.col(c)).otherwise(F.col(f"_at.{c}")) for c in ("lat", "lon")}).select(*sites.columns)

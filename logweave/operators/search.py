@@ -53,3 +53,13 @@ def ordered(df: DataFrame, order: str, columns: dict[str, str], key: str, most:
     role, falls = ORDERS[order]
     first = F.desc_nulls_last(columns[role]) if falls else F.asc_nulls_last(columns[role])
     return df.orderBy(first, F.desc(key) if falls and role in ("when", "number") else F.asc(key)).limit(most)
+
+
+def trips_in_order(df: DataFrame, start: str, made: str, key: str, most: int = MOST) -> DataFrame:
+    """Trips by falling start day, those without one last, then by falling time of making, ties by key."""
+    return df.orderBy(F.desc_nulls_last(start), F.desc_nulls_last(made), key).limit(most)
+
+
+def gear_in_order(df: DataFrame, retired: str, name: str, key: str, most: int = MOST) -> DataFrame:
+    """Gear in use before retired gear (by falling day), then by name in any case, ties by key."""
+    return df.orderBy(F.col(retired).isNotNull(), F.desc(retired), F.lower(name), key).limit(most)

@@ -42,3 +42,15 @@ def match(tags: DataFrame, column: str, taxonomy: list[tuple[str, str, list[str]
     fuzzy = close.select("input", F.lit(2).alias("o"), near.alias("distance"), *told, F.lit("fuzzy").alias("kind"))
     best = same.unionByName(fuzzy).groupBy("input").agg(F.min(F.struct("o", "distance", "place", "kind", "entry", "label")).alias("b"))
     return tried.join(best, "input", "left").select("input", F.coalesce("b.kind", F.lit("new")).alias("kind"), F.coalesce("b.entry", "own").alias("slug"), F.coalesce("b.label", F.trim("input")).alias("label"), "b.distance")
+
+
+def resolved(tags: DataFrame, known: DataFrame) -> DataFrame:
+    """(owner, input, slug, tag_id, is_new) of tags (owner, input): the tag of that slug, a common one (owner null) before the
+    owner's own, of several the least tag_id; without one the tag is new. known: (owner, slug, tag_id). Empty slugs are dropped.
+    """
+    asked = tags.select("owner", "input", slug(F.col("input")).alias("slug")).where("slug <> ''").distinct()
+    common = known.where("owner is null").groupBy("slug").agg(F.min("tag_id").alias("common"))
+    own = known.where("owner is not null").groupBy("owner", "slug").agg(F.min("tag_id").alias("own"))
+    found = asked.join(common, "slug", "left").join(own, ["owner", "slug"], "left")
+    tag = F.coalesce("common", "own")
+    return found.select("owner", "input", "slug", tag.alias("tag_id"), tag.isNull().alias("is_new"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import offsets
-from logweave.operators import relations
+from logweave.operators import linking, relations, search, taxonomy
 from logweave.plans.registry import query
+from logweave.sources import exports, files
 from logweave.sources.tables import read
 
 
@@ -134,3 +135,48 @@ def clean_times(spark: SparkSession, d: str) -> DataFrame:
     minutes = F.when(k != 2, (key() % 5 * 60).cast("int"))
     done = offsets.completed(F.when(k != 0, s), F.when(k == 0, s).when(k == 2, s + 7200), minutes)
     return _orders(spark, d).select("o_orderkey", done.alias("t")).select("o_orderkey", "t.utc", F.col("t.local").alias("local_s"), "t.minutes")
+
+
+@query("""
+WITH p AS (SELECT c_nationkey AS owner, c_custkey % 30 AS site_id, min(c_custkey) FILTER (c_custkey % 4 <> 0) AS k FROM customer GROUP BY 1, 2)
+SELECT s_nationkey AS owner, s_suppkey AS site_id, CASE WHEN s_suppkey % 3 = 0 OR k IS NULL THEN CASE WHEN s_suppkey % 3 = 1 THEN 0.0 WHEN s_suppkey % 3 = 0 THEN 10.0 END ELSE (k % 80)::DOUBLE END AS lat FROM supplier LEFT JOIN p ON p.owner = s_nationkey AND p.site_id = s_suppkey""")
+def link_filled_places(spark: SparkSession, d: str) -> DataFrame:
+    s, c = F.col("s_suppkey") % 3, F.col("c_custkey")
+    sites = read(spark, d, "supplier").select(F.col("s_nationkey").alias("owner"), F.col("s_suppkey").alias("site_id"), F.when(s == 0, 10.0).when(s == 1, 0.0).alias("lat"), F.when(s == 0, 10.0).when(s == 1, 0.0).alias("lon"))
+    points = read(spark, d, "customer").select(F.col("c_nationkey").alias("owner"), c.alias("point_id"), F.when(c % 4 != 0, (c % 80).cast("double")).alias("lat"), F.lit(7.0).alias("lon"), (c % 30).alias("site_id"))
+    return linking.filled_places(sites, points.select("owner", "point_id", "site_id"), points).select("owner", "site_id", "lat")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT o_custkey AS owner, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END AS input, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM orders),
+     o AS (SELECT o_custkey AS owner, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug, min(o_orderkey) AS tag FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2)
+SELECT a.owner AS owner, input, a.slug AS slug, CASE WHEN a.slug LIKE '1%' THEN -1 ELSE tag END AS tag_id, a.slug NOT LIKE '1%' AND tag IS NULL AS is_new FROM a LEFT JOIN o ON o.owner = a.owner AND o.slug = a.slug""")
+def link_resolved_tags(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d)
+    tags = rows.select(F.col("o_custkey").alias("owner"), F.concat("o_orderpriority", F.when(key() % 2 == 0, "!").otherwise("")).alias("input"))
+    form = F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "-"))
+    own = rows.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("owner"), form.alias("slug"), key().alias("tag_id"))
+    common = rows.where("o_orderpriority like '1%'").select(F.lit(None).cast("long").alias("owner"), form.alias("slug"), F.lit(-1).cast("long").alias("tag_id")).distinct()
+    return taxonomy.resolved(tags, own.unionByName(common))
+
+
+@query("""
+SELECT 'trip' AS kind, o_orderkey FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS s FROM orders ORDER BY s DESC NULLS LAST, o_custkey DESC, o_orderkey LIMIT 200)
+UNION ALL SELECT 'gear', o_orderkey FROM (SELECT *, CASE WHEN o_orderkey % 1000 < 5 THEN NULL ELSE o_orderdate END AS r FROM orders ORDER BY r IS NOT NULL, r DESC, lower(o_orderpriority), o_orderkey LIMIT 200)""")
+def search_trips_and_gear(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d)
+    trips = search.trips_in_order(rows.withColumn("s", F.when(key() % 3 != 0, F.col("o_orderdate"))), "s", "o_custkey", "o_orderkey").select(F.lit("trip").alias("kind"), "o_orderkey")
+    gear = search.gear_in_order(rows.withColumn("r", F.when(key() % 1000 >= 5, F.col("o_orderdate"))), "r", "o_orderpriority", "o_orderkey").select(F.lit("gear").alias("kind"), "o_orderkey")
+    return trips.unionAll(gear)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'profiles/' || o_custkey::VARCHAR || '/' || left(sha256(o_orderpriority), 32) END AS name FROM orders")
+def export_profile_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d).select("o_orderkey", exports.profile_key(F.col("o_custkey"), F.when(key() % 2 == 0, F.col("o_orderpriority")).cast("binary")).alias("name"))
+
+
+@query("SELECT 'a' AS import, o_orderkey AS id, o_orderstatus AS status, NULL AS kind FROM orders UNION ALL SELECT 'b', event_id, NULL, event_type FROM events")
+def import_together(spark: SparkSession, d: str) -> DataFrame:
+    a = _orders(spark, d).select(key().alias("id"), F.col("o_orderstatus").alias("status"))
+    b = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    return files.together({"a": a, "b": b}).select("import", "id", "status", "kind")

@@ -58,3 +58,9 @@ def dictionary(dives: DataFrame, order: str, columns: list[str]) -> DataFrame:
 def json_dive(columns: list[str]) -> Column:
     """A row as JSON; what is null is left out."""
     return F.to_json(F.struct(*columns))
+
+
+def profile_key(record: Column, blob: Column) -> Column:
+    """The name under which a profile is stored: its record and the first 32 digits of its content's sha256, so equal content
+    is stored once; null for no content."""
+    return F.concat(F.lit("profiles/"), record.cast("string"), F.lit("/"), F.substring(F.sha2(blob, 256), 1, 32))

@@ -116,3 +116,14 @@ def first_uploads(files: DataFrame) -> DataFrame:
     earlier = F.when(F.col("before") < F.col("at"), F.struct("before", "other"))
     got = both.groupBy("owner", "batch").agg(F.max(earlier).alias("b"))
     return named.select("owner", "batch").join(got, ["owner", "batch"], "left").select("owner", "batch", F.col("b.other").alias("duplicate_of"))
+
+
+def together(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several imports as one table with column import; columns that one of them lacks are null there."""
+    found = None
+    for name, rows in parts.items():
+        one = rows.withColumn("import", F.lit(name))
+        found = one if found is None else found.unionByName(one, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("at least one import is needed")
+    return found
