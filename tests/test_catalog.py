@@ -32,7 +32,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+def test_all_but_one_have_sql():
+    """The rows beside a longest run are tested by brute force in test_matching_and_audits.py."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"audit_out_of_order"}
+
+
+@pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
     mine, theirs = rows(catalog.QUERIES[name](spark, FOLDER).toPandas()), rows(duck.execute(catalog.ORACLE_SQL[name]).df())
     assert mine[0] == theirs[0]
