@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Distinct words that a task remembers, none of them longer than LONGEST letters (so some tens of MB); beyond that the
-#: memory is emptied and filled anew, and longer words are encoded each time.
-REMEMBERED, LONGEST = 150_000, 64
+#: Distinct words that one generation of a task's memory holds, none of them longer than LONGEST letters (so some tens of
+#: MB). A full generation becomes the old one, from which words in use are taken over; longer words are encoded each time.
+REMEMBERED, LONGEST = 120_000, 64
 
 
 #: Latin-1 letters with punctuation after them. The tokenizer cuts between the two and lower-cases the letters, which in
@@ -32,16 +32,20 @@ class WordEncoder:
         self.plain = Tokenizer.from_file(path)
         self.model = self.plain.model
         self.seen: dict[str, bytes] = {}
+        self.seen_before: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.parts_before: dict[str, bytes] = {}
 
     def part(self, p: str) -> bytes:
         """Ids of lower-case letters or of punctuation, straight from the merge table."""
         found = self.parts.get(p)
         if found is None:
-            spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
-            found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            found = self.parts_before.get(p)
+            if found is None:
+                spelled = p if p.isascii() else "".join([BYTE_CHARS[b] for b in p.encode()])
+                found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
             if len(self.parts) > REMEMBERED:
-                self.parts = {"": b""}
+                self.parts_before, self.parts = self.parts, {"": b""}
             if len(p) <= LONGEST:
                 self.parts[p] = found
         return found
@@ -58,11 +62,17 @@ class WordEncoder:
             return b"".join([self.seen[w] for w in words])
         except KeyError:
             pass
-        fresh = {w for w in words if len(w) <= LONGEST and w not in self.seen}
-        if len(self.seen) + len(fresh) > REMEMBERED:
-            self.seen.clear()
-            fresh = set()
-        seen = self.seen
-        for w in fresh:
-            seen[w] = self.encode_word(w)
-        return b"".join([seen[w] if w in seen else self.encode_word(w) for w in words])
+        if len(self.seen) > REMEMBERED:
+            self.seen_before, self.seen = self.seen, {}
+        seen, before = self.seen, self.seen_before
+        out = []
+        for w in words:
+            found = seen.get(w)
+            if found is None:
+                found = before.get(w)
+                if found is None:
+                    found = self.encode_word(w)
+                if len(w) <= LONGEST:
+                    seen[w] = found
+            out.append(found)
+        return b"".join(out)
