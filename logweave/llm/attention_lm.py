@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import binary_column, byte_view, cut, fold, slices, texts
 from logweave.llm.simhash import words_of
-from logweave.llm.subwords import LONGEST, REMEMBERED, WordEncoder
+from logweave.llm.subwords import WordEncoder
 
 STRIDE, WIDTH = 16, 16  # tokens scored in a window; numbers in a state
 SYMBOLS, HASHED = 1024, 32
@@ -43,8 +43,9 @@ BATCH, RATE, RATE_ON = 256, 0.01, 0.003
 AVERAGES = 16
 #: The most frequent words, whose counts every task holds; counts of all others are joined.
 HEAD = 100_000
-#: Different words that a task counts before it hands them on.
-COUNTED = 200_000
+#: Different words that a task counts before it hands them on, and those that it knows the ids of (some 100 MB at the most,
+#: as words above LONG bytes are forgotten after their batch).
+COUNTED, REMEMBERED, LONG = 200_000, 400_000, 1 << 16
 #: Windows that are scored at a time, and bytes of ids (two for each) that a task holds as windows.
 STEP, HELD = 128, 1 << 19
 SEED = 11
@@ -357,7 +358,7 @@ class WordCodes(dict):
         self.words.append(word)
         self.worth.append(np.nan if c is None else np.log10(c + 0.5) - self.low)
         self.ids.append(b"" if word == TEXT_END else self.encoder.encode_word(word.decode()))
-        self.long |= len(word) > LONGEST * 1024
+        self.long |= len(word) > LONG
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
