@@ -66,3 +66,8 @@ def review(rows: DataFrame, decision: str, reasons: str, issues: str) -> DataFra
     issue that is more than information."""
     worse = F.exists(issues, lambda i: i["severity"] != "info")
     return rows.groupBy(decision, F.array_join(reasons, "; ").alias("reasons")).agg(F.count(F.lit(1)).alias("n"), F.count_if(worse).alias("with_problems"))
+
+
+def site_totals(dives: DataFrame, owner: str, site: str) -> DataFrame:
+    """(owner, n, sites, unlocated): an owner's dives, the different sites among them, and dives without a site."""
+    return dives.groupBy(owner).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(site).alias("sites"), F.count_if(F.col(site).isNull()).alias("unlocated"))

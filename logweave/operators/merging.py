@@ -148,3 +148,17 @@ def orphans(assertions: DataFrame, sources: DataFrame) -> DataFrame:
     """(record, deleted): the records that a revert of these sources touches, and whether it leaves them without a source."""
     marked = assertions.join(sources.select("source").distinct().withColumn("gone", F.lit(True)), "source", "left")
     return marked.groupBy("record").agg(F.count_if(F.col("gone").isNotNull()).alias("n_gone"), F.count(F.lit(1)).alias("n")).where("n_gone > 0").select("record", (F.col("n_gone") == F.col("n")).alias("deleted"))
+
+
+def recorded_at(utc: Column, local: Column, now: Column) -> Column:
+    """When a source recorded what it says: its universal time, else its wall clock, else now."""
+    return F.coalesce(utc, local, now)
+
+
+def profiles(resolved: DataFrame, blobs: DataFrame, field: str = "profile") -> DataFrame:
+    """(record, source, blob) of records whose `field` some source still asserts: the winning source's own blob.
+
+    resolved: see resolve(); blobs: (record, source, blob). A record that no source gives a profile has no row.
+    """
+    won = resolved.where(F.col("field") == field).select("record", "source")
+    return won.join(blobs.groupBy("record", "source").agg(F.min("blob").alias("blob")), ["record", "source"])

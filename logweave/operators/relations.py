@@ -116,3 +116,19 @@ def overruled(rows: DataFrame, batches: DataFrame, choices: DataFrame) -> DataFr
     last = choices.groupBy("batch", "ref").agg(F.max_by("decision", "seq").alias("chosen"))
     open_ = batches.where("state = 'review'").select("batch").distinct()
     return rows.join(last.join(open_, "batch", "left_semi"), ["batch", "ref"], "left").select("batch", "ref", F.coalesce("chosen", "decision").alias("decision"))
+
+
+def visited(dives: DataFrame, sites: DataFrame, regions: DataFrame, owner: str, site: str, region: str) -> DataFrame:
+    """(owner, site, region, n): the sites where each owner dived, with the region's name (regions: region, name), null if none.
+
+    Dives at no known site are left out; dives are counted before they are joined.
+    """
+    counted = dives.where(F.col(site).isNotNull()).groupBy(owner, site).agg(F.count(F.lit(1)).alias("n"))
+    known = sites.select(site, region).dropDuplicates([site])
+    names = regions.select(F.col(regions.columns[0]).alias(region), F.col(regions.columns[1]).alias("_name")).dropDuplicates([region])
+    return counted.join(known, site).join(names, region, "left").select(owner, site, F.col("_name").alias("region"), "n")
+
+
+def open_rows(rows: DataFrame, batches: DataFrame, states: list[str]) -> DataFrame:
+    """Import rows with the owner and kind of their batch (batches: batch, owner, kind, state), of batches in these states."""
+    return rows.join(batches.where(F.col("state").isin(states)).select("batch", "owner", "kind").dropDuplicates(["batch"]), "batch")

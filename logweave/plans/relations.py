@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import offsets
-from logweave.operators import linking, relations, search, taxonomy
+from logweave.operators import linking, lists, merging, relations, search, taxonomy
 from logweave.plans.registry import query
 from logweave.sources import exports, files
 from logweave.sources.tables import read
@@ -180,3 +180,38 @@ def import_together(spark: SparkSession, d: str) -> DataFrame:
     a = _orders(spark, d).select(key().alias("id"), F.col("o_orderstatus").alias("status"))
     b = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
     return files.together({"a": a, "b": b}).select("import", "id", "status", "kind")
+
+
+@query("SELECT o_orderpriority AS owner, o_custkey AS site, n_name AS region, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0 GROUP BY 1, 2, 3")
+def relate_visited(spark: SparkSession, d: str) -> DataFrame:
+    dives = _orders(spark, d).select(F.col("o_orderpriority").alias("owner"), F.col("o_custkey").alias("site"))
+    sites = read(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("region"))
+    return relations.visited(dives, sites, read(spark, d, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", "n_name"), "owner", "site", "region")
+
+
+@query("SELECT o_orderkey, o_custkey AS batch, c_nationkey AS owner, c_mktsegment AS kind FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 3 <> 2")
+def relate_open_rows(spark: SparkSession, d: str) -> DataFrame:
+    state = F.get(F.array(F.lit("review"), F.lit("mapping"), F.lit("committed")), (F.col("c_custkey") % 3).cast("int"))
+    batches = read(spark, d, "customer").select(F.col("c_custkey").alias("batch"), F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("kind"), state.alias("state"))
+    return relations.open_rows(_orders(spark, d).select("o_orderkey", F.col("o_custkey").alias("batch")), batches, ["review", "mapping"]).select("o_orderkey", "batch", "owner", "kind")
+
+
+@query("SELECT o_custkey, count(*) AS n, count(DISTINCT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END) AS sites, count(*) FILTER (o_orderkey % 5 = 0) AS unlocated FROM orders GROUP BY o_custkey")
+def list_site_totals(spark: SparkSession, d: str) -> DataFrame:
+    return lists.site_totals(_orders(spark, d).withColumn("site", F.when(key() % 5 != 0, F.col("o_orderpriority"))), "o_custkey", "site")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE + 1 ELSE DATE '2024-01-01' END AS recorded FROM orders")
+def merge_recorded_at(spark: SparkSession, d: str) -> DataFrame:
+    day, k = F.to_date("o_orderdate"), key() % 3
+    return _orders(spark, d).select("o_orderkey", merging.recorded_at(F.when(k == 0, day), F.when(k < 2, F.date_add(day, 1)), F.lit("2024-01-01").cast("date")).alias("recorded"))
+
+
+@query("""
+WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_shipdate DESC, l_linenumber::VARCHAR, l_quantity) AS k FROM lineitem WHERE l_returnflag <> 'R'),
+     b AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS blob FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)
+SELECT v.l_orderkey AS record, v.l_linenumber::VARCHAR AS source, blob FROM v JOIN b ON b.l_orderkey = v.l_orderkey AND b.l_linenumber = v.l_linenumber WHERE k = 1""")
+def merge_profiles(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = read(spark, d, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("record"), F.lit("profile").alias("field"), F.col("l_quantity").alias("value"), (n % 2).alias("rank"), F.col("l_shipdate").alias("recorded_at"), n.cast("string").alias("source"))
+    return merging.profiles(merging.resolve(rows), rows.select("record", "source", F.col("value").alias("blob")))
