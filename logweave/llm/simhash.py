@@ -260,7 +260,8 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     x = rare.join(common, "id")
     y = x.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     shared = x.join(y, "h").where("id < other and root != other_root").select("id", "n", "other", "m")
-    inner = mixed.select("band", "id", "main").join(common, "id")
+    # a set whose common shingles are too few for itself is like none of the others
+    inner = mixed.select("band", "id", "main").join(common.where(F.col("s") >= least * F.col("n") - 1e-9), "id")
     outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"))
     most = F.least("s", "t")
     enough = most >= least * (F.col("n") + F.col("m") - most) - 1e-9
