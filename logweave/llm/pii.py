@@ -71,17 +71,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def rotate(c: Column, by: Column, hexadecimal: bool) -> Column:
-    """A character moved within its class."""
-    if hexadecimal:
-        digits = "0123456789abcdef"
-        return F.substring(F.lit(digits), F.pmod(F.instr(F.lit(digits), c) - 1 + by, F.lit(16)) + 1, F.lit(1))
+def rotate(c: Column, by: Column, hexadecimal: Column) -> Column:
+    """A character moved within its class; hexadecimal: whether the class of small letters and digits is that of its digits."""
+    digits = "0123456789abcdef"
     code = F.ascii(c)
 
     def within(first: str, size: int) -> Column:
         return F.char(F.pmod(code - ord(first) + by, F.lit(size)) + ord(first))
 
-    moved = F.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26)).when(c.rlike("^[A-Z]$"), within("A", 26)).when(code < 128, c)
+    moved = F.when(hexadecimal, F.substring(F.lit(digits), F.pmod(F.instr(F.lit(digits), c) - 1 + by, F.lit(16)) + 1, F.lit(1)))
+    moved = moved.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26)).when(c.rlike("^[A-Z]$"), within("A", 26)).when(code < 128, c)
     for first, size in CODES:
         new = F.pmod(code - first + by, F.lit(size)) + first
         moved = moved.when(code.between(first, first + size - 1), F.decode(F.unhex(F.lpad(F.hex(new), 8, "0")), "UTF-32"))
@@ -92,45 +91,45 @@ def rotate(c: Column, by: Column, hexadecimal: bool) -> Column:
     return moved.otherwise(F.char(F.pmod(code + by, F.lit(26)) + ord("a")))
 
 
-def permute_string(s: Column, key: str, tweak: str, hexadecimal: bool = False, rounds: int = ROUNDS) -> Column:
+def permute_string(s: Column, key: str, tweak: Column | str, hexadecimal: Column | bool = False, rounds: int = ROUNDS) -> Column:
     """Feistel network over the classes of a string's characters; the format is the class at each place."""
+    told, hexes = (F.lit(tweak) if isinstance(tweak, str) else tweak), (F.lit(hexadecimal) if isinstance(hexadecimal, bool) else hexadecimal)
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
 
     def step(acc: Column, r: Column) -> Column:
         even = r % 2 == 0
         moved, fixed = F.when(even, acc["b"]).otherwise(acc["a"]), F.when(even, acc["a"]).otherwise(acc["b"])
-        drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), fixed).cast("binary"), 512)
+        drawn = F.sha2(F.concat_ws("|", F.lit(key), told, r.cast("string"), fixed).cast("binary"), 512)
         by = lambda d, i: F.conv(F.substring(d, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        new = let(drawn, lambda d: F.array_join(F.transform(F.split(moved, ""), lambda c, i: F.when(c == "", c).otherwise(rotate(c, by(d, i), hexadecimal))), ""))
-        return F.struct(F.when(even, acc["a"]).otherwise(new).alias("a"), F.when(even, new).otherwise(acc["b"]).alias("b"))
+        new = let(drawn, lambda d: F.array_join(F.transform(F.split(moved, ""), lambda c, i: F.when(c == "", c).otherwise(rotate(c, by(d, i), hexes))), ""))
+        return let(new, lambda n: F.struct(F.when(even, acc["a"]).otherwise(n).alias("a"), F.when(even, n).otherwise(acc["b"]).alias("b")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permute_number(x: Column, ranges: tuple[int, int], key: str, tweak: str, rounds: int = ROUNDS) -> Column:
+def permute_number(x: Column, ranges: tuple[Column | int, Column | int], key: str, tweak: Column | str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of 0 .. ranges[0] * ranges[1] - 1."""
-    a, b = ranges
-    start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, F.lit(b)).cast("long").alias("r"))
+    a, b = (F.lit(r).cast("long") if isinstance(r, int) else r for r in ranges)
+    told = F.lit(tweak) if isinstance(tweak, str) else tweak
+    start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).cast("long").alias("r"))
 
     def step(acc: Column, r: Column) -> Column:
-        draw = lambda v: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), r.cast("string"), v.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("long")
         even = r % 2 == 0
-        return F.struct(
-            F.when(even, F.pmod(acc["l"] + draw(acc["r"]), F.lit(a))).otherwise(acc["l"]).cast("long").alias("l"),
-            F.when(even, acc["r"]).otherwise(F.pmod(acc["r"] + draw(acc["l"]), F.lit(b))).cast("long").alias("r"),
-        )
+        fixed, moved, size = F.when(even, acc["r"]).otherwise(acc["l"]), F.when(even, acc["l"]).otherwise(acc["r"]), F.when(even, a).otherwise(b)
+        draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), told, r.cast("string"), fixed.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("long")
+        return let(F.pmod(moved + draw, size).cast("long"), lambda n: F.struct(F.when(even, n).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(n).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step, lambda acc: acc["l"] * b + acc["r"])
 
 
-def permute_below(x: Column, most: int, ranges: tuple[int, int], key: str, tweak: str) -> Column:
+def permute_below(x: Column, most: Column | int, ranges: tuple[Column | int, Column | int], key: str, tweak: Column | str) -> Column:
     """A keyed permutation of 0 .. most - 1: steps of a slightly larger one until the range is met again.
 
     At most 12 steps; at one chance in 2,000 to leave the range, a thirteenth would be needed once in 10^39 values.
     """
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-1).cast("long"), lambda acc, _: F.when(acc < 0, permute_number(x, ranges, key, tweak)).when(acc >= most, permute_number(acc, ranges, key, tweak)).otherwise(acc))
-    return permute_number(x, ranges, key, tweak) if ranges[0] * ranges[1] == most else again
+    step = lambda acc, _: F.when((acc >= 0) & (acc < most), acc).otherwise(permute_number(F.when(acc < 0, x).otherwise(acc), ranges, key, tweak))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(-1).cast("long"), step)
 
 
 def digits_of(h: Column) -> Column:
@@ -153,16 +152,6 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     )
 
 
-def card(h: Column, key: str) -> Column:
-    digits = digits_of(h)
-
-    def fresh(body: Column) -> Column:
-        return F.concat(body, F.pmod(-luhn_sum(body, 0), F.lit(10)).cast("string"))
-
-    permuted = let(F.concat(F.substring(digits, 1, 1), permute_string(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")), fresh)
-    return F.when(luhn_sum(digits, 1) % 10 != 0, h).otherwise(respelled(h, permuted))
-
-
 def remainder97(account: Column) -> Column:
     """An account's remainder by 97, its first four characters put last and letters read as 10 to 35."""
     moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
@@ -170,88 +159,105 @@ def remainder97(account: Column) -> Column:
     return F.aggregate(F.transform(F.split(moved, ""), value), F.lit(0), lambda acc, v: F.when(v.isNull(), acc).when(v < 10, (acc * 10 + v) % 97).otherwise((acc * 100 + v) % 97))
 
 
-def account(h: Column, key: str) -> Column:
-    """The country stays; the rest is permuted within digits and capitals, and the check digits follow from it."""
-    plain = F.regexp_replace(h, " ", "")
-    country = F.substring(plain, 1, 2)
-    fresh = lambda body: F.concat(country, F.lpad((98 - remainder97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
-    new = let(permute_string(F.substring(plain, F.lit(5), F.length(plain)), key, "account"), fresh)
-    return F.when(remainder97(plain) == 1, respelled(h, new)).otherwise(h)
+def kind_of(h: Column) -> Column:
+    """What a found string is, if it is valid; null if it is not."""
+    digits = digits_of(h)
+    octets = F.transform(F.split(h, r"\."), lambda o: o.try_cast("long"))
+    part = lambda a, n: F.substring(h, a, n).try_cast("int")
+    sound = part(1, 3).between(1, 899) & (part(1, 3) != 666) & (part(5, 2) > 0) & (part(8, 4) > 0)
+    return (
+        F.when(h.contains("@"), "email")
+        .when(h.rlike("^" + PREFIX), "token")
+        .when(h.startswith("+") | h.rlike(r"^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), F.when(F.length(digits).between(8, 15), "phone"))
+        .when(h.rlike(r"^([0-9]+\.){3}[0-9]+$"), F.when(F.array_max(octets) <= 255, "address"))
+        .when(h.rlike("^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), "secret")
+        .when(h.rlike("^[A-Z]"), F.when(remainder97(F.regexp_replace(h, " ", "")) == 1, "account"))
+        .when(h.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(sound, "national"))
+        .when((F.length(h) == 10) & h.rlike("[-./]"), F.when(day_of(h).isNotNull(), "date"))
+        .when(luhn_sum(digits, 1) % 10 == 0, "card")
+    )
 
 
-def national(h: Column, key: str) -> Column:
-    part = lambda a, n: F.substring(h, a, n).cast("int")
-    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
-    sound = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    packed = ((F.when(area > 666, area - 2).otherwise(area - 1)) * 99 + group - 1).cast("long") * NATIONAL_RANGES[1] + serial - 1
+def day_of(h: Column) -> Column:
+    return F.coalesce(F.try_to_date(h, "yyyy-MM-dd"), F.try_to_date(h, "dd.MM.yyyy"), F.try_to_date(h, "MM/dd/yyyy"))
 
-    def written(n: Column) -> Column:
-        front = F.floor(n / NATIONAL_RANGES[1])
-        place = F.floor(front / 99)
-        three = F.when(place >= 665, place + 2).otherwise(place + 1)
-        return F.format_string("%03d-%02d-%04d", three.cast("int"), (front % 99 + 1).cast("int"), (n % NATIONAL_RANGES[1] + 1).cast("int"))
 
-    return F.when(sound, let(permute_number(packed, NATIONAL_RANGES, key, "national"), written)).otherwise(h)
+def texts_in(h: Column, kind: Column) -> Column:
+    """What of a string is permuted as text: (text, tweak) for each part. Equal values give equal parts however they are spaced."""
+    one = lambda text, tweak: F.struct(text.alias("text"), F.lit(tweak).alias("tweak"))
+    domain, digits = F.substring_index(h, "@", -1), digits_of(h)
+    name = F.substring(domain, F.lit(1), F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1)
+    return (
+        F.when(kind == "email", F.array(one(F.substring_index(h, "@", 1), "email"), one(name, "domain")))
+        .when(kind == "token", F.array(one(F.regexp_replace(h, "^" + PREFIX, ""), "token")))
+        .when(kind == "phone", F.array(one(F.substring(digits, F.lit(2), F.length(digits)), "phone")))
+        .when(kind == "secret", F.array(one(F.lower(h), "secret")))
+        .when(kind == "account", F.array(one(F.substring(F.regexp_replace(h, " ", ""), F.lit(5), F.length(h)), "account")))
+        .when(kind == "card", F.array(one(F.substring(digits, F.lit(2), F.length(digits) - 2), "card")))
+    )
 
 
-def address(h: Column, key: str) -> Column:
+def number_in(h: Column, kind: Column) -> Column:
+    """What of a string is permuted as a number: (x, most, a, b, tweak), x below most, which a * b reaches."""
+    one = lambda x, most, a, b, tweak: F.struct(x.cast("long").alias("x"), F.lit(most).cast("long").alias("most"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(tweak).alias("tweak"))
     octets = F.transform(F.split(h, r"\."), lambda o: o.try_cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    dotted = let(permute_number(number, (65536, 65536), key, "address"), lambda n: F.concat_ws(".", *[F.pmod(F.floor(n / 256**k), F.lit(256)).cast("long").cast("string") for k in (3, 2, 1, 0)]))
-    return F.when(F.array_max(octets) <= 255, dotted).otherwise(h)
-
-
-def date(h: Column, key: str) -> Column:
-    day = F.coalesce(F.try_to_date(h, "yyyy-MM-dd"), F.try_to_date(h, "dd.MM.yyyy"), F.try_to_date(h, "MM/dd/yyyy"))
-    new = F.lit(None).cast("date")
-    for begin, number, ranges in DAYS:
-        zero = F.lit(begin).cast("date")
-        at = F.datediff(day, zero).cast("long")
+    part = lambda a, n: F.substring(h, a, n).try_cast("int")
+    area = F.when(part(1, 3) > 666, part(1, 3) - 2).otherwise(part(1, 3) - 1)
+    front, last = NATIONAL_RANGES
+    found = F.when(kind == "address", one(F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o), 65536 * 65536, 65536, 65536, "address"))
+    found = found.when(kind == "national", one((area * 99 + part(5, 2) - 1).cast("long") * last + part(8, 4) - 1, front * last, front, last, "national"))
+    dated = None
+    for begin, number, (a, b) in DAYS:
         # the middle range has had this tweak from the start, so its pseudonyms stay what they were
-        tweak = "date" if ranges[0] * ranges[1] == number else f"date {begin}"
-        new = F.when(at.between(0, number - 1), F.date_add(zero, permute_below(at, number, ranges, key, tweak).cast("int"))).otherwise(new)
-    form = F.when(h.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(h.contains("/"), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    return F.coalesce(form, h)
-
-
-def email(h: Column, key: str) -> Column:
-    """Local part and domain are permuted by themselves, so the addresses of one domain stay together."""
-    domain = F.substring_index(h, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    name = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(permute_string(F.substring_index(h, "@", 1), key, "email"), F.lit("@"), permute_string(name, key, "domain"), F.lit("."), top)
-
-
-def phone(h: Column, key: str) -> Column:
-    digits = digits_of(h)
-    new = F.concat(F.substring(digits, 1, 1), permute_string(F.substring(digits, F.lit(2), F.length(digits)), key, "phone"))
-    return F.when(F.length(digits).between(8, 15), respelled(h, new)).otherwise(h)
-
+        at = lambda day, begin=begin: F.datediff(day, F.lit(begin).cast("date"))
+        this = lambda day, at=at, number=number, a=a, b=b, begin=begin: one(at(day), number, a, b, "date" if a * b == number else f"date {begin}")
+        dated = [*(dated or []), (at, number, this)]
+    pick = lambda day: F.when(dated[0][0](day) < dated[0][1], dated[0][2](day)).when(dated[1][0](day) < dated[1][1], dated[1][2](day)).otherwise(dated[2][2](day))
+    return found.when(kind == "date", let(day_of(h), pick))
+
+
+def written(h: Column, kind: Column, texts: Column, n: Column, most: Column) -> Column:
+    """A string of a kind anew, from its permuted texts, or its permuted number n below most."""
+    one = F.get(texts, F.lit(0))
+    digits, plain = digits_of(h), F.regexp_replace(h, " ", "")
+    body = F.concat(F.substring(digits, 1, 1), one)
+    checked = F.concat(body, F.pmod(-luhn_sum(body, 0), F.lit(10)).cast("string"))
+    country = F.substring(plain, 1, 2)
+    account = F.concat(country, F.lpad((98 - remainder97(F.concat(country, F.lit("00"), one))).cast("string"), 2, "0"), one)
+    spelled = respelled(h, F.when(kind == "phone", body).when(kind == "card", checked).otherwise(account))
+    dotted = F.concat_ws(".", *[F.pmod(F.floor(n / 256**k), F.lit(256)).cast("long").cast("string") for k in (3, 2, 1, 0)])
+    front = F.floor(n / NATIONAL_RANGES[1])
+    place = F.floor(front / 99)
+    national = F.format_string("%03d-%02d-%04d", F.when(place >= 665, place + 2).otherwise(place + 1).cast("int"), (front % 99 + 1).cast("int"), (n % NATIONAL_RANGES[1] + 1).cast("int"))
+    zero = F.lit(DAYS[2][0])
+    for begin, number, _ in DAYS[:2]:
+        zero = F.when(most == number, begin).otherwise(zero)
+    formed = lambda x: F.when(h.contains("-"), F.date_format(x, "yyyy-MM-dd")).when(h.contains("/"), F.date_format(x, "MM/dd/yyyy")).otherwise(F.date_format(x, "dd.MM.yyyy"))
+    day = let(F.date_add(zero.cast("date"), n.cast("int")), formed)
+    return (
+        F.when(kind == "email", F.concat(one, F.lit("@"), F.get(texts, F.lit(1)), F.lit("."), F.substring_index(h, ".", -1)))
+        .when(kind == "token", F.concat(F.regexp_extract(h, "^" + PREFIX, 0), one))
+        # capital and small spellings of one secret get one pseudonym, spelled alike
+        .when(kind == "secret", F.when(h == F.lower(h), one).otherwise(F.upper(one)))
+        .when(kind.isin("phone", "card", "account"), spelled)
+        .when(kind == "address", dotted)
+        .when(kind == "national", national)
+        .when(kind == "date", day)
+    )
 
-def token(h: Column, key: str) -> Column:
-    prefix = F.regexp_extract(h, "^" + PREFIX, 0)
-    return F.concat(prefix, permute_string(F.substring(h, F.length(prefix) + 1, F.length(h)), key, "token"))
 
+def pseudonym(h: Column, key: str) -> Column:
+    """The pseudonym of one found string, or the string itself where it is not valid.
 
-def secret(h: Column, key: str) -> Column:
-    """Capital and small spellings of one secret get one pseudonym, spelled alike."""
-    new = permute_string(F.lower(h), key, "secret", hexadecimal=True)
-    return F.when(h == F.lower(h), new).otherwise(F.upper(new))
+    All kinds go through one network for texts and one for numbers, so the plan holds each once.
+    """
 
+    def anew(k: Column) -> Column:
+        texts = F.transform(texts_in(h, k), lambda p: permute_string(p["text"], key, p["tweak"], p["tweak"] == "secret"))
+        number = let(number_in(h, k), lambda v: F.when(v.isNotNull(), F.struct(permute_below(v["x"], v["most"], (v["a"], v["b"]), key, v["tweak"]).alias("n"), v["most"].alias("most"))))
+        return let(F.struct(texts.alias("t"), number.alias("v")), lambda r: written(h, k, r["t"], r["v"]["n"], r["v"]["most"]))
 
-def pseudonym(h: Column, key: str) -> Column:
-    """The pseudonym of one found string, or the string itself where it is not valid."""
-    return (
-        F.when(h.contains("@"), email(h, key))
-        .when(h.rlike("^" + PREFIX), token(h, key))
-        .when(h.startswith("+") | h.rlike(r"^\(|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), phone(h, key))
-        .when(h.rlike(r"^([0-9]+\.){3}[0-9]+$"), address(h, key))
-        .when(h.rlike("^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), secret(h, key))
-        .when(h.rlike("^[A-Z]"), account(h, key))
-        .when(h.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), national(h, key))
-        .when((F.length(h) == 10) & h.rlike("[-./]"), date(h, key))
-        .otherwise(card(h, key))
-    )
+    return let(kind_of(h), lambda k: F.when(k.isNull(), h).otherwise(anew(k)))
 
 
 def key_of(docs: DataFrame, key: str | None) -> str:
