@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import attention_lm, decontamination, packing, pii, quality, rules, sharding, simhash, suffix_dedup, unigram
+from logweave.llm import attention_lm, decontamination, licences, oracles, packing, pii, quality, resampling, rules, sharding, simhash, suffix_dedup, unigram
 from logweave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,5 +81,10 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op12_license_scan": oracles.op12(licences.TEMPLATES, licences.SLACK, licences.LEAST_SHARE),
+    "op13_importance_resampling": oracles.OP13,
 }
-ORACLE_SQL: dict[str, str] = {}
