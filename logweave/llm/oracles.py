@@ -47,3 +47,26 @@ g AS (SELECT row, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS firs
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds) AS labels FROM f GROUP BY row)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0::DOUBLE) AS score
 FROM d LEFT JOIN g USING (row)"""
+
+
+def op11(rounds: int, clusters: int, seed: int) -> str:
+    """All distances in every round; sums and floors in integers."""
+    said = [
+        f"""WITH k AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::VARCHAR), v) - 1 AS cluster, v AS c FROM k QUALIFY cluster < {clusters})"""
+    ]
+    for i in range(rounds + 1):
+        said.append(
+            f"""a{i} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': cluster}}) AS best
+  FROM (SELECT k.*, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM k, c{i}) GROUP BY row)"""
+        )
+        if i < rounds:
+            said.append(
+                f"""m{i} AS (SELECT cluster, place, sum(x) AS s, count(*)::HUGEINT AS n FROM (SELECT best.c AS cluster, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY cluster, place),
+c{i + 1} AS (SELECT cluster, coalesce(any_value(new), any_value(c)) AS c FROM c{i} LEFT JOIN
+  (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS new FROM m{i} GROUP BY cluster) USING (cluster) GROUP BY cluster)"""
+            )
+    return ",\n".join(said) + f"""
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = best.c"""

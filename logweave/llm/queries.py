@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import attention_lm, decontamination, licences, oracles, packing, pii, quality, resampling, rules, sharding, simhash, suffix_dedup, unigram
+from logweave.llm import attention_lm, ball_tree, decontamination, licences, oracles, packing, pii, quality, resampling, rules, sharding, simhash, suffix_dedup, unigram
 from logweave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -81,10 +85,12 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_license_scan": op12_license_scan,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": oracles.op11(ball_tree.ROUNDS, ball_tree.CLUSTERS, ball_tree.SEED),
     "op12_license_scan": oracles.op12(licences.TEMPLATES, licences.SLACK, licences.LEAST_SHARE),
     "op13_importance_resampling": oracles.OP13,
 }
