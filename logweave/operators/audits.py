@@ -3,55 +3,78 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import permutations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators import running
 
-def in_order(df: DataFrame, owner: str, when: str, number: str, key: str) -> DataFrame:
+
+def in_order(df: DataFrame, owner: str, when: str, number: str, key: str, most: int = running.MOST) -> DataFrame:
     """(owner, n, numbered, descents, state): whether numbers never fall along time (ties by key).
 
     State: chronological if all rows have a number and none falls, gaps if some lack one and none falls, else disordered.
+    Owners with more than `most` rows are read in ranges.
     """
-    w = Window.partitionBy(owner).orderBy(when, key)
-    last = F.max(number).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(owner, number, F.coalesce(F.col(number) < last, F.lit(False)).alias("falls"))
+    rows = running.Ordered(df.select(owner, when, key, number), owner, [when, key], most).add(_top=running.largest(F.col(number), False)).rows()
+    marked = rows.select(owner, number, F.coalesce(F.col(number) < F.col("_top"), F.lit(False)).alias("falls"))
     got = marked.groupBy(owner).agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("numbered"), F.count_if("falls").alias("descents"))
     return got.withColumn("state", F.when(F.col("descents") > 0, "disordered").when(F.col("numbered") < F.col("n"), "gaps").otherwise("chronological"))
 
 
-def out_of_order(df: DataFrame, owner: str, when: str, number: str, key: str) -> DataFrame:
-    """(owner, key) of the rows beside one longest non-decreasing run of numbers along time (ties by number, then key).
+def piles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds pile to rows in order of owner and time: how many rows a longest non-falling run up to this one has before it.
 
-    Rows without a number or a time take no part. One owner's keys and numbers, nothing else, are sorted in one task: the
-    longest run is a property of the whole sequence.
+    Kept from row to row: the least number that ends a run of each length, which is never more than the longest run.
     """
-
-    def beside(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["when", "number", "key"], kind="stable")
-        values = part["number"].tolist()
-        tails: list = []
-        ends: list[int] = []
-        before = [-1] * len(values)
-        for i, v in enumerate(values):
+    whose, tails = None, []
+    for batch in batches:
+        found = []
+        for owner, v in zip(batch.column("owner").to_pylist(), batch.column("number").to_pylist(), strict=True):
+            if owner != whose:
+                whose, tails = owner, []
             k = bisect_right(tails, v)
-            before[i] = ends[k - 1] if k else -1
-            if k == len(tails):
-                tails.append(v)
-                ends.append(i)
-            else:
-                tails[k], ends[k] = v, i
-        stays, i = set(), ends[-1] if ends else -1
-        while i >= 0:
-            stays.add(i)
-            i = before[i]
-        return part[[i not in stays for i in range(len(values))]][["owner", "key"]]
+            tails[k : k + 1] = [v]
+            found.append(k)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "pile"])
 
+
+def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that one longest run leaves out, of rows with their pile and their owner's largest, from the last back.
+
+    The run's row of a pile is the latest one before the run's row of the next pile.
+    """
+    whose, want = object(), 0
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in ("owner", "pile", "longest"))
+        for owner, pile, longest in zip(*columns, strict=True):
+            if owner != whose:
+                whose, want = owner, longest
+            out.append(pile != want)
+            want -= pile == want
+        yield pa.RecordBatch.from_arrays([batch.column("owner"), batch.column("key")], ["owner", "key"]).filter(pa.array(out, pa.bool_()))
+
+
+def out_of_order(df: DataFrame, owner: str, when: str, number: str, key: str) -> DataFrame:
+    """(owner, key) of the rows beside one longest non-decreasing run of numbers along time (ties by number, then key).
+
+    Rows without a number or a time take no part; a null owner is one. The run is a property of an owner's whole sequence,
+    so that is read in one task, forward and then back, but never held: Spark sorts it, on disk if need be, and a task keeps
+    no more than the ends of runs. Tasks read many owners one after the other.
+    """
     kinds = dict(df.dtypes)
     rows = df.select(F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(when).alias("when"), F.col(number).alias("number")).where("number is not null and when is not null")
-    found = rows.groupBy("owner").applyInPandas(beside, f"owner {kinds[owner]}, key {kinds[key]}")
+    order = ["when", "number", "key"]
+    sorted_ = rows.repartition("owner").sortWithinPartitions("owner", *order)
+    piled = sorted_.mapInArrow(piles, f"owner {kinds[owner]}, key {kinds[key]}, when {kinds[when]}, number {kinds[number]}, pile long")
+    back = [F.desc(c) for c in order]
+    whole = Window.partitionBy("owner").orderBy(*back).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = piled.withColumn("longest", F.max("pile").over(whole)).sortWithinPartitions("owner", *back)
+    found = last.mapInArrow(beside, f"owner {kinds[owner]}, key {kinds[key]}")
     return found.select(F.col("owner").alias(owner), F.col("key").alias(key))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators import running
+
 
 def in_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Nulls values out of range and appends an issue (code, field) to the column issues for each."""
@@ -20,10 +22,8 @@ def issue_rollup(df: DataFrame, kind: str, key: str) -> DataFrame:
     return rows.groupBy(F.col("i.code").alias("code"), F.col("i.field").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(kind).alias("kinds"), F.min(key).alias("first_key"))
 
 
-def fill(df: DataFrame, owner: str, order: str, column: str) -> DataFrame:
-    """Carries the last known value forward and the first one back to leading nulls."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(owner).orderBy(order)
-    after = Window.partitionBy(owner).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("filled", F.coalesce(F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(column, True).over(after)))
+def fill(df: DataFrame, owner: str, order: str, column: str, most: int = running.MOST) -> DataFrame:
+    """Adds filled: the last known value carried forward, and the first one back to leading nulls; null if there is none."""
+    known = F.col(column)
+    rows = running.Ordered(df, owner, [order], most).add(_back=running.last(known), _ahead=running.following(known)).rows()
+    return rows.withColumn("filled", F.coalesce("_back", "_ahead")).drop("_back", "_ahead")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators import running
+
 #: Where a kind of source comes from; others are imports of files.
 ORIGINS = {"uddf": "instrument", "api:garmin": "instrument", "shearwater": "instrument", "manual": "manual", "spreadsheet": "file_import", "subsurface": "file_import", "csv": "file_import", "derived": "derived"}
 #: The class of each field path; others are measured.
@@ -115,22 +117,29 @@ def append_notes(rows: DataFrame, record: str, order: str, kind: str, text: str)
     return told.where(F.size("parts") > 0).select(record, F.array_join(written, "\n\n").alias("notes"), F.size("parts").cast("long").alias("n"))
 
 
-def claim_numbers(rows: DataFrame, owner: str, when: str, key: str, wanted: str, held: DataFrame | None = None) -> DataFrame:
+def claim_numbers(rows: DataFrame, owner: str, when: str, key: str, wanted: str, held: DataFrame | None = None, most: int = running.MOST) -> DataFrame:
     """Numbers for rows: the first claimant of a wanted number (1 or more) that the logbook does not hold keeps it, all
-    others follow the owner's largest number, held or kept, in order of time. held: (owner, number) of the logbook."""
-    order = [F.col(when), F.col(key)]
-    most_held = F.lit(0).cast("long")
-    free = F.lit(True)
+    others follow the owner's largest number, held or kept, in order of time. held: (owner, number) of the logbook.
+
+    First claimants are a minimum by owner and number, so that no window gathers all who want the same one; the others are
+    numbered in ranges where an owner has more than `most` rows.
+    """
+    own, place = F.col(owner), F.struct(when, key)
+    rows = rows.withColumn(wanted, F.col(wanted).cast("long"))
+    first = rows.where(F.col(wanted) >= 1).groupBy(own.alias("_owner"), F.col(wanted).alias("_wanted")).agg(F.min(place).alias("_first"))
     if held is not None:
-        taken = held.select(F.col(held.columns[0]).alias(owner), F.col(held.columns[1]).cast("long").alias("_held")).where("_held is not null")
-        numbers = taken.groupBy(owner, F.col("_held").alias(wanted)).agg(F.lit(True).alias("_taken"))
-        rows = rows.withColumn(wanted, F.col(wanted).cast("long")).join(numbers, [owner, wanted], "left").join(taken.groupBy(owner).agg(F.max("_held").alias("_most")), owner, "left")
-        free, most_held = F.col("_taken").isNull(), F.coalesce(F.col("_most"), F.lit(0))
-    claimed = F.row_number().over(Window.partitionBy(owner, wanted).orderBy(*order))
-    kept = rows.withColumn("number", F.when((F.col(wanted) >= 1) & free & (claimed == 1), F.col(wanted)))
-    most = F.greatest(F.coalesce(F.max("number").over(Window.partitionBy(owner)), F.lit(0)), most_held)
-    later = F.row_number().over(Window.partitionBy(owner, F.col("number").isNull()).orderBy(*order))
-    return kept.withColumn("number", F.coalesce("number", most + later)).drop("_taken", "_most")
+        taken = held.select(F.col(held.columns[0]).alias("_owner"), F.col(held.columns[1]).cast("long").alias("_wanted")).where("_wanted is not null")
+        once = taken.distinct().alias("t")
+        first = first.alias("f").join(once, F.expr("f._owner <=> t._owner and f._wanted = t._wanted"), "left_anti")
+        tops = first.select("_owner", "_wanted").unionByName(taken)
+    else:
+        tops = first.select("_owner", "_wanted")
+    tops = tops.groupBy(F.col("_owner").alias("_whose")).agg(F.max("_wanted").alias("_top"))
+    kept = rows.join(first, own.eqNullSafe(F.col("_owner")) & (F.col(wanted) == F.col("_wanted")), "left")
+    kept = kept.withColumn("number", F.when(F.col("_first") == place, F.col(wanted))).drop("_owner", "_wanted", "_first")
+    kept = kept.join(tops, own.eqNullSafe(F.col("_whose")), "left").drop("_whose")
+    after = running.Ordered(kept, owner, [when, key], most).add(_after=running.count(F.col("number").isNull())).rows()
+    return after.withColumn("number", F.coalesce(F.col("number"), F.coalesce("_top", F.lit(0)) + F.col("_after"))).drop("_top", "_after")
 
 
 #: Reverted sources that are broadcast at the most; with more of them the assertions are joined by source.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.parsing import gear_kind, split_list
@@ -93,8 +93,9 @@ def seeded(known: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
 
 def assigned(rows: DataFrame, key: str, column: str, wanted: DataFrame, most: int = 500) -> DataFrame:
     """rows with `column` set for the keys in wanted (key, value); a value with more than `most` keys is refused whole."""
-    w = Window.partitionBy("value")
-    asked = wanted.select(F.col(wanted.columns[0]).alias(key), F.col(wanted.columns[1]).alias("value")).distinct().withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") <= most)
+    asked = wanted.select(F.col(wanted.columns[0]).alias(key), F.col(wanted.columns[1]).alias("value")).distinct()
+    few = asked.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+    asked = asked.join(few, "value", "left_semi")
     last = asked.groupBy(key).agg(F.max("value").alias("_value"))
     return rows.join(last, key, "left").withColumn(column, F.coalesce("_value", column)).drop("_value").select(*rows.columns)
 

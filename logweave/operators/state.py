@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators import running
+
 
 def patched(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows (key, version, deleted_at, columns...) after changes (key, seq, action, at, columns...), of which
@@ -89,6 +91,8 @@ def upserted(views: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
     """
     last = saved.groupBy(*keys).agg(F.max_by("name", "seq").alias("_name"), F.min("seq").alias("_seq"))
     both = views.join(last, keys, "full")
-    top = F.coalesce(F.max("position").over(Window.partitionBy(keys[0])), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(keys[0], F.col("position").isNull()).orderBy("_seq", *keys[1:]))
-    return both.select(*keys, F.coalesce("_name", "name").alias("name"), F.coalesce("position", top + place).cast("long").alias("position"))
+    tops = views.groupBy(F.col(keys[0]).alias("_whose")).agg(F.max("position").alias("_top"))
+    ranked = running.Ordered(both, keys[0], ["_seq", *keys[1:]]).add(_place=running.count(F.col("position").isNull())).rows()
+    placed = ranked.join(tops, F.col(keys[0]).eqNullSafe(F.col("_whose")), "left")
+    end = F.coalesce("_top", F.lit(0)) + F.col("_place")
+    return placed.select(*keys, F.coalesce("_name", "name").alias("name"), F.coalesce("position", end).cast("long").alias("position"))

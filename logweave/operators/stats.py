@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators import running
+
 
 def totals(df: DataFrame, by: list[str], amount: str) -> DataFrame:
     """Count, sum (0 if none), maximum and mean of an amount; nulls are ignored."""
@@ -33,10 +35,15 @@ def histogram(df: DataFrame, amount: str, width: float) -> DataFrame:
     return every.join(got, "bucket", "left").select("bucket", (F.col("bucket") * width).alias("from_value"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def numbering(df: DataFrame, owner: str, when: str, key: str, start: int = 1) -> DataFrame:
-    """Numbers in order of time, ties by key."""
-    w = Window.partitionBy(owner).orderBy(when, key)
-    return df.withColumn("number", F.row_number().over(w) + F.lit(start - 1))
+def numbering(df: DataFrame, owner: str, when: str, key: str, start: int = 1, most: int = running.MOST) -> DataFrame:
+    """Numbers in order of time, ties by key; rows without a time come first, a null owner is an owner.
+
+    Owners with more than `most` rows are numbered in ranges (see running.Ordered).
+    """
+    if start < 0:
+        raise ValueError(f"numbers start at 0 or above, not at {start}")
+    rows = running.Ordered(df, owner, [when, key], most).add(number=running.count()).rows()
+    return rows.withColumn("number", F.col("number") + F.lit(start - 1))
 
 
 def changed(df: DataFrame, number: str, before: Column) -> DataFrame:
@@ -44,21 +51,31 @@ def changed(df: DataFrame, number: str, before: Column) -> DataFrame:
     return df.where(~F.col(number).eqNullSafe(before))
 
 
-def intervals(df: DataFrame, owner: str, when: str, key: str, seconds: str) -> DataFrame:
+def intervals(df: DataFrame, owner: str, when: str, key: str, seconds: str, offset: Column | None = None, most: int = running.MOST) -> DataFrame:
     """Adds interval_s, from the end of the row before to this one (null where unknown or negative), and the number in a
-    run of one day: a day that comes back later starts again at 1."""
-    w = Window.partitionBy(owner).orderBy(when, key)
+    run of one day: a day that comes back later starts again at 1.
+
+    offset: minutes by which each row's own day is off that of `when` (null: none). Rows without a time come first and
+    count as one day. Owners with more than `most` rows are worked out in ranges.
+    """
     start = F.unix_micros(F.col(when).cast("timestamp")) / 1e6
-    gap = F.round(start - (F.lag(start).over(w) + F.lag(F.col(seconds)).over(w)))
-    day = F.to_date(when)
-    fresh = F.when(day.eqNullSafe(F.lag(day).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = df.withColumn("interval_s", F.when(gap >= 0, gap).cast("long")).withColumn("_run", fresh)
-    marked = marked.withColumn("_run", F.sum("_run").over(w))
-    return marked.withColumn("repetition", F.row_number().over(Window.partitionBy(owner, "_run").orderBy(when, key))).drop("_run")
+    shift = F.lit(0) if offset is None else F.coalesce(offset, F.lit(0))
+    day = F.to_date(F.timestamp_micros(F.unix_micros(F.col(when).cast("timestamp")) + shift.cast("long") * 60_000_000))
+    rows = running.Ordered(df.withColumn("_now", F.struct(start.alias("start"), (start + F.col(seconds)).alias("end"), day.alias("day"))), owner, [when, key], most)
+    rows.add(_before=running.last(F.col("_now"), False), _number=running.count())
+    same = F.col("_before").isNotNull() & F.col("_now.day").eqNullSafe(F.col("_before.day"))
+    rows.map(lambda df: df.withColumn("_fresh", F.when(~same, F.col("_number")))).add(_since=running.largest(F.col("_fresh")))
+    gap = F.round(F.col("_now.start") - F.col("_before.end"))
+    found = rows.rows().withColumn("interval_s", F.when(gap >= 0, gap).cast("long")).withColumn("repetition", F.col("_number") - F.col("_since") + 1)
+    return found.drop("_now", "_before", "_number", "_fresh", "_since")
 
 
 def streaks(df: DataFrame, owner: str, when: str) -> DataFrame:
-    """The longest run of days in a row of each owner, the earliest of equal ones."""
+    """The longest run of days in a row of each owner, the earliest of equal ones.
+
+    Days are made distinct before they are shuffled, so an owner brings as many rows to a window as the calendar has days,
+    however many rows there were.
+    """
     days = df.select(owner, F.to_date(when).alias("day")).where("day is not null").distinct()
     w = Window.partitionBy(owner).orderBy("day")
     runs = days.withColumn("island", F.date_sub("day", F.row_number().over(w))).groupBy(owner, "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"))
@@ -67,7 +84,10 @@ def streaks(df: DataFrame, owner: str, when: str) -> DataFrame:
 
 
 def trips(df: DataFrame, owner: str, when: str, gap_days: int = 3, least: int = 3) -> DataFrame:
-    """Sessions of at least `least` rows with no gap above gap_days days between neighbours."""
+    """Sessions of at least `least` rows with no gap above gap_days days between neighbours.
+
+    Rows are counted by day before they are shuffled: an owner has as many rows there as the calendar has days.
+    """
     daily = df.groupBy(owner, F.to_date(when).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(owner).orderBy("day")
     split = F.when(F.datediff("day", F.lag("day").over(w)) <= gap_days, 0).otherwise(1)

@@ -372,7 +372,13 @@ def audit_order(spark: SparkSession, d: str) -> DataFrame:
     return audits.in_order(_events(spark, d).withColumn("number", number), "user_id", "ts", "number", "event_id")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderkey % 97 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey % 97, o_orderkey) AS i FROM orders),
+f AS (SELECT o_custkey, i, 0::BIGINT AS pile, [v] AS tails FROM o WHERE i = 1 UNION ALL
+  SELECT o_custkey, i, k, list_concat(list_append(tails[1:k], v), tails[k + 2:]) FROM (SELECT o.*, tails, len(list_filter(tails, lambda t: t <= v)) AS k FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1)),
+b AS (SELECT f.o_custkey, f.i, pile = longest AS stays, longest - (pile = longest)::INT AS want FROM f JOIN (SELECT o_custkey, max(i) AS i, max(pile) AS longest FROM f GROUP BY 1) USING (o_custkey, i) UNION ALL
+  SELECT f.o_custkey, f.i, pile = want, want - (pile = want)::INT FROM b JOIN f ON f.o_custkey = b.o_custkey AND f.i = b.i - 1)
+SELECT o_custkey, o_orderkey FROM o JOIN b USING (o_custkey, i) WHERE NOT stays""")
 def audit_out_of_order(spark: SparkSession, d: str) -> DataFrame:
     return audits.out_of_order(_orders(spark, d).withColumn("number", F.col("o_orderkey") % 97), "o_custkey", "o_orderdate", "number", "o_orderkey")
 
