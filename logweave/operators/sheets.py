@@ -74,13 +74,13 @@ def checked(df: DataFrame, fields: list[str], ranges: dict[str, tuple[float, flo
     for field in fields:
         if field in ranges:
             bad = F.col(field).isNotNull() & ~F.col(field).between(*ranges[field])
-            issues.append(_issue(bad, "out_of_range", field, "warning"))
+            issues.append(issue(bad, "out_of_range", field, "warning"))
             out[field] = F.when(~bad, F.col(field))
     before = F.col("issues") if "issues" in df.columns else F.array().cast(ISSUES)
     return df.withColumns({"issues": F.concat(before, F.array_compact(F.array(*issues)))} | out)
 
 
-def _issue(bad: Column, code: str, field: str, severity: str) -> Column:
+def issue(bad: Column, code: str, field: str, severity: str) -> Column:
     return F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), F.lit(severity).alias("severity")))
 
 
@@ -121,11 +121,11 @@ def observations(rows: DataFrame, mapping: dict[str, str], keep: list[str]) -> D
         F.col("notes"),
         F.array_compact(
             F.array(
-                _issue(F.col("date").isNull(), "missing_date", "start_local", "error"),
-                _issue(F.col("date").isNotNull() & day.isNull(), "unreadable_date", "start_local", "error"),
-                _issue(day.isNotNull() & F.col("timeIn").isNotNull() & time.isNull(), "unreadable_time", "start_local", "warning"),
-                _issue(F.col("diveNumber").isNotNull() & number("diveNumber").isNull(), "unreadable_dive_number", "dive_number", "info"),
-                _issue(water.isNotNull() & kind.isNull(), "unknown_water_type", "water_type", "info"),
+                issue(F.col("date").isNull(), "missing_date", "start_local", "error"),
+                issue(F.col("date").isNotNull() & day.isNull(), "unreadable_date", "start_local", "error"),
+                issue(day.isNotNull() & F.col("timeIn").isNotNull() & time.isNull(), "unreadable_time", "start_local", "warning"),
+                issue(F.col("diveNumber").isNotNull() & number("diveNumber").isNull(), "unreadable_dive_number", "dive_number", "info"),
+                issue(water.isNotNull() & kind.isNull(), "unknown_water_type", "water_type", "info"),
             )
         ).alias("issues"),
     )
@@ -141,7 +141,7 @@ def no_sentinel(df: DataFrame, column: str, sentinel: float) -> DataFrame:
     """Nulls a value that a format writes for `not set` and notes it as information in column issues."""
     hit = F.coalesce(F.col(column) == sentinel, F.lit(False))
     before = F.col("issues") if "issues" in df.columns else F.array().cast(ISSUES)
-    return df.withColumns({"issues": F.concat(before, F.array_compact(F.array(_issue(hit, "sentinel", column, "info")))), column: F.when(~hit, F.col(column))})
+    return df.withColumns({"issues": F.concat(before, F.array_compact(F.array(issue(hit, "sentinel", column, "info")))), column: F.when(~hit, F.col(column))})
 
 
 def flattened(df: DataFrame, key: list[str], fields: dict[str, str]) -> DataFrame:

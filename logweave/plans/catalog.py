@@ -347,4 +347,4 @@ def profile_codec(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the modules below add their queries to the same registry
-from logweave.plans import imports, logbook, relations  # noqa: E402, F401
+from logweave.plans import documents, imports, logbook, relations  # noqa: E402, F401

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.text import once
+
 DELIMITERS = [",", "\t", ";", "|"]
 XML_LOG = (
     "id string, datetime string, greatestdepth double, diveduration double, "
@@ -73,16 +75,15 @@ def read_xml_log(spark: SparkSession, path: str, row: str = "dive") -> DataFrame
 def waypoints_series(points: Column) -> Column:
     """(time_s, depth_m, temp_c) arrays of waypoints: those without time or depth are left out; a temperature holds until the
     next one and the first one also before it; no temperature at all gives a null array."""
-    sound = F.filter(points, lambda p: p["divetime"].isNotNull() & p["depth"].isNotNull())
-    known = F.transform(sound, lambda p: p["temperature"])
-    start = F.get(F.filter(known, lambda t: t.isNotNull()), F.lit(0))
-    held = F.aggregate(
-        known,
-        F.struct(start.alias("last"), F.array().cast("array<double>").alias("all")),
-        lambda acc, t: F.struct(F.coalesce(t, acc["last"]).alias("last"), F.concat(acc["all"], F.array(F.coalesce(t, acc["last"]))).alias("all")),
-        lambda acc: acc["all"],
-    )
-    return F.struct(F.transform(sound, lambda p: p["divetime"]).alias("time_s"), F.transform(sound, lambda p: p["depth"]).alias("depth_m"), F.when(start.isNotNull(), held).alias("temp_c"))
+
+    def series(sound: Column) -> Column:
+        known = F.filter(F.transform(sound, lambda p, i: F.struct(i.alias("i"), p["temperature"].alias("t"))), lambda x: x["t"].isNotNull())
+        # each known value as often as it holds, so that no array is built up value by value
+        stretch = lambda known: lambda x, k: F.array_repeat(x["t"], F.coalesce(F.get(known, k + 1)["i"], F.size(sound)) - x["i"])
+        temps = once(known, lambda known: F.when(F.size(known) > 0, F.concat(F.array_repeat(F.get(known, 0)["t"], F.get(known, 0)["i"]), F.flatten(F.transform(known, stretch(known))))))
+        return F.struct(F.transform(sound, lambda p: p["divetime"]).alias("time_s"), F.transform(sound, lambda p: p["depth"]).alias("depth_m"), temps.alias("temp_c"))
+
+    return once(F.filter(points, lambda p: p["divetime"].isNotNull() & p["depth"].isNotNull()), series)
 
 
 def dives_of_xml(dives: DataFrame, sites: DataFrame, mixes: DataFrame) -> DataFrame:
