@@ -17,81 +17,125 @@ GAS_TOLERANCE = 0.0100001
 SITE_M, SITE_NAME = 500, 0.8
 #: Metres and name similarities at which an observation's place is a known site.
 SAME_M, NEARBY_M, NEARBY_NAME, NAME_ONLY = 50, 250, 0.6, 0.85
-#: Columns that observations and records may have besides: place, site name, first gas's oxygen; the source's own id (an
-#: observation has one, a record an array of them); and whether an observation's offset is suspect.
-OBSERVED, RECORDED = ("lat", "lon", "site", "gas", "source_ref", "suspect"), ("lat", "lon", "site", "gas", "source_refs")
+#: Columns that observations and records may have besides: universal time; place, site name, first gas's oxygen; the source's
+#: own id (an observation has one, a record an array of them); and whether an observation's offset is suspect.
+OBSERVED, RECORDED = ("utc", "lat", "lon", "site", "gas", "source_ref", "suspect"), ("utc", "lat", "lon", "site", "gas", "source_refs")
 
 
 def candidates(observed: DataFrame, records: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     """Pairs of one owner at most window_s apart. Both tables: (owner, id, at, depth, seconds), and OBSERVED or RECORDED.
 
-    Records are put under their time bucket, observations under it and both neighbours, so the join is an equi-join.
+    at is what the clock showed; two rows are compared by it where both have it, else by universal time (utc) where both have
+    that, else not at all; basis says by which. Records are put under their time bucket, observations under it and both
+    neighbours, so the join is an equi-join.
     """
     bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / window_s)
-    o = observed.select("owner", F.col("id").alias("obs_id"), F.col("at").alias("obs_at"), F.col("depth").alias("obs_depth"), F.col("seconds").alias("obs_seconds"), *[F.col(c).alias(f"obs_{c}") for c in OBSERVED if c in observed.columns])
-    o = o.withColumn("bucket", F.explode(F.sequence(bucket("obs_at") - 1, bucket("obs_at") + 1)))
-    r = records.select("owner", F.col("id").alias("rec_id"), F.col("at").alias("rec_at"), F.col("depth").alias("rec_depth"), F.col("seconds").alias("rec_seconds"), *[F.col(c).alias(f"rec_{c}") for c in RECORDED if c in records.columns]).withColumn("bucket", bucket("rec_at"))
-    apart = F.abs(F.unix_micros(F.col("obs_at").cast("timestamp")) - F.unix_micros(F.col("rec_at").cast("timestamp"))) / 1e6
-    return o.join(r, ["owner", "bucket"]).withColumn("apart_s", apart).where(F.col("apart_s") <= window_s).drop("bucket")
+    both = "utc" in observed.columns and "utc" in records.columns
+    kinds = [("local", "at"), ("utc", "utc")] if both else [("local", "at")]
+    side = lambda df, name, more: df.select("owner", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "at", "depth", "seconds", *more) if c in df.columns])
+    o, r = side(observed, "obs", OBSERVED), side(records, "rec", RECORDED)
+
+    def under(kind: str):
+        return lambda b: F.struct(F.lit(kind).alias("basis"), b.alias("bucket"))
+
+    def keyed(df: DataFrame, name: str, spread: int) -> DataFrame:
+        """A row for each time that is known and each of its buckets."""
+        each = [F.transform(F.when(F.col(f"{name}_{c}").isNotNull(), F.sequence(bucket(f"{name}_{c}") - spread, bucket(f"{name}_{c}") + spread)), under(kind)) for kind, c in kinds]
+        return df.withColumn("_key", F.explode(F.flatten(F.array_compact(F.array(*each))))).select("*", "_key.*").drop("_key")
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    pairs = keyed(o, "obs", 1).join(keyed(r, "rec", 0), ["owner", "basis", "bucket"])
+    apart = F.abs(micros("obs_at") - micros("rec_at")) / 1e6
+    if both:
+        # universal times count only where the clocks cannot be compared
+        pairs = pairs.where("basis = 'local' or obs_at is null or rec_at is null")
+        apart = F.when(F.col("basis") == "local", apart).otherwise(F.abs(micros("obs_utc") - micros("rec_utc")) / 1e6)
+    return pairs.withColumn("apart_s", apart).where(F.col("apart_s") <= window_s).drop("bucket")
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds the score, a sum of weights for time, depth, duration, site and gas, and the reasons for it.
+    """Adds the score, a sum of weights for time, depth, duration, site and gas, at most 1, and the reasons for it: an array
+    of (signal, weight, detail), detail being a sentence with the measured difference.
 
     A record that has the observation's source id scores 1 for that alone. What either side lacks adds nothing; two places
     are compared by their distance, and by the sites' names only where a place is absent or no valid one.
     """
-    same_day = F.to_date("obs_at") == F.to_date("rec_at")
-    time = F.when(F.col("apart_s") <= 300, 0.45).when((F.col("apart_s") <= 5400) & same_day, 0.25).when(same_day, 0.10).otherwise(0.0)
-    depth = F.when(F.abs(F.col("obs_depth") - F.col("rec_depth")) <= F.greatest(F.lit(1.0), 0.05 * F.col("rec_depth")), 0.20).otherwise(0.0)
-    length = F.when(F.abs(F.col("obs_seconds") - F.col("rec_seconds")) <= F.greatest(F.lit(180.0), 0.10 * F.col("rec_seconds")), 0.15).otherwise(0.0)
-    reason = lambda c, name: F.when(c > 0, F.lit(name))
-    signals = [(time, "time"), (depth, "depth"), (length, "duration"), (_site(pairs), "site")]
-    if {"obs_gas", "rec_gas"} <= set(pairs.columns):
-        signals.append((F.when(F.abs(F.col("obs_gas") - F.col("rec_gas")) <= GAS_TOLERANCE, 0.05).otherwise(0.0), "gas"))
-    total = signals[0][0]
-    for weight, _ in signals[1:]:
-        total = total + weight
-    total, reasons = F.least(F.lit(1.0), total), F.array_compact(F.array(*[reason(*x) for x in signals]))
-    known = _known(pairs)
-    return pairs.withColumn("score", F.when(known, 1.0).otherwise(total)).withColumn("reasons", F.when(known, F.array(F.lit("source_ref"))).otherwise(reasons))
+    has = lambda *names: {f"{side}_{n}" for side in ("obs", "rec") for n in names} <= set(pairs.columns)
+    by_utc = (F.col("basis") == "utc") if has("utc") else F.lit(False)
+    day = lambda side: F.to_date(F.when(by_utc, F.col(f"{side}_utc")).otherwise(F.col(f"{side}_at")) if has("utc") else F.col(f"{side}_at"))
+    same_day, clock, minutes = day("obs") == day("rec"), F.when(by_utc, "UTC").otherwise("local time"), F.col("apart_s") / 60
+    reason = lambda hit, signal, weight, *said: F.when(hit, F.struct(F.lit(signal).alias("signal"), F.lit(weight).alias("weight"), F.format_string(*said).alias("detail")))
+    close, loose = minutes <= 5, (minutes <= 90) & same_day
+    time = F.coalesce(
+        reason(close, "startTime", 0.45, "Start times are within %.0f min (%s).", minutes, clock),
+        reason(loose, "startTimeLoose", 0.25, "Start times are %.0f min apart on the same day (%s).", minutes, clock),
+        reason(same_day, "sameDate", 0.10, "Same date, but the times are far apart."),
+    )
+    depth, length = F.abs(F.col("obs_depth") - F.col("rec_depth")), F.abs(F.col("obs_seconds") - F.col("rec_seconds"))
+    found = [
+        time,
+        reason(depth <= F.greatest(F.lit(1.0), 0.05 * F.col("rec_depth")), "maxDepth", 0.20, "Max depths agree within %.2f m.", depth.cast("double")),
+        reason(length <= F.greatest(F.lit(180.0), 0.10 * F.col("rec_seconds")), "duration", 0.15, "Durations agree within %d min.", F.floor(length / 60 + 0.5).cast("long")),
+        _site(pairs, reason),
+    ]
+    if has("gas"):
+        oxygen, percent = F.abs(F.col("obs_gas") - F.col("rec_gas")), lambda c: (F.col(c) * 100).cast("double")
+        exact = F.when(oxygen * 100 < 0.05, "rounding").otherwise("1%")
+        found.append(reason(oxygen <= GAS_TOLERANCE, "gas", 0.05, "Oxygen fractions agree within %s (%.0f%% and %.0f%%).", exact, percent("obs_gas"), percent("rec_gas")))
+    reasons = F.array_compact(F.array(*[x for x in found if x is not None]))
+    if has_refs(pairs):
+        known = reason(_known(pairs), "sourceRef", 1.0, "This dive already carries source id %s.", F.col("obs_source_ref"))
+        reasons = F.when(known.isNotNull(), F.array(known)).otherwise(reasons)
+    # kept as a column, so that sentences are made once
+    told = pairs.withColumn("reasons", reasons)
+    return told.withColumn("score", F.least(F.lit(1.0), F.aggregate("reasons", F.lit(0.0), lambda acc, r: acc + r["weight"])))
+
+
+def has_refs(pairs: DataFrame) -> bool:
+    return {"obs_source_ref", "rec_source_refs"} <= set(pairs.columns)
 
 
 def _known(pairs: DataFrame) -> Column:
     """Whether the record carries the observation's source id."""
-    if not {"obs_source_ref", "rec_source_refs"} <= set(pairs.columns):
-        return F.lit(False)
-    return F.coalesce(F.array_contains("rec_source_refs", F.col("obs_source_ref")), F.lit(False))
+    return F.coalesce(F.array_contains("rec_source_refs", F.col("obs_source_ref")), F.lit(False)) if has_refs(pairs) else F.lit(False)
 
 
-def _site(pairs: DataFrame) -> Column:
+def _site(pairs: DataFrame, reason) -> Column | None:
     has = lambda *names: {f"{side}_{n}" for side in ("obs", "rec") for n in names} <= set(pairs.columns)
-    near, named, both = F.lit(False), F.lit(False), F.lit(False)
+    both, far, named = F.lit(False), None, None
     if has("lat", "lon"):
         at = [(F.col(f"{side}_lat"), F.col(f"{side}_lon")) for side in ("obs", "rec")]
-        valid = lambda lat, lon: F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
-        both = valid(*at[0]) & valid(*at[1])
-        near = haversine_m(*at[0], *at[1]) <= SITE_M
+        both = F.coalesce(valid(*at[0]) & valid(*at[1]), F.lit(False))
+        metres = haversine_m(*at[0], *at[1])
+        far = reason(both & (metres <= SITE_M), "site", 0.15, "Sites are %d m apart.", F.floor(metres + 0.5).cast("long"))
     if has("site"):
-        named = name_similarity(F.col("obs_site"), F.col("rec_site")) > SITE_NAME
-    return F.when(both, F.when(near, 0.15).otherwise(0.0)).otherwise(F.when(named, 0.15).otherwise(0.0))
+        alike = name_similarity(F.col("obs_site"), F.col("rec_site")) > SITE_NAME
+        named = reason(~both & alike, "site", 0.15, "Site names match (%s / %s).", F.col("obs_site"), F.col("rec_site"))
+    there = [x for x in (far, named) if x is not None]
+    return F.coalesce(*there) if there else None
 
 
 def decide(pairs: DataFrame, merge_at: float = MERGE_AT, floor: float = FLOOR, lead: float = LEAD) -> DataFrame:
-    """The best candidate of each observation at or above the floor, and whether to merge into it.
+    """(owner, obs_id, rec_id, score, decision): the best candidate of each observation at or above the floor, of equal ones
+    that of the least id, and whether to merge into it.
 
-    merge: the record has the observation's source id; or the observation's offset is not suspect, the score is at least
-    merge_at and `lead` above the runner-up, and no better observation claims the same record.
+    merge: the record has the observation's source id; or the observation's offset is not suspect, more than the date
+    agrees, the score is at least merge_at and `lead` above the runner-up. A record takes one observation, that of the best
+    score and then the least id; others that would merge into it are ambiguous, known source ids too.
     """
-    known = _known(pairs)
     suspect = F.coalesce(F.col("obs_suspect"), F.lit(False)) if "obs_suspect" in pairs.columns else F.lit(False)
-    pairs = pairs.withColumn("known", known).withColumn("suspect", suspect)
-    w = Window.partitionBy("owner", "obs_id").orderBy(F.desc("score"), F.desc("known"), "rec_id")
-    best = pairs.where(F.col("score") >= floor).withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("place = 1")
-    sure = F.col("known") | ~F.col("suspect") & (F.col("score") >= merge_at) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-9))
-    claims = Window.partitionBy("owner", "rec_id", "sure").orderBy(F.desc("known"), F.desc("score"), "obs_id")
-    first = best.withColumn("sure", sure).withColumn("claim", F.row_number().over(claims))
-    return first.select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"), F.when(F.col("known") | F.col("sure") & (F.col("claim") == 1), "merge").otherwise("ambiguous").alias("decision"))
+    known = F.exists("reasons", lambda r: r["signal"] == "sourceRef")
+    weak = F.forall("reasons", lambda r: r["signal"] == "sameDate")
+    w = Window.partitionBy("owner", "obs_id").orderBy(F.desc("score"), "rec_id")
+    fit = pairs.where(F.col("score") >= floor).select("owner", "obs_id", "rec_id", "score", known.alias("known"), (suspect | weak).alias("unsure"))
+    best = fit.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("place = 1")
+    sure = F.col("known") | ~F.col("unsure") & (F.col("score") >= merge_at) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-9))
+    marked = best.withColumn("sure", sure)
+    # the best claim of a record is a minimum, so no window gathers all who claim it
+    first = marked.where("sure").groupBy("owner", "rec_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "obs_id"))["obs_id"].alias("winner"))
+    told = marked.join(first, ["owner", "rec_id"], "left")
+    merge = F.col("sure") & (F.col("obs_id") == F.col("winner"))
+    return told.select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"), F.when(merge, "merge").otherwise("ambiguous").alias("decision"))
 
 
 def outcomes(observed: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -111,10 +155,8 @@ def time_basis(df: DataFrame, local: str = "start_local", utc: str = "start_utc"
 
 
 def reason_text(reasons: Column) -> Column:
-    """Reasons as one line, each with the weight it stands for at the most."""
-    said = {"time": "start times agree (up to 0.45)", "depth": "depths agree (0.20)", "duration": "durations agree (0.15)", "site": "sites agree (0.15)", "gas": "gases agree (0.05)", "source_ref": "same source id (1.00)"}
-    line = F.lit(None).cast("string")
-    return F.array_join(F.transform(reasons, lambda r: F.coalesce(*[F.when(r == k, v) for k, v in said.items()], r, line)), "; ")
+    """The sentences of reasons as one line, each with its weight."""
+    return F.array_join(F.transform(reasons, lambda r: F.concat(r["detail"], F.lit(" ("), F.format_string("%.2f", r["weight"]), F.lit(")"))), " ")
 
 
 def nearest(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
@@ -170,11 +212,16 @@ def _edit_pairs(short: DataFrame, long: DataFrame, by: list[str], least: float)
     return held.join(whole, [*by, "long", "i", "part"]).select(*by, "name", "other").distinct()
 
 
-def similar(names: DataFrame, name: Column, least: float = 0.85) -> DataFrame:
-    """All pairs of different names that are at least as similar as `least`, which is above zero and at most one."""
-    n = names.select(name.alias("name")).where("name <> ''").distinct()
-    pairs = _edit_pairs(n, n, [], least).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-    return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).where(similarity(F.col("a"), F.col("b")) >= least)
+def similar(names: DataFrame, name: Column, least: float = NAME_ONLY, by: list[str] | None = None) -> DataFrame:
+    """(by..., a, b, score) of all pairs of different names of one owner (`by`; null: any) at least as similar as `least`.
+
+    The nearer `least` is to 1, the longer are the segments that similar names must share: below 0.8 the join has many
+    candidates for long names.
+    """
+    by = by or []
+    n = names.select(*by, name.alias("name")).where("name <> ''").distinct()
+    pairs = _edit_pairs(n, n, by, least).where("name <> other").select(*by, F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    return pairs.select(*by, "a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).where(similarity(F.col("a"), F.col("b")) >= least)
 
 
 def named_alike(left: DataFrame, right: DataFrame, by: list[str], least: float = 0.85) -> DataFrame:

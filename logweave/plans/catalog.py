@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logweave.functions import offsets, series, units
 from logweave.functions.text import clean_number, name_similarity, no_null_tokens, slug
-from logweave.operators import cleaning, linking, merging, profile, search, stats, taxonomy
+from logweave.operators import cleaning, merging, profile, search, stats, taxonomy
+from logweave.operators.linking import nearest
 from logweave.plans.registry import ORACLE_SQL, QUERIES, query
 from logweave.sources.tables import read
 
@@ -146,50 +147,6 @@ def text_slug(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", slug(F.col("p_name")).alias("slug"))
 
 
-@query("""
-WITH n AS (SELECT DISTINCT p_name AS name FROM part)
-SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score
-FROM n x JOIN n y ON x.name < y.name
-WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
-def link_similar_names(spark: SparkSession, d: str) -> DataFrame:
-    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6)
-
-
-@query("""
-WITH n AS (SELECT DISTINCT p_name AS name FROM part)
-SELECT x.name AS a, y.name AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score
-FROM n x JOIN n y ON x.name < y.name
-WHERE 1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE >= 0.6""")
-def link_all_similar_names(spark: SparkSession, d: str) -> DataFrame:
-    return linking.similar(read(spark, d, "part"), F.col("p_name"), 0.6)
-
-
-PAIRS = """
-p AS (SELECT o.user_id AS owner, o.event_id AS obs_id, r.event_id AS rec_id, abs(epoch_us(o.ts) - epoch_us(r.ts)) / 1e6 AS apart, CAST(o.ts AS DATE) = CAST(r.ts AS DATE) AS same_day,
-             o.value AS ov, r.value AS rv FROM events o JOIN events r ON o.user_id = r.user_id AND o.event_type = 'purchase' AND r.event_type = 'view' AND abs(epoch_us(o.ts) - epoch_us(r.ts)) <= 21600000000),
-s AS (SELECT owner, obs_id, rec_id, apart, CASE WHEN apart <= 300 THEN 0.45::DOUBLE WHEN apart <= 5400 AND same_day THEN 0.25::DOUBLE WHEN same_day THEN 0.1::DOUBLE ELSE 0::DOUBLE END
-             + CASE WHEN abs(ov - rv) <= greatest(1.0::DOUBLE, 0.05::DOUBLE * rv) THEN 0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN abs(ov - rv) <= greatest(180.0::DOUBLE, 0.1::DOUBLE * rv) THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS score FROM p)"""
-
-
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = lambda kind: events(spark, d).where(F.col("event_type") == kind).select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("value").alias("depth"), F.col("value").alias("seconds"))
-    return linking.scored(linking.candidates(rows("purchase"), rows("view")))
-
-
-@query(f"WITH {PAIRS} SELECT owner, obs_id, rec_id, round(score, 4) AS score FROM s")
-def link_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("owner", "obs_id", "rec_id", F.round("score", 4).alias("score"))
-
-
-@query(f"""WITH {PAIRS},
-b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM s WHERE score >= 0.45::DOUBLE WINDOW w AS (PARTITION BY owner, obs_id ORDER BY score DESC, rec_id)),
-c AS (SELECT *, score >= 0.8::DOUBLE AND (next IS NULL OR score - next >= 0.1::DOUBLE - 1e-9) AS sure FROM b WHERE place = 1),
-f AS (SELECT *, row_number() OVER (PARTITION BY owner, rec_id, sure ORDER BY score DESC, obs_id) AS claim FROM c)
-SELECT owner, obs_id, rec_id, round(score, 4) AS score, CASE WHEN sure AND claim = 1 THEN 'merge' ELSE 'ambiguous' END AS decision FROM f""")
-def link_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return linking.decide(_pairs(spark, d))
-
-
 PLACE = "(({k} * 37) % 1000) / 100.0::DOUBLE + 40 AS lat, (({k} * 91) % 1000) / 100.0::DOUBLE + 5 AS lon"
 
 
@@ -200,7 +157,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY m, place_id) A
 SELECT point_id, place_id, m AS distance_m FROM r WHERE k = 1""")
 def link_nearest(spark: SparkSession, d: str) -> DataFrame:
     place = lambda t, key, name: read(spark, d, t).select(F.col(key).alias(name), ((F.col(key) * 37 % 1000) / 100.0 + 40).alias("lat"), ((F.col(key) * 91 % 1000) / 100.0 + 5).alias("lon"))
-    return linking.nearest(place("customer", "c_custkey", "point_id"), place("supplier", "s_suppkey", "place_id"), 50_000)
+    return nearest(place("customer", "c_custkey", "point_id"), place("supplier", "s_suppkey", "place_id"), 50_000)
 
 
 ASSERTED = """
@@ -347,4 +304,4 @@ def profile_codec(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the modules below add their queries to the same registry
-from logweave.plans import documents, imports, logbook, relations  # noqa: E402, F401
+from logweave.plans import documents, imports, linking, logbook, relations  # noqa: E402, F401

@@ -92,35 +92,6 @@ def merge_orphans(spark: SparkSession, d: str) -> DataFrame:
 # --- matching -----------------------------------------------------------------------------------------------------------
 
 
-def _observed(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return _events(spark, d).where(F.col("event_type") == kind).select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("value").alias("depth"), F.col("value").alias("seconds"))
-
-
-SCORES = """
-p AS (SELECT o.user_id AS owner, o.event_id AS obs_id, r.event_id AS rec_id, abs(epoch_us(o.ts) - epoch_us(r.ts)) / 1e6 AS apart, CAST(o.ts AS DATE) = CAST(r.ts AS DATE) AS same_day,
-             o.value AS ov, r.value AS rv FROM events o JOIN events r ON o.user_id = r.user_id AND o.event_type = 'purchase' AND r.event_type = 'view' AND abs(epoch_us(o.ts) - epoch_us(r.ts)) <= 21600000000),
-q AS (SELECT *, CASE WHEN apart <= 300 THEN 0.45::DOUBLE WHEN apart <= 5400 AND same_day THEN 0.25::DOUBLE WHEN same_day THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS t,
-             CASE WHEN abs(ov - rv) <= greatest(1.0::DOUBLE, 0.05::DOUBLE * rv) THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS dep, CASE WHEN abs(ov - rv) <= greatest(180.0::DOUBLE, 0.1::DOUBLE * rv) THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS dur FROM p),
-s AS (SELECT *, t + dep + dur AS score FROM q)"""
-
-
-@query(f"""WITH {SCORES},
-b AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM s WHERE score >= 0.45::DOUBLE WINDOW w AS (PARTITION BY owner, obs_id ORDER BY score DESC, rec_id)),
-c AS (SELECT *, score >= 0.8::DOUBLE AND (next IS NULL OR score - next >= 0.1::DOUBLE - 1e-9) AS sure FROM b WHERE place = 1),
-f AS (SELECT *, row_number() OVER (PARTITION BY owner, rec_id, sure ORDER BY score DESC, obs_id) AS claim FROM c)
-SELECT e.user_id AS owner, e.event_id AS obs_id, rec_id, round(score, 4) AS score, CASE WHEN obs_id IS NULL THEN 'create' WHEN sure AND claim = 1 THEN 'merge' ELSE 'ambiguous' END AS decision, CASE WHEN obs_id IS NULL THEN 'create' WHEN sure AND claim = 1 THEN 'merge' ELSE 'pending' END AS action
-FROM events e LEFT JOIN f ON f.owner = e.user_id AND f.obs_id = e.event_id WHERE e.event_type = 'purchase'""")
-def link_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    observed = _observed(spark, d, "purchase")
-    return linking.outcomes(observed, linking.decide(linking.scored(linking.candidates(observed, _observed(spark, d, "view")))))
-
-
-@query(f"WITH {SCORES} SELECT owner, obs_id, rec_id, concat_ws('; ', CASE WHEN t > 0 THEN 'start times agree (up to 0.45)' END, CASE WHEN dep > 0 THEN 'depths agree (0.20)' END, CASE WHEN dur > 0 THEN 'durations agree (0.15)' END) AS reasons FROM s")
-def link_reasons(spark: SparkSession, d: str) -> DataFrame:
-    pairs = linking.scored(linking.candidates(_observed(spark, d, "purchase"), _observed(spark, d, "view")))
-    return pairs.select("owner", "obs_id", "rec_id", linking.reason_text(F.col("reasons")).alias("reasons"))
-
-
 @query("""
 WITH c AS (SELECT c_custkey AS point_id, c_nationkey AS owner, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 50) / 1000.0::DOUBLE + 10 END AS lat, CASE WHEN c_custkey % 3 = 0 THEN 179.999::DOUBLE END AS lon, 'reef-' || (c_custkey % 60)::VARCHAR || CASE WHEN c_custkey % 5 = 0 THEN '-bay' WHEN c_custkey % 5 = 1 THEN '-old-wall' ELSE '' END AS name FROM customer),
      s AS (SELECT s_suppkey AS site_id, s_nationkey AS owner, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 50) / 1000.0::DOUBLE + 10.0003::DOUBLE END AS lat, CASE WHEN s_suppkey % 4 = 0 THEN 179.999::DOUBLE ELSE -179.9997::DOUBLE END AS lon, 'reef-' || (s_suppkey % 60)::VARCHAR AS name, 'reef-' || (s_suppkey % 40)::VARCHAR || '-old-wall' AS alias FROM supplier),
