@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 from logweave.plans import catalog
 
 
-#: Rounds over all queries, and seconds after which no further one is begun.
-RUNS, LONGEST_S = 4, 300
+#: Timed runs of a query, after one that compiles it and warms its files.
+RUNS = 3
 
 
 def main() -> None:
@@ -21,17 +21,14 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    seen: dict[str, list[float]] = {name: [] for name in catalog.QUERIES}
-    began = time.perf_counter()
-    for turn in range(RUNS):
-        for name, run in catalog.QUERIES.items():
-            if turn and time.perf_counter() - began > LONGEST_S:
-                break
+    times = {}
+    for name, run in catalog.QUERIES.items():
+        seen = []
+        for _ in range(RUNS + 1):
             start = time.perf_counter()
             run(spark, folder).write.format("noop").mode("overwrite").save()
-            seen[name].append(time.perf_counter() - start)
-    # the first run compiles; it counts only where it is the only one
-    times = {name: round(statistics.median(got[1:] or got), 3) for name, got in seen.items()}
+            seen.append(time.perf_counter() - start)
+        times[name] = round(statistics.median(seen[1:]), 3)
     print(json.dumps({"metric": "total_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(folder.rstrip("/"))}))
 
 

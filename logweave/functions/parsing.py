@@ -68,8 +68,9 @@ def split_list(text: Column) -> Column:
 
     Both kinds of quote open anywhere and close with their own kind, so an apostrophe opens one; an open one runs to the end.
     """
-    part = r"""(?:[^,;/|"']|"[^"]*(?:"|$)|'[^']*(?:'|$))+"""
-    bare = lambda p: F.trim(F.regexp_replace(p, r"""\"([^"]*)(?:"|$)|'([^']*)(?:'|$)""", "$1$2"))
+    # possessive throughout: a plain repeated group recurses once a character, and a long cell would end the stack
+    part = r"""(?:[^,;/|"']++|"[^"]*+(?:"|$)|'[^']*+(?:'|$))++"""
+    bare = lambda p: F.trim(F.regexp_replace(p, r"""\"([^"]*+)(?:"|$)|'([^']*+)(?:'|$)""", "$1$2"))
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(part), F.lit(0)), bare), lambda p: p != "")
 
 

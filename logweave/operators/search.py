@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators import running
+
 #: Orders of a logbook: column role, whether it falls. The key breaks ties, in the same direction for times and numbers.
 ORDERS = {"newest": ("when", True), "oldest": ("when", False), "deepest": ("depth", True), "longest": ("length", True), "number": ("number", True)}
 MOST = 200
@@ -20,9 +22,24 @@ def facets(df: DataFrame, value: str, when: str, amount: str) -> DataFrame:
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date(when)).alias("first_day"), F.max(F.to_date(when)).alias("last_day"), F.min(amount).alias("least"), F.max(amount).alias("most"))
 
 
-def named_facets(counts: DataFrame, names: DataFrame, value: str, name: str, most: int = MOST) -> DataFrame:
-    """The `most` most frequent values (value, n) with their names (value, name), by falling count, then name, then value."""
-    return counts.join(names.select(value, name), value).orderBy(F.desc("n"), name, value).limit(most)
+def by_language(name: str) -> Column:
+    """A name as people sort it: accents and case matter only between names equal without them (the root order of Unicode)."""
+    return F.collate(F.col(name), "UNICODE")
+
+
+def named_facets(counts: DataFrame, names: DataFrame, value: str, name: str, most: int | None = None) -> DataFrame:
+    """All values (value, n) with their names (value, name), by falling count, then name by_language(), then value; with
+    `most` only the first so many. Values without a name are left out, of several names the least counts."""
+    one = names.groupBy(value).agg(F.min(name).alias(name))
+    found = counts.join(one, value).orderBy(F.desc("n"), by_language(name), value)
+    return found if most is None else found.limit(most)
+
+
+def placed_facets(counts: DataFrame, names: DataFrame, owner: str, value: str, name: str, most: int = running.MOST) -> DataFrame:
+    """(owner, value, name, n, place): each owner's values (owner, value, n) in the order of named_facets(), from 1 on."""
+    one = names.groupBy(value).agg(F.min(name).alias(name))
+    rows = counts.join(one, value).withColumns({"_less": -F.col("n"), "_name": by_language(name)})
+    return running.Ordered(rows, owner, ["_less", "_name", value], most).add(place=running.count()).rows().select(owner, value, name, "n", "place")
 
 
 def page(df: DataFrame, amount: str, key: str, size: int = 50, after: tuple[float | None, int] | None = None) -> DataFrame:
@@ -55,11 +72,14 @@ def ordered(df: DataFrame, order: str, columns: dict[str, str], key: str, most:
     return df.orderBy(first, F.desc(key) if falls and role in ("when", "number") else F.asc(key)).limit(most)
 
 
-def trips_in_order(df: DataFrame, start: str, made: str, key: str, most: int = MOST) -> DataFrame:
-    """Trips by falling start day, those without one last, then by falling time of making, ties by key."""
-    return df.orderBy(F.desc_nulls_last(start), F.desc_nulls_last(made), key).limit(most)
+def trips_in_order(df: DataFrame, start: str, made: str, key: str, most: int | None = None) -> DataFrame:
+    """All trips (with `most`, the first so many) by falling start day, those without one last, then by falling time of
+    making, ties by key."""
+    found = df.orderBy(F.desc_nulls_last(start), F.desc_nulls_last(made), key)
+    return found if most is None else found.limit(most)
 
 
-def gear_in_order(df: DataFrame, retired: str, name: str, key: str, most: int = MOST) -> DataFrame:
-    """Gear in use before retired gear (by falling day), then by name in any case, ties by key."""
-    return df.orderBy(F.col(retired).isNotNull(), F.desc(retired), F.lower(name), key).limit(most)
+def gear_in_order(df: DataFrame, retired: str, name: str, key: str, most: int | None = None) -> DataFrame:
+    """All gear (with `most`, the first so many): what is in use, then retired gear by rising day, each by name, ties by key."""
+    found = df.orderBy(F.asc_nulls_first(retired), by_language(name), key)
+    return found if most is None else found.limit(most)

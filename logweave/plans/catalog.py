@@ -212,6 +212,26 @@ def profile_summary(spark: SparkSession, d: str) -> DataFrame:
     return profile.summary(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+TIMES = """
+e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id % 10 <> 0),
+t AS (SELECT vec_id, i, v, (i * 10 + (i + vec_id) % 3 * CASE WHEN i % 5 = 0 THEN -8 ELSE 4 END)::DOUBLE AS s FROM e),
+r AS (SELECT *, lag(v) OVER w - v AS up, s - lag(s) OVER w AS dt FROM t WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+g AS (SELECT vec_id, count(*) AS n, arg_max(s, i) - arg_min(s, i) AS duration_s, max(v) AS most, avg(v) AS mean, max(CASE WHEN dt > 0 AND up > 0 THEN up / dt * 60 END) AS rise, min(v) AS low FROM r GROUP BY vec_id)"""
+
+
+@query(f"""
+WITH {TIMES}
+SELECT e.vec_id AS vec_id, coalesce(n, 0) AS n, coalesce(duration_s, 0) AS duration_s, round(coalesce(most, 0), 5) AS max_depth_m, round(coalesce(mean, 0), 5) AS avg_depth_m, CASE WHEN n > 1 THEN round(coalesce(rise, 0), 4) END AS max_ascent_m_per_min, CASE WHEN n > 1 THEN floor(duration_s / (n - 1) + 0.5)::BIGINT END AS interval_s,
+  CASE WHEN e.vec_id % 4 = 0 THEN round(low, 5) END AS min_temp_c, CASE WHEN e.vec_id % 4 = 0 THEN round(most, 5) END AS max_temp_c, CASE WHEN e.vec_id % 10 = 0 THEN '' WHEN e.vec_id % 4 = 0 THEN 'time,depth,temp' ELSE 'time,depth' END AS channels FROM embeddings e LEFT JOIN g ON g.vec_id = e.vec_id""")
+def profile_timed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Series with times of their own: gaps, samples at one time and backwards; some without any channel."""
+    there = F.col("vec_id") % 10 != 0
+    times = F.transform("embedding", lambda _, k: ((k + 1) * 10 + (k + 1 + F.col("vec_id")) % 3 * F.when((k + 1) % 5 == 0, -8).otherwise(4)).cast("double"))
+    rows = read(spark, d, "embeddings").select("vec_id", F.when(there, times).alias("t"), F.when(there, F.col("embedding")).alias("v"), F.when(there & (F.col("vec_id") % 4 == 0), F.col("embedding")).alias("c"))
+    four = {"max_ascent_m_per_min": 4, "max_depth_m": 5, "avg_depth_m": 5, "min_temp_c": 5, "max_temp_c": 5}
+    return profile.timed_summary(rows, "vec_id", "t", "v", "c").withColumns({n: F.round(n, k) for n, k in four.items()})
+
+
 @query("""
 WITH e AS (SELECT vec_id, len(embedding) AS n, list_position(embedding, list_max(embedding)) - 1 AS top, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings)
 SELECT vec_id, i, round(v::DOUBLE, 5) + 0.0::DOUBLE AS v FROM e WHERE i % greatest(1, n // 12) = 0 OR i = n - 1 OR i = top""")

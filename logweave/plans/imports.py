@@ -107,13 +107,13 @@ def import_json(spark: SparkSession, d: str) -> DataFrame:
     return back.select("e.event_id", "e.props.k", F.col("e.user_id").alias("owner"))
 
 
-@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'zip' WHEN 1 THEN 'uddf' WHEN 2 THEN 'subsurface' WHEN 3 THEN 'json' WHEN 4 THEN 'csv' WHEN 5 THEN 'csv' WHEN 6 THEN 'uddf' ELSE 'unknown' END AS kind FROM events")
+SNIFFED = [("PK\x03\x04rest", "a.uddf", "zip"), ("<?xml?>\n<UDDF version='3'>", "a.csv", "uddf"), ("<divelog program='Subsurface'>", "a.csv", "subsurface"), ('{"format": "logbook/2"}', "a.csv", "json"), ("a;b,c\n1;2", "a.json", "csv"), ("a b", "a.CSV", "unknown"), ("plain", "a.xml", "uddf"), ('{"a": 1}', "a.json", "unknown"), ("<a,b,c>", "a.txt", "unknown"), ("a,b\nc,d,e", "a.XLSX", "zip"), ("<uddfx", "a", "unknown")]
+
+
+@query(f"SELECT event_id, {[kind for _, _, kind in SNIFFED]}[event_id % {len(SNIFFED)} + 1] AS kind FROM events")
 def import_sniff(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("event_id") % 8).cast("int")
-    heads = ["PK\x03\x04rest", "<?xml?>\n<UDDF version='3'>", "<divelog program='subsurface'>", ' {"a": 1}', "a;b;c\n1;2;3", "a b", "plain", "plain"]
-    names = ["a.uddf", "a.csv", "a.csv", "a.csv", "a.json", "a.CSV", "a.uddf", "a"]
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), k)
-    return read(spark, d, "events").select("event_id", files.sniffed(pick(names), F.concat(pick(heads), F.lit("\n"), "props")).alias("kind"))
+    pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in SNIFFED]), (F.col("event_id") % len(SNIFFED)).cast("int"))
+    return read(spark, d, "events").select("event_id", files.sniffed(pick(1), F.concat(pick(0), F.lit("\n"), "props")).alias("kind"))
 
 
 @query("""

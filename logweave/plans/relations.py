@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import offsets
 from logweave.operators import linking, lists, merging, relations, search, taxonomy
 from logweave.plans.registry import query
 from logweave.sources import exports, files
+from logweave.sources.shared import written
 from logweave.sources.tables import read
 
 
@@ -102,18 +103,18 @@ def relate_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT o_custkey % 5 AS trip, count(*) AS n FROM orders WHERE o_custkey % 5 < 3 AND o_custkey < 400 GROUP BY 1)
-SELECT o_orderkey, CASE WHEN o_custkey < 400 AND n.n <= 500 THEN o_custkey % 5 END AS trip FROM orders LEFT JOIN n ON n.trip = o_custkey % 5 AND o_custkey < 400""")
+WITH n AS (SELECT o_custkey AS trip, count(*) AS n FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 AND n.n <= 8 THEN o_custkey END AS trip FROM orders LEFT JOIN n ON n.trip = o_custkey""")
 def state_assigned(spark: SparkSession, d: str) -> DataFrame:
     rows = _orders(spark, d).select("o_orderkey", F.lit(None).cast("long").alias("trip"))
-    wanted = _orders(spark, d).where("o_custkey % 5 < 3 and o_custkey < 400").select("o_orderkey", (F.col("o_custkey") % 5).alias("value"))
-    return relations.assigned(rows, "o_orderkey", "trip", wanted)
+    wanted = _orders(spark, d).where("o_orderkey % 3 < 2").select("o_orderkey", F.col("o_custkey").alias("value"))
+    return relations.assigned(rows, "o_orderkey", "trip", wanted, 8)
 
 
-@query("SELECT k AS c_custkey, count(o_orderkey) AS n, CASE WHEN max(c_custkey) IS NULL THEN 'unknown' WHEN count(o_orderkey) > 0 THEN 'refused' ELSE 'deleted' END AS outcome FROM range(1, 400) r(k) LEFT JOIN customer ON c_custkey = k AND k % 11 <> 0 LEFT JOIN orders ON o_custkey = k AND o_orderstatus = 'P' GROUP BY k")
+@query("SELECT k AS c_custkey, count(o_orderkey) AS n, CASE WHEN max(c_custkey) IS NULL THEN 'unknown' WHEN count(o_orderkey) > 0 THEN 'refused' ELSE 'deleted' END AS outcome FROM (SELECT DISTINCT o_custkey + 5 AS k FROM orders) LEFT JOIN customer ON c_custkey = k AND k % 11 <> 0 LEFT JOIN orders ON o_custkey = k AND o_orderstatus = 'P' GROUP BY k")
 def state_removals(spark: SparkSession, d: str) -> DataFrame:
     uses = _orders(spark, d).where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return relations.removals(read(spark, d, "customer").where("c_custkey % 11 <> 0"), uses, spark.range(1, 400).select(F.col("id").alias("c_custkey")), "c_custkey")
+    return relations.removals(read(spark, d, "customer").where("c_custkey % 11 <> 0"), uses, _orders(spark, d).select((F.col("o_custkey") + 5).alias("c_custkey")), "c_custkey")
 
 
 @query("""
@@ -161,13 +162,36 @@ def link_resolved_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'trip' AS kind, o_orderkey FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS s FROM orders ORDER BY s DESC NULLS LAST, o_custkey DESC, o_orderkey LIMIT 200)
-UNION ALL SELECT 'gear', o_orderkey FROM (SELECT *, CASE WHEN o_orderkey % 1000 < 5 THEN NULL ELSE o_orderdate END AS r FROM orders ORDER BY r IS NOT NULL, r DESC, lower(o_orderpriority), o_orderkey LIMIT 200)""")
+SELECT 'trip' AS kind, o_orderkey, row_number() OVER (ORDER BY s DESC NULLS LAST, o_custkey DESC, o_orderkey) AS place FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS s FROM orders)
+UNION ALL SELECT 'gear', o_orderkey, row_number() OVER (ORDER BY r NULLS FIRST, o_orderpriority COLLATE en, o_orderkey) FROM (SELECT *, CASE WHEN o_orderkey % 1000 < 5 THEN NULL ELSE o_orderdate END AS r FROM orders)""")
 def search_trips_and_gear(spark: SparkSession, d: str) -> DataFrame:
+    """Both whole lists; places are those of the sorted partitions, one after the other."""
+
+    def numbered(rows: DataFrame, kind: str) -> DataFrame:
+        part, at = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        held = written(rows.select("o_orderkey", part.alias("part"), at.alias("at")))
+        sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+        before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        return held.join(F.broadcast(before), "part").select(F.lit(kind).alias("kind"), "o_orderkey", (F.col("before") + F.col("at") + 1).alias("place"))
+
     rows = _orders(spark, d)
-    trips = search.trips_in_order(rows.withColumn("s", F.when(key() % 3 != 0, F.col("o_orderdate"))), "s", "o_custkey", "o_orderkey").select(F.lit("trip").alias("kind"), "o_orderkey")
-    gear = search.gear_in_order(rows.withColumn("r", F.when(key() % 1000 >= 5, F.col("o_orderdate"))), "r", "o_orderpriority", "o_orderkey").select(F.lit("gear").alias("kind"), "o_orderkey")
-    return trips.unionAll(gear)
+    trips = search.trips_in_order(rows.withColumn("s", F.when(key() % 3 != 0, F.col("o_orderdate"))), "s", "o_custkey", "o_orderkey")
+    gear = search.gear_in_order(rows.withColumn("r", F.when(key() % 1000 >= 5, F.col("o_orderdate"))), "r", "o_orderpriority", "o_orderkey")
+    return numbered(trips, "trip").unionAll(numbered(gear, "gear"))
+
+
+PEOPLE = ["Éclair", "eclair", "Zebra", "zebra", "ñandú", "Nandu", "øre", "Ore", "ärger", "Co-op", "coop"]
+
+
+@query(f"""
+WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT c_nationkey, c_custkey, {PEOPLE}[c_custkey % {len(PEOPLE)} + 1] || ' ' || (c_custkey % 3)::VARCHAR AS name, n FROM customer JOIN n ON o_custkey = c_custkey)
+SELECT c_nationkey, c_custkey, name, n, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, name COLLATE en, c_custkey) AS place FROM f""")
+def search_placed_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation's customers by falling number of orders, then by name in the order of the language."""
+    name = F.concat(F.get(F.array(*map(F.lit, PEOPLE)), (F.col("c_custkey") % len(PEOPLE)).cast("int")), F.lit(" "), (F.col("c_custkey") % 3).cast("string"))
+    customers = read(spark, d, "customer").select("c_nationkey", "c_custkey", name.alias("name"))
+    counts = _orders(spark, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")).join(customers.select("c_custkey", "c_nationkey"), "c_custkey")
+    return search.placed_facets(counts, customers, "c_nationkey", "c_custkey", "name")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'profiles/' || o_custkey::VARCHAR || '/' || left(sha256(o_orderpriority), 32) END AS name FROM orders")
@@ -208,10 +232,10 @@ def merge_recorded_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_shipdate DESC, l_linenumber::VARCHAR, l_quantity) AS k FROM lineitem WHERE l_returnflag <> 'R'),
-     b AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS blob FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)
+WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_shipdate DESC, l_linenumber::VARCHAR, l_quantity) AS k FROM lineitem),
+     b AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS blob FROM lineitem GROUP BY 1, 2)
 SELECT v.l_orderkey AS record, v.l_linenumber::VARCHAR AS source, blob FROM v JOIN b ON b.l_orderkey = v.l_orderkey AND b.l_linenumber = v.l_linenumber WHERE k = 1""")
 def merge_profiles(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_linenumber")
-    rows = read(spark, d, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("record"), F.lit("profile").alias("field"), F.col("l_quantity").alias("value"), (n % 2).alias("rank"), F.col("l_shipdate").alias("recorded_at"), n.cast("string").alias("source"))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("record"), F.lit("profile").alias("field"), F.col("l_quantity").alias("value"), (n % 2).alias("rank"), F.col("l_shipdate").alias("recorded_at"), n.cast("string").alias("source"))
     return merging.profiles(merging.resolve(rows), rows.select("record", "source", F.col("value").alias("blob")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.text import once
+from logweave.operators import running
 
 DELIMITERS = [",", "\t", ";", "|"]
 XML_LOG = (
@@ -15,21 +16,24 @@ XML_LOG = (
 )
 
 
-def sniffed(name: Column, content: Column) -> Column:
-    """What kind of log a file is by its first 4,096 characters, and only then by its name: zip, uddf, subsurface, json, csv
-    or unknown."""
-    head = F.lower(F.substring(content, 1, 4096))
-    line = F.substring_index(F.trim(head), "\n", 1)
-    most = F.greatest(*[F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))) for d in DELIMITERS])
+def sniffed(name: Column, content: Column, form: str = "logbook") -> Column:
+    """What kind of log a file is by its first 4,096 characters, and only then by its name: zip, uddf, subsurface, json (one
+    that declares a format beginning with `form`), csv (a first line with two separators or more, of any kinds) or unknown.
+
+    Nothing known of the content: by the name's ending alone; only .xlsx, .uddf and .xml say something by themselves.
+    """
+    head = F.coalesce(F.substring(content, 1, 4096), F.lit(""))
+    line = F.regexp_extract(head, r"^[^\r\n]*+", 0)
+    separators = F.length(line) - F.length(F.translate(line, "".join(DELIMITERS), ""))
     extension = F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)$", 1)
     return (
-        F.when(F.startswith(head, F.lit("pk")), "zip")
-        .when(F.contains(head, F.lit("<uddf")), "uddf")
-        .when(F.contains(head, F.lit("<divelog")) & F.contains(head, F.lit("subsurface")), "subsurface")
-        .when(F.rlike(head, F.lit(r"^\s*[\[{]")), "json")
-        .when(most >= 2, "csv")
-        .when(extension.isin("csv", "tsv", "txt"), "csv")
-        .when(extension.isin("uddf", "json", "xlsx"), F.when(extension == "xlsx", "zip").otherwise(extension))
+        F.when(F.startswith(head, F.lit("PK\x03\x04")), "zip")
+        .when(head.rlike(r"(?i)<uddf[\s>]"), "uddf")
+        .when(head.rlike(r"(?i)<divelog[\s>]") & F.contains(F.lower(head), F.lit("subsurface")), "subsurface")
+        .when(head.rlike(rf'"format"\s*:\s*"{form}'), "json")
+        .when((separators >= 2) & ~F.startswith(F.ltrim(line), F.lit("<")), "csv")
+        .when(extension == "xlsx", "zip")
+        .when(extension.isin("uddf", "xml"), "uddf")
         .otherwise("unknown")
     )
 
@@ -108,15 +112,19 @@ def parse_json_log(text: Column, schema: str, form: str) -> Column:
     return F.when(found["format"] == form, found)
 
 
-def first_uploads(files: DataFrame) -> DataFrame:
+def first_uploads(files: DataFrame, most: int = running.MOST) -> DataFrame:
     """(owner, batch, duplicate_of) of files (owner, batch, at, content, failed): the newest earlier batch of the owner with the
-    same content that has not failed, null if there is none."""
-    named = files.select("owner", "batch", "at", "failed", F.sha2("content", 256).alias("sum"))
-    sound = named.where(~F.col("failed")).select("owner", "sum", F.col("batch").alias("other"), F.col("at").alias("before"))
-    both = named.join(sound, ["owner", "sum"], "left").where("other is null or other != batch")
-    earlier = F.when(F.col("before") < F.col("at"), F.struct("before", "other"))
-    got = both.groupBy("owner", "batch").agg(F.max(earlier).alias("b"))
-    return named.select("owner", "batch").join(got, ["owner", "batch"], "left").select("owner", "batch", F.col("b.other").alias("duplicate_of"))
+    same content that has not failed, of several at one time the largest, null if there is none
+    or the file has no time.
+
+    One value runs along the times of equal files, so they are never joined with each other.
+    """
+    named = files.select("owner", "batch", "at", F.when(~F.col("failed") & F.col("at").isNotNull(), F.col("batch")).alias("sound"), F.struct("owner", F.sha2("content", 256).alias("sum")).alias("file"))
+    times = named.groupBy("file", "at").agg(F.max("sound").alias("sound"))
+    before = running.Ordered(times, "file", ["at"], most).add(duplicate_of=running.last(F.col("sound"), False)).rows()
+    same = F.col("n.file").eqNullSafe(F.col("b.file")) & F.col("n.at").eqNullSafe(F.col("b.at"))
+    found = named.alias("n").join(before.alias("b"), same, "left")
+    return found.select("n.owner", "n.batch", F.when(F.col("n.at").isNotNull() & F.col("n.file.sum").isNotNull(), F.col("b.duplicate_of")).alias("duplicate_of"))
 
 
 def together(parts: dict[str, DataFrame]) -> DataFrame:
