@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators import linking
+from logweave.operators import batches, linking, places
 from logweave.plans.registry import query
 from logweave.sources.tables import read
 
@@ -55,9 +55,10 @@ PAIRS = f"""
 e AS (SELECT event_type, user_id AS owner, event_id AS id, CASE WHEN event_id % 7 <> 0 THEN ts END AS clock, CASE WHEN event_id % 5 <> 0 THEN ts + to_hours((user_id % 3)::INTEGER) END AS utc, CASE WHEN event_id % 11 <> 0 THEN value END AS depth,
   floor(value)::BIGINT * 5 + event_id % 13 * 20 AS seconds, CASE WHEN event_id % 4 = 0 THEN event_id % 9 / 1000.0::DOUBLE + event_id % 8 / 8::DOUBLE + 10 END AS lat, CASE WHEN event_id % 4 = 0 THEN 20.0::DOUBLE END AS lon,
   {NAMES}[event_id % 6 + 1] AS site, [0.21::DOUBLE, 0.32::DOUBLE, 0.33::DOUBLE][event_id % 3 + 1] AS gas, 'ref-' || (event_id % 40)::VARCHAR AS ref FROM events),
+o AS (SELECT * FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type = 'view'),
 p AS (SELECT o.owner AS owner, o.id AS obs_id, r.id AS rec_id, o.clock IS NULL OR r.clock IS NULL AS by_utc, CASE WHEN by_utc THEN o.utc ELSE o.clock END AS ot, CASE WHEN by_utc THEN r.utc ELSE r.clock END AS rt, abs(epoch_us(ot) - epoch_us(rt)) / 6e7::DOUBLE AS minutes, ot::DATE = rt::DATE AS same_day,
   abs(o.depth - r.depth) AS dd, dd <= greatest(1.0::DOUBLE, 0.05::DOUBLE * r.depth) AS depths, abs(o.seconds - r.seconds) AS ds, ds <= greatest(180.0::DOUBLE, 0.1::DOUBLE * r.seconds) AS lengths, o.lat IS NOT NULL AND r.lat IS NOT NULL AS placed, {METRES} AS m, o.site AS os, r.site AS rs,
-  o.gas AS og, r.gas AS rg, o.id % 10 = 0 AND r.id % 2 = 0 AND o.ref = r.ref AS known, o.ref AS ref, o.id % 6 = 0 AS suspect FROM e o JOIN e r ON o.owner = r.owner AND o.event_type = 'purchase' AND r.event_type = 'view'),
+  o.gas AS og, r.gas AS rg, o.id % 10 = 0 AND r.id % 2 = 0 AND o.ref = r.ref AS known, o.ref AS ref, o.id % 6 = 0 AS suspect FROM o JOIN r ON o.owner = r.owner),
 q AS (SELECT *, CASE WHEN minutes <= 5 THEN 0.45::DOUBLE WHEN minutes <= 90 AND same_day THEN 0.25::DOUBLE WHEN same_day THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS t, coalesce(depths, false) AS dep, coalesce(CASE WHEN placed THEN m <= 500 ELSE os = rs END, false) AS place, abs(og - rg) <= 0.0100001::DOUBLE AS gas FROM p WHERE minutes <= 360),
 s AS (SELECT *, CASE WHEN known THEN 1::DOUBLE ELSE least(1::DOUBLE, t + CASE WHEN dep THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN lengths THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN place THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN gas THEN 0.05::DOUBLE ELSE 0 END) END AS score FROM q)"""
 DECIDED = """
@@ -92,3 +93,57 @@ FROM e LEFT JOIN f ON f.owner = e.owner AND f.obs_id = e.id WHERE e.event_type =
 def link_outcomes(spark: SparkSession, d: str) -> DataFrame:
     observed, records = _sides(spark, d)
     return linking.outcomes(observed, linking.decide(linking.scored(linking.candidates(observed, records))))
+
+
+@query(f"""
+WITH {PAIRS.replace("r AS (SELECT * FROM e WHERE event_type = 'view')", "r AS (SELECT * FROM e WHERE event_type = 'view'), o2 AS (SELECT * FROM o UNION ALL SELECT event_type, owner, id + 1000000, clock + INTERVAL 1 MINUTE, utc + INTERVAL 1 MINUTE, depth + 0.5::DOUBLE, seconds + 30, NULL, NULL, site, gas, ref FROM r WHERE id % 2 = 0)").replace("FROM o JOIN r ON", "FROM o2 o JOIN r ON").replace("o.id % 10 = 0 AND r.id % 2 = 0 AND o.ref = r.ref AS known", "o.id % 10 = 0 AND o.id < 1000000 AND r.id % 2 = 0 AND o.ref = r.ref AS known").replace("o.id % 6 = 0 AS suspect", "o.id % 6 = 0 AND o.id < 1000000 AS suspect")}, {DECIDED},
+n AS (SELECT owner, id AS record, 'view' AS of, event_type, id, clock, utc, depth, seconds, site, gas FROM r UNION ALL
+  SELECT o2.owner, CASE WHEN merged THEN rec_id ELSE 1099511627776 + o2.id END, 'sheet', o2.event_type, o2.id, o2.clock, o2.utc, o2.depth, o2.seconds, o2.site, o2.gas FROM o2 LEFT JOIN f ON f.obs_id = o2.id)
+SELECT owner, record, count(*) AS n_sources, strftime(coalesce(min(clock) FILTER (of = 'view'), min(clock)), '%Y-%m-%d %H:%M:%S.%f') AS start_local, coalesce(min(depth) FILTER (of = 'view'), min(depth)) AS max_depth_m, coalesce(min(seconds) FILTER (of = 'view'), min(seconds)) AS duration_s,
+  coalesce(min(site) FILTER (of = 'sheet'), min(site)) AS site_name, coalesce(min(gas) FILTER (of = 'view'), min(gas)) AS gas FROM n GROUP BY owner, record""")
+def link_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Views as a first batch of an instrument; purchases and half of the views again, a minute late, as a sheet after it:
+    measurements and sensed gas stay the instrument's, the sheet names the site."""
+    observed, views = _sides(spark, d)
+    named = {"at": "start_local", "utc": "start_utc", "depth": "max_depth_m", "seconds": "duration_s", "site": "site_name", "id": "row"}
+    refs = lambda df: df.withColumn("source_ref", F.get("source_refs", 0)).drop("source_refs")
+    again = refs(views.where("id % 2 = 0")).withColumns({"id": F.col("id") + 1_000_000, "at": F.col("at") + F.make_dt_interval(mins=F.lit(1)), "utc": F.col("utc") + F.make_dt_interval(mins=F.lit(1)), "depth": F.col("depth") + 0.5, "seconds": F.col("seconds") + 30, "source_ref": F.lit(None).cast("string"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+    second = observed.unionByName(again, allowMissingColumns=True)
+    done = batches.run([("uddf", refs(views).withColumnsRenamed(named)), ("spreadsheet", second.withColumnsRenamed(named))])
+    return done.records.select("owner", "record", "n_sources", F.date_format("start_local", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start_local"), "max_depth_m", "duration_s", "site_name", "gas")
+
+
+REEFS = ["Alpha reef", "Bravo bay", "Charlie wall"]
+PLACED = f"""
+o AS (SELECT o_custkey AS owner, o_orderkey AS k, o_orderkey % 4 AS p, o_orderkey % 3 = 0 AS bare, CASE WHEN o_orderkey % 4 = 3 THEN CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 < 3 THEN 'Delta' ELSE 'DELTA ' END WHEN o_orderkey % 3 = 0 THEN NULL ELSE
+    CASE o_orderkey // 4 % 3 WHEN 0 THEN {REEFS}[o_orderkey % 4 + 1] WHEN 1 THEN upper({REEFS}[o_orderkey % 4 + 1]) ELSE {REEFS}[o_orderkey % 4 + 1] || ' site' END END AS name FROM orders),
+g AS (SELECT owner, p, min(k) AS made, arg_min(name, k) FILTER (name IS NOT NULL) AS first_name, arg_min(bare, k) AS first_bare FROM o WHERE p < 3 OR name IS NOT NULL GROUP BY owner, p),
+s AS (SELECT *, owner % 2 = 0 AND p = 0 AND NOT first_bare AS old, CASE WHEN old THEN 'own-' || owner::VARCHAR ELSE owner::VARCHAR || '/' || made::VARCHAR END AS site_id, CASE WHEN old THEN 'Alpha reef' ELSE coalesce(first_name, 'Unnamed site') END AS name FROM g)"""
+
+
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, p = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    reef = F.get(F.array(*map(F.lit, REEFS)), p.cast("int"))
+    spelt = F.when(F.floor(k / 4) % 3 == 0, reef).when(F.floor(k / 4) % 3 == 1, F.upper(reef)).otherwise(F.concat(reef, F.lit(" site")))
+    name = F.when(p == 3, F.when(k % 5 == 0, None).when(k % 5 < 3, "Delta").otherwise("DELTA ")).otherwise(F.when(k % 3 != 0, spelt))
+    located = lambda c: F.when(p < 3, c.cast("double"))
+    observed = read(spark, d, "orders").select(F.col("o_custkey").alias("owner"), k.alias("row"), name.alias("name"), located(p + 10).alias("lat"), located(F.lit(20)).alias("lon"))
+    known = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("owner"), F.concat(F.lit("own-"), F.col("c_custkey").cast("string")).alias("site_id"), F.lit("Alpha reef").alias("name"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array().cast("array<string>").alias("aliases"))
+    return observed, known
+
+
+@query(f"""
+WITH {PLACED}
+SELECT o.owner::VARCHAR AS owner, o.k AS row, s.site_id AS site_id, CASE WHEN s.site_id IS NULL THEN NULL WHEN o.k = made AND NOT old THEN 'made' WHEN o.k = made OR o.p = 3 THEN 'name' ELSE 'coordinates' END AS rule
+FROM o LEFT JOIN s ON s.owner = o.owner AND s.p = o.p AND (o.p < 3 OR o.name IS NOT NULL)""")
+def link_resolved_places(spark: SparkSession, d: str) -> DataFrame:
+    return places.resolved_places(*_placed(spark, d))[0]
+
+
+@query(f"""
+WITH {PLACED},
+a AS (SELECT s.owner AS owner, s.site_id AS site_id, string_agg(DISTINCT o.name, ',' ORDER BY o.name) AS aliases FROM s JOIN o ON o.owner = s.owner AND o.p = s.p AND o.name IS NOT NULL WHERE (o.name ILIKE '% site') <> (s.name ILIKE '% site') GROUP BY 1, 2)
+SELECT s.owner::VARCHAR AS owner, s.site_id AS site_id, s.name AS name, CASE WHEN p < 3 THEN (p + 10)::DOUBLE END AS lat, coalesce(aliases, '') AS aliases FROM s LEFT JOIN a ON a.owner = s.owner AND a.site_id = s.site_id
+UNION ALL SELECT c_custkey::VARCHAR, 'own-' || c_custkey::VARCHAR, 'Alpha reef', NULL, '' FROM customer WHERE c_custkey % 2 = 0 AND 'own-' || c_custkey::VARCHAR NOT IN (SELECT site_id FROM s)""")
+def link_places_after(spark: SparkSession, d: str) -> DataFrame:
+    return places.resolved_places(*_placed(spark, d))[1].select("owner", "site_id", "name", "lat", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
