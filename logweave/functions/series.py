@@ -45,28 +45,62 @@ def encode(channels: dict[str, Column]) -> Column:
     return F.when(sound, F.unhex(F.concat(F.lit(f"{HEAD}{mask:02X}"), _leb128(n.cast("long")), *body)))
 
 
-def samples_of(blob: bytes | None, channel: str) -> list[float] | None:
-    """Samples of one channel of one blob; None as decode() gives null."""
-    place = list(SCALES).index(channel)
-    if blob is None or len(blob) < 7 or blob[:5] != MAGIC + bytes([VERSION]) or blob[-1] & 128:
-        return None
-    mask, tail = blob[5], np.frombuffer(blob, np.uint8, offset=6).astype(np.int64)
+def _numbers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers after the head, and how many bytes each takes; what the end cuts off is left out."""
+    tail = np.frombuffer(blob, np.uint8, offset=6).astype(np.int64)
     last = np.flatnonzero(tail < 128)
+    if not len(last):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begin = np.concatenate([[0], last[:-1] + 1])
-    if (last - begin).max() > 4:
+    used = last[-1] + 1
+    digit = np.arange(used) - np.repeat(begin, last - begin + 1)
+    # a number that is too long is told by its length; its value does not matter
+    return np.add.reduceat((tail[:used] & 127) << (7 * np.minimum(digit, 5)), begin), last - begin + 1
+
+
+def damage_of(blob: bytes | None) -> str | None:
+    """What is wrong with a blob: bad magic, unsupported version, varint too long, or truncated; None for a sound one. Bytes
+    after the last sample are no damage."""
+    if blob is None:
         return None
-    digit = np.arange(len(tail)) - np.repeat(begin, last - begin + 1)
-    numbers = np.add.reduceat((tail & 127) << (7 * digit), begin)
-    n, channels = int(numbers[0]), bin(mask).count("1")
-    if len(numbers) != channels * n + 1 or not mask >> place & 1:
+    if blob[:4] != MAGIC[: len(blob)]:
+        return "bad magic"
+    if len(blob) < 5:
+        return "truncated"
+    if blob[4] != VERSION:
+        return f"unsupported version {blob[4]}"
+    if len(blob) < 7:
+        return "truncated"
+    numbers, sizes = _numbers(blob)
+    wanted = 1 + bin(blob[5]).count("1") * int(numbers[0]) if len(numbers) else 1
+    if (sizes[:wanted] > 5).any() or len(numbers) < wanted and len(blob) - 6 - sizes.sum() > 5:
+        return "varint too long"
+    return "truncated" if len(numbers) < wanted else None
+
+
+def samples_of(blob: bytes | None, channel: str) -> list[float] | None:
+    """Samples of one channel of one blob; None as decode() gives null."""
+    place = list(SCALES).index(channel)
+    if blob is None or damage_of(blob) is not None or not blob[5] >> place & 1:
         return None
-    before = bin(mask & ((1 << place) - 1)).count("1")
+    numbers, _ = _numbers(blob)
+    n, before = int(numbers[0]), bin(blob[5] & ((1 << place) - 1)).count("1")
     own = numbers[1 + before * n : 1 + (before + 1) * n]
     return (np.cumsum(np.where(own & 1, -(own + 1) // 2, own // 2)) / SCALES[channel]).tolist()
 
 
+def damage(blob: Column) -> Column:
+    """What is wrong with a blob, in words; null for a sound one and for none."""
+
+    @F.pandas_udf("string")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(damage_of)
+
+    return run(blob)
+
+
 def decode(blob: Column, channel: str) -> Column:
-    """Samples of one channel; null where it is not there, or where the head, the length or a number is not as it must be."""
+    """Samples of one channel; null where it is not there or the blob is damaged (see damage())."""
     list(SCALES).index(channel)
 
     @F.pandas_udf("array<double>")

@@ -30,24 +30,49 @@ def _finite(plain: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Latin letters with marks, and the ASCII letters that compatibility decomposition leaves of them."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if len(left) == 1 and left.isascii():
-            pairs.append((chr(code), left))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-MARKED, PLAIN = _plain_letters()
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of characters beyond ASCII when combining marks are gone: those that give one
+    ASCII character, these characters, and those that give several with a letter or digit among them."""
+    single, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(x) <= 0x36F)
+        if len(left) == 1 and left.isascii() and left.isalnum():
+            single[chr(code)] = left
+        elif len(left) > 1 and any(x.isascii() and x.isalnum() for x in left):
+            several[chr(code)] = "".join(x if x.isascii() else " " for x in left)
+    return "".join(single), "".join(single.values()), several
+
+
+MARKED, PLAIN, SEVERAL = _plain_letters()
 #: Combining marks that text in decomposed form carries.
 MARKS = "[\\u0300-\\u036F]+"
 
 
+def _class_of(letters) -> str:
+    """A character class of single code points, neighbours as ranges."""
+    codes, parts = sorted(map(ord, letters)), []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
+
+
+_HAS_SEVERAL = _class_of(SEVERAL)
+
+
+def _spelt_out(c: Column) -> Column:
+    """Text with ligatures, fractions, units and the like as the letters they stand for. Most texts have none and stay whole."""
+    known = F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(known, x), x))
+    return F.when(c.rlike(_HAS_SEVERAL), F.array_join(letters, "")).otherwise(c)
+
+
 def slug(c: Column) -> Column:
-    """Lower-case ASCII letters and digits with single dashes between words; Latin letters lose their marks."""
-    plain = F.translate(F.regexp_replace(c, MARKS, ""), MARKED, PLAIN)
+    """Lower-case ASCII letters and digits with single dashes between words; letters lose their marks, and what stands for
+    several letters is spelt out, as compatibility decomposition has it."""
+    plain = F.translate(F.regexp_replace(_spelt_out(c), MARKS, ""), MARKED, PLAIN)
     return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -323,5 +323,21 @@ def profile_codec(spark: SparkSession, d: str) -> DataFrame:
     return back.select("vec_id", "n_bytes", F.round(F.aggregate("back", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.round(F.array_max("back"), 3).alias("most"))
 
 
+CUTS = """
+c AS (SELECT vec_id, CASE vec_id % 6 WHEN 0 THEN 'truncated' WHEN 1 THEN 'bad magic' WHEN 2 THEN 'unsupported version 2' WHEN 3 THEN 'varint too long' WHEN 4 THEN 'truncated' END AS damage FROM embeddings)"""
+
+
+@query(f"WITH {CUTS} SELECT vec_id, damage, CASE WHEN damage IS NULL THEN 64 END::BIGINT AS n FROM c")
+def profile_damage(spark: SparkSession, d: str) -> DataFrame:
+    """Blobs that end early, or whose head or a number is not as it must be, and sound ones with bytes after the end."""
+    blob, k = F.col("blob"), F.col("vec_id") % 6
+    blobs = read(spark, d, "embeddings").select("vec_id", series.encode({"depthM": F.col("embedding")}).alias("blob"))
+    tail = F.substring(F.hex(blob), 13, 1 << 20)
+    broken = F.when(k == 0, F.substring(F.hex(blob), 1, 100)).when(k == 1, F.concat(F.lit("00"), F.substring(F.hex(blob), 3, 1 << 20))).when(k == 2, F.concat(F.lit("4D444C3102"), F.substring(F.hex(blob), 11, 1 << 20)))
+    broken = broken.when(k == 3, F.concat(F.substring(F.hex(blob), 1, 12), F.lit("FFFFFFFFFFFF01"), tail)).when(k == 4, F.lit("4D44")).otherwise(F.concat(F.hex(blob), F.lit("FF00")))
+    back = blobs.select("vec_id", F.unhex(broken).alias("blob"))
+    return back.select("vec_id", series.damage(F.col("blob")).alias("damage"), F.size(series.decode(F.col("blob"), "depthM")).alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")).cast("long"))
+
+
 # the modules below add their queries to the same registry
 from logweave.plans import documents, imports, linking, logbook, relations  # noqa: E402, F401

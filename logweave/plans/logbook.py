@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import units
-from logweave.operators import audits, filters, linking, lists, merging, search, state, stats, taxonomy
+from logweave.operators import audits, filters, linking, lists, maps, merging, search, state, stats, taxonomy
 from logweave.plans.registry import query
 from logweave.sources.tables import read
 
@@ -242,6 +242,36 @@ def list_plotted(spark: SparkSession, d: str) -> DataFrame:
     return places.select("c_custkey", at.alias("p")).select("c_custkey", "p.x", "p.y")
 
 
+MAPPED = f"""
+p AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 95 ELSE lat END AS lat, lon, ['Éclair reef', 'zebra', 'Zebra wall', 'eel'][c_custkey % 4 + 1] || ' ' || (c_custkey % 7)::VARCHAR AS name, c_custkey * 7 % 13 AS dives FROM {PLACES}),
+e AS (SELECT c_nationkey, count(*) AS n, (min(lat) + max(lat)) / 2 AS clat, (min(lon) + max(lon)) / 2 AS clon, greatest(max(lat) - min(lat), 0.045::DOUBLE) * 1.25 AS slat, greatest(max(lon) - min(lon), 0.045::DOUBLE) * 1.25 AS slon FROM p WHERE abs(lat) <= 90 GROUP BY 1),
+d AS (SELECT p.*, floor((34 + (lon - (clon - slon / 2)) / (clon + slon / 2 - (clon - slon / 2)) * 832) * 10 + 0.5) / 10 AS x, floor((34 + (clat + slat / 2 - lat) / (clat + slat / 2 - (clat - slat / 2)) * 392) * 10 + 0.5) / 10 AS y FROM p JOIN e USING (c_nationkey) WHERE abs(lat) <= 90)"""
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.concat(F.get(F.array(F.lit("Éclair reef"), F.lit("zebra"), F.lit("Zebra wall"), F.lit("eel")), (k % 4).cast("int")), F.lit(" "), (k % 7).cast("string"))
+    return _places(spark, d).withColumn("lat", F.when(k % 11 == 0, 95.0).otherwise(F.col("lat"))).withColumns({"name": name, "dives": k * 7 % 13})
+
+
+@query(f"WITH {MAPPED} SELECT c_nationkey, n, round(clat + slat / 2, 6) AS north, round(clat - slat / 2, 6) AS south, round(clon + slon / 2, 6) AS east, round(clon - slon / 2, 6) AS west, floor((clon + slon / 2 - (clon - slon / 2)) * 111.32::DOUBLE * cos(radians(clat)) * 10 + 0.5) / 10 AS span_km FROM e")
+def map_frames(spark: SparkSession, d: str) -> DataFrame:
+    return maps.frames(_mapped(spark, d), ["c_nationkey"]).withColumns({c: F.round(c, 6) for c in ("north", "south", "east", "west")})
+
+
+@query(f"""
+WITH RECURSIVE {MAPPED},
+q AS (SELECT c_nationkey, c_custkey, x - length(name) * 3.1::DOUBLE AS l, x + length(name) * 3.1::DOUBLE AS r, y - 29 AS t, y - 14 AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY dives DESC, name COLLATE en, c_custkey) AS i FROM d),
+f AS (SELECT c_nationkey, c_custkey, i, true AS show_label, [{{'l': l, 'r': r, 't': t, 'b': b}}] AS boxes FROM q WHERE i = 1 UNION ALL
+  SELECT c_nationkey, c_custkey, i, fits, CASE WHEN fits THEN list_append(boxes, {{'l': l, 'r': r, 't': t, 'b': b}}) ELSE boxes END FROM
+    (SELECT q.*, boxes, len(list_filter(boxes, lambda o: q.l < o.r AND q.r > o.l AND q.t < o.b AND q.b > o.t)) = 0 AS fits FROM f JOIN q ON q.c_nationkey = f.c_nationkey AND q.i = f.i + 1))
+SELECT f.c_nationkey AS c_nationkey, f.c_custkey AS c_custkey, x, y, show_label FROM f JOIN d USING (c_custkey)""")
+def map_labels(spark: SparkSession, d: str) -> DataFrame:
+    drawn = maps.drawn(_mapped(spark, d), ["c_nationkey"])
+    shown = maps.labelled(drawn, "c_nationkey", "c_custkey", "name", "dives")
+    return drawn.select("c_custkey", "x", "y").join(shown, "c_custkey").select("c_nationkey", "c_custkey", "x", "y", "show_label")
+
+
 @query("WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, coalesce(n, 0) AS n, round(5 + 9 * sqrt(coalesce(n, 0) / (SELECT max(n) FROM c)::DOUBLE), 6) AS radius FROM customer LEFT JOIN c ON o_custkey = c_custkey")
 def list_markers(spark: SparkSession, d: str) -> DataFrame:
     sites = lists.related(read(spark, d, "customer").select("c_custkey"), _orders(spark, d).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")

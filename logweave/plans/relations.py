@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import offsets
 from logweave.operators import linking, lists, merging, relations, search, taxonomy
 from logweave.plans.registry import query
-from logweave.sources import exports, files
-from logweave.sources.shared import written
+from logweave.sources import exports, files, profiles
+from logweave.sources.shared import folder, written
 from logweave.sources.tables import read
 
 
@@ -199,6 +201,22 @@ def export_profile_keys(spark: SparkSession, d: str) -> DataFrame:
     return _orders(spark, d).select("o_orderkey", exports.profile_key(F.col("o_custkey"), F.when(key() % 2 == 0, F.col("o_orderpriority")).cast("binary")).alias("name"))
 
 
+@query("""
+WITH b AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority || '/' || (o_orderkey % 9)::VARCHAR END AS blob FROM orders),
+k AS (SELECT *, 'profiles/' || o_custkey::VARCHAR || '/' || left(sha256(blob), 32) AS key FROM b)
+SELECT o_orderkey AS record, key AS storage_key, length(blob)::BIGINT AS byte_size, sha256(blob) AS checksum, blob AS back, (SELECT count(DISTINCT key) FROM k) AS n_objects FROM k""")
+def export_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles stored twice over under their content's name, and fetched again by their references."""
+    path = f"{folder(spark)}/profiles-{uuid.uuid4().hex}"
+    blob = F.when(key() % 5 != 0, F.concat("o_orderpriority", F.lit("/"), (key() % 9).cast("string"))).cast("binary")
+    rows = _orders(spark, d).select(F.col("o_custkey").alias("owner"), key().alias("record"), blob.alias("blob"))
+    profiles.store(rows.where("record % 2 = 0"), path)
+    references = profiles.store(rows, path)
+    n = profiles.stored(spark, path).agg(F.count(F.lit(1)).alias("n_objects"))
+    back = profiles.fetched(spark, path, references).withColumn("back", F.col("blob").cast("string"))
+    return back.join(F.broadcast(n)).select("record", "storage_key", "byte_size", "checksum", "back", "n_objects")
+
+
 @query("SELECT 'a' AS import, o_orderkey AS id, o_orderstatus AS status, NULL AS kind FROM orders UNION ALL SELECT 'b', event_id, NULL, event_type FROM events")
 def import_together(spark: SparkSession, d: str) -> DataFrame:
     a = _orders(spark, d).select(key().alias("id"), F.col("o_orderstatus").alias("status"))

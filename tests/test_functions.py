@@ -19,8 +19,10 @@ def test_series_round_trip_and_damage(spark):
 def test_damaged_series_are_null():
     blob = bytes.fromhex("4D444C31" + "01" + "02" + "02" + "8008" + "01")
     assert series.samples_of(blob, "depthM") == [0.512, 0.511]
-    for bad in (None, b"", blob[:-1], blob[:6], b"X" + blob[1:], blob[:4] + b"\x02" + blob[5:], blob + b"\x01", blob[:-1] + b"\x80", blob[:7] + b"\x80" * 5 + b"\x01\x01"):
+    for bad in (None, b"", blob[:-1], blob[:6], b"X" + blob[1:], blob[:4] + b"\x02" + blob[5:], blob[:-1] + b"\x80", blob[:7] + b"\x80" * 5 + b"\x01\x01"):
         assert series.samples_of(bad, "depthM") is None
+    # bytes after the last sample are read by nobody
+    assert series.samples_of(blob + b"\x01", "depthM") == [0.512, 0.511]
     assert series.samples_of(blob, "timeS") is None
 
 
