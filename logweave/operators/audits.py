@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.operators import running
@@ -78,40 +77,58 @@ def out_of_order(df: DataFrame, owner: str, when: str, number: str, key: str) ->
     return found.select(F.col("owner").alias(owner), F.col("key").alias(key))
 
 
-def derived_columns(df: DataFrame, group: str, order: str, columns: list[str], eps: float = 1e-6) -> DataFrame:
+#: Kinds of derivation, in the order in which one is told before another.
+DERIVED = ["cumulative", "sum", "difference"]
+
+
+def derived_columns(df: DataFrame, group: str, order: str, columns: list[str], eps: float = 1e-6, tried: int = 8, most: int = running.MOST) -> DataFrame:
     """(group, column, kind, from_a, from_b): columns that follow from others on every row of their group (a file, say).
 
     cumulative: the running total of another one in the given order; sum and difference: of two others. Values agree within
     eps of the larger size, and at least three rows must be compared; nulls take no part. A column is told once: cumulative
     before sum before difference, and no difference is told by columns that are derived themselves.
+
+    All derivations are tried on a group's first `tried` rows, inside one row of the plan whatever the number of columns;
+    only those that no such row contradicts are counted over all rows.
     """
-    close = lambda a, b: F.abs(a - b) <= eps * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select(group, *[F.col(c).cast("double").alias(c) for c in columns], *[F.when(F.col(c).isNotNull(), F.sum(F.col(c).cast("double")).over(w)).alias(f"_{c}") for c in columns])
-    tests = []
-    for c, a in permutations(columns, 2):
-        tests.append((c, "cumulative", a, None, F.col(f"_{a}")))
-    for c in columns:
-        others = [x for x in columns if x != c]
-        for i, a in enumerate(others):
-            tests += [(c, "sum", a, b, F.col(a) + F.col(b)) for b in others[i + 1 :]]
-            tests += [(c, "difference", a, b, F.col(a) - F.col(b)) for b in others if b != a]
-    counted = []
-    for k, (c, _, _, _, value) in enumerate(tests):
-        counted += [F.count_if(close(F.col(c), value)).alias(f"y{k}"), F.count_if(~close(F.col(c), value)).alias(f"n{k}")]
-    tried = rows.groupBy(group).agg(*counted)
-    struct = lambda k, t: F.when((F.col(f"n{k}") == 0) & (F.col(f"y{k}") >= 3), F.struct(F.lit(t[0]).alias("column"), F.lit(t[1]).alias("kind"), F.lit(t[2]).alias("from_a"), F.lit(t[3]).cast("string").alias("from_b"), F.lit(k).alias("k")))
-    hits = tried.select(group, F.array_compact(F.array(*[struct(k, t) for k, t in enumerate(tests)])).alias("hits"))
-    firm = F.filter("hits", lambda h: h["kind"] != "difference")
-    # of each column the first cumulative one, else the first sum
-    rank = lambda h: F.struct((h["kind"] != "cumulative").alias("late"), h["k"].alias("k"))
-    firm = F.filter(firm, lambda h: ~F.exists("hits", lambda o: (o["kind"] != "difference") & (o["column"] == h["column"]) & (rank(o) < rank(h))))
-    told = hits.select(group, "hits", firm.alias("firm"))
-    derived = F.transform("firm", lambda h: h["column"])
-    loose = F.filter("hits", lambda h: (h["kind"] == "difference") & ~F.array_contains(F.col("done"), h["column"]) & ~F.array_contains(F.col("done"), h["from_a"]) & ~F.array_contains(F.col("done"), h["from_b"]))
-    told = told.withColumn("done", derived).withColumn("loose", loose)
+    n = len(columns)
+    rows = df.select(group, order, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    run = running.Ordered(rows, group, [order], most).add(_n=running.count(), **{f"_t{i}": running.total(F.col(f"_v{i}")) for i in range(n)}).rows()
+    totals = [F.when(F.col(f"_v{i}").isNotNull(), F.col(f"_t{i}")) for i in range(n)]
+    held = run.select(F.col(group).alias("g"), "_n", F.array(*[F.col(f"_v{i}") for i in range(n)]).alias("v"), F.array(*totals).alias("t"))
+
+    def holds(row: Column, d: Column) -> Column:
+        """Whether a row agrees with a derivation (kind, c, a, b), null where it cannot tell."""
+        v = lambda i: F.get(row["v"], i)
+        x = v(d["c"])
+        y = F.when(d["kind"] == 0, F.get(row["t"], d["a"])).when(d["kind"] == 1, v(d["a"]) + v(d["b"])).otherwise(v(d["a"]) - v(d["b"]))
+        return F.abs(x - y) <= eps * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
+
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    derivation = lambda kind, c, a, b: F.struct(F.lit(kind).alias("kind"), c.alias("c"), a.alias("a"), b.alias("b"))
+    pairs = lambda keep, make: F.flatten(F.transform(every, lambda a: F.transform(F.filter(every, lambda b: keep(a, b)), lambda b: make(a, b))))
+    totals_of = pairs(lambda c, a: c != a, lambda c, a: derivation(0, c, a, F.lit(-1)))
+    of_two = lambda kind, keep: F.flatten(F.transform(every, lambda c: pairs(lambda a, b: keep(a, b) & (a != c) & (b != c), lambda a, b: derivation(kind, c, a, b))))
+    tests = F.concat(totals_of, of_two(1, lambda a, b: a < b), of_two(2, lambda a, b: a != b))
+
+    first = held.where(F.col("_n") <= tried).groupBy("g").agg(F.collect_list(F.struct("v", "t")).alias("first")).where(F.size("first") >= 3)
+    open_ = first.select("g", F.explode(F.filter(tests, lambda d: F.forall("first", lambda row: F.coalesce(holds(row, d), F.lit(True))))).alias("d"))
+    same = F.col("h.g").eqNullSafe(F.col("o.g"))
+    counted = held.alias("h").join(open_.alias("o"), same).select("h.g", "o.d", holds(F.struct("h.v", "h.t"), F.col("o.d")).alias("ok"))
+    sure = counted.groupBy("g", "d").agg(F.count_if("ok").alias("y"), F.count_if(~F.col("ok")).alias("n")).where("n = 0 and y >= 3")
+
+    # in the order of telling: running totals, then for each column its sums and differences by the first of the two
+    place = F.struct((F.col("d.kind") > 0).alias("late"), F.col("d.c").alias("c"), F.col("d.a").alias("a"), F.col("d.kind").alias("kind"), F.col("d.b").alias("b"))
+    hits = sure.groupBy("g").agg(F.array_sort(F.collect_list(place)).alias("hits"))
+    firm = F.filter("hits", lambda h: (h["kind"] < 2) & ~F.exists("hits", lambda o: (o["kind"] < 2) & (o["c"] == h["c"]) & (F.struct(o["kind"] > 0, o["a"], o["b"]) < F.struct(h["kind"] > 0, h["a"], h["b"]))))
+    told = hits.select("g", "hits", firm.alias("firm")).withColumn("done", F.transform("firm", lambda h: h["c"]))
+    among = lambda i: F.array_contains("done", i)
+    loose = F.filter("hits", lambda h: (h["kind"] == 2) & ~among(h["c"]) & ~among(h["a"]) & ~among(h["b"]))
     # a difference that is told takes its column from the evidence of the later ones
-    empty = F.array().cast("array<struct<column:string,kind:string,from_a:string,from_b:string,k:int>>")
-    taken = lambda acc, x: F.exists(acc, lambda y: y["column"] == x)
-    kept = F.aggregate("loose", empty, lambda acc, h: F.when(taken(acc, h["column"]) | taken(acc, h["from_a"]) | taken(acc, h["from_b"]), acc).otherwise(F.concat(acc, F.array(h))))
-    return told.select(group, F.explode(F.concat("firm", kept)).alias("h")).select(group, "h.column", "h.kind", "h.from_a", "h.from_b")
+    told = told.withColumn("loose", loose)
+    none = F.slice("hits", 1, 0)
+    taken = lambda acc, i: F.exists(acc, lambda y: y["c"] == i)
+    kept = F.aggregate("loose", none, lambda acc, h: F.when(taken(acc, h["c"]) | taken(acc, h["a"]) | taken(acc, h["b"]), acc).otherwise(F.concat(acc, F.array(h))))
+    names, kinds = F.array(*map(F.lit, columns)), F.array(*map(F.lit, DERIVED))
+    out = told.select(F.col("g").alias(group), F.explode(F.concat("firm", kept)).alias("h"))
+    return out.select(group, F.get(names, F.col("h.c")).alias("column"), F.get(kinds, F.col("h.kind")).alias("kind"), F.get(names, F.col("h.a")).alias("from_a"), F.when(F.col("h.b") >= 0, F.get(names, F.col("h.b"))).alias("from_b"))
