@@ -30,7 +30,9 @@ from logweave.llm.common import texts
 KEY = "logweave-pseudonyms-1"
 ROUNDS = 8
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: A domain has at most 127 labels (it has 253 characters at the most), so the group that repeats them is bounded: Java's
+#: matcher takes a piece of the stack for each repetition. Of a longer chain of labels the first ones are taken.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 #: How keys of well-known services begin.
 PREFIX = r"(?:AKIA|ASIA|ghp_|gho_|ghs_|sk-|sk_live_|pk_live_|xox[abprs]-|AIza|glpat-)"
 TOKEN = r"(?<![0-9A-Za-z_-])" + PREFIX + r"[0-9A-Za-z_-]{16,128}+"
