@@ -31,6 +31,8 @@ BROADCAST_KEYS = 500_000
 BLOCK = 1 << 16
 #: Bands and least hashes in each: of pairs of similarity 0.8, all but 5 in 100 million share a band.
 BANDS, ROWS = 32, 4
+#: Classes of hashes, a power of two, by which common shingles are counted.
+CLASSES = 128
 #: Sets of undecided buckets that have a shingle in common for it to be a rare one, by which all of them are compared.
 RARE = 16
 #: Text bytes whose shingles a task holds at a time.
@@ -229,14 +231,31 @@ def rare_shingles(sets: DataFrame, rare: int = RARE) -> DataFrame:
     return cut(every.join(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= rare).select("h"), "h").select("id", "h"))
 
 
+def common_classes(sets: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, classes) of sets (id, hashes): how many of each one's shingles that are not in rare (id, h) are in each of CLASSES
+    classes of hashes. Two sets share no more common shingles than the lesser counts of all classes come to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = lambda h: np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+        for batch in batches:
+            counts = []
+            for every, few in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                counts.append(count(np.frombuffer(every.as_buffer(), np.uint64)) - count(np.array(few or [], np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], ["id", "classes"])
+
+    own = rare.groupBy("id").agg(F.collect_list("h").alias("few"))
+    return sets.join(own, "id", "left").select("id", "hashes", "few").mapInArrow(run, "id long, classes array<int>")
+
+
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, root) of rows (key, text): root is the least key of the component over pairs of that Jaccard similarity.
 
     Candidates share one of the band keys and fit in size. The members of a bucket are compared with two of them, those of
     least and greatest hash, which a group of near copies has in common in most of its buckets; so a group takes work in
     proportion to its members. Buckets that then still hold several components are gone through in two exact ways: members
-    that share a shingle that few of them have are compared; all others share common shingles alone, and where those are
-    too few for the similarity, as in copies with many edits of their own, a pair is not even made.
+    that share a shingle that few of them have are compared; all others share common shingles alone, and where those that
+    both can have, counted by classes of hashes, are too few for the similarity, as in copies with edits of their own, a
+    pair is not even made.
     """
     rows = cut(sketches(docs, k))
     classes = cut(rows.groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -255,18 +274,23 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     tops = inside.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("several"))
     mixed = cut(inside.join(tops.where("several > 1").drop("several"), "band"))
     nodes = cut(mixed.select("id", "n", "root").distinct())
-    rare = rare_shingles(sets_of(classes.join(nodes.select("id"), "id").select("id", "key"), docs, k))
-    common = cut(nodes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", "root", (F.col("n") - F.coalesce("r", F.lit(0))).alias("s")))
-    x = rare.join(common, "id")
+    sets = sets_of(classes.join(nodes.select("id"), "id").select("id", "key"), docs, k)
+    rare = rare_shingles(sets)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
+    common = cut(nodes.join(common_classes(sets, rare), "id").withColumn("s", total("classes")))
+    x = rare.join(common.drop("classes"), "id")
     y = x.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     shared = x.join(y, "h").where("id < other and root != other_root").select("id", "n", "other", "m")
     # a set whose common shingles are too few for itself is like none of the others
-    inner = mixed.select("band", "id", "main").join(common.where(F.col("s") >= least * F.col("n") - 1e-9), "id")
+    inner = mixed.select("band", "id", "main").join(common.drop("classes").where(F.col("s") >= least * F.col("n") - 1e-9), "id")
     outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"))
-    most = F.least("s", "t")
-    enough = most >= least * (F.col("n") + F.col("m") - most) - 1e-9
-    without = inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(enough).select("id", "n", "other", "m")
-    rest = cut(ordered(shared.unionByName(without)))
+    reach = lambda most: most >= least * (F.col("n") + F.col("m") - most) - 1e-9
+    without = ordered(inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(reach(F.least("s", "t"))).select("id", "n", "other", "m"))
+    # the classes are looked at once a pair, and not once for each band that a pair shares
+    side = lambda a, n, c: common.select(F.col("id").alias(a), F.col("n").alias(n), F.col("classes").alias(c))
+    by_class = total(F.zip_with("classes", "other_classes", lambda a, b: F.least(a, b)))
+    without = cut(without).join(side("a", "n", "classes"), "a").join(side("b", "m", "other_classes"), "b").where(reach(by_class)).select("a", "b")
+    rest = cut(ordered(shared).unionByName(without).distinct())
     if rest.limit(1).count():
         roots = cut(components(found.unionByName(verified(rest, classes, docs, k, least))))
     owner = classes.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("top"))
