@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass, field
+from urllib.parse import parse_qsl
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.operators.search import ORDERS
+
 PAGE, MOST = 50, 200
 
 
@@ -37,6 +41,8 @@ def parse(parameters: dict[str, str]) -> LogQuery:
         raise ValueError(f"limit must be between 1 and {MOST}")
     if p.get("hasProfile", "true") not in ("true", "false"):
         raise ValueError("hasProfile is true or false")
+    if p.get("sort", "newest") not in ORDERS:
+        raise ValueError(f"sort is one of {', '.join(ORDERS)}")
     return LogQuery(
         first_day=day("from"), last_day=day("to"), equal={k: p[k] for k in ("site", "trip") if k in p}, least=number("minDepth"), most=number("maxDepth"),
         has_profile=None if "hasProfile" not in p else p["hasProfile"] == "true", tags=sorted({t for t in p.get("tags", "").split(",") if t}), text=p.get("q"), sort=p.get("sort", "newest"), size=size,
@@ -53,6 +59,28 @@ def canonical(parameters: dict[str, str]) -> str:
     return "&".join(f"{k}={v}" for k, v in sorted(found.items()) if v is not None)
 
 
+def canonical_views(df: DataFrame, view: str) -> DataFrame:
+    """df with canonical: the one spelling of the query string in column `view`, '' where it cannot be read, null for null.
+
+    A parameter given twice counts once, by its last value; escapes are read and not written back.
+    """
+
+    def spelt(text: str | None) -> str | None:
+        return None if text is None else canonical(dict(parse_qsl(text.removeprefix("?"), keep_blank_values=True)))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        # saved views are few and repeat: each spelling is read once
+        return texts.map({t: spelt(t) for t in texts.unique()})
+
+    return df.withColumn("canonical", run(F.col(view)))
+
+
+def totals(df: DataFrame, query: LogQuery, by: list[str], *args, **columns) -> DataFrame:
+    """(by..., n): how many rows of each owner meet a query, see asked(); owners with none have no row."""
+    return asked(df, query, *args, **columns).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def live(df: DataFrame, owner: str, who: object, deleted_at: str = "deleted_at") -> DataFrame:
     """One owner's rows that are not deleted."""
     return df.where((F.col(owner) == F.lit(who)) & F.col(deleted_at).isNull())

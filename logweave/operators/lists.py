@@ -17,9 +17,11 @@ def next_number(df: DataFrame, owner: str, number: str) -> DataFrame:
     return df.groupBy(owner).agg(F.max(number).alias("largest")).select(owner, "largest", (F.coalesce(F.col("largest"), F.lit(0)) + 1).cast("long").alias("next"))
 
 
-def import_stats(rows: DataFrame, batch: str, decision: str, kinds: list[str]) -> DataFrame:
-    """(batch, n, one column for each decision): how many rows of a batch were decided how."""
-    return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(decision) == k).alias(k) for k in kinds])
+def import_stats(rows: DataFrame, batch: str, decision: str, kinds: list[str], arrays: list[str] | None = None) -> DataFrame:
+    """(batch, n, one column for each decision, one for each of `arrays`): how many rows of a batch were decided how, and how
+    many entries their arrays (issues, say) have in all; a null array has none."""
+    sizes = [F.sum(F.greatest(F.size(a), F.lit(0))).cast("long").alias(a) for a in arrays or []]
+    return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(decision) == k).alias(k) for k in kinds], *sizes)
 
 
 def health(batches: DataFrame, kind: str, state: str, rows: str, failed: str = "failed", committed: str = "committed") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators import running
@@ -78,19 +78,36 @@ def resolve(assertions: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return won.select("record", "field", F.col("w.value").alias("value"), F.col("w.source").alias("source"), "n_sources", _differs(assertions, tolerance).alias("contested"))
 
 
-def provenance(assertions: DataFrame) -> DataFrame:
-    """Each non-null assertion with is_selected: whether its source won its (record, field)."""
-    w = Window.partitionBy("record", "field").orderBy("rank", F.desc("recorded_at"), "source", "value")
-    there = assertions.where("value is not null").withColumn("first", F.first("source").over(w))
-    return there.withColumn("is_selected", F.col("source") == F.col("first")).drop("first")
+#: Fields to which sources add instead of contradicting one another.
+ADDED = ["tags", "buddies", "notes"]
+
+
+def provenance(assertions: DataFrame, added: list[str] = ADDED) -> DataFrame:
+    """Each non-null assertion with is_selected: whether its source won its (record, field), or adds to it (fields `added`)."""
+    best = F.struct("rank", (-F.unix_micros(F.col("recorded_at").cast("timestamp"))).alias("late"), "source", "value")
+    there = assertions.where("value is not null")
+    # the winner is a minimum by field, joined back; a field that many sources assert is not sorted in one task
+    won = there.groupBy(F.col("record").alias("_record"), F.col("field").alias("_field")).agg(F.min(best)["source"].alias("_first"))
+    marked = there.join(won, F.col("record").eqNullSafe(F.col("_record")) & F.col("field").eqNullSafe(F.col("_field")))
+    return marked.withColumn("is_selected", F.col("field").isin(added) | (F.col("source") == F.col("_first"))).drop("_record", "_field", "_first")
 
 
 def conflicts(assertions: DataFrame) -> DataFrame:
-    """(record, field, n, distinct_values) of fields that several assertions give; several values: a displayed disagreement."""
+    """(record, field, n, distinct_values) of fields that several assertions give; several values: a disagreement."""
     there = assertions.where("value is not null").groupBy("record", "field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.col("value").cast("string")).alias("distinct_values"))
     return there.where("n > 1")
 
 
+def shown_conflicts(assertions: DataFrame, shown: Column) -> DataFrame:
+    """(record, field, shown): fields whose assertions are shown as different texts, with these texts in order.
+
+    shown: what a reader sees for a row's value (see functions.display.field_value()); values that look alike to this
+    reader do not disagree for them. Nulls do not take part.
+    """
+    texts = assertions.where("value is not null").select("record", "field", shown.alias("shown")).distinct()
+    return texts.groupBy("record", "field").agg(F.array_sort(F.collect_set("shown")).alias("shown")).where(F.size("shown") > 1)
+
+
 def contested_fields(resolved: DataFrame) -> DataFrame:
     """(record, contested): the sorted paths of each record's contested fields, comma-separated, empty if there are none."""
     paths = F.collect_set(F.when(F.col("contested"), F.col("field")))

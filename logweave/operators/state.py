@@ -96,3 +96,33 @@ def upserted(views: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
     placed = ranked.join(tops, F.col(keys[0]).eqNullSafe(F.col("_whose")), "left")
     end = F.coalesce("_top", F.lit(0)) + F.col("_place")
     return placed.select(*keys, F.coalesce("_name", "name").alias("name"), F.coalesce("position", end).cast("long").alias("position"))
+
+
+def staff_changes(rows: DataFrame, changes: DataFrame, key: str, columns: list[str], entity: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, events) after changes by staff (key, seq, action, at, actor, reason, columns...): see patched().
+
+    Both come from one and the same set of changes, so no change lacks its event: events (actor_id, action, entity_type,
+    entity_id, reason, created_at, fields), fields being those that a patch names. Of several changes under one key and seq
+    the least counts; a change of a row that is not there and is not created by it leaves no event.
+    """
+    extra = ["actor", "reason"]
+    one = changes.groupBy(key, "seq").agg(F.min(F.struct("action", "at", *extra, *columns)).alias("c")).select(key, "seq", "c.*")
+    there = rows.select(key).unionByName(one.where("action = 'create'").select(key)).distinct()
+    real = one.join(there, key, "left_semi")
+    named = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), c) for c in columns]))
+    fields = F.when(F.col("action").isin("patch", "create"), named).otherwise(F.array().cast("array<string>"))
+    events = real.select(F.col("actor").alias("actor_id"), F.concat(F.lit(f"{entity}."), F.col("action")).alias("action"), F.lit(entity).alias("entity_type"), F.col(key).cast("string").alias("entity_id"), "reason", F.col("at").alias("created_at"), F.array_join(fields, ",").alias("fields"))
+    return patched(rows, real.drop(*extra), key, columns), events
+
+
+def audit_log(events: DataFrame, users: DataFrame, entity_type: str | None = None, entity_id: str | None = None, actor_id: object = None, most: int = 200) -> DataFrame:
+    """The newest `most` events that meet what is asked (None: anything), with actor_email from users (user_id, email): null
+    for an unknown or absent actor. Equal times are ordered by entity, then action."""
+    asked = {"entity_type": entity_type, "entity_id": entity_id, "actor_id": actor_id}
+    found = events
+    for column, value in asked.items():
+        found = found if value is None else found.where(F.col(column) == F.lit(value))
+    first = found.orderBy(F.desc("created_at"), "entity_type", "entity_id", "action", "actor_id").limit(most)
+    # at most `most` rows look for their actors
+    emails = users.groupBy(F.col("user_id").alias("actor_id")).agg(F.min("email").alias("actor_email"))
+    return first.join(emails, "actor_id", "left")

@@ -340,4 +340,4 @@ def profile_damage(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the modules below add their queries to the same registry
-from logweave.plans import documents, imports, linking, logbook, relations  # noqa: E402, F401
+from logweave.plans import documents, imports, linking, logbook, records, relations  # noqa: E402, F401

@@ -33,6 +33,33 @@ def sheet(dives: DataFrame, key: str, columns: dict[str, tuple[str, str | None]]
     return dives.sortWithinPartitions(key).select(*out)
 
 
+def logbook_sheet(dives: DataFrame, key: str, imperial: bool = False) -> DataFrame:
+    """The columns of a logbook as a sheet that this library reads back: see the headers below.
+
+    dives: dive_number, start_local, duration_s, max_depth_m, air_temp_c, water_temp_c, visibility_m, site (region, name, lat,
+    lon), water_type, tags, gases (o2, he), gear, weight_kg, buddies, rating, notes. Times are the clock's, to the minute;
+    durations whole minutes; the first gas is oxygen in percent; lists are parted by commas. Null is an empty cell.
+    """
+    system = IMPERIAL if imperial else METRIC
+    number = lambda c: F.regexp_replace(four_places(c.cast("double")).cast("decimal(18,4)").cast("string"), r"\.?0++$", "")
+    half_up = lambda c: F.floor(c.cast("double") + 0.5).cast("long").cast("string")
+    site, gas = F.col("site"), F.get("gases", F.lit(0))
+    measure = {"Max Depth": ("max_depth_m", "depth"), "Air Temperature": ("air_temp_c", "temp"), "Water Temperature": ("water_temp_c", "temp"), "Visibility": ("visibility_m", "depth"), "Weight": ("weight_kg", "weight")}
+    shown = {}
+    for header, (column, kind) in measure.items():
+        unit, convert = system[kind]
+        shown[header] = number(convert(F.col(column).cast("double"))).alias(f"{header} ({'lbs' if unit == 'lb' else unit})")
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    cells = [
+        text("dive_number").alias("Dive Number"), F.date_format("start_local", "yyyy-MM-dd").alias("Date"), F.date_format("start_local", "HH:mm").alias("Time In"), half_up(F.col("duration_s") / 60).alias("Duration (min)"),
+        shown["Max Depth"], shown["Air Temperature"], shown["Water Temperature"], shown["Visibility"],
+        text(site["region"]).alias("Location"), text(site["name"]).alias("Dive Site"), number_text(site["lat"]).alias("Latitude"), number_text(site["lon"]).alias("Longitude"),
+        text("water_type").alias("Water Type"), F.array_join("tags", ", ").alias("Dive Type"), half_up(gas["o2"] * 100).alias("EAN %"), text("gear").alias("Equipment"), shown["Weight"],
+        F.array_join("buddies", ", ").alias("Buddies"), number_text(F.col("rating").cast("double")).alias("Rating"), text("notes").alias("Notes"),
+    ]
+    return dives.sortWithinPartitions(key).select(*cells)
+
+
 def write_sheet(rows: DataFrame, path: str) -> None:
     """CSV with a header in each part file; cells are quoted where they must be, quotes doubled."""
     rows.write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
