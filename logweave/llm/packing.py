@@ -1,7 +1,7 @@
 """Pattern packing: few-document length patterns, repeat counts by non-negative least squares, residuals by best fit.
 
 One histogram of piece lengths (a fixed number of counters) goes to the driver, which fits how often each pattern of up
-to MOST_PARTS length bins is to be used. Pieces are dealt by hash to shards of about SHARD_PIECES; each shard scales the
+to MOST_PARTS length bins is to be used. Pieces are dealt by their row number to shards of about SHARD_PIECES; each shard scales the
 fitted counts to its own pieces, rounds them, fills the patterns and packs what is left by best fit. A shard holds
 lengths and ids of pieces only, never texts, and its size does not grow with the corpus.
 """
@@ -27,7 +27,7 @@ MOST_PARTS = 4
 SHARD_PIECES = 16_384
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long"
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -185,8 +185,16 @@ def pack_shard(length: np.ndarray, table: np.ndarray, share: np.ndarray, capacit
     return sequence, offset
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces as a table with a row number each, which is written with them: pieces equal in all else have different ones."""
+    return cut(pieces.withColumn("row", F.monotonically_increasing_id()))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """Sequence and offset for narrow rows (doc_id, piece, start, length, ids_crc32); the input is a table, read twice."""
+    """Sequence and offset for narrow rows (doc_id, piece, start, length, ids_crc32, row); the input is a numbered() table,
+    read twice, and becomes one where it has no row numbers. Shards are dealt by these, so copies spread like all others."""
+    if "row" not in pieces.columns:
+        pieces = numbered(pieces)
     counts = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1)
     for r in counts:
@@ -196,11 +204,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD
     shards = max(1, -(-total // shard_pieces))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
+        part = part.sort_values(["doc_id", "piece", "length", "ids_crc32", "row"], kind="stable").reset_index(drop=True)
         s, at = pack_shard(part["length"].to_numpy(), table, share, capacity)
         return part.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + s, offset=at)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, PLACED)
 
 
@@ -208,14 +216,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, with_ids: bool = True) -> Da
     """Documents as placed pieces, with their ids where asked: what a writer of training sequences needs.
 
     Empty tables give no rows. Within a sequence, pieces lie one after another from offset 0 without gaps. Repeated rows
-    of one document are packed once each; their ids are equal, so it does not matter which row of ids goes where.
+    of one document are packed once each, wherever each falls.
     """
     pieces = tokenize_pieces(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids"))
     if not with_ids:
-        return place(cut(pieces.drop("ids")))
-    pieces = cut(pieces)
-    keys = ["doc_id", "piece", "ids_crc32"]
-    ids = pieces.select(*keys, "ids").dropDuplicates(keys)
-    placed = place(pieces.drop("ids")).alias("p")
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
-    return placed.join(ids.alias("i"), same[0] & same[1] & same[2]).select("p.*", "i.ids")
+        return place(numbered(pieces.drop("ids"))).drop("row")
+    pieces = numbered(pieces)
+    return place(pieces.drop("ids")).join(pieces.select("row", "ids"), "row").drop("row")

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 
+from pyspark.sql import functions as F
+
 from logweave.llm import decontamination, packing, quality, simhash, suffix_dedup, unigram
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -91,3 +93,12 @@ def test_text_longer_than_two_slices(spark):
     assert len({r.fp for r in simhash.fingerprints(docs).collect()}) == 3
     count = unigram.Counter(unigram.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))[0])
     assert {r.doc_id: r.n_tokens for r in unigram.token_counts(docs.where("doc_id > 1"), unigram.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))[0]).collect()} == {2: count("start <" + passage + "> end"), 3: count(long[:4000])}
+
+
+def test_rows_that_repeat_fill_many_shards(spark):
+    docs = spark.createDataFrame([(None, "")] * 400 + [(5, "same words")] * 300 + [(k, "x") for k in range(20)], "doc_id long, text string").repartition(5)
+    pieces = packing.tokenize_pieces(docs, BPE).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    got = packing.place(pieces, shard_pieces=40).collect()
+    shards = [r.sequence_id >> 32 for r in got]
+    assert len(got) == 720 and len(set(shards)) == 18 and max(shards.count(s) for s in set(shards)) < 80
+    assert packing.pack_documents(docs, BPE).groupBy("doc_id").count().where("count > 1").count() == 2
