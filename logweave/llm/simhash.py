@@ -235,13 +235,19 @@ def common_classes(sets: DataFrame, rare: DataFrame) -> DataFrame:
     """(id, classes) of sets (id, hashes): how many of each one's shingles that are not in rare (id, h) are in each of CLASSES
     classes of hashes. Two sets share no more common shingles than the lesser counts of all classes come to."""
 
+    def counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of rows of these sizes, one row after the other, counted by row and class."""
+        place = np.repeat(np.arange(len(sizes)) * CLASSES, sizes) + (hashes & (CLASSES - 1))
+        return np.bincount(place, minlength=len(sizes) * CLASSES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = lambda h: np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
-        for batch in batches:
-            counts = []
-            for every, few in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                counts.append(count(np.frombuffer(every.as_buffer(), np.uint64)) - count(np.array(few or [], np.int64).view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], ["id", "classes"])
+        for whole in batches:
+            for batch in slices(whole, SLICE, "hashes"):
+                data, at = byte_view(batch.column(1))
+                few = batch.column(2).fill_null([])
+                common = counts(np.frombuffer(data[: at[-1]].tobytes(), np.int64), np.diff(at) // 8) - counts(few.flatten().to_numpy(), few.value_lengths().to_numpy())
+                ends = np.arange(0, len(common) + 1, CLASSES, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(common, pa.int32()))], ["id", "classes"])
 
     own = rare.groupBy("id").agg(F.collect_list("h").alias("few"))
     return sets.join(own, "id", "left").select("id", "hashes", "few").mapInArrow(run, "id long, classes array<int>")
