@@ -29,33 +29,34 @@ PREFERENCES = {
 SENSED = {"uddf": ["gases", "profile", "waterTempMinC"]}
 
 
+def _looked_up(found: dict[str, object], key: Column) -> Column:
+    """The entry of a constant map, null where there is none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in found.items() for x in pair]), key)
+
+
 def origin(kind: Column) -> Column:
-    found = F.lit("file_import")
-    for name, value in ORIGINS.items():
-        found = F.when(kind == name, value).otherwise(found)
-    return found
+    """Where a kind of source comes from; an unknown or null kind is an imported file."""
+    return F.coalesce(F.when(kind.isNotNull(), _looked_up(ORIGINS, kind)), F.lit("file_import"))
 
 
 def field_class(field: Column) -> Column:
-    found = F.lit("measured")
-    for name, fields in CLASSES.items():
-        found = F.when(field.isin(fields), name).otherwise(found)
-    return found
+    return F.coalesce(_looked_up({f: name for name, fields in CLASSES.items() for f in fields}, field), F.lit("measured"))
 
 
 def rank(field: Column, kind: Column, sensed: Column | None = None) -> Column:
     """The place of a source's kind in the preference for a field, 0 the best; what an instrument sensed of a configured
     field goes before all (-1). sensed: whether it did; without it, by the kind's own list."""
-    of, kinds = field_class(field), origin(kind)
+    places = {f"{name}|{value}": place for name, order in PREFERENCES.items() for place, value in enumerate(order)}
+    found = _looked_up(places, F.concat_ws("|", field_class(field), origin(kind)))
     if sensed is None:
-        sensed = F.lit(False)
-        for name, fields in SENSED.items():
-            sensed = sensed | ((kind == name) & field.isin(fields))
-    found = F.lit(None).cast("int")
-    for name, order in PREFERENCES.items():
-        for place, value in enumerate(order):
-            found = F.when((of == name) & (kinds == value), place).otherwise(found)
-    return F.when(F.coalesce(sensed, F.lit(False)) & (of == "configured") & (kinds == "instrument"), -1).otherwise(found)
+        # all that is sensed and configured, by kinds that are instruments
+        own = [(k, f) for k, fields in SENSED.items() for f in fields if ORIGINS.get(k) == "instrument" and f in CLASSES["configured"]]
+        first = F.lit(False)
+        for k, f in own:
+            first = first | ((kind == k) & (field == f))
+    else:
+        first = sensed & (field_class(field) == "configured") & (origin(kind) == "instrument")
+    return F.when(F.coalesce(first, F.lit(False)), -1).otherwise(found)
 
 
 def _differs(df: DataFrame, tolerance: float) -> Column:

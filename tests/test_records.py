@@ -94,3 +94,16 @@ def test_views_and_sizes(spark):
     assert {r.i: r.canonical for r in got} == {0: "tags=a,b", 1: "", 2: None, 3: "", 4: "q=c", 5: "", 6: "from=2024-01-02"}
     rows = spark.createDataFrame([(1, "merge", ["a", "b"]), (1, "create", None), (2, "merge", [])], "batch int, decision string, issues array<string>")
     assert {tuple(r) for r in lists.import_stats(rows, "batch", "decision", ["merge"], ["issues"]).collect()} == {(1, 2, 1, 2), (2, 1, 1, 0)}
+
+
+def test_ranks_by_the_fixed_preferences(spark):
+    fields = [f for fs in merging.CLASSES.values() for f in fs] + ["other"]
+    kinds = [*merging.ORIGINS, "unheard", None]
+    class_of = lambda f: next((c for c, fs in merging.CLASSES.items() if f in fs), "measured")
+    for sensed in (None, True):
+        rows = spark.createDataFrame([(f, k) for f in fields for k in kinds], "f string, k string")
+        told = None if sensed is None else F.lit(sensed)
+        for r in rows.select("f", "k", merging.rank(F.col("f"), F.col("k"), told).alias("rank")).collect():
+            origin = merging.ORIGINS.get(r.k, "file_import")
+            first = class_of(r.f) == "configured" and origin == "instrument" and (sensed or r.f in merging.SENSED.get(r.k, []))
+            assert r["rank"] == (-1 if first else merging.PREFERENCES[class_of(r.f)].index(origin)), (r, sensed)
