@@ -24,6 +24,13 @@ def import_stats(rows: DataFrame, batch: str, decision: str, kinds: list[str], a
     return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(decision) == k).alias(k) for k in kinds], *sizes)
 
 
+def page_totals(dives: DataFrame, of: str, depth: str, seconds: str, day: str) -> DataFrame:
+    """(of, n, deepest, bottom_time_s, first_day) of a site's or a trip's dives: null depths are left out, a null time counts
+    as none; dives of no site or trip have no row."""
+    there = dives.where(F.col(of).isNotNull())
+    return there.groupBy(of).agg(F.count(F.lit(1)).alias("n"), F.max(depth).alias("deepest"), F.coalesce(F.sum(seconds), F.lit(0)).cast("long").alias("bottom_time_s"), F.min(day).alias("first_day"))
+
+
 def health(batches: DataFrame, kind: str, state: str, rows: str, failed: str = "failed", committed: str = "committed") -> DataFrame:
     """(kind, batches, failed, committed, rows, failure_pct): the share of failed batches, rounded to a whole percent."""
     got = batches.groupBy(kind).agg(F.count(F.lit(1)).alias("batches"), F.count_if(F.col(state) == failed).alias("failed"), F.count_if(F.col(state) == committed).alias("committed"), F.coalesce(F.sum(rows), F.lit(0)).alias("rows"))

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.functions.gases import gases_of
 from logweave.plans.registry import query
-from logweave.sources import documents, exports
+from logweave.sources import documents, exports, files
 from logweave.sources.shared import folder
 from logweave.sources.tables import read
 
@@ -76,3 +77,30 @@ def export_documents(spark: SparkSession, d: str) -> DataFrame:
     lines = exports.documents(_logbooks(spark, d), "owner", ["id"], MADE)
     part = F.when(F.col("section") == 2, "site").when(F.col("section") == 5, "mix").when(F.col("section") == 8, "dive").otherwise("frame")
     return lines.select("owner", part.alias("part"), F.replace("line", F.lit("\n"), F.lit("|")).alias("line"))
+
+
+@query("""
+WITH o AS (SELECT c_nationkey AS owner, o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT owner, n, CASE WHEN k % 3 <> 0 THEN 'dive ' || k::VARCHAR WHEN k % 2 = 0 THEN 'src ' || k::VARCHAR END AS ref, (c % 50)::DOUBLE AS max_depth_m, CASE WHEN k % 5 <> 0 THEN 'Site "' || (c % 9)::VARCHAR || '"' END AS site, 'Shore,Night' AS tags FROM o""")
+def import_json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Logbooks written as one JSON document each and read back; dives without an id of their own take their source's."""
+    path, k, c = f"{folder(spark)}/json-{uuid.uuid4().hex}", F.col("o_orderkey"), F.col("o_custkey")
+    source = lambda ref: F.struct(F.lit("csv").alias("sourceKind"), ref.alias("sourceRef"))
+    rows = read(spark, d, "orders").join(read(spark, d, "customer"), c == F.col("c_custkey")).select(
+        F.col("c_nationkey").alias("owner"), k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("dive "), k.cast("string"))).alias("ref"), (c % 50).cast("double").alias("maxDepthM"), F.when(k % 5 != 0, F.struct(F.concat(F.lit('Site "'), (c % 9).cast("string"), F.lit('"')).alias("name"))).alias("site"),
+        F.array(F.lit("Shore"), F.lit("Night")).alias("tags"), F.array(source(F.lit(None).cast("string")), source(F.when(k % 2 == 0, F.concat(F.lit("src "), k.cast("string"))))).alias("sources"),
+    )
+    exports.write_documents(exports.json_logbooks(rows, "owner", ["id"], ["ref", "maxDepthM", "site", "tags", "sources"], "logbook/1"), path)
+    dives = files.read_json_logbooks(spark, path, "logbook/1")[1]
+    return dives.select(F.regexp_extract("file", r"owner=([^/]+)", 1).cast("int").alias("owner"), (F.col("at") + 1).cast("long").alias("n"), F.col("source_ref").alias("ref"), F.col("dive.maxDepthM").alias("max_depth_m"), F.col("dive.site.name").alias("site"), F.array_join("dive.tags", ",").alias("tags"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN '0.32,' WHEN 1 THEN '0.18+0.45,0.5' ELSE NULL END AS gases FROM events")
+def import_gases(spark: SparkSession, d: str) -> DataFrame:
+    """Gas lists as they came: quoted numbers, entries that are no objects and texts that are no lists are no gases."""
+    texts = ['[{"o2Fraction": 0.32}, {"o2Fraction": "0.5"}, 3, null, "x", {"o2Fraction": true}]', '[{"o2Fraction": 0.18, "heFraction": 0.45}, {"o2Fraction": 0.5, "heFraction": "0"}]', "[]", '{"o2Fraction": 0.21}', "[", '[{"heFraction": 1}]']
+    text = F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % 6).cast("int"))
+    found = gases_of(text)
+    one = F.transform(found, lambda g: F.concat(g["o2"].cast("string"), F.coalesce(F.concat(F.lit("+"), g["he"].cast("string")), F.lit(""))))
+    joined = F.array_join(one, ",")
+    return read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 6 == 0, F.concat(joined, F.lit(","))).otherwise(joined).alias("gases"))

@@ -148,3 +148,11 @@ def list_import_sizes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = read(spark, d, "orders").withColumns({"issues": F.when(k % 5 != 0, F.array_repeat(F.lit("i"), (k % 5).cast("int"))), "normalizations": F.array_repeat(F.lit("n"), (k % 3).cast("int"))})
     return lists.import_stats(rows, "o_custkey", "o_orderstatus", ["F", "O"], ["issues", "normalizations"])
+
+
+@query("""
+SELECT l_suppkey, count(*) AS n, max(CASE WHEN l_partkey % 4 <> 0 THEN l_quantity END) AS deepest, sum(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_linenumber * 60 END)::BIGINT AS bottom_time_s, strftime(min(l_shipdate), '%Y-%m-%d') AS first_day FROM lineitem GROUP BY l_suppkey""")
+def list_page_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the page of a site or trip says of its dives: the deepest known one, and the bottom time, unknown ones as none."""
+    dives = read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity")).alias("depth"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_linenumber") * 60).alias("seconds"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return lists.page_totals(dives, "l_suppkey", "depth", "seconds", "day")

@@ -191,6 +191,20 @@ def json_dive(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def json_logbooks(dives: DataFrame, owner: str, order: list[str], columns: list[str], form: str, most: int = running.MOST) -> DataFrame:
+    """Each owner's logbook as the lines of one JSON document (owner as text, section, place, line), see write_documents().
+
+    columns: what is written of each dive, under these names; what is null is left out.
+    """
+    whose = F.coalesce(F.col(owner).cast("string"), F.lit("null"))
+    rows = running.Ordered(dives.withColumn("owner", whose), "owner", order, most).add(_n=running.count()).rows()
+    owners = rows.select("owner").distinct()
+    line = lambda df, section, place, text: df.select("owner", F.lit(section).alias("section"), place.cast("long").alias("place"), text.alias("line"))
+    comma = F.when(F.col("_n") > 1, ",").otherwise("")
+    parts = line(owners, 0, F.lit(0), F.lit(f'{{"format": "{form}", "dives": ['))
+    return parts.unionByName(line(rows, 1, F.col("_n"), F.concat(comma, json_dive(columns)))).unionByName(line(owners, 2, F.lit(0), F.lit("]}")))
+
+
 def profile_key(record: Column, blob: Column) -> Column:
     """The name under which a profile is stored: its record and the first 32 digits of its content's sha256, so equal content
     is stored once; null for no content."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import once
 from logweave.operators import running
+from logweave.sources.shared import written
 
 DELIMITERS = [",", "\t", ";", "|"]
 XML_LOG = (
@@ -112,6 +113,31 @@ def parse_json_log(text: Column, schema: str, form: str) -> Column:
     return F.when(found["format"] == form, found)
 
 
+#: What a JSON logbook holds of each dive; other members are passed over.
+JSON_DIVE = (
+    "struct<ref:string,diveNumber:long,startTimeLocal:string,startTimeUtc:string,tzOffsetMinutes:int,durationS:double,maxDepthM:double,avgDepthM:double,waterTempMinC:double,airTempC:double,"
+    "visibilityM:double,weightKg:double,waterType:string,rating:double,notes:string,site:struct<name:string,lat:double,lon:double,altitudeM:double,regionHint:string>,tags:array<string>,buddies:array<string>,"
+    "gases:array<struct<o2Fraction:double,heFraction:double>>,gear:string,sources:array<struct<sourceKind:string,sourceRef:string,recordedAt:string>>>"
+)
+
+
+def read_json_logbooks(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, DataFrame]:
+    """(files, dives) of JSON logbooks, each one document: files (file, code), dives (file, at, source_ref, dive).
+
+    Codes: unparseable_json, not_logbook (another format, or none); null for a sound file, also one without dives. A dive's
+    own id is its source_ref, else the first id that one of its sources has. Spark passes over files of no bytes.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    doc = F.from_json("value", f"format string, dives array<{JSON_DIVE}>, _damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})
+    parsed = raw.select("file", F.try_parse_json("value").isNotNull().alias("sound"), doc.alias("doc"))
+    code = F.when(~F.col("sound"), "unparseable_json").when(~F.col("doc.format").eqNullSafe(F.lit(form)), "not_logbook")
+    held = written(parsed.select("file", code.alias("code"), F.when(code.isNull(), F.col("doc.dives")).alias("dives")))
+    dives = held.select("file", F.posexplode("dives").alias("at", "dive")).where("dive is not null")
+    refs = F.transform("dive.sources", lambda s: s["sourceRef"])
+    first = F.get(F.filter(refs, lambda r: r.isNotNull()), F.lit(0))
+    return held.select("file", "code"), dives.select("file", "at", F.coalesce("dive.ref", first).alias("source_ref"), "dive")
+
+
 def first_uploads(files: DataFrame, most: int = running.MOST) -> DataFrame:
     """(owner, batch, duplicate_of) of files (owner, batch, at, content, failed): the newest earlier batch of the owner with the
     same content that has not failed, of several at one time the largest, null if there is none

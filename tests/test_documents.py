@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.sources import documents, exports
+from logweave.functions.gases import gases_of
+from logweave.sources import documents, exports, files
 
 WHOLE = """<?xml version="1.0" encoding="UTF-8"?>
 <!-- a log - with > odd - <marks> -->
@@ -121,3 +122,21 @@ def test_numbers_as_text(spark):
     values = [0.0, 5.0, 100.0, 0.21, -3.5, 1e-7, 12345678.0, 1e15, None]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(exports.number_text(F.col("v"))).collect()
     assert [r[0] for r in got] == ["0", "5", "100", "0.21", "-3.5", "0.0000001", "12345678", "1000000000000000", None]
+
+
+def test_json_logbooks(spark, tmp_path):
+    texts = {
+        "good": '{"format": "log/1", "more": 1, "dives": [{"ref": "r", "sources": [{"sourceRef": "s"}]}, {"sources": [{"sourceKind": "csv"}, {"sourceRef": "s2"}]}, {}, null, {"ref": null, "maxDepthM": 7.5}]}',
+        "other": '{"format": "log/2", "dives": [{"ref": "x"}]}', "none": '{"dives": []}', "broken": '{"format": "log/1", "dives": [{', "empty": '{"format": "log/1"}', "list": "[1]",
+    }
+    for n, t in texts.items():
+        (tmp_path / f"{n}.json").write_text(t)
+    found, dives = files.read_json_logbooks(spark, str(tmp_path), "log/1")
+    assert {re.search(r"(\w+)\.json$", r.file)[1]: r.code for r in found.collect()} == {"good": None, "other": "not_logbook", "none": "not_logbook", "broken": "unparseable_json", "empty": None, "list": "not_logbook"}
+    assert sorted((r["at"], r.source_ref, r.dive.maxDepthM) for r in dives.collect()) == [(0, "r", None), (1, "s2", None), (2, None, None), (4, None, 7.5)]
+
+
+def test_what_is_a_gas(spark):
+    texts = {'[{"o2Fraction": 0.32, "heFraction": 0.1}, {"o2Fraction": 1}]': [(0.32, 0.1), (1.0, None)], '[{"o2Fraction": "0.3"}]': None, "[null, 1, [], {}]": None, "{}": None, "": None, "x": None, '[{"o2Fraction": 3e-1, "x": [1]}]': [(0.3, None)]}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", gases_of(F.col("t")).alias("g"))
+    assert {r.i: r.g and [tuple(g) for g in r.g] for r in rows.collect()} == dict(enumerate([*texts.values(), None]))
