@@ -74,12 +74,12 @@ def window_streaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-     b AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 3 THEN 0 ELSE 1 END AS split FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+     b AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 1 THEN 0 ELSE 1 END AS split FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day)),
      c AS (SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY day) AS trip FROM b)
 SELECT user_id, min(day) AS first_day, max(day) AS last_day, sum(n)::BIGINT AS n FROM c GROUP BY user_id, trip HAVING sum(n) >= 3""")
 def window_trips(spark: SparkSession, d: str) -> DataFrame:
-    return stats.trips(events(spark, d).where("event_type = 'purchase'"), "user_id", "ts")
+    return stats.trips(events(spark, d), "user_id", "ts", 1)
 
 
 @query("""

@@ -321,14 +321,14 @@ def state_committed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT s_suppkey AS k, s_suppkey // 5 * 5 AS r, s_name AS name, CASE WHEN s_suppkey % 5 < 2 THEN NULL ELSE (s_suppkey % 90)::DOUBLE END AS lat FROM supplier WHERE s_suppkey >= 5),
+WITH m AS (SELECT s_suppkey AS k, s_suppkey // 5 * 5 AS r, s_name AS name, CASE WHEN s_suppkey % 5 < 2 THEN NULL ELSE (s_suppkey % 90)::DOUBLE END AS lat FROM supplier),
      a AS (SELECT r, unnest(CASE WHEN k = r THEN ['x' || (k % 3)::VARCHAR] ELSE [name, 'x' || (k % 3)::VARCHAR] END) AS alias FROM m),
      g AS (SELECT r, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases FROM a GROUP BY r)
 SELECT o.k AS site_id, o.name AS name, (SELECT arg_min(lat, k) FROM m WHERE m.r = o.k AND lat IS NOT NULL) AS lat, aliases FROM m o JOIN g ON g.r = o.k WHERE o.k = o.r""")
 def state_merged_places(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     lat = F.when(k % 5 >= 2, (k % 90).cast("double"))
-    sites = read(spark, d, "supplier").where("s_suppkey >= 5").select(k.alias("site_id"), F.col("s_name").alias("name"), lat.alias("lat"), lat.alias("lon"), F.array(F.concat(F.lit("x"), k % 3)).alias("aliases"))
+    sites = read(spark, d, "supplier").select(k.alias("site_id"), F.col("s_name").alias("name"), lat.alias("lat"), lat.alias("lon"), F.array(F.concat(F.lit("x"), k % 3)).alias("aliases"))
     moves = sites.where("site_id % 5 <> 0").select(F.col("site_id").alias("from_id"), (F.floor(F.col("site_id") / 5) * 5).alias("into_id"))
     return state.merged_places(sites, moves).select("site_id", "name", "lat", F.array_join("aliases", ",").alias("aliases"))
 
@@ -402,12 +402,12 @@ def window_renumbering(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-     b AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 3 THEN 0 ELSE 1 END AS split FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+WITH a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+     b AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 1 THEN 0 ELSE 1 END AS split FROM a WINDOW w AS (PARTITION BY user_id ORDER BY day)),
      c AS (SELECT *, sum(split) OVER (PARTITION BY user_id ORDER BY day) AS trip FROM b)
 SELECT user_id, min(day) AS first_day, sum(n)::BIGINT AS n, 'user ' || user_id::VARCHAR || ', ' || strftime(min(day), '%B %Y') AS name, strftime(min(day), '%Y-%m-%d') || '_' || sum(n)::BIGINT::VARCHAR AS key FROM c GROUP BY user_id, trip HAVING sum(n) >= 3""")
 def window_named_trips(spark: SparkSession, d: str) -> DataFrame:
-    found = stats.trips(_events(spark, d).where("event_type = 'purchase'"), "user_id", "ts")
+    found = stats.trips(_events(spark, d), "user_id", "ts", 1)
     return stats.named_trips(found, F.concat(F.lit("user "), F.col("user_id").cast("string"))).select("user_id", "first_day", "n", "name", "key")
 
 

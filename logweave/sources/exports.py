@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import offsets, units
 from logweave.operators import running
+from logweave.sources.shared import written
 
 IMPERIAL = {"depth": ("ft", lambda c: c / units.METRES_PER_FOOT), "temp": ("F", lambda c: c * 9 / 5 + 32), "weight": ("lb", lambda c: c / units.KILOGRAMS_PER_POUND)}
 METRIC = {"depth": ("m", lambda c: c), "temp": ("C", lambda c: c), "weight": ("kg", lambda c: c)}
@@ -120,6 +121,8 @@ def documents(dives: DataFrame, owner: str, order: list[str], made: str, most: i
     site_key = F.when(site["name"].isNotNull(), F.concat(F.lit("name:"), site["name"])).otherwise(F.concat(F.lit("geo:"), number_text(site["lat"]), F.lit(","), number_text(site["lon"])))
     mix_key = lambda g: F.concat(number_text(g["o2"]), F.lit(":"), number_text(F.coalesce(g["he"], F.lit(0.0))))
     rows = running.Ordered(dives.withColumns({"owner": whose, "_site_key": site_key, "_mix_key": mix_key(gas)}), "owner", order, most).add(_n=running.count()).rows()
+    # numbered once: the dictionaries and the dives are all made from these rows
+    rows = written(rows)
 
     def dictionary_of(entries: DataFrame, name: str) -> DataFrame:
         """(owner, key, value, id) of (owner, place, key, value): each different key once, numbered by its first place."""
