@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.parsing import gear_kind, split_list
+from logweave.functions.series import decode
 
 WITHHELD = "[withheld]"
 
@@ -27,6 +28,37 @@ def detailed(df: DataFrame, key: str, relations: dict[str, tuple[DataFrame, str]
     return df
 
 
+def nested(df: DataFrame, key: str, name: str, rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """df with one list of structures (columns) of the rows that have its key, in the given order, empty where there are none."""
+    kept = [c for c in columns if c not in order]
+    entry = F.struct(*order, *kept)
+    own = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*[e[c].alias(c) for c in columns])).alias(name))
+    return df.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+
+
+def whole_dives(dives: DataFrame, sites: DataFrame, tags: DataFrame, buddies: DataFrame, sources: DataFrame, assertions: DataFrame, profiles: DataFrame) -> DataFrame:
+    """dives (dive, site_id, ...) with all that belongs to them: site, tags, buddies, sources, provenance and profile.
+
+    sites: (site_id, name, lat, lon); tags: (dive, label) and buddies: (dive, name), as sorted lists; sources: (dive, source,
+    kind, recorded_at), by time; assertions: (dive, field, source, value, is_selected), by field and source; profiles: (dive,
+    blob). Each relation is gathered by its dive before it is joined, so none multiplies another. What a dive lacks is an
+    empty list, a null site or a null profile; of several sites under one id, or profiles of one dive, the least counts.
+    """
+    known = sites.groupBy("site_id").agg(F.min(F.struct("name", "lat", "lon")).alias("site"))
+    one = profiles.groupBy("dive").agg(F.min("blob").alias("profile"))
+    rows = dives.join(known, "site_id", "left").join(one, "dive", "left")
+    rows = detailed(rows, "dive", {"tags": (tags, "label"), "buddies": (buddies.withColumnRenamed("name", "buddy"), "buddy")})
+    rows = nested(rows, "dive", "sources", sources, ["recorded_at", "source"], ["source", "kind", "recorded_at"])
+    return nested(rows, "dive", "provenance", assertions, ["field", "source"], ["field", "source", "value", "is_selected"])
+
+
+def export_plan(dives: DataFrame, owner: str, who: object, channel: str = "depthM", **relations_of: DataFrame) -> DataFrame:
+    """whole_dives() of one owner's live dives (owner, deleted_at), in order of universal time (start_utc), with the profile's
+    samples of a channel: null where there is no blob or it cannot be read, which costs a dive its profile and nothing else."""
+    mine = dives.where((F.col(owner) == F.lit(who)) & F.col("deleted_at").isNull())
+    return whole_dives(mine, **relations_of).withColumn("samples", decode(F.col("profile"), channel)).orderBy("start_utc", "dive")
+
+
 def with_first_gas(records: DataFrame, assertions: DataFrame) -> DataFrame:
     """Candidates for matching: records (record, ...) with the value of their selected `gases` assertion and all source ids.
 

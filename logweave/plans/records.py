@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions import display
-from logweave.operators import filters, lists, merging, reverts, state
+from logweave.functions import display, series
+from logweave.operators import filters, lists, merging, relations, reverts, state
 from logweave.plans.registry import query
 from logweave.sources import exports, files
 from logweave.sources.shared import folder
@@ -156,3 +156,47 @@ def list_page_totals(spark: SparkSession, d: str) -> DataFrame:
     """What the page of a site or trip says of its dives: the deepest known one, and the bottom time, unknown ones as none."""
     dives = read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_partkey") % 4 != 0, F.col("l_quantity")).alias("depth"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_linenumber") * 60).alias("seconds"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
     return lists.page_totals(dives, "l_suppkey", "depth", "seconds", "day")
+
+
+def _whole(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Orders as dives with lines as tags, buddies, sources and assertions."""
+    line, k = read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "dive"), F.col("o_orderkey")
+    source = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"))
+    dives = read(spark, d, "orders").select(k.alias("dive"), F.col("o_custkey").alias("owner"), (k % 50).alias("site_id"), F.col("o_orderdate").alias("start_utc"), F.when(k % 9 == 0, F.col("o_orderdate")).alias("deleted_at"))
+    blob = series.encode({"depthM": F.array((k % 20).cast("double"), F.lit(1.5))})
+    return dives, {
+        "sites": read(spark, d, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("site_id"), F.col("s_name").alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")),
+        "tags": line.where("l_partkey % 3 = 0").select("dive", F.col("l_returnflag").alias("label")),
+        "buddies": line.where("l_partkey % 5 = 0").select("dive", F.col("l_linestatus").alias("name")),
+        "sources": line.select("dive", source.alias("source"), F.lit("csv").alias("kind"), F.col("l_shipdate").alias("recorded_at")),
+        "assertions": line.select("dive", F.lit("maxDepthM").alias("field"), source.alias("source"), F.col("l_quantity").cast("string").alias("value"), (F.col("l_linenumber") == 1).alias("is_selected")),
+        # some blobs cannot be read, some dives have none
+        "profiles": read(spark, d, "orders").where(k % 4 != 0).select(k.alias("dive"), F.when(k % 4 == 1, F.lit("broken").cast("binary")).otherwise(blob).alias("blob")),
+    }
+
+
+WHOLE = """
+l AS (SELECT l_orderkey AS dive, 'line ' || l_linenumber::VARCHAR || '/' || l_partkey::VARCHAR AS source, * FROM lineitem),
+g AS (SELECT dive, coalesce(string_agg(l_returnflag, ',' ORDER BY l_returnflag) FILTER (l_partkey % 3 = 0), '') AS tags, coalesce(string_agg(l_linestatus, ',' ORDER BY l_linestatus) FILTER (l_partkey % 5 = 0), '') AS buddies,
+  string_agg(source, ',' ORDER BY l_shipdate, source) AS sources, string_agg(source || '=' || l_quantity::DOUBLE::VARCHAR || CASE WHEN l_linenumber = 1 THEN '!' ELSE '' END, ',' ORDER BY source, l_quantity::DOUBLE::VARCHAR, l_linenumber = 1) AS provenance FROM l GROUP BY dive)"""
+
+
+@query(f"""
+WITH {WHOLE}
+SELECT o_orderkey AS dive, s_name AS site, coalesce(tags, '') AS tags, coalesce(buddies, '') AS buddies, coalesce(sources, '') AS sources, coalesce(provenance, '') AS provenance FROM orders LEFT JOIN g ON dive = o_orderkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 50 AND s_suppkey < 40""")
+def relate_whole_dives(spark: SparkSession, d: str) -> DataFrame:
+    dives, parts = _whole(spark, d)
+    got = relations.whole_dives(dives, **parts)
+    line = lambda c, say: F.array_join(F.transform(c, say), ",")
+    said = line("provenance", lambda p: F.concat(p["source"], F.lit("="), p["value"], F.when(p["is_selected"], "!").otherwise("")))
+    return got.select("dive", F.col("site.name").alias("site"), F.array_join("tags", ",").alias("tags"), F.array_join("buddies", ",").alias("buddies"), line("sources", lambda s: s["source"]).alias("sources"), said.alias("provenance"))
+
+
+@query(f"""
+WITH {WHOLE}
+SELECT o_orderkey AS dive, coalesce(tags, '') AS tags, CASE WHEN o_orderkey % 4 > 1 THEN (o_orderkey % 20)::DOUBLE + 1.5 END AS depths FROM orders LEFT JOIN g ON dive = o_orderkey WHERE o_custkey = 7 AND o_orderkey % 9 <> 0""")
+def export_plan(spark: SparkSession, d: str) -> DataFrame:
+    """One owner's live dives for an export; damaged and missing profiles cost only themselves."""
+    dives, parts = _whole(spark, d)
+    got = relations.export_plan(dives, "owner", 7, **parts)
+    return got.select("dive", F.array_join("tags", ",").alias("tags"), F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v).alias("depths"))

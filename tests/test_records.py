@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import display
-from logweave.operators import filters, lists, merging, reverts, sheets, state
+from logweave.operators import filters, lists, merging, relations, reverts, sheets, state
 from logweave.sources import exports, files
 
 AT = datetime(2024, 5, 1, 10)
@@ -107,3 +107,22 @@ def test_ranks_by_the_fixed_preferences(spark):
             origin = merging.ORIGINS.get(r.k, "file_import")
             first = class_of(r.f) == "configured" and origin == "instrument" and (sensed or r.f in merging.SENSED.get(r.k, []))
             assert r["rank"] == (-1 if first else merging.PREFERENCES[class_of(r.f)].index(origin)), (r, sensed)
+
+
+def test_whole_dives_lack_what_they_lack(spark):
+    dives = spark.createDataFrame([(1, "me", 5, AT, None), (2, "me", 6, AT - timedelta(days=1), None), (3, "me", None, AT, AT), (4, "you", 5, AT, None)], "dive int, owner string, site_id int, start_utc timestamp, deleted_at timestamp")
+    good = bytes.fromhex("4D444C31" + "01" + "02" + "02" + "8008" + "01")
+    parts = {
+        "sites": spark.createDataFrame([(5, "B", 1.0, 2.0), (5, "A", None, None)], "site_id int, name string, lat double, lon double"),
+        "tags": spark.createDataFrame([(1, "z"), (1, "a"), (1, None), (9, "x")], "dive int, label string"),
+        "buddies": spark.createDataFrame([], "dive int, name string"),
+        "sources": spark.createDataFrame([(1, "s2", "csv", AT), (1, "s1", "uddf", AT + timedelta(days=1)), (1, "s0", "csv", None)], "dive int, source string, kind string, recorded_at timestamp"),
+        "assertions": spark.createDataFrame([(1, "notes", "s2", "n", True), (1, "depth", "s2", "2", False), (1, "depth", "s1", "1", True)], "dive int, field string, source string, value string, is_selected boolean"),
+        "profiles": spark.createDataFrame([(1, good), (2, b"bad")], "dive int, blob binary"),
+    }
+    got = relations.export_plan(dives, "owner", "me", **parts).collect()
+    assert [r.dive for r in got] == [2, 1]
+    two, one = got
+    assert (two.site, two.tags, two.buddies, two.sources, two.provenance, two.samples) == (None, [], [], [], [], None) and bytes(two.profile) == b"bad"
+    assert (one.site["name"], one.tags, [s.source for s in one.sources], [(p.field, p.source, p.value) for p in one.provenance], one.samples) == ("A", ["a", "z"], ["s0", "s2", "s1"], [("depth", "s1", "1"), ("depth", "s2", "2"), ("notes", "s2", "n")], [0.512, 0.511])
+    assert relations.whole_dives(dives.limit(0), **parts).count() == 0
