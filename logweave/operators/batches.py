@@ -66,7 +66,7 @@ def _sides(observed: DataFrame, records: DataFrame) -> DataFrame:
     full = lambda df: df.withColumns({c: F.lit(None).cast(kind) for c, kind in (("at", "timestamp"), ("depth", "double"), ("seconds", "double")) if c not in df.columns})
     o = full(there(observed)).withColumnRenamed("row", "id")
     r = full(there(records)).withColumnRenamed("record", "id")
-    return linking.scored(linking.candidates(o, r))
+    return linking.scored(linking.candidates(o, r), sentences=False)
 
 
 def run(batches: list[tuple[str, DataFrame]], fields: dict[str, str] = PATHS) -> History:

@@ -53,9 +53,9 @@ def candidates(observed: DataFrame, records: DataFrame, window_s: int = WINDOW_S
     return pairs.withColumn("apart_s", apart).where(F.col("apart_s") <= window_s).drop("bucket")
 
 
-def scored(pairs: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame, sentences: bool = True) -> DataFrame:
     """Adds the score, a sum of weights for time, depth, duration, site and gas, at most 1, and the reasons for it: an array
-    of (signal, weight, detail), detail being a sentence with the measured difference.
+    of (signal, weight, detail), detail being a sentence with the measured difference, or null without `sentences`.
 
     A record that has the observation's source id scores 1 for that alone. What either side lacks adds nothing; two places
     are compared by their distance, and by the sites' names only where a place is absent or no valid one.
@@ -64,7 +64,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     by_utc = (F.col("basis") == "utc") if has("utc") else F.lit(False)
     day = lambda side: F.to_date(F.when(by_utc, F.col(f"{side}_utc")).otherwise(F.col(f"{side}_at")) if has("utc") else F.col(f"{side}_at"))
     same_day, clock, minutes = day("obs") == day("rec"), F.when(by_utc, "UTC").otherwise("local time"), F.col("apart_s") / 60
-    reason = lambda hit, signal, weight, *said: F.when(hit, F.struct(F.lit(signal).alias("signal"), F.lit(weight).alias("weight"), F.format_string(*said).alias("detail")))
+    reason = lambda hit, signal, weight, *said: F.when(hit, F.struct(F.lit(signal).alias("signal"), F.lit(weight).alias("weight"), (F.format_string(*said) if sentences else F.lit(None).cast("string")).alias("detail")))
     close, loose = minutes <= 5, (minutes <= 90) & same_day
     time = F.coalesce(
         reason(close, "startTime", 0.45, "Start times are within %.0f min (%s).", minutes, clock),

@@ -46,8 +46,8 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return observed.drop("event_type", "source_refs"), records.drop("event_type", "source_ref", "suspect")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return linking.scored(linking.candidates(*_sides(spark, d)))
+def _pairs(spark: SparkSession, d: str, sentences: bool = False) -> DataFrame:
+    return linking.scored(linking.candidates(*_sides(spark, d)), sentences)
 
 
 METRES = "2 * 6371008.8::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(r.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - o.lon) / 2), 2))))"
@@ -79,7 +79,7 @@ def link_scores(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN place THEN CASE WHEN placed THEN printf('Sites are %d m apart. (0.15)', floor(m + 0.5)::BIGINT) ELSE 'Site names match (' || os || ' / ' || rs || '). (0.15)' END END,
   CASE WHEN gas THEN printf('Oxygen fractions agree within %s (%.0f%% and %.0f%%). (0.05)', CASE WHEN abs(og - rg) * 100 < 0.05 THEN 'rounding' ELSE '1%' END, og * 100, rg * 100) END) END AS reasons FROM s""")
 def link_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("owner", "obs_id", "rec_id", linking.reason_text(F.col("reasons")).alias("reasons"))
+    return _pairs(spark, d, True).select("owner", "obs_id", "rec_id", linking.reason_text(F.col("reasons")).alias("reasons"))
 
 
 @query(f"WITH {PAIRS}, {DECIDED} SELECT owner, obs_id, rec_id, round(score, 4) AS score, CASE WHEN merged THEN 'merge' ELSE 'ambiguous' END AS decision FROM f")
@@ -92,7 +92,7 @@ SELECT e.owner AS owner, e.id AS obs_id, rec_id, round(score, 4) AS score, CASE
 FROM e LEFT JOIN f ON f.owner = e.owner AND f.obs_id = e.id WHERE e.event_type = 'purchase'""")
 def link_outcomes(spark: SparkSession, d: str) -> DataFrame:
     observed, records = _sides(spark, d)
-    return linking.outcomes(observed, linking.decide(linking.scored(linking.candidates(observed, records))))
+    return linking.outcomes(observed, linking.decide(linking.scored(linking.candidates(observed, records), sentences=False)))
 
 
 @query(f"""
