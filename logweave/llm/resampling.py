@@ -29,20 +29,47 @@ _SMALL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 COUNTED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("features", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
+#: Bytes of one text whose words are held at a time.
+CHUNK = 4 << 20
+
+
+def word_lists(text: str, size: int = 0) -> Iterator[list[bytes]]:
+    """The words of a text in lists, each of those that begin in some `size` bytes; a longer word makes its list longer."""
+    small, size, start = text.encode().translate(_SMALL), size or CHUNK, 0
+    while start < len(small):
+        end = small.find(b" ", start + size)
+        end = len(small) if end < 0 else end
+        yield small[start:end].split()
+        start = end
+
+
+def feature_counts(text: str, ngram: int, size: int = 0) -> tuple[int, Counter]:
+    """How many words a text has, and how often each run of up to `ngram` of them."""
+    n, seen, last = 0, Counter(), []
+    for own in word_lists(text, size):
+        n += len(own)
+        seen.update(own)
+        # runs that began in the list before end in this one
+        joined = last + own
+        for k in range(2, ngram + 1):
+            begin = max(0, len(last) - k + 1)
+            seen.update(b" ".join(joined[i : i + k]) for i in range(begin, len(joined) - k + 1))
+        last = joined[len(joined) - ngram + 1 :] if 1 < ngram <= len(joined) else joined if ngram > 1 else []
+    return n, seen
+
+
 def count_features(batches: Iterator[pa.RecordBatch], ngram: int) -> Iterator[pa.RecordBatch]:
     """(row, doc_id, n_words, n_features, features, counts): each text's distinct features and how often it has them."""
     for batch in batches:
         for part in slices(batch):
-            words = [t.encode().translate(_SMALL).split() for t in part.column("text").to_pylist()]
-            names, counts = [], []
-            for own in words:
-                seen = Counter(own)
-                for k in range(2, ngram + 1):
-                    seen.update(b" ".join(own[i : i + k]) for i in range(len(own) - k + 1))
+            sizes, names, counts = [], [], []
+            for text in part.column("text").to_pylist():
+                n, seen = feature_counts(text, ngram)
+                sizes.append(n)
                 names.append([x.decode() for x in seen])
                 counts.append(list(seen.values()))
-            sizes = [len(x) for x in words], [sum(c) for c in counts]
-            yield pa.record_batch([part.column("row"), part.column("doc_id"), *map(pa.array, sizes), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], schema=COUNTED)
+            totals = [sum(c) for c in counts]
+            yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], schema=COUNTED)
 
 
 def counted(rows: DataFrame, ngram: int = NGRAM) -> DataFrame:

@@ -61,3 +61,14 @@ def test_without_a_target_or_documents(spark, rows):
     assert sorted(map(tuple, got), key=repr) == brute(rows[:30], [], 1, 10, 20, 2024, 10_000)
     docs, target = frames(spark, [(1, "a")], ["a b"])
     assert resampling.resample(docs.limit(0), target).collect() == []
+
+
+@pytest.mark.parametrize("ngram", [1, 2, 3, 5])
+def test_words_across_chunks(ngram):
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "B", " ", ",", "é", "日", "long" * 9]) for _ in range(rng.randint(0, 80)))
+        for size in (1, 2, 7, 30, 1000):
+            n, seen = resampling.feature_counts(text, ngram, size)
+            want, names = features(text, ngram)
+            assert (n, {k.decode(): v for k, v in seen.items()}) == (want, dict(Counter(names))), (text, size)
