@@ -14,6 +14,8 @@ candidates from bands of least shingle hashes, joined by equality, and verifies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,13 @@ BROADCAST_KEYS = 500_000
 BLOCK = 1 << 16
 #: Bands and least hashes in each: of pairs of similarity 0.8, all but 5 in 100 million share a band.
 BANDS, ROWS = 32, 4
-#: Classes of hashes, a power of two, by which common shingles are counted.
-CLASSES = 128
+#: Classes of hashes, powers of two, by which common shingles are counted: few while pairs are made, many for those made.
+COARSE, CLASSES = 8, 128
 #: Sets of undecided buckets that have a shingle in common for it to be a rare one, by which all of them are compared.
 RARE = 16
 #: Text bytes whose shingles a task holds at a time.
 SLICE = 1 << 20
+_COARSE = [f"c{c}" for c in range(COARSE)]
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -232,8 +235,9 @@ def rare_shingles(sets: DataFrame, rare: int = RARE) -> DataFrame:
 
 
 def common_classes(sets: DataFrame, rare: DataFrame) -> DataFrame:
-    """(id, classes) of sets (id, hashes): how many of each one's shingles that are not in rare (id, h) are in each of CLASSES
-    classes of hashes. Two sets share no more common shingles than the lesser counts of all classes come to."""
+    """(id, classes, coarse ones) of sets (id, hashes): how many of each one's shingles that are not in rare (id, h) are in each
+    of CLASSES classes of hashes, and of COARSE. Two sets share no more common shingles than the lesser counts of all classes
+    come to."""
 
     def counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hashes of rows of these sizes, one row after the other, counted by row and class."""
@@ -247,10 +251,12 @@ def common_classes(sets: DataFrame, rare: DataFrame) -> DataFrame:
                 few = batch.column(2).fill_null([])
                 common = counts(np.frombuffer(data[: at[-1]].tobytes(), np.int64), np.diff(at) // 8) - counts(few.flatten().to_numpy(), few.value_lengths().to_numpy())
                 ends = np.arange(0, len(common) + 1, CLASSES, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(common, pa.int32()))], ["id", "classes"])
+                coarse = common.reshape(batch.num_rows, -1, COARSE).sum(1)
+                columns = [pa.array(coarse[:, c], pa.int32()) for c in range(COARSE)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(common, pa.int32())), *columns], ["id", "classes", *_COARSE])
 
     own = rare.groupBy("id").agg(F.collect_list("h").alias("few"))
-    return sets.join(own, "id", "left").select("id", "hashes", "few").mapInArrow(run, "id long, classes array<int>")
+    return sets.join(own, "id", "left").select("id", "hashes", "few").mapInArrow(run, "id long, classes array<int>, " + ", ".join(f"{c} int" for c in _COARSE))
 
 
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
@@ -284,14 +290,15 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     rare = rare_shingles(sets)
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
     common = cut(nodes.join(common_classes(sets, rare), "id").withColumn("s", total("classes")))
-    x = rare.join(common.drop("classes"), "id")
+    x = rare.join(common.drop("classes", *_COARSE), "id")
     y = x.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     shared = x.join(y, "h").where("id < other and root != other_root").select("id", "n", "other", "m")
     # a set whose common shingles are too few for itself is like none of the others
     inner = mixed.select("band", "id", "main").join(common.drop("classes").where(F.col("s") >= least * F.col("n") - 1e-9), "id")
-    outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"))
+    outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"), *[F.col(c).alias(f"o{c}") for c in _COARSE])
     reach = lambda most: most >= least * (F.col("n") + F.col("m") - most) - 1e-9
-    without = ordered(inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(reach(F.least("s", "t"))).select("id", "n", "other", "m"))
+    by_coarse = reduce(add, [F.least(c, f"o{c}") for c in _COARSE])
+    without = ordered(inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(reach(F.least("s", "t")) & reach(by_coarse)).select("id", "n", "other", "m"))
     # the classes are looked at once a pair, and not once for each band that a pair shares
     side = lambda a, n, c: common.select(F.col("id").alias(a), F.col("n").alias(n), F.col("classes").alias(c))
     by_class = total(F.zip_with("classes", "other_classes", lambda a, b: F.least(a, b)))
