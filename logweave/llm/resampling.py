@@ -3,8 +3,8 @@
 Features are runs of consecutive words. Each document's distinct features are counted once and written; the dictionary
 sums them over all texts, so that each distinct string is hashed to its bucket once. Buckets of corpus and target give
 gains, and these come back to the documents' feature counts by an equality join on the string. Strings that are found in
-more than one in HEAVY of all (document, feature) rows are at most HEAVY by that count: they are broadcast, so no key of
-the shuffled join holds more than that share. Gains and the noise of one hash are integers within some 130,000 of zero, so a
+more than one in HEAVY of all (document, feature) rows are at most HEAVY by that count: they are broadcast where they have
+LONGEST characters at the most, so no other key of the shuffled join holds more than that share. Gains and the noise of one hash are integers within some 130,000 of zero, so a
 table of rows by score is bounded, and its running sum places every score in the global order without a global sort.
 """
 
@@ -22,8 +22,9 @@ from logweave.llm.common import cut, slices, texts
 BUCKETS = 10_000
 #: Longest run of words that is a feature, words a document needs to be drawn, share drawn in percent, and the noise's seed.
 NGRAM, LEAST_WORDS, PERCENT, SEED = 1, 20, 10, 2024
-#: Strings with more than this part of all (document, feature) rows are broadcast: at most so many.
-HEAVY = 8192
+#: Strings with more than this part of all (document, feature) rows are broadcast: at most so many, and none of more
+#: characters than LONGEST, so at most some 20 MB. Longer ones that many documents have are left to the skew of the join.
+HEAVY, LONGEST = 65_536, 64
 
 _SMALL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 COUNTED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("features", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -108,7 +109,8 @@ def weights(corpus: DataFrame, words: DataFrame, gains: DataFrame, heavy: int =
     """(row, doc_id, n_words, n_features, weight): the floored mean gain of each text's features, 0 without any."""
     gain_of = words.where("n > 0").join(F.broadcast(gains), "bucket").select("feature", "gain", "n")
     least = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // heavy
-    common, rare = gain_of.where(F.col("n") > least).drop("n"), gain_of.where(F.col("n") <= least).drop("n")
+    often = (F.col("n") > least) & (F.length("feature") <= LONGEST)
+    common, rare = gain_of.where(often).drop("n"), gain_of.where(~often).drop("n")
     each = each_feature(corpus, "row")
     part = lambda df: df.groupBy("row").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
     near = part(each.join(F.broadcast(common), "feature"))
