@@ -4,8 +4,9 @@ Features are runs of consecutive words. Each document's distinct features are co
 sums them over all texts, so that each distinct string is hashed to its bucket once. Buckets of corpus and target give
 gains, and these come back to the documents' feature counts by an equality join on the string. Strings that are found in
 more than one in HEAVY of all (document, feature) rows are at most HEAVY by that count: they are broadcast where they have
-LONGEST characters at the most, so no other key of the shuffled join holds more than that share. Gains and the noise of one hash are integers within some 130,000 of zero, so a
-table of rows by score is bounded, and its running sum places every score in the global order without a global sort.
+LONGEST characters at the most, so no other key of the shuffled join holds more than that share. Gains and the noise of one
+hash are integers within some 130,000 of zero, so a table of rows by score is bounded, and its running sum places every
+score in the global order without a global sort.
 """
 
 from __future__ import annotations
