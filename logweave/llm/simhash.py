@@ -289,16 +289,20 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     sets = sets_of(classes.join(nodes.select("id"), "id").select("id", "key"), docs, k)
     rare = rare_shingles(sets)
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, v: acc + v)
-    common = cut(nodes.join(common_classes(sets, rare), "id").withColumn("s", total("classes")))
-    x = rare.join(common.drop("classes", *_COARSE), "id")
+    # at most BANDS for each id
+    shared_bands = mixed.groupBy("id").agg(F.collect_list("band").alias("bands"))
+    common = cut(nodes.join(common_classes(sets, rare), "id").join(shared_bands, "id").withColumn("s", total("classes")))
+    x = rare.join(common.drop("classes", "bands", *_COARSE), "id")
     y = x.select("h", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
     shared = x.join(y, "h").where("id < other and root != other_root").select("id", "n", "other", "m")
     # a set whose common shingles are too few for itself is like none of the others
     inner = mixed.select("band", "id", "main").join(common.drop("classes").where(F.col("s") >= least * F.col("n") - 1e-9), "id")
-    outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"), *[F.col(c).alias(f"o{c}") for c in _COARSE])
+    outer = inner.where("root != main").select("band", F.col("id").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("s").alias("t"), F.col("bands").alias("other_bands"), *[F.col(c).alias(f"o{c}") for c in _COARSE])
     reach = lambda most: most >= least * (F.col("n") + F.col("m") - most) - 1e-9
+    # a pair is made once, in the first of the bands that both are in, and from its lesser id where either could be first
+    once = ((F.col("root") == F.col("main")) | (F.col("id") < F.col("other"))) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band"))
     by_coarse = reduce(add, [F.least(c, f"o{c}") for c in _COARSE])
-    without = ordered(inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(reach(F.least("s", "t")) & reach(by_coarse)).select("id", "n", "other", "m"))
+    without = ordered(inner.join(outer, "band").where(F.col("root") != F.col("other_root")).where(reach(F.least("s", "t")) & reach(by_coarse) & once).select("id", "n", "other", "m"))
     # the classes are looked at once a pair, and not once for each band that a pair shares
     side = lambda a, n, c: common.select(F.col("id").alias(a), F.col("n").alias(n), F.col("classes").alias(c))
     by_class = total(F.zip_with("classes", "other_classes", lambda a, b: F.least(a, b)))
