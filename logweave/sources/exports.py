@@ -185,7 +185,9 @@ def write_documents(lines: DataFrame, path: str) -> None:
 
     Lines are sorted by Spark, on disk if need be, and written one by one: no document is held in memory.
     """
-    one_file = lines.repartition("owner").sortWithinPartitions("owner", "section", "place")
+    # dealt by a hash of their own: lines whose parts were dealt by owner already are not dealt by it again, and what such parts
+    # are combined to while running can have an owner in several tasks
+    one_file = lines.repartition(F.xxhash64("owner")).sortWithinPartitions("owner", "section", "place")
     one_file.select("owner", "line").write.partitionBy("owner").option("maxRecordsPerFile", 0).text(path)
 
 

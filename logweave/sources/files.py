@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.text import once
 from logweave.operators import running
+from logweave.sources.pieces import JsonScanner, elements
 from logweave.sources.shared import written
 
 DELIMITERS = [",", "\t", ";", "|"]
@@ -125,17 +126,22 @@ def read_json_logbooks(spark: SparkSession, path: str, form: str) -> tuple[DataF
     """(files, dives) of JSON logbooks, each one document: files (file, code), dives (file, at, source_ref, dive).
 
     Codes: unparseable_json, not_logbook (another format, or none); null for a sound file, also one without dives. A dive's
-    own id is its source_ref, else the first id that one of its sources has. Spark passes over files of no bytes.
+    own id is its source_ref, else the first id that one of its sources has. Spark passes over files of no bytes. A file is
+    gone through dive by dive and never held.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    doc = F.from_json("value", f"format string, dives array<{JSON_DIVE}>, _damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})
-    parsed = raw.select("file", F.try_parse_json("value").isNotNull().alias("sound"), doc.alias("doc"))
-    code = F.when(~F.col("sound"), "unparseable_json").when(~F.col("doc.format").eqNullSafe(F.lit(form)), "not_logbook")
-    held = written(parsed.select("file", code.alias("code"), F.when(code.isNull(), F.col("doc.dives")).alias("dives")))
-    dives = held.select("file", F.posexplode("dives").alias("at", "dive")).where("dive is not null")
+    found = written(elements(spark, path, "}", lambda: JsonScanner("dives")))
+    text = F.col("text")
+    # of what is left of a document without its dives, and of each dive by itself
+    rest = found.where("kind = 'file'").select("file", F.try_parse_json(text).isNotNull().alias("sound"), F.from_json(text, "format string")["format"].alias("format"))
+    entries = found.where("kind = 'entry'")
+    broken = entries.where(F.try_parse_json(text).isNull()).select("file").distinct().withColumn("broken", F.lit(True))
+    code = F.when(~F.col("sound") | F.col("broken").isNotNull(), "unparseable_json").when(~F.col("format").eqNullSafe(F.lit(form)), "not_logbook")
+    held = written(rest.join(broken, "file", "left").select("file", code.alias("code")))
+    dives = entries.where(F.startswith(text, F.lit("{"))).join(held.where("code is null").select("file"), "file", "left_semi")
+    dives = dives.select("file", F.col("at").cast("int").alias("at"), F.from_json(text, JSON_DIVE).alias("dive"))
     refs = F.transform("dive.sources", lambda s: s["sourceRef"])
     first = F.get(F.filter(refs, lambda r: r.isNotNull()), F.lit(0))
-    return held.select("file", "code"), dives.select("file", "at", F.coalesce("dive.ref", first).alias("source_ref"), "dive")
+    return held, dives.select("file", "at", F.coalesce("dive.ref", first).alias("source_ref"), "dive")
 
 
 def first_uploads(files: DataFrame, most: int = running.MOST) -> DataFrame:
