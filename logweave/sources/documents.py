@@ -1,8 +1,8 @@
 """Whole logbook documents in XML: sites, gas mixes, tanks and dives of one file, which refer to one another by its own ids.
 
-A file is one row, parsed once with all its parts, so that what a dive refers to is looked up inside its own row: ids mean
-something within their file only, and no two files can meet by an id. Tanks stand anywhere in the tree; they are read by
-their tag, at any depth.
+A file is gone through once, element by element; sites, mixes, tanks and dives are rows of their own, each parsed by itself,
+and what a dive refers to is joined to it by file and id: ids mean something within their file only. Tanks stand anywhere in
+the tree; they are read by their tag, at any depth.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from logweave.functions.parsing import wall_clock
 from logweave.functions.text import clean_number, once
 from logweave.operators.sheets import ISSUES, checked, issue, no_sentinel, opaque_name
 from logweave.sources.files import waypoints_series
+from logweave.sources.pieces import XmlScanner, elements
 from logweave.sources.shared import written
 
 _LINK = "link:array<struct<_ref:string>>"
@@ -26,8 +27,10 @@ _POINT = "struct<divetime:string,depth:string,temperature:string,switchmix:array
 _BEFORE = f"struct<{_LINK},datetime:string>"
 _AFTER = "struct<greatestdepth:string,averagedepth:string,diveduration:string,lowesttemperature:string,equipmentused:struct<leadquantity:string>>"
 _DIVE = f"struct<_id:string,informationbeforedive:{_BEFORE},tankdata:array<struct<{_LINK}>>,samples:struct<waypoint:array<{_POINT}>>,informationafterdive:{_AFTER}>"
-#: All values are text: what a file wrote is told from what it did not, and numbers are cleaned here.
-DOCUMENT = f"divesite struct<site:array<{_SITE}>>, gasdefinitions struct<mix:array<{_MIX}>>, profiledata struct<repetitiongroup:array<struct<dive:array<{_DIVE}>>>>, _damaged string"
+_TANK = f"struct<_id:string,{_LINK}>"
+#: The elements of a document that are parsed, by their path. All values are text: what a file wrote is told from what it did
+#: not, and numbers are cleaned here.
+PATHS = {"uddf/divesite/site": "site", "uddf/gasdefinitions/mix": "mix", "uddf/profiledata/repetitiongroup/dive": "dive"}
 
 
 class Documents(NamedTuple):
@@ -44,47 +47,38 @@ def _text(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def _last_of_each(entries: Column, key: str) -> Column:
-    """A map of entries by their key, the last one of equal keys; entries without a key or null are left out."""
-    last = lambda known, k: F.element_at(F.filter(known, lambda e: e[key] == k), -1)
-    keyed = lambda known: once(F.array_distinct(F.transform(known, lambda e: e[key])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: last(known, k))))
-    return once(F.filter(entries, lambda e: e[key].isNotNull()), keyed)
-
-
 def _list(c: Column, kind: str) -> Column:
     return F.coalesce(c, F.array().cast(f"array<{kind}>"))
 
 
-def _sites(doc: Column) -> Column:
-    """Sites by id: opaque names are none, altitudes out of range neither."""
-    height = lambda s: clean_number(s["geography"]["altitude"])
-    one = lambda s: F.struct(
+def _site(s: Column) -> list[Column]:
+    """Columns of a site: opaque names are none, altitudes out of range neither."""
+    height = clean_number(s["geography"]["altitude"])
+    return [
         _text(s["_id"]).alias("id"),
         opaque_name(_text(s["name"]), _text(s["_id"])).alias("name"),
         clean_number(s["geography"]["latitude"]).alias("lat"),
         clean_number(s["geography"]["longitude"]).alias("lon"),
-        F.when(height(s).between(-50, 6000), height(s)).alias("altitude_m"),
-    )
-    return _last_of_each(F.transform(_list(doc["divesite"]["site"], _SITE), one), "id")
+        F.when(height.between(-50, 6000), height).alias("altitude_m"),
+    ]
 
 
-def _mixes(doc: Column) -> Column:
-    """Mixes by id, those without an oxygen share left out; helium of 0 is none."""
-    he = lambda m: clean_number(m["he"])
-    one = lambda m: F.struct(F.when(clean_number(m["o2"]).isNotNull(), _text(m["_id"])).alias("id"), clean_number(m["o2"]).alias("o2"), F.when(he(m) != 0, he(m)).alias("he"), _text(m["name"]).alias("label"))
-    return _last_of_each(F.transform(_list(doc["gasdefinitions"]["mix"], _MIX), one), "id")
+def _mix(m: Column) -> list[Column]:
+    """Columns of a mix, without an id for one that has no oxygen share; helium of 0 is none."""
+    o2, he = clean_number(m["o2"]), clean_number(m["he"])
+    return [F.when(o2.isNotNull(), _text(m["_id"])).alias("id"), o2.alias("o2"), F.when(he != 0, he).alias("he"), _text(m["name"]).alias("label")]
 
 
 def _first_ref(links: Column) -> Column:
     return _text(F.get(links, 0)["_ref"])
 
 
-def _gas_refs(dive: Column, tanks: Column) -> Column:
-    """Ids of the mixes that a dive's tanks hold and its waypoints switch to, in this order, each once."""
-    own = F.transform(_list(dive["tankdata"], f"struct<{_LINK}>"), lambda t: _first_ref(t["link"]))
-    filled = F.transform(own, lambda ref: F.coalesce(F.element_at(tanks, ref), ref))
-    switched = F.transform(_list(dive["samples"]["waypoint"], _POINT), lambda p: _first_ref(p["switchmix"]))
-    return F.array_distinct(F.array_compact(F.concat(filled, switched)))
+def _gas_refs(dive: Column) -> Column:
+    """What a dive's tanks link to or are filled with (tank), and its waypoints switch to, in this order, each once."""
+    ref = lambda tank: lambda links: F.struct(F.lit(tank).alias("tank"), _first_ref(links).alias("ref"))
+    own = F.transform(_list(dive["tankdata"], f"struct<{_LINK}>"), lambda t: ref(True)(t["link"]))
+    switched = F.transform(_list(dive["samples"]["waypoint"], _POINT), lambda p: ref(False)(p["switchmix"]))
+    return F.array_distinct(F.filter(F.concat(own, switched), lambda r: r["ref"].isNotNull()))
 
 
 def _series(dive: Column) -> Column:
@@ -93,11 +87,18 @@ def _series(dive: Column) -> Column:
     return once(waypoints_series(points), lambda s: F.when(F.size(s["time_s"]) > 0, s))
 
 
-def read_tanks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, mix): tanks with an id and a link to a mix, wherever in the tree they stand; the last one of an id."""
-    rows = spark.read.option("rowTag", "tankdata").option("recursiveFileLookup", True).schema("_id string, link array<struct<_ref:string>>").xml(path)
-    found = rows.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), _text(F.col("_id")).alias("id"), _first_ref(F.col("link")).alias("mix"))
-    return found.where("id is not null and mix is not null").groupBy("file", "id").agg(F.max_by("mix", "place").alias("mix"))
+def _referred(dives: DataFrame, sites: DataFrame, mixes: DataFrame, tanks: DataFrame) -> DataFrame:
+    """(file, at, site, gases) of dives (file, at, links, refs) that have any: the first site that a link names, and the mixes that
+    tanks hold, by way of their own links, and waypoints switch to; ids that name nothing are dropped."""
+    whole = lambda df, name: df.select("file", F.col("id").alias("ref"), F.struct("id", *df.columns[2:]).alias(name))
+    named = dives.select("file", "at", F.posexplode("links").alias("pos", "ref")).join(whole(sites, "site"), ["file", "ref"])
+    held = dives.select("file", "at", F.posexplode("refs").alias("pos", "r")).select("file", "at", "pos", "r.tank", F.col("r.ref").alias("ref"))
+    filled = tanks.select("file", F.col("id").alias("ref"), "mix", F.lit(True).alias("tank"))
+    held = held.join(filled, ["file", "ref", "tank"], "left").select("file", "at", "pos", F.coalesce("mix", "ref").alias("ref")).join(whole(mixes, "mix"), ["file", "ref"])
+    both = named.select("file", "at", "pos", "site").unionByName(held.select("file", "at", "pos", "mix"), allowMissingColumns=True)
+    mix = F.when(F.col("mix").isNotNull(), F.struct("pos", "mix"))
+    found = both.groupBy("file", "at").agg(F.min_by("site", F.when(F.col("site").isNotNull(), F.col("pos"))).alias("site"), F.array_sort(F.collect_list(mix)).alias("gases"))
+    return found.withColumn("gases", F.array_distinct(F.transform("gases", lambda g: g["mix"])))
 
 
 def read_documents(spark: SparkSession, path: str) -> Documents:
@@ -105,44 +106,41 @@ def read_documents(spark: SparkSession, path: str) -> Documents:
 
     Codes of files: unparseable_xml (also a file that ends early), not_uddf (another root, or none), no_dives. A damaged file
     has no rows but in files. Ids that are missing or empty name nothing; of equal ids in a file the last one counts. Spark
-    passes over files of no bytes. A file is held as one row, as its parts are looked up in it: at most 2 GB, as Spark's text reader has it.
+    passes over files of no bytes. A file is gone through by one task, which holds one of its elements at a time.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged", "rowTag": "uddf"}
-    tanks = read_tanks(spark, path)
-    own = tanks.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("id", "mix"))).alias("tanks"))
-    doc = F.col("doc")
-    # comments, declarations and a mark of byte order may come before the root
-    root = F.regexp_extract(F.col("value"), r"^﻿?\s*(?:<\?[^>]*>\s*|<!--(?:[^-]|-(?!->))*+-->\s*)*+<([A-Za-z_][\w.:-]*+)", 1)
-    ends = F.col("value").rlike(r"(?:</uddf\s*>|/>)\s*(?:<!--[^>]*-->\s*)*$")
-    parsed = raw.select("file", root.alias("root"), ends.alias("ends"), F.from_xml("value", DOCUMENT, options).alias("doc"))
-    dives = F.flatten(F.transform(_list(doc["profiledata"]["repetitiongroup"], f"struct<dive:array<{_DIVE}>>"), lambda g: _list(g["dive"], _DIVE)))
-    damaged = doc["_damaged"].isNotNull() | doc.isNull() | (F.col("root") == "") | ((F.col("root") == "uddf") & ~F.col("ends"))
-    code = F.when(damaged, "unparseable_xml").when(F.col("root") != "uddf", "not_uddf").when(F.size(dives) == 0, "no_dives")
-    sound = F.coalesce(code == "no_dives", F.lit(True))
-    parts = parsed.withColumn("code", code).join(own, "file", "left").withColumn("tanks", F.coalesce("tanks", F.create_map().cast("map<string,string>")))
-    parts = parts.select("file", "code", "tanks", F.when(sound, _sites(doc)).alias("sites"), F.when(sound, _mixes(doc)).alias("mixes"), F.when(sound, dives).alias("dives"))
-
-    def one(d: Column, i: Column) -> Column:
-        before, after = d["informationbeforedive"], d["informationafterdive"]
-        refs = F.array_compact(F.transform(_list(before["link"], "struct<_ref:string>"), lambda x: F.element_at(F.col("sites"), _text(x["_ref"]))))
-        gases = F.array_compact(F.transform(_gas_refs(d, F.col("tanks")), lambda ref: F.element_at(F.col("mixes"), ref)))
-        return F.struct(
-            i.alias("at"), _text(d["_id"]).alias("source_ref"), _text(before["datetime"]).alias("written_time"), F.get(refs, 0).alias("site"), gases.alias("gases"),
-            clean_number(after["greatestdepth"]).alias("max_depth_m"), clean_number(after["averagedepth"]).alias("avg_depth_m"), clean_number(after["diveduration"]).alias("duration_s"),
-            units.kelvin_to_celsius(clean_number(after["lowesttemperature"])).alias("water_temp_c"), clean_number(after["equipmentused"]["leadquantity"]).alias("weight_kg"), _series(d).alias("series"),
-        )
-
-    # written once: five tables come from it, and files are parsed a single time
-    held = written(parts.withColumn("dives", F.transform("dives", one)))
-    entries = lambda c: held.select("file", F.explode(F.map_values(c)).alias("x")).select("file", "x.*")
-    return Documents(
-        held.select("file", "code"),
-        entries("sites"),
-        entries("mixes"),
-        tanks.join(held.where("code is null or code = 'no_dives'").select("file"), "file"),
-        held.select("file", F.explode("dives").alias("x")).select("file", "x.*"),
-    )
+    found = written(elements(spark, path, ">", lambda: XmlScanner(PATHS, ("tankdata",))))
+    root = F.col("text")
+    with_dives = found.where("kind = 'dive'").select("file").distinct().withColumn("dived", F.lit(True))
+    code = F.when(root.isNull(), "unparseable_xml").when(root != "uddf", "not_uddf").when(F.col("dived").isNull(), "no_dives")
+    files = written(found.where("kind = 'file'").join(with_dives, "file", "left").select("file", code.alias("code")))
+    sound = files.where("code is null or code = 'no_dives'").select("file")
+    parsed = lambda kind, schema: found.where(F.col("kind") == kind).join(sound, "file", "left_semi").select("file", "at", F.from_xml("text", schema, {"mode": "PERMISSIVE"}).alias("x"))
+    x = F.col("x")
+
+    def last(rows: DataFrame) -> DataFrame:
+        """(file, id, ...) of rows (file, at, id, ...), written small, so that joins know their size."""
+        rest = F.struct(*rows.columns[3:])
+        return written(rows.where("id is not null").groupBy("file", "id").agg(F.max_by(rest, "at").alias("v")).select("file", "id", "v.*"))
+
+    sites = last(parsed("site", _SITE).select("file", "at", *_site(x)))
+    mixes = last(parsed("mix", _MIX).select("file", "at", *_mix(x)))
+    tanks = last(parsed("tankdata", _TANK).select("file", "at", _text(x["_id"]).alias("id"), _first_ref(x["link"]).alias("mix")).where("mix is not null"))
+    before, after = x["informationbeforedive"], x["informationafterdive"]
+    # written once: what they refer to is found apart from them
+    dives = written(parsed("dive", _DIVE).select(
+        "file", F.col("at").cast("int").alias("at"), _text(x["_id"]).alias("source_ref"), _text(before["datetime"]).alias("written_time"),
+        F.transform(_list(before["link"], "struct<_ref:string>"), lambda l: _text(l["_ref"])).alias("links"), _gas_refs(x).alias("refs"),
+        clean_number(after["greatestdepth"]).alias("max_depth_m"), clean_number(after["averagedepth"]).alias("avg_depth_m"), clean_number(after["diveduration"]).alias("duration_s"),
+        units.kelvin_to_celsius(clean_number(after["lowesttemperature"])).alias("water_temp_c"), clean_number(after["equipmentused"]["leadquantity"]).alias("weight_kg"), _series(x).alias("series"),
+    ))
+    whole = dives.join(_referred(dives, sites, mixes, tanks), ["file", "at"], "left")
+    no_gas = F.array().cast(f"array<{mix_type(mixes)}>")
+    whole = whole.select("file", "at", "source_ref", "written_time", "site", F.coalesce("gases", no_gas).alias("gases"), "max_depth_m", "avg_depth_m", "duration_s", "water_temp_c", "weight_kg", "series")
+    return Documents(files, sites, mixes, tanks, whole)
+
+
+def mix_type(mixes: DataFrame) -> str:
+    return mixes.select(F.struct("id", *mixes.columns[2:]).alias("m")).schema["m"].dataType.simpleString()
 
 
 def dive_observations(documents: Documents) -> DataFrame:

@@ -56,3 +56,13 @@ def test_pieces_of_any_size(make, text, kinds):
         want = want or got
         assert got == want
     assert [k for k, _, _ in want] == kinds
+
+
+def test_no_more_than_an_element_is_held():
+    scan, most = XmlScanner({"uddf/p/dive": "dive"}), 0
+    found = list(scan.feed(b"<uddf><p>"))
+    for i in range(5000):
+        found += scan.feed(f'<dive id="{i}"><x>y</x></dive>'.encode())
+        most = max(most, len(scan.buffer))
+    found += [*scan.feed(b"</p></uddf>"), *scan.close()]
+    assert [at for kind, at, _ in found if kind == "dive"] == list(range(5000)) and found[-1] == ("file", 0, "uddf") and most < 500
