@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.batches import resolved_wide
+from logweave.sources.shared import written
 
 #: Columns that keep what they had if no source that is left asserts them, and what others fall back to.
 KEPT = ["start_utc", "start_local"]
@@ -27,7 +28,8 @@ def reverted(records: DataFrame, sources: DataFrame, gone: DataFrame, fields: di
     nothing asserts any more becomes null or its default, start times are completed and stay as they were where nothing
     tells them. records: (owner, record, start_utc, start_local), as they were.
     """
-    ids = gone.select("batch").distinct()
+    # written, so that the joins know how few they are and do not deal all sources by their few batches
+    ids = written(gone.select("batch").distinct())
     touched = sources.join(ids, "batch", "left_semi").select("owner", "record").distinct()
     left = sources.join(ids, "batch", "left_anti").join(touched, ["owner", "record"], "left_semi")
     anew = resolved_wide(left, fields).select("owner", "record", *fields, F.lit(True).alias("_there"))
