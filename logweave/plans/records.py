@@ -124,7 +124,7 @@ def import_delimited(spark: SparkSession, d: str) -> DataFrame:
     path, k = f"{folder(spark)}/sheet-{uuid.uuid4().hex}", F.col("o_orderkey")
     rows = read(spark, d, "orders").select(k.cast("string").alias(" Number "), F.when(k % 3 != 0, F.concat(F.lit('a "b"; '), "o_orderpriority", F.lit("\nnext"))).alias("Notes"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("Status"))
     blank = rows.where(k % 7 == 0).select(*[F.lit(None).cast("string").alias(c) for c in rows.columns])
-    rows.unionByName(blank).coalesce(1).write.options(header=True, sep=";", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows.unionByName(blank).write.options(header=True, sep=";", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     back = files.read_delimited(spark, path)
     return back.where("_ragged is null").select(F.col("Number").alias("number"), F.col("Notes").alias("notes"), F.col("Status").alias("status"))
 
