@@ -86,18 +86,19 @@ def run(batches: list[tuple[str, DataFrame]], fields: dict[str, str] = PATHS) ->
         fixed = {c: F.lit(None).cast(kinds[c]) for c in own if c not in observed.columns} | {"suspect": F.coalesce(F.col("suspect"), F.lit(False)) if "suspect" in observed.columns else F.lit(False)}
         rows = observed.withColumns(fixed).select("owner", "row", "source_ref", "suspect", *[F.col(c).cast(kinds[c]).alias(c) for c in own])
         if records is None:
-            told = rows.select("owner", "row", F.lit("create").alias("decision"), F.lit(None).cast("long").alias("rec_id"), F.lit(None).cast("double").alias("score"))
+            told = rows.select("*", F.lit("create").alias("decision"), F.lit(None).cast("long").alias("rec_id"), F.lit(None).cast("double").alias("score"))
         else:
             best = linking.decide(_sides(rows, records)).withColumnRenamed("obs_id", "row").drop("owner")
-            told = rows.select("owner", "row").join(best, "row", "left").withColumn("decision", F.coalesce("decision", F.lit("create")))
+            told = rows.join(best, "row", "left").withColumn("decision", F.coalesce("decision", F.lit("create")))
         made = F.lit(at * ROWS) + F.col("row")
-        told = told.select("owner", F.lit(at).alias("batch"), "row", "decision", F.when(F.col("decision") == "merge", F.col("rec_id")).otherwise(made).alias("record"), "score")
-        told = written(told)
+        told = told.select("owner", F.lit(at).alias("batch"), "row", "decision", F.when(F.col("decision") == "merge", F.col("rec_id")).otherwise(made).alias("record"), "score", "source_ref", *own)
+        # a row goes with its own decision from here on and is not looked up by its number again
+        taken = written(told)
+        told = taken.select("owner", "batch", "row", "decision", "record", "score")
         decisions = told if decisions is None else decisions.unionByName(told)
         times = [F.col(c).cast("timestamp") for c in ("start_utc", "start_local") if c in own]
         recorded = F.coalesce(*times, F.timestamp_seconds(F.lit(0)))
-        new = rows.join(told.select("row", "record"), "row").select("owner", "record", F.lit(at).alias("batch"), "row", F.lit(kind).alias("kind"), "source_ref", recorded.alias("recorded_at"), *own)
-        new = written(new)
+        new = taken.select("owner", "record", "batch", "row", F.lit(kind).alias("kind"), "source_ref", recorded.alias("recorded_at"), *own)
         sources = new if sources is None else sources.unionByName(new)
         records = written(resolved_wide(sources, own))
     return History(sources, records, decisions)
