@@ -26,7 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of least hash of id and text, of rows equal in both one.
 
-    Empty texts are one group; a null id is an id like any other.
+    Candidates come from SimHash fingerprints at two bits, and edited copies beyond these from bands of least hashes; each is
+    verified. Empty texts are one group; a null id is an id like any other.
     """
     return simhash.one_of_each(docs)
 

@@ -7,8 +7,9 @@ fingerprints is never joined with itself: its members are indexed under their 65
 bit flipped. Members of such a bucket differ pairwise in at most two bits, so a star to its least member loses no
 reachability; that way is exact for two bits and linear in the number of fingerprints.
 
-Edited copies lie farther apart than fingerprints at few bits can tell, so one_of_each, the pipeline's stage, takes its
-candidates from bands of least shingle hashes, joined by equality, and verifies them by the exact Jaccard similarity.
+one_of_each, the pipeline's stage, takes its candidates from these fingerprints and links, and verifies them by the exact
+Jaccard similarity. Edited copies lie farther apart than fingerprints at few bits can tell; those come from bands of
+least shingle hashes, joined by equality and verified alike, in addition.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from logweave.llm.common import byte_view, cut, slices, texts
 
 SEED = 42
+#: Words of the shingles that a fingerprint is made of.
+WORDS = 3
 #: Different fingerprints of one variant bucket that are still joined pair by pair.
 BUCKET = 64
 #: Keys of buckets (8 bytes each) that are broadcast at the most; with more of them the join shuffles.
@@ -76,7 +79,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, fp, hashes): fp is the fingerprint as a signed long; no words: zero; rows map one to one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = WORDS, bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the least doc_id reachable over links, itself included.
 
     A null text counts as empty (fingerprint zero, linked like any other); repeated rows and copies share a fingerprint
@@ -171,21 +174,24 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(key, id, n, bands) of rows (key, text): id stands for the set of the text's shingles, n is its size."""
+    """(key, id, n, fp, bands) of rows (key, text): id stands for the set of the text's shingles, n is its size, fp is the
+    fingerprint of WORDS-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for whole in batches:
             for batch in slices(whole, SLICE):
-                sets = [np.unique(shingle_hashes(t, k)) for t in batch.column(1).to_pylist()]
+                read = batch.column(1).to_pylist()
+                sets = [np.unique(shingle_hashes(t, k)) for t in read]
+                fps = np.array([fingerprint(shingle_hashes(t, WORDS)) for t in read], np.uint64).view(np.int64)
                 ids = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
                 bands = np.array([band_keys(x) for x in sets]).view(np.int64).ravel()
                 ends = np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)
-                columns = [batch.column(0), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "bands"])
+                columns = [batch.column(0), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "key long, id long, n long, bands array<long>")
+    return docs.mapInArrow(run, "key long, id long, n long, fp long, bands array<long>")
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -259,10 +265,23 @@ def common_classes(sets: DataFrame, rare: DataFrame) -> DataFrame:
     return sets.join(own, "id", "left").select("id", "hashes", "few").mapInArrow(run, "id long, classes array<int>, " + ", ".join(f"{c} int" for c in _COARSE))
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+def near_prints(rows: DataFrame, bits: int) -> DataFrame:
+    """Candidates (id, n, other, m) of rows (id, n, fp), sets by what links their fingerprints: every set with the least one of
+    its fingerprint, and of two linked fingerprints their least ones."""
+    prints = cut(rows.select("id", "n", "fp").distinct())
+    owners = cut(prints.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("l"), F.count(F.lit(1)).alias("c")))
+    several = owners.where("c > 1").select("fp", "l")
+    same = prints.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS // 10 else several, "fp").select("id", "n", F.col("l.id").alias("other"), F.col("l.n").alias("m"))
+    one, two = owners.select(F.col("fp").alias("a"), F.col("l").alias("x")), owners.select(F.col("fp").alias("b"), F.col("l").alias("y"))
+    near = links(owners.select("fp"), bits).join(one, "a").join(two, "b").select("x.id", "x.n", F.col("y.id").alias("other"), F.col("y.n").alias("m"))
+    return same.unionByName(near)
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 2) -> DataFrame:
     """(key, root) of rows (key, text): root is the least key of the component over pairs of that Jaccard similarity.
 
-    Candidates share one of the band keys and fit in size. The members of a bucket are compared with two of them, those of
+    First candidates are texts whose fingerprints are the same or differ in at most `bits` bits. Pairs that these do not
+    connect already are then candidates if they share one of the band keys and fit in size. The members of a bucket are compared with two of them, those of
     least and greatest hash, which a group of near copies has in common in most of its buckets; so a group takes work in
     proportion to its members. Buckets that then still hold several components are gone through in two exact ways: members
     that share a shingle that few of them have are compared; all others share common shingles alone, and where those that
@@ -271,15 +290,19 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """
     rows = cut(sketches(docs, k))
     classes = cut(rows.groupBy("id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    ordered = lambda p: p.where("id != other").where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    printed = verified(ordered(near_prints(rows.where("n > 0"), bits)), classes, docs, k, least)
+    joined = cut(components(printed))
     every = classes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
     member, place = F.struct("id", "n"), F.xxhash64("id")
     buckets = cut(every.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min_by(member, place).alias("low"), F.max_by(member, place).alias("high")).where("c > 1"))
     side = F.broadcast(buckets) if buckets.count() <= BROADCAST_KEYS // 10 else buckets
     members = cut(every.join(side, "band"))
-    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
-    ordered = lambda p: p.where("id != other").where(fits).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     led = members.select("id", "n", F.explode(F.array("low", "high")).alias("l")).select("id", "n", F.col("l.id").alias("other"), F.col("l.n").alias("m"))
-    found = verified(ordered(led), classes, docs, k, least)
+    top = lambda end, name: joined.select(F.col("node").alias(end), F.col("root").alias(name))
+    apart = ordered(led).join(top("a", "p"), "a", "left").join(top("b", "q"), "b", "left").where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
+    found = printed.unionByName(verified(apart, classes, docs, k, least))
     roots = cut(components(found))
     inside = members.where("c > 2").select("band", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
     inside = cut(inside)
@@ -315,16 +338,17 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     return rows.select("key", "id").join(owner, "id").select("key", "root")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 2) -> DataFrame:
     """docs, all columns, with one document of each component of near copies: the one of least (id, text) hash.
 
-    Near copies are texts whose sets of k-word shingles have a Jaccard similarity of at least `least`. Rows that repeat an
+    Near copies are texts whose sets of k-word shingles have a Jaccard similarity of at least `least`; they are looked for by
+    fingerprints at `bits` bits and by bands of least hashes. Rows that repeat an
     id with its text are one document, of which the row whose JSON form is least stays. A null text counts as
     empty, and texts without words are copies of each other; an empty table stays empty.
     """
     keys = [F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))), F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keys[0].alias("key"), keys[1].alias("key2"))
-    found = near_copies(docs.select(keys[0].alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), k, least)
+    found = near_copies(docs.select(keys[0].alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), k, least, bits)
     stay = found.where("key = root").select("key").distinct()
     only = held.join(stay, "key").groupBy("key", "key2").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return only.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

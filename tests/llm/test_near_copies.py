@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import simhash
 
@@ -62,3 +63,20 @@ def test_repeated_rows_and_columns_without_order(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
     got = simhash.one_of_each(docs).collect()
     assert len(got) == 3 and {r.text or "" for r in got} == {"one two three", "", "only here"}
+
+
+def test_fingerprints_link_what_bands_do_not(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows = [" ".join(base), " ".join([*base[:1500], "changed", *base[1501:]]), " ".join(base + base), " ".join(base[::-1])]
+    # prints that repeats alone make alike, of different sets
+    line = "one line that stands in both of these texts often and says nothing of them "
+    rows += [line * 400 + " ".join(base[a : a + 20]) for a in (0, 40)]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, 3)) for t in rows]
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    assert apart(0, 1) <= 2 and apart(0, 2) <= 2 and apart(4, 5) <= 2 and apart(0, 3) > 2
+    # no two sets share a band
+    real = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda docs, k: real(docs, k).withColumn("bands", F.array("id")))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(kept) == 4 and {3, 4, 5} < kept
