@@ -11,6 +11,8 @@ from logweave.sources.shared import written
 
 IMPERIAL = {"depth": ("ft", lambda c: c / units.METRES_PER_FOOT), "temp": ("F", lambda c: c * 9 / 5 + 32), "weight": ("lb", lambda c: c / units.KILOGRAMS_PER_POUND)}
 METRIC = {"depth": ("m", lambda c: c), "temp": ("C", lambda c: c), "weight": ("kg", lambda c: c)}
+#: Bytes of a dictionary of sites or mixes, its keys and some 64 for each entry, that are broadcast at the most.
+BROADCAST_BYTES = 16 << 20
 
 
 def four_places(c: Column) -> Column:
@@ -127,7 +129,14 @@ def documents(dives: DataFrame, owner: str, order: list[str], made: str, most: i
     def dictionary_of(entries: DataFrame, name: str) -> DataFrame:
         """(owner, key, value, id) of (owner, place, key, value): each different key once, numbered by its first place."""
         first = entries.groupBy("owner", "key").agg(F.min("place").alias("place"), F.min_by("value", "place").alias("value"))
-        return running.Ordered(first, "owner", ["place"], most).add(id=running.count()).rows().withColumn("id", F.concat(F.lit(f"{name}_"), F.col("id").cast("string")))
+        # written, as it is read four times: each reading would group all rows again
+        return written(running.Ordered(first, "owner", ["place"], most).add(id=running.count()).rows().withColumn("id", F.concat(F.lit(f"{name}_"), F.col("id").cast("string"))))
+
+    def looked_up(left: DataFrame, entries: DataFrame, name: str) -> DataFrame:
+        """left with the ids of its keys; dives are not dealt by the few keys of a small dictionary."""
+        size = entries.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
+        ids = entries.select("owner", F.col("key").alias(f"_{name}_key"), F.col("id").alias(f"_{name}"))
+        return left.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, ["owner", f"_{name}_key"], "left")
 
     sites = dictionary_of(rows.where("_site_key is not null").select("owner", F.struct("_n", F.lit(0).alias("i")).alias("place"), F.col("_site_key").alias("key"), F.col("site").alias("value")), "site")
     each = rows.select("owner", "_n", F.posexplode("gases").alias("i", "g"))
@@ -139,8 +148,7 @@ def documents(dives: DataFrame, owner: str, order: list[str], made: str, most: i
     label = F.when((v["o2"] == 0.21) & (F.coalesce(v["he"], F.lit(0.0)) == 0), "air").otherwise(F.concat(F.lit("ean"), F.floor(v["o2"] * 100 + 0.5).cast("string")))
     mix_line = F.concat(F.lit('<mix id="'), F.col("id"), F.lit('">'), _joined(_element("name", label), _element("o2", number_text(v["o2"])), _element("he", number_text(v["he"]))), F.lit("</mix>"))
 
-    known = rows.join(sites.select("owner", F.col("key").alias("_site_key"), F.col("id").alias("_site")), ["owner", "_site_key"], "left")
-    known = known.join(mixes.select("owner", F.col("key").alias("_mix_key"), F.col("id").alias("_mix")), ["owner", "_mix_key"], "left")
+    known = looked_up(looked_up(rows, sites, "site"), mixes, "mix")
     reference = lambda tag, c: F.concat(F.lit(f'<{tag} ref="'), c, F.lit('"/>'))
     stamp = F.concat(F.date_format("start_local", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.coalesce(offsets.formatted(F.col("offset_minutes")), F.lit("")))
     kelvin = lambda c: number_text(F.round(c + units.KELVIN_AT_ZERO_CELSIUS, 2))
