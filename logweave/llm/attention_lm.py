@@ -18,18 +18,17 @@ with them scores, depend a little on how rows fall into partitions.
 from __future__ import annotations
 
 import ctypes
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import binary_column, byte_view, cut, fold, slices, texts
-from logweave.llm.simhash import words_of
-from logweave.llm.subwords import WordEncoder
+from logweave.llm.subwords import WordsEncoder
 
 STRIDE, WIDTH = 16, 16  # tokens scored in a window; numbers in a state
 SYMBOLS, HASHED = 1024, 32
@@ -48,6 +47,8 @@ HEAD = 100_000
 COUNTED, REMEMBERED, LONG = 200_000, 400_000, 1 << 16
 #: Windows that are scored at a time, and bytes of ids (two for each) that a task holds as windows.
 STEP, HELD = 128, 1 << 19
+#: Windows whose gradients are reckoned at a time (the sums of a batch are the same).
+TILE = 128
 SEED = 11
 TEXT_END = b" "  # no word has a space, so it stands for the end of a text among the words
 NAMES = ("embedding", "query", "key", "value", "distance", "out")
@@ -96,62 +97,87 @@ def initial(seed: int = SEED) -> dict[str, np.ndarray]:
 
 _BACK = np.arange(STRIDE)[:, None] + STRIDE - np.arange(2 * STRIDE)[None, :]  # how far back each key is of each query
 _ALLOWED = _BACK >= 0
-_NEVER, _MOST, _ONES = np.float32(-1e9), np.float32(60), np.ones(max(CLASSES, 2 * STRIDE), np.float32)
+_NEVER, _MOST, _ONES = np.float32(-1e9), np.float32(60), np.ones(256, np.float32)
+
+
+def bounded_exp(a: np.ndarray) -> None:
+    """exp in place, of _MOST at the most."""
+    if a.max(initial=0) > _MOST:
+        np.minimum(a, _MOST, out=a)
+    np.exp(a, out=a)
 
 
 def gradients(p: dict[str, np.ndarray], prior: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the target classes y (-1: none) of windows x (n, 2 * STRIDE) and its gradients.
+    """Mean loss over the target classes y (-1: none) of n windows x and its gradients.
 
-    prior: log-probabilities of the classes by symbol; first: whether a window has no earlier stride.
+    x: windows (n, 2 * STRIDE), or n + 1 strides in one row that each make a window with the next one: then what two windows
+    share is reckoned once. prior: log-probabilities of the classes by symbol; first: whether a window has no earlier
+    stride. Windows are gone through TILE at a time, which a processor's own cache holds.
     """
-    s, d, root = STRIDE, WIDTH, np.float32(WIDTH**-0.5)
-    n, flat = len(x), lambda m: m.reshape(-1, m.shape[-1])
-    e = p["embedding"][x]
-    late = np.ascontiguousarray(e[:, s:])
-    q, k, v = flat(late) @ (p["query"] * root), flat(e) @ p["key"], flat(e) @ p["value"]
-    q, k, v = q.reshape(n, s, d), k.reshape(n, 2 * s, d), v.reshape(n, 2 * s, d)
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_ALLOWED, p["distance"][np.maximum(_BACK, 0)], _NEVER)
-    a[first, :, :s] = _NEVER
-    np.minimum(a, _MOST, out=a)
-    np.exp(a, out=a)
-    a /= (a @ _ONES[: 2 * s])[:, :, None]
-    h = a @ v
-    h += late
-    h = flat(h)
-    prob = h @ p["out"]
-    prob += np.take(prior, x[:, s:].ravel(), axis=0)
-    np.minimum(prob, _MOST, out=prob)
-    np.exp(prob, out=prob)
-    prob /= (prob @ _ONES[:CLASSES])[:, None]
-    target = y.ravel()
-    there = np.flatnonzero(target >= 0)
-    count = max(1, len(there))
-    hit = prob[there, target[there]]
-    loss = -np.log(hit + 1e-30).sum() / count
-    prob[there, target[there]] -= 1
-    prob[target < 0] = 0
-    prob *= np.float32(1 / count)
-    g = {"out": h.T @ prob}
-    dh = (prob @ p["out"].T).reshape(n, s, d)
-    dz = dh @ v.transpose(0, 2, 1)
-    turned = a.transpose(0, 2, 1)
-    dv = turned @ dh
-    dz -= ((dz * a) @ _ONES[: 2 * s])[:, :, None]
-    dz *= a
-    g["distance"] = np.bincount(np.maximum(_BACK, 0).ravel(), (dz.sum(axis=0) * _ALLOWED).ravel(), 2 * s).astype(dz.dtype)
-    dq, dk = flat(dz @ k), flat(dz.transpose(0, 2, 1) @ q)
-    dq *= root
-    dv = flat(dv)
-    g["query"], g["key"], g["value"] = flat(late).T @ dq, flat(e).T @ dk, flat(e).T @ dv
-    de = dk @ p["key"].T
-    de += dv @ p["value"].T
-    de = de.reshape(n, 2 * s, d)
-    de[:, s:] += dh
-    de[:, s:] += (dq @ p["query"].T).reshape(n, s, d)
-    columns, rows = flat(de).T.astype(np.float64), np.ascontiguousarray(x).ravel()
-    g["embedding"] = np.stack([np.bincount(rows, c, SYMBOLS) for c in columns], axis=1).astype(de.dtype)
-    return float(loss), g
+    s, d, n, root = STRIDE, WIDTH, len(first), np.float32(WIDTH**-0.5)
+    step, x, y = s if x.ndim == 1 else 2 * s, np.ascontiguousarray(x).ravel(), y.reshape(n, s)
+    share = np.float32(1 / max(1, np.count_nonzero(y >= 0)))
+    w_q, w_kv = p["query"] * root, np.concatenate([p["key"], p["value"]], axis=1)
+    mask = np.where(_ALLOWED, p["distance"][np.maximum(_BACK, 0)], _NEVER)
+    loss, g_x, g_mask = 0.0, np.zeros((len(x), d), w_q.dtype), np.zeros(2 * s * s, w_q.dtype)
+    g_out, g_q, g_kv = np.zeros_like(p["out"]), np.zeros_like(w_q), np.zeros_like(w_kv)
+
+    def windows(m: np.ndarray, start: int, size: int, left: int = 0, width: int = d) -> np.ndarray:
+        """(windows, size, width): of the rows of m each window's from start on, columns from left on."""
+        b, item = m.strides
+        return np.ndarray(((len(m) - 2 * s) // step + 1, size, width), m.dtype, m, start * b + left * item, (step * b, b, item))
+
+    for at in range(0, n, TILE):
+        m = min(TILE, n - at)
+        own = slice(at * step, (at + m - 1) * step + 2 * s)
+        e = np.take(p["embedding"], x[own], axis=0)
+        late = windows(e, s, s).reshape(-1, d)
+        q, kv = (late @ w_q).reshape(m, s, d), e @ w_kv
+        k, v = windows(kv, 0, 2 * s), windows(kv, 0, 2 * s, d)
+        a = q @ k.transpose(0, 2, 1)
+        a += mask
+        a[first[at : at + m], :, :s] = _NEVER
+        bounded_exp(a)
+        # attention is a times over; what is left undivided saves going through it again
+        over = 1 / (a.reshape(-1, 2 * s) @ _ONES[: 2 * s])
+        mean = (a @ v).reshape(-1, d)
+        mean *= over[:, None]
+        h = mean + late
+        prob = h @ p["out"]
+        prob += np.take(prior, windows(x[own, None], s, s, 0, 1).ravel(), axis=0)
+        bounded_exp(prob)
+        target, whole = y[at : at + m].ravel(), 1 / (prob @ _ONES[:CLASSES])
+        there = np.flatnonzero(target >= 0)
+        cells, flat = there * CLASSES + target[there], prob.reshape(-1)
+        loss -= float(np.log(flat[cells] * whole[there] + 1e-30).sum())
+        prob *= (whole * (target >= 0) * share)[:, None]
+        flat[cells] -= share
+        g_out += h.T @ prob
+        dh = prob @ p["out"].T
+        da = (dh * over[:, None]).reshape(m, s, d)
+        dz = da @ v.transpose(0, 2, 1)
+        dz -= (((dh * mean) @ _ONES[:d]) * over).reshape(m, s, 1)
+        dz *= a
+        g_mask += _ONES[:m] @ dz.reshape(m, -1)
+        dq, both = (dz @ k).reshape(-1, d), np.empty((m, 2 * s, 2 * d), kv.dtype)
+        np.matmul(dz.transpose(0, 2, 1), q, out=both[:, :, :d])
+        np.matmul(a.transpose(0, 2, 1), da, out=both[:, :, d:])
+        if step == s:
+            both, dkv = both.reshape(m, 2, -1), np.zeros_like(kv)
+            dkv[:-s].reshape(m, -1)[...] = both[:, 0]
+            dkv[s:].reshape(m, -1)[...] += both[:, 1]
+        else:
+            dkv = both.reshape(-1, 2 * d)
+        g_q += late.T @ dq
+        g_kv += e.T @ dkv
+        dh += dq @ w_q.T
+        g_x[own] += dkv @ w_kv.T
+        mine = windows(g_x[own], s, s)
+        mine += dh.reshape(m, s, d)
+    g = {"out": g_out, "query": g_q * root, "key": g_kv[:, :d], "value": g_kv[:, d:]}
+    g["distance"] = np.bincount(np.maximum(_BACK, 0).ravel(), g_mask * _ALLOWED.ravel(), 2 * s).astype(w_q.dtype)
+    g["embedding"] = np.bincount((x[:, None] * d + np.arange(d)).ravel(), g_x.ravel(), SYMBOLS * d).reshape(SYMBOLS, d).astype(w_q.dtype)
+    return loss * float(share), g
 
 
 class Adam:
@@ -271,7 +297,7 @@ class Scorer:
         e, f = p["embedding"], np.float32
         self.model, self.e = model, e.astype(f)
         self.q = (e @ p["query"] / WIDTH**0.5).astype(f)
-        self.k, self.v = (e @ p["key"]).astype(f), (e @ p["value"]).astype(f)
+        self.kv = np.concatenate([e @ p["key"], e @ p["value"]], axis=1).astype(f)
         self.out = p["out"].astype(f)
         self.mask = np.where(_ALLOWED, p["distance"][np.maximum(_BACK, 0)], -1e9).astype(f)
 
@@ -292,21 +318,20 @@ class Scorer:
 
     def step(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, d, s = len(first), WIDTH, STRIDE
-        k, v, mine = self.k[x], self.v[x], x[s:]
-        b = k.strides[0]
-        pair = lambda m: np.lib.stride_tricks.as_strided(m, (n, 2 * s, d), (s * b, b, m.itemsize))
-        a = self.q[mine].reshape(n, s, d) @ pair(k).transpose(0, 2, 1)
+        kv, mine = np.take(self.kv, x, axis=0), x[s:]
+        b, item = kv.strides
+        k, v = (np.ndarray((n, 2 * s, d), kv.dtype, kv, left * item, (s * b, b, item)) for left in (0, d))
+        a = np.take(self.q, mine, axis=0).reshape(n, s, d) @ k.transpose(0, 2, 1)
         a += self.mask
         a[first, :, :s] = -1e9
-        np.minimum(a, _MOST, out=a)
-        np.exp(a, out=a)
-        h = a @ pair(v)
-        h /= (a @ _ONES[: 2 * s])[:, :, None]
-        h = h.reshape(-1, d)
-        h += self.e[mine]
+        bounded_exp(a)
+        h = (a @ v).reshape(-1, d)
+        h *= (1 / (a.reshape(-1, 2 * s) @ _ONES[: 2 * s]))[:, None]
+        h += np.take(self.e, mine, axis=0)
         logits = h @ self.out
         logits += np.take(self.model.prior, mine, axis=0)
-        np.minimum(logits, _MOST, out=logits)
+        if logits.max() > _MOST:
+            np.minimum(logits, _MOST, out=logits)
         hit = logits[np.arange(len(mine)), y]
         np.exp(logits, out=logits)
         return hit - np.log(logits @ _ONES[:CLASSES])
@@ -315,24 +340,41 @@ class Scorer:
 # --- what is counted ---------------------------------------------------------------------------------------------------
 
 
+def words_in(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, A-Z in lower case and white space as words_of has it, and where each text's begin (and the end).
+
+    Texts with white space at an end have empty words there.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    at = lists.offsets.to_numpy()
+    return lists.values.slice(at[0], at[-1] - at[0]), at.astype(np.int64) - at[0]
+
+
+def added_up(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c): every word and the end of every text (TEXT_END), over all rows of train (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return got
-
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                seen.update(words_of(t))
-                seen[TEXT_END] += 1
-                if len(seen) > COUNTED:
-                    yield out()
-        yield out()
+        ends, waiting, rows = 0, [], 0
+        for whole in batches:
+            ends += whole.num_rows
+            for batch in slices(whole):
+                words, _ = words_in(batch.column(1))
+                found = words.filter(pc.greater(pc.binary_length(words), 0)).value_counts()
+                waiting.append(pa.table([found.field(0).cast(pa.binary()), found.field(1)], ["word", "c"]))
+                rows += len(found)
+                if rows > 2 * COUNTED:
+                    waiting = [added_up(waiting)]
+                    rows = len(waiting[0])
+                    if rows > COUNTED:
+                        yield from waiting[0].to_batches()
+                        waiting, rows = [], 0
+        if ends:
+            waiting.append(pa.table([pa.array([TEXT_END], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"]))
+            yield from added_up(waiting).to_batches()
 
     return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -344,30 +386,29 @@ class WordCodes(dict):
     """
 
     def __init__(self, tokenizer: str, head: dict[bytes, int], low: float):
-        self.encoder, self.head, self.low = WordEncoder(tokenizer), head, low
+        self.encoder, self.head, self.low = WordsEncoder(tokenizer), head, low
         self.start_anew()
 
     def start_anew(self) -> None:
         self.clear()
-        self.words, self.ids, self.worth, self.long = [], [], [], False
+        self.words, self.long = [], False
         self.flat, self.begin, self.value = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0)
 
     def __missing__(self, word: bytes) -> int:
         code = self[word] = len(self.words)
-        c = self.head.get(word)
         self.words.append(word)
-        self.worth.append(np.nan if c is None else np.log10(c + 0.5) - self.low)
-        self.ids.append(b"" if word == TEXT_END else self.encoder.encode_word(word.decode()))
-        self.long |= len(word) > LONG
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
         got = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        new = self.ids[len(self.value) :]
+        new = self.words[len(self.value) :]
         if new:
-            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), np.uint32).astype(np.uint16)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(b) // 4 for b in new])])
-            self.value = np.array(self.worth)
+            ids, size = self.encoder.words(["" if w == TEXT_END else w.decode() for w in new])
+            self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
+            counts = np.array([self.head.get(w, np.nan) for w in new])
+            self.value = np.concatenate([self.value, np.log10(counts + 0.5) - self.low])
+            self.long |= max(map(len, new)) > LONG
         return got
 
     def spare(self) -> None:
@@ -383,30 +424,32 @@ def encode(rows: DataFrame, tokenizer: str, head, total: int, distinct: int) ->
     low = float(np.log10(total + 0.5 * (distinct + 1))) if total else 0.0
 
     def encoded(codes: WordCodes, batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, ends = [], []
-        for t in batch.column(1).to_pylist():
-            words += words_of(t)
-            words.append(TEXT_END)
-            ends.append(len(words))
-        code, ends = codes.of(words), np.array(ends)
-        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        n = np.bincount(row, minlength=len(ends))
+        words, at = words_in(batch.column(1))
+        known, texts_here = words.dictionary_encode(), np.arange(batch.num_rows)
+        different = codes.of([*known.dictionary.cast(pa.binary()).to_pylist(), b"", TEXT_END])
+        code, row = different[known.indices.to_numpy()], np.repeat(texts_here, np.diff(at))
+        there = code != different[-2]
+        code, row = code[there], row[there]
         begin, size = codes.begin[code], np.diff(codes.begin)[code]
-        after = np.cumsum(size)
-        ids = codes.flat[np.repeat(begin - after + size, size) + np.arange(after[-1])]
+        after = np.concatenate([[0], np.cumsum(size)])
+        ids = codes.flat[np.repeat(begin - after[:-1], size) + np.arange(after[-1])]
+        borders_of_ids = after[np.searchsorted(row, np.arange(batch.num_rows + 1))]
+        # every text's end is a word without ids
+        code, row = np.concatenate([code, np.full(batch.num_rows, different[-1])]), np.concatenate([row, texts_here])
+        n = np.bincount(row, minlength=batch.num_rows)
         worth = codes.value[code]
         out = np.isnan(worth)
         missing, times = np.unique(row[out] * len(codes.words) + code[out], return_counts=True)
         rare = pa.StructArray.from_arrays([pa.array([codes.words[c] for c in (missing % len(codes.words)).tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "m"])
-        borders = np.searchsorted(missing // len(codes.words), np.arange(len(ends) + 1)).astype(np.int32)
+        borders = np.searchsorted(missing // len(codes.words), np.arange(batch.num_rows + 1)).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(2),
-                binary_column(ids.view(np.uint8), 2 * np.concatenate([[0], after[ends - 1]])).cast(pa.binary()),
+                binary_column(ids.view(np.uint8), 2 * borders_of_ids).cast(pa.binary()),
                 pa.array(n, pa.int64()),
-                pa.array(n - np.bincount(row[out], minlength=len(ends)), pa.int64()),
-                pa.array(np.bincount(row, np.where(out, 0, worth), len(ends))),
+                pa.array(n - np.bincount(row[out], minlength=batch.num_rows), pa.int64()),
+                pa.array(np.bincount(row, np.where(out, 0, worth), batch.num_rows)),
                 pa.ListArray.from_arrays(pa.array(borders), rare),
             ],
             ["doc_id", "held_out", "ids", "n_tokens", "n_head", "base_head", "rare"],
@@ -416,7 +459,7 @@ def encode(rows: DataFrame, tokenizer: str, head, total: int, distinct: int) ->
         codes = None
         for whole in batches:
             codes = codes or WordCodes(tokenizer, head.value, low)
-            for batch in slices(whole, 1 << 20):
+            for batch in slices(whole, 1 << 21):
                 yield encoded(codes, batch)
                 codes.spare()
 
@@ -472,10 +515,10 @@ def pair_counts(encoded: DataFrame, s: Symbols) -> np.ndarray:
 
 
 def windows_of(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (n, 2 * STRIDE), whether they have no earlier stride, and target classes (n, STRIDE; -1: none) of packed ids."""
+    """Symbols of n + 1 strides, whether the n windows of two have no earlier stride, and target classes (n, STRIDE; -1: none) of packed ids."""
     data, at = byte_view(column)
     x, first, y, _ = model.windows(np.frombuffer(data.tobytes(), np.uint16), at // 2)
-    return doubled(x), first, np.where(y >= 0, model.klass[np.maximum(y, 0)], -1).reshape(-1, STRIDE)
+    return x, first, np.where(y >= 0, model.klass[np.maximum(y, 0)], -1).reshape(-1, STRIDE)
 
 
 def pilot(train: DataFrame, model, strides: int, most: int = PILOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -486,6 +529,7 @@ def pilot(train: DataFrame, model, strides: int, most: int = PILOT) -> tuple[np.
         for whole in batches:
             for batch in slices(whole, HELD, "ids"):
                 x, first, y = windows_of(batch.column(0), model.value)
+                x = doubled(x)
                 h = np.zeros(len(x), np.uint64)
                 for k in range(2 * STRIDE):
                     h = (h ^ x[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -528,9 +572,9 @@ def averaged(train: DataFrame, p: dict[str, np.ndarray], model) -> dict[str, np.
             for whole in batches:
                 for batch in slices(whole, HELD, "ids"):
                     x, first, y = windows_of(batch.column(0), model.value)
-                    for k in range(0, len(x), BATCH):
-                        step.step(gradients(own, model.value.prior, x[k : k + BATCH], first[k : k + BATCH], y[k : k + BATCH])[1], RATE_ON)
-                    seen += len(x)
+                    for k in range(0, len(first), BATCH):
+                        step.step(gradients(own, model.value.prior, x[k * STRIDE : (k + BATCH + 1) * STRIDE], first[k : k + BATCH], y[k : k + BATCH])[1], RATE_ON)
+                    seen += len(first)
         if seen:
             yield weights_row(seen, own)
 
